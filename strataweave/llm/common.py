@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import tempfile
 import uuid
 
@@ -80,7 +79,6 @@ SPACED = byte_class(lambda b: b != 0x20 and not 9 <= b <= 13)
 ALNUM = byte_class(lambda b: b >= 0x80 or chr(b).isalnum())
 
 
-@functools.lru_cache(maxsize=2)
 def _tables(n: int):
     """Lower-casing of ASCII, a random number for each byte, and the powers of _STEP with their inverses modulo 2**64."""
     lower = np.arange(256, dtype=np.uint8)
@@ -110,6 +108,8 @@ def hash_words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.n
     Works in pieces that end between words, so memory stays a small multiple of the text however long it is.
     """
     n, found, owners, a = len(data), [], [np.zeros(0, np.int64)], 0
+    size = min(n, PIECE)
+    noise, up, down = _tables(size)
     is_start = np.zeros(n + 1, dtype=bool)
     is_start[at] = True
     while a < n:
@@ -117,10 +117,9 @@ def hash_words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.n
         while z < n and kind[data[z - 1]] and kind[data[z]] and not is_start[z]:
             more = np.flatnonzero(~kind[data[z : z + PIECE]] | is_start[z : min(n, z + PIECE)])
             z = z + int(more[0]) if len(more) else min(n, z + PIECE)
-        size = PIECE
-        while size < z - a:
-            size *= 2
-        noise, up, down = _tables(size)
+        if size < z - a:  # a word longer than the piece
+            size = 2 * (z - a)
+            noise, up, down = _tables(size)
         b, cut = data[a:z], is_start[a : z + 1]
         w = kind[b]
         first = w & (cut[:-1] | np.concatenate(([True], ~w[:-1])))

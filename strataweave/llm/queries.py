@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import mixing, sharding
+from strataweave.llm import jaccard, mixing, sharding
 from strataweave.llm.common import table
 
 
@@ -13,10 +13,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "moment")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 24, grown=[1.0] * 25)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op9_sharding)}
 ORACLES: dict[str, str] = {}
