@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import jaccard, mixing, sharding
+from strataweave.llm import jaccard, mixing, quality, sharding, token_counts
 from strataweave.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "moment")
@@ -17,10 +22,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 24, grown=[1.0] * 25)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_jaccard_join, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op5_token_counts, op9_sharding)}
 ORACLES: dict[str, str] = {}
