@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import jaccard, mixing, quality, sharding, token_counts
+from strataweave.llm import jaccard, language, mixing, pii, quality, sharding, token_counts
 from strataweave.llm.common import table
 
 
@@ -28,10 +28,19 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 24, grown=[1.0] * 25)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op5_token_counts, op9_sharding)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.predict(documents, language.train(documents))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op5_token_counts, op7_pii, op9_sharding, op10_language)}
 ORACLES: dict[str, str] = {}
