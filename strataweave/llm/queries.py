@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataweave.llm import decontaminate, jaccard, language, mixing, pii, quality, sharding, token_counts
+from strataweave.llm import decontaminate, jaccard, language, mixing, pii, quality, sharding, token_counts, warc
 from strataweave.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.train(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op7_pii, op9_sharding, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op9_sharding, op10_language)}
 ORACLES: dict[str, str] = {}
