@@ -1 +1 @@
-
+"""Pure column expressions."""

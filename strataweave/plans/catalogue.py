@@ -1,4 +1,9 @@
-"""The catalogue of registered queries."""
+"""All registered queries."""
+
+from strataweave.plans import scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for part in (scoring,):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
