@@ -56,15 +56,15 @@ def first_ranked(df: DataFrame, by: Sequence[str], order: str, sizes: DataFrame,
 
 
 def sample(df: DataFrame, by: Sequence[str], size: Column | int, seed: int | str, key: str = "row_id") -> DataFrame:
-    """At most ``size`` rows of each group, with N and n of the group and the weight N / n.
+    """At most ``size`` rows of each group, with pool and n of the group and the weight pool / n.
 
-    ``size`` may use N, the number of rows of the group.
+    ``size`` may use pool, the number of rows of the group.
     """
-    pools = df.groupBy(*by).agg(F.count("*").alias("N"))
-    sizes = pools.withColumn("n", F.least(F.col("N"), (size if isinstance(size, Column) else F.lit(size)).cast("bigint")))
+    pools = df.groupBy(*by).agg(F.count("*").alias("pool"))
+    sizes = pools.withColumn("n", F.least(F.col("pool"), (size if isinstance(size, Column) else F.lit(size)).cast("bigint")))
     taken = first_ranked(df.withColumn("_draw", draw(seed, F.col(key))), by, "_draw", sizes, "n").drop("_draw")
     joined = taken.join(sizes, list(by)) if by else taken.crossJoin(F.broadcast(sizes))
-    return joined.withColumn("weight", F.col("N") / F.col("n"))
+    return joined.withColumn("weight", F.col("pool") / F.col("n"))
 
 
 def with_census(illicit: DataFrame, sampled: DataFrame) -> DataFrame:
@@ -75,18 +75,18 @@ def with_census(illicit: DataFrame, sampled: DataFrame) -> DataFrame:
 def benign_sizes(strata: DataFrame, budget: int, hard_share: float = 0.3) -> DataFrame:
     """Rows to take from each benign stratum for a budget: hard ones up to their share, the easy terciles a third each, what is missing in order of stratum.
 
-    ``strata``: (stratum, N). The table has at most four rows.
+    ``strata``: (stratum, pool). The table has at most four rows.
     """
     at = Window.partitionBy()
-    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("N"))).over(at), F.lit(0))
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("pool"))).over(at), F.lit(0))
     hard = F.col("stratum") == "hard_neg"
     h, e = n(hard), n(~hard)
     nh0 = F.least(F.lit(int(budget * hard_share)), h)
     ne = F.least(F.lit(budget) - nh0, e)
     nh = F.when((ne < budget - nh0) & (h > nh0), F.least(F.lit(budget) - ne, h)).otherwise(nh0)
-    base = F.when(hard, nh).otherwise(F.least(F.greatest(F.lit(1), F.floor(ne / 3)), F.col("N")))
-    sized = strata.withColumn("_base", F.when(F.lit(budget) >= h + e, F.col("N")).otherwise(base))
-    spare = F.col("N") - F.col("_base")
+    base = F.when(hard, nh).otherwise(F.least(F.greatest(F.lit(1), F.floor(ne / 3)), F.col("pool")))
+    sized = strata.withColumn("_base", F.when(F.lit(budget) >= h + e, F.col("pool")).otherwise(base))
+    spare = F.col("pool") - F.col("_base")
     gap = F.greatest(F.lit(budget) - F.sum("_base").over(at), F.lit(0))
     before = F.coalesce(F.sum(spare).over(Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fill = F.greatest(F.least(gap - before, spare), F.lit(0))
@@ -94,11 +94,11 @@ def benign_sizes(strata: DataFrame, budget: int, hard_share: float = 0.3) -> Dat
 
 
 def benign_sample(df: DataFrame, budget: int, seed: int | str, hard_share: float = 0.3, key: str = "row_id") -> DataFrame:
-    """The benign part of the weighted sample from stratified rows; weights are N / n of what was really taken."""
+    """The benign part of the weighted sample from stratified rows; weights are pool / n of what was really taken."""
     benign = df.where("stratum != 'illicit'")
-    sizes = benign_sizes(benign.groupBy("stratum").agg(F.count("*").alias("N")), budget, hard_share)
+    sizes = benign_sizes(benign.groupBy("stratum").agg(F.count("*").alias("pool")), budget, hard_share)
     taken = first_ranked(benign.withColumn("_draw", draw(seed, F.col(key))), ["stratum"], "_draw", sizes).drop("_draw")
-    return taken.join(F.broadcast(sizes), "stratum").withColumn("weight", F.col("N") / F.col("take")).withColumnRenamed("take", "n")  # four rows at most
+    return taken.join(F.broadcast(sizes), "stratum").withColumn("weight", F.col("pool") / F.col("take")).withColumnRenamed("take", "n")  # four rows at most
 
 
 def largest_remainder(groups: DataFrame, by: Sequence[str], capacity: str, order: str, budget: Column | int) -> DataFrame:
@@ -113,7 +113,7 @@ def largest_remainder(groups: DataFrame, by: Sequence[str], capacity: str, order
 
 
 def proportional(groups: DataFrame, size: str, budget: int, order: Sequence[Column], last_takes_rest: bool = True) -> DataFrame:
-    """max(1, round(budget * N / total)) for each group in the given order, the last one takes what remains; capped by N and by what remains. The table of groups is small."""
+    """max(1, round(budget * pool / total)) for each group in the given order, the last one takes what remains; capped by pool and by what remains. The table of groups is small."""
     total = F.sum(size).over(Window.partitionBy())
     want = F.greatest(F.lit(1), F.rint(F.lit(budget) * F.col(size) / total)).cast("bigint")
     w = Window.orderBy(*order)
@@ -143,9 +143,9 @@ def round_robin(groups: DataFrame, size: str, order: str, budget: int) -> DataFr
 
 
 def weight_report(df: DataFrame, by: str = "stratum") -> DataFrame:
-    """For each stratum of a sample with N, n and weight: realised size, modal weight, and whether the weights fit."""
-    got = df.groupBy(by).agg(F.count("*").alias("n_real"), F.max("N").alias("N"), F.mode("weight", True).alias("modal_weight"), F.min("weight").alias("_min"), F.max("weight").alias("_max"))
-    fits = (F.col("_min") == F.col("_max")) & (F.abs(F.col("modal_weight") * F.col("n_real") - F.col("N")) < 1e-6)
+    """For each stratum of a sample with pool, n and weight: realised size, modal weight, and whether the weights fit."""
+    got = df.groupBy(by).agg(F.count("*").alias("n_real"), F.max("pool").alias("pool"), F.mode("weight", True).alias("modal_weight"), F.min("weight").alias("_min"), F.max("weight").alias("_max"))
+    fits = (F.col("_min") == F.col("_max")) & (F.abs(F.col("modal_weight") * F.col("n_real") - F.col("pool")) < 1e-6)
     return got.withColumn("consistent", fits).drop("_min", "_max")
 
 

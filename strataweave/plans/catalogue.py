@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from strataweave.plans import scoring
+from strataweave.plans import sampling, scoring
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (scoring,):
+for part in (scoring, sampling):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
