@@ -23,8 +23,9 @@ def line_graph(edges: DataFrame, k: int = 5) -> DataFrame:
     Neighbours come from k lags in one window, so the work is k times the endpoints, never the square of a degree.
     """
     w = Window.partitionBy("account").orderBy("row_id", "is_sender")
-    near = F.array(*[F.struct(F.lag("row_id", d).over(w).alias("row_id"), F.lag("is_sender", d).over(w).alias("is_sender"), F.lit(d).alias("d")) for d in range(1, k + 1)])
-    pairs = both_ends(edges).withColumn("n", F.explode(near)).where("n.row_id is not null and n.row_id != row_id")
+    lags = {f"{c}_{d}": F.lag(c, d).over(w) for d in range(1, k + 1) for c in ("row_id", "is_sender")}
+    near = F.array(*[F.struct(F.col(f"row_id_{d}").alias("row_id"), F.col(f"is_sender_{d}").alias("is_sender"), F.lit(d).alias("d")) for d in range(1, k + 1)])
+    pairs = both_ends(edges).withColumns(lags).select("row_id", "is_sender", near.alias("near")).withColumn("n", F.explode("near")).where("n.row_id is not null and n.row_id != row_id")
     one = pairs.select(F.col("n.row_id").alias("a"), F.col("row_id").alias("b"), F.log1p(F.col("n.d").cast("double")).alias("delta"), F.col("n.is_sender").alias("s_a"), F.col("is_sender").alias("s_b"))
     return one.withColumn("x", F.explode(F.array(F.struct("a", "b", "delta", "s_a", "s_b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "delta", F.col("s_b").alias("s_a"), F.col("s_a").alias("s_b"))))).select("x.*")
 

@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from strataweave.plans import sampling, scoring
+from strataweave.plans import graphs, sampling, scoring, uncertainty
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (scoring, sampling):
+for part in (scoring, sampling, graphs, uncertainty):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
