@@ -1,12 +1,5 @@
 """Operators for large text corpora: scoring, mixing, joining, decontaminating, counting, archiving,
 sanitising, searching, sharding and identifying the language of documents.
 
-Nothing else in the library imports this subpackage. Functions that run inside tasks are shipped to the
-executors with the job, so a cluster needs no copy of the package, only numpy, pyarrow and pandas.
+Nothing else in the library imports this subpackage.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -162,7 +162,6 @@ def merged(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("array<long>")
 def _united(parts: pd.Series) -> pd.Series:
     """The intervals of several passes, made disjoint."""
     return pd.Series([[x for m in merged([(int(p[i]), int(p[i + 1])) for p in each for i in range(0, len(p), 2)]) for x in m] for each in parts])
@@ -183,7 +182,7 @@ def find(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, bl
         found = one if found is None else found.union(one)
     if passes > 1:
         found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.withColumn("marks", _united("marks"))
+        found = found.withColumn("marks", F.pandas_udf(_united, "array<long>")("marks"))
     return found
 
 
