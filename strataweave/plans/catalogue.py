@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from strataweave.plans import graphs, sampling, scoring, uncertainty
+from strataweave.plans import graphs, sampling, scoring, streams, uncertainty
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (scoring, sampling, graphs, uncertainty):
+for part in (scoring, sampling, graphs, uncertainty, streams):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES
