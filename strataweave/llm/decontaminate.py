@@ -72,7 +72,7 @@ class Queries:
         self.names: list[str | None] = []
         for name, n in zip(items["item_id"], counts.tolist()):
             own, end = words[end : end + n], end + n
-            name = None if name is None or pd.isna(name) else str(name)
+            name = None if name is None or pd.isna(name) else name
             i = known.setdefault(name, len(known))
             if i == len(self.names):
                 self.names.append(name)
@@ -171,12 +171,12 @@ def find(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, bl
     """For each document (segment, row, doc_id, n_words) the words inside matches, as from, to, from, to ..., and the items found."""
     if window + 2 * slop >= GAP:
         raise ValueError(f"window + 2 * slop must be under {GAP}")
-    items = items.select("item_id", "text").where("text is not null")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     bytes_in_all = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-bytes_in_all // block))
     found = None
     for i in range(passes):
-        part = items.where(F.pmod(F.xxhash64("text", F.col("item_id").cast("string")), F.lit(passes)) == i) if passes > 1 else items
+        part = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(passes)) == i) if passes > 1 else items
         queries = Queries(part.toPandas().sort_values(["item_id", "text"], na_position="last", ignore_index=True), window)  # ``block`` bytes or so
         one = index.mapInArrow(_matches(queries, slop), "segment long, row int, doc_id long, n_words long, marks array<long>, items array<string>")
         found = one if found is None else found.union(one)

@@ -73,6 +73,7 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0
     share = np.bincount(y[seen], minlength=len(names)) / len(seen)
     embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer = rng.normal(0, 1 / WIDTH, (WIDTH, len(names))).astype(np.float32)
+    epochs = max(epochs, min(40, 6000 // len(seen)))  # a small sample is read more often
     for epoch in range(epochs):
         for i in rng.permutation(seen):
             place, w = bags[i]
