@@ -27,15 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.common import SPACED, hash_words, mix, shingle_sets, utf8_column, written
 
 #: Sizes of a band reach from its lower end to BAND times that; parts hold PART elements on average at its upper end.
 BAND, PART = 1.5625, 3.6
-#: Bins of the histogram, members of a block, bits of the filter that spares reading sets nobody needs.
-BINS, BLOCK, FILTER_BITS = 64, 512, 1 << 23
+#: Bins of the histogram (folded to COARSE for a first look), members of a block, parts of a hub's groups, bits of a filter of ids.
+BINS, COARSE, BLOCK, PARTS, FILTER_BITS = 256, 64, 512, 8, 1 << 24
 
 
 def band_starts(n: int) -> np.ndarray:
@@ -93,10 +93,32 @@ def _described(size: int):
     return run
 
 
-def _signed(size: int, percent: int):
+def place_of(id: str) -> Column:
+    return F.pmod(F.xxhash64(id), F.lit(FILTER_BITS)).cast("int")
+
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """A filter of fixed size: for each of the ids, the bit at its place is set."""
+    place = place_of("id")
+    words = ids.select(F.floor(place / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place % 32).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    filled = np.zeros(FILTER_BITS // 32, np.uint32)  # FILTER_BITS at most come to the driver, whatever the input
+    got = words.toArrow()
+    filled[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.uint32)
+    return filled
+
+
+def _where_bit(batch: pa.RecordBatch, filled: np.ndarray, value: bool) -> pa.RecordBatch:
+    """The rows (id, text, place) whose bit is set, or is not."""
+    at = batch.column(2).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(((filled[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0) == value))
+
+
+def _signed(size: int, percent: int, skip: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, seen = band_starts(1 << 16), set()
         for batch in batches:
+            if skip is not None:
+                batch = _where_bit(batch, skip, False)
             ids, found, owners = batch.column(0), [], []
             for i, s in enumerate(sets_of(batch, 1, size)):
                 if not len(s) or not ids[i].is_valid:
@@ -142,34 +164,46 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(percent: int):
-    """Pairs of a block from different components that sizes and histograms don't exclude."""
+    """Pairs of a block from different components that sizes and histograms don't exclude, each once for a task."""
+
+    def excluded(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) * (100 + percent) > (100 - percent) * sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
         if not kept:
             return
-        sig, low, high, own, part, size = _columns(kept, ["sig", "low", "high", "id", "component", "n"])
-        bins = np.concatenate([np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS) for b in kept]).astype(np.int16)
-        order = np.lexsort((own, high, low, sig))
-        sig, low, high, own, part, size, bins = (x[order] for x in (sig, low, high, own, part, size, bins))
-        new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
-        ends = np.repeat(np.append(np.flatnonzero(new)[1:], len(sig)), np.diff(np.append(np.flatnonzero(new), len(sig))))
-        later = ends - np.arange(len(sig)) - 1  # each row meets the later ones of its block
-        done = np.concatenate(([0], np.cumsum(later)))
-        a = 0
+        hub, low, high, sig, id, part, size, block = _columns(kept, ["hub", "low", "high", "sig", "id", "component", "n", "own"])
+        bins = np.concatenate([np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS) for b in kept])
+        ids, one, own = np.unique(id, return_index=True, return_inverse=True)
+        part, size, bins = part[one], size[one], bins[one]
+        coarse = bins.reshape(len(ids), COARSE, -1).sum(axis=2, dtype=np.uint16)
+        order = np.lexsort((sig, high, low, hub))
+        hub, low, high, sig, own, block = (x[order] for x in (hub, low, high, sig, own, block))
+        first = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (sig[1:] != sig[:-1]))))
+        later = np.repeat(np.append(first[1:], len(sig)), np.diff(np.append(first, len(sig)))) - np.arange(len(sig)) - 1  # each row meets the later ones of its block
+        done, found, a = np.concatenate(([0], np.cumsum(later))), [np.zeros(0, np.int64)], 0
         while a < len(sig):
-            z = max(a + 1, int(np.searchsorted(done, done[a] + 500_000, side="right")) - 1)
+            z = max(a + 1, int(np.searchsorted(done, done[a] + 2_000_000, side="right")) - 1)
             left = np.repeat(np.arange(a, z), later[a:z])
             right = left + 1 + np.arange(len(left)) - (done[left] - done[a])
+            cross = (low[left] == high[left]) | (block[left] != block[right])
+            left, right = own[left[cross]], own[right[cross]]
             ok = (part[left] != part[right]) & (100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right]))
-            left, right = left[ok], right[ok]
-            apart = np.concatenate([np.abs(bins[left[i : i + 50_000]] - bins[right[i : i + 50_000]]).sum(axis=1) for i in range(0, max(len(left), 1), 50_000)])
-            ok = apart * (100 + percent) <= (100 - percent) * (size[left] + size[right])
-            x, y = own[left[ok]], own[right[ok]]
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            code = np.unique(np.minimum(left[ok], right[ok]) * len(ids) + np.maximum(left[ok], right[ok]))
+            for i in range(0, len(code), 50_000):
+                c = code[i : i + 50_000]
+                for table in (coarse, bins):
+                    x, y = c // len(ids), c % len(ids)
+                    c = c[~excluded(table[x], table[y], size[x] + size[y])]
+                found.append(c)
+            if len(found) > 50:
+                found = [np.unique(np.concatenate(found))]
             a = z
+        code = np.unique(np.concatenate(found))
+        for i in range(0, len(code), 100_000):
+            c = code[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[c // len(ids)]), pa.array(ids[c % len(ids)])], ["a", "b"])
 
     return run
 
@@ -196,20 +230,14 @@ def links(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> Da
     The texts whose sets are needed are found by a bit filter of fixed size, then exactly by a join.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int"))
-    words = ids.select(F.floor(place / 32).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    filled = np.zeros(FILTER_BITS // 32, np.uint32)  # FILTER_BITS at most, whatever the input
-    for word, bits in words.collect():
-        filled[word] = bits
+    filled = bit_filter(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((filled[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0))
+            batch = _where_bit(batch, filled, True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets_of(batch, 1, size)], pa.binary())], ["id", "elements"])
 
-    texts = documents.where("id is not null and text is not null").select("id", "text", place.alias("place"))
+    texts = documents.where("id is not null and text is not null").select("id", "text", place_of("id").alias("place"))
     sets = written(texts.mapInArrow(run, "id long, elements binary").where("length(elements) > 0").join(ids, "id", "left_semi"), "jaccard-sets")
     met = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
     return met.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long").distinct()
@@ -254,11 +282,23 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
     same = members.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("print", "first")
     copies = members.join(same, "print").select(F.col("first").alias("a"), F.col("id").alias("b")).where("a != b")
 
-    signed = documents.mapInArrow(_signed(size, percent), "sig long, id long")
+    # Only one document of each class signs. The others are set apart by a bit filter, which may hold a few too many:
+    # those, and only those, take an exact join. An id with several texts signs for each of them.
+    shape = members.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("n_max"), F.min("bins").alias("bins"), (F.min("print") == F.max("print")).alias("single"))
+    mixed = shape.where("not single").select("id")
+    skip = written(copies.select(F.col("b").alias("id")).join(mixed, "id", "left_anti"), "jaccard-skip")
+    filled, placed = bit_filter(skip), documents.where("id is not null and text is not null").withColumn("place", place_of("id"))
+
+    def maybe_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _where_bit(batch, filled, True).select(["id", "text"])
+
+    doubtful = placed.mapInArrow(maybe_copies, "id long, text string").join(skip, "id", "left_anti")
+    signed = placed.mapInArrow(_signed(size, percent, filled), "sig long, id long").union(doubtful.mapInArrow(_signed(size, percent, None), "sig long, id long"))
     groups = written(signed.repartition("sig").mapInArrow(_groups, "sig long, id long, hub long, members long"), "jaccard-groups")
     star = groups.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    shape = members.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("n_max"), F.min("bins").alias("bins"))
-    found = written(copies.union(links(_possible(star, shape, percent), documents, size, percent)), "jaccard-found")
+    near = _possible(star, shape, percent)
+    found = written(copies.union(links(near, documents, size, percent)), "jaccard-found")
     first = components(found)
 
     placed = groups.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -266,11 +306,13 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     rest = placed.join(torn, "sig", "left_semi").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.join(shape.where("n = n_max"), "id").select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component", "n", "bins")
-    # Rows that share an id but not their texts have no single histogram: they are compared with the hub and all others of the group.
-    mixed = shape.where("n != n_max").select("id")
-    odd = groups.join(mixed, "id", "left_semi").select("sig", F.col("id").alias("a")).join(groups.select("sig", F.col("id").alias("b")), "sig").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(rest.repartition("sig", "low", "high").mapInArrow(_near(percent), "a long, b long").union(odd).distinct(), "jaccard-pairs")
+    rest = rest.join(shape.where("single"), "id").select("hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "id", "component", "n", "bins")
+    # The groups of near copies mostly share their smallest member: dealt by it, in a few parts, a pair meets in few tasks and is kept once in each.
+    pairs = rest.repartition("hub", F.pmod(F.xxhash64("sig"), F.lit(PARTS)), "low", "high").mapInArrow(_near(percent), "a long, b long").distinct()
+    if not mixed.isEmpty():  # rows that share an id but not their texts have no single histogram: they meet all others of their groups
+        odd = groups.join(mixed, "id", "left_semi").select("sig", F.col("id").alias("a")).join(groups.select("sig", F.col("id").alias("b")), "sig").where("a != b")
+        pairs = pairs.union(odd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    pairs = written(pairs, "jaccard-pairs")
     more = links(pairs, documents, size, percent)
     whole = components(found.union(more))
     return described.join(whole, "id", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
@@ -281,13 +323,13 @@ def _possible(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("x", "y"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
             n = batch.column("n").to_numpy(zero_copy_only=False)
             single = batch.column("single").to_numpy(zero_copy_only=False).astype(bool)
-            apart = np.abs(x - y).sum(axis=1)
             yield batch.filter(pa.array(~single | (apart * (100 + percent) <= (100 - percent) * n))).select(["a", "b"])
 
-    side = lambda id, n, bins: shape.select(F.col("id").alias(id), F.col("n").alias(f"n{n}"), F.col("n_max").alias(f"m{n}"), F.col("bins").alias(bins))
+    side = lambda id, n, bins: shape.select(F.col("id").alias(id), F.col("n").alias(f"n{n}"), F.col("n_max").alias(f"m{n}"), F.col("bins").alias(bins), F.col("single").alias(f"s{n}"))
     met = pairs.join(side("a", 1, "x"), "a").join(side("b", 2, "y"), "b")
     met = met.where(f"100 * least(m1, m2) >= {percent} * greatest(n1, n2)")
-    return met.select("a", "b", "x", "y", F.expr("n1 + n2").alias("n"), F.expr("n1 = m1 and n2 = m2").alias("single")).mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "x", "y", F.expr("n1 + n2").alias("n"), F.expr("s1 and s2").alias("single")).mapInArrow(run, "a long, b long")
