@@ -155,19 +155,18 @@ def _writer(folder: str, roll: int):
                 out = None
 
         for batch in batches:
-            for s, page, url, html, refers in zip(*(batch.column(c) for c in ("shard", "page_id", "url", "html", "refers_to"))):
-                s, page = s.as_py(), page.as_py()
+            for s, page, record in zip(*(batch.column(c) for c in ("shard", "page_id", "record"))):
+                s, page, record = s.as_py(), page.as_py(), record.as_py()
                 if s != shard or (out and out["bytes"] >= roll):
                     close()
                     shard, part = s, part + 1 if s == shard else 0
                 if out is None:
                     temporary = f"{path}/_{attempt}-{s:06d}-{part:05d}"
                     out = {"path": temporary, "stream": files.open_output_stream(temporary), "records": 0, "bytes": 0, "first": page, "sha": hashlib.sha256()}
-                data = member(page, url.as_py(), html.as_py() or b"", refers.as_py())
-                out["stream"].write(data)
-                out["sha"].update(data)
+                out["stream"].write(record)
+                out["sha"].update(record)
                 out["records"] += 1
-                out["bytes"] += len(data)
+                out["bytes"] += len(record)
                 out["last"] = page
         close()
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
@@ -177,6 +176,17 @@ def _writer(folder: str, roll: int):
     return run
 
 
+PACKED = "shard int, page_id long, url string, digest string, record binary"
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's record, compressed where the page was read, so that the sort moves compressed bytes."""
+    for batch in batches:
+        rows = zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")))
+        data = [member(page.as_py(), url.as_py(), html.as_py() or b"", refers.as_py()) for page, url, html, refers in rows]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "page_id", "url", "digest")), pa.array(data, pa.binary())], ["shard", "page_id", "url", "digest", "record"])
+
+
 def write(pages: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, roll: int = ROLL, least: int = LEAST) -> DataFrame:
     """Writes the archive into ``folder`` (a URI that all executors reach) and returns its manifest, read back from there."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
@@ -195,10 +205,8 @@ def write(pages: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, roll: int
     alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), "url", F.lit("")))
     marked = pages.withColumn("digest", F.when(large & F.col("page_id").isNotNull(), digest).otherwise(alone)).join(many, "digest", "left")
     refers = F.when(F.col("response") != F.col("page_id"), F.col("response"))
-    ready = marked.select(shard.alias("shard"), "page_id", "url", "html", refers.alias("refers_to"))
-    count = max(1, min(len(first) + 1, 100_000))
-    placed = ready.repartition(count, "shard") if count > 1 else ready.repartition(1)
-    placed = placed.sortWithinPartitions("shard", "page_id", "url", F.sha1("html"))
+    ready = marked.select(shard.alias("shard"), "page_id", "url", F.sha1("html").alias("digest"), "html", refers.alias("refers_to")).mapInArrow(_packed, PACKED)
+    placed = ready.repartition(max(1, min(len(first) + 1, 100_000)), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
     placed.mapInArrow(_writer(folder, roll), MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
