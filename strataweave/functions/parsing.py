@@ -129,6 +129,6 @@ def truncated(text: Column, overflow: Column) -> Column:
 
 
 def split_reasoning(text: Column) -> tuple[Column, Column]:
-    """What stands before and behind the last </think>."""
-    parts = F.split(text, "</think>", -1)
+    """What stands before and behind the last </think>, without the opening tag."""
+    parts = F.split(F.regexp_replace(text, r"^\s*<think>", ""), "</think>", -1)
     return F.when(F.size(parts) > 1, F.trim(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "</think>"))), F.trim(F.element_at(parts, -1))

@@ -48,7 +48,7 @@ def ht_weighted_confusion(spark, sf):
     return rounded(s.groupBy("stratum").agg(F.count("*").alias("n"), F.max("pool").alias("pool"), F.sum("weight").alias("sum_w"), hit(1).alias("tp"), hit(0).alias("fp")))
 
 
-@query(f"WITH {STRATA}, s AS (SELECT *, CASE WHEN label = 1 THEN 1.0 ELSE pool / least(pool, {PER}) END AS w FROM {ranked('st', 'stratum')} WHERE label = 1 OR rk <= {PER}) SELECT *, {RATES} FROM (SELECT sum(w) FILTER (label = 1 AND p >= {TAU}) AS tp, coalesce(sum(w) FILTER (label = 0 AND p >= {TAU}), 0) AS fp, sum(w) FILTER (label = 1 AND p < {TAU}) AS fn, sum(w) FILTER (label = 0 AND p < {TAU}) AS tn FROM s)")
+@query(f"WITH {STRATA}, s AS (SELECT *, CASE WHEN label = 1 THEN 1.0 ELSE pool / least(pool, {PER}) END AS w FROM {ranked('st', 'stratum')} WHERE label = 1 OR rk <= {PER}) SELECT *, {RATES} FROM (SELECT coalesce(sum(w) FILTER (label = 1 AND p >= {TAU}), 0) AS tp, coalesce(sum(w) FILTER (label = 0 AND p >= {TAU}), 0) AS fp, coalesce(sum(w) FILTER (label = 1 AND p < {TAU}), 0) AS fn, coalesce(sum(w) FILTER (label = 0 AND p < {TAU}), 0) AS tn FROM s)")
 def ht_prf(spark, sf):
     size = F.when(F.col("stratum") == "illicit", F.col("pool")).otherwise(F.lit(PER))
     s = S.sample(strata(spark, sf), ["stratum"], size, SEED).withColumn("pred", (F.col("p") >= TAU).cast("int"))
