@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CASE = r"^(amlc_|v2_)(\d+)$"
+#: The prefixes of case names, the present and the former one.
+PREFIX, FORMER = "amlc_", "v2_"
+CASE = rf"^({PREFIX}|{FORMER})(\d+)$"
 
 
 def node_id(bank: Column, account: Column) -> Column:
@@ -21,7 +23,7 @@ def match_key(*columns: Column) -> Column:
     return F.concat_ws(",", *[F.trim(c.cast("string")) for c in columns])
 
 
-def case_id(number: Column, prefix: str = "amlc_") -> Column:
+def case_id(number: Column, prefix: str = PREFIX) -> Column:
     """The prefix with at least five digits."""
     digits = number.cast("string")
     return F.concat(F.lit(prefix), F.when(F.length(digits) < 5, F.lpad(digits, 5, "0")).otherwise(digits))
@@ -35,12 +37,12 @@ def canonical_case(name: Column) -> Column:
     return case_id(case_number(name))
 
 
-def retag(text: Column, old: str = "v2_", new: str = "amlc_") -> Column:
+def retag(text: Column, old: str = FORMER, new: str = PREFIX) -> Column:
     """Replaces the prefix of whole tokens that are case numbers of five digits or more; tokens inside longer words stay."""
     return F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){old}(\d{{5,}})(?![A-Za-z0-9_])", f"{new}$1")
 
 
-def retag_count(text: Column, old: str = "v2_") -> Column:
+def retag_count(text: Column, old: str = FORMER) -> Column:
     return F.regexp_count(text, F.lit(rf"(?<![A-Za-z0-9_]){old}(\d{{5,}})(?![A-Za-z0-9_])"))
 
 
