@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataweave.llm import decontaminate, jaccard, language, mixing, pii, quality, search, sharding, token_counts, warc
 from strataweave.llm.common import table
@@ -15,7 +16,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), keep=False)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "moment")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("moment", 9).alias("moment"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language)}
-ORACLES: dict[str, str] = {}
+ORDER = "cap / weight, source IS NULL, source"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TOKENS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL where it can express a query; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op2_mixing": rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT *, (i % 3 + 1)::DOUBLE AS weight, CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS lean, 3::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, cap / weight AS level, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY {ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),
+t AS (SELECT *, CASE WHEN share < level THEN weight * max(CASE WHEN share < level THEN share END) OVER () ELSE cap END AS target FROM l),
+q AS (SELECT *, least(floor(target + 0.5::DOUBLE), cap)::BIGINT AS quota FROM t),
+r AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.quota, q.weight, q.lean, (coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS off FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+k AS (SELECT *, (size * (quota // greatest(source_size, 1)) + greatest(least(quota - (quota // greatest(source_size, 1)) * source_size - off, size), 0))::BIGINT AS taken, weight * (1 - lean) AS w0, 2 * weight * lean AS rise, off / greatest(quota, 1) * weight AS due FROM r)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(least(2 * due / (w0 + sqrt(w0 * w0 + 2 * rise * due)), 1), 9) END AS moment FROM k""",
+    "op4_decontaminate": f"""WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents), b AS (SELECT item_id::VARCHAR AS item, {TOKENS} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(list_slice(w, j, j + least(13, len(w)) - 1), ' ') AS run FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 11))) AS j FROM b WHERE len(w) > 0)),
+n AS (SELECT doc_id, size, j, array_to_string(list_slice(w, j, j + size - 1), ' ') AS run FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS j FROM d CROSS JOIN (SELECT DISTINCT size FROM g))),
+m AS (SELECT doc_id, item, j, n.size FROM n JOIN g ON n.run = g.run AND n.size = g.size),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + size)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN strlen(html) >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(html) >= 1000 AND last <> page_id THEN last END AS refers_to FROM p""",
+}
