@@ -102,6 +102,24 @@ def utf8_column(column) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
+def sliced(batch, column: int, limit: int = 2 << 20):
+    """The batch in runs of rows with about ``limit`` bytes of text, or one row, so that working memory stays small."""
+    _, at = utf8_column(batch.column(column))
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(at, at[a] + limit, side="right")) - 1)
+        yield batch.slice(a, z - a)
+        a = z
+
+
+def fixed_width(column, width: int) -> np.ndarray:
+    """An Arrow binary column of values of one width as a matrix of bytes, without a copy."""
+    n = len(column)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if n else np.zeros(0, np.uint8)
+    return data.reshape(-1, width)
+
+
 def hash_words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each lower-cased word (A-Z only) of all texts in order, and the number of words of each text.
 

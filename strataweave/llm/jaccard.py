@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import SPACED, hash_words, mix, shingle_sets, utf8_column, written
+from strataweave.llm.common import SPACED, fixed_width, hash_words, mix, shingle_sets, sliced, utf8_column, written
 
 #: Sizes of a band reach from its lower end to BAND times that; parts hold PART elements on average at its upper end.
 BAND, PART = 1.5625, 3.6
@@ -82,7 +82,7 @@ def fingerprint(elements: np.ndarray) -> bytes:
 
 def _described(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 1)):
             prints, bins, counts = [], [], []
             for s in sets_of(batch, 1, size):
                 prints.append(fingerprint(s) if len(s) else None)
@@ -116,7 +116,7 @@ def _where_bit(batch: pa.RecordBatch, filled: np.ndarray, value: bool) -> pa.Rec
 def _signed(size: int, percent: int, skip: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, seen = band_starts(1 << 16), set()
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 1)):
             if skip is not None:
                 batch = _where_bit(batch, skip, False)
             ids, found, owners = batch.column(0), [], []
@@ -174,7 +174,7 @@ def _near(percent: int):
         if not kept:
             return
         hub, low, high, sig, id, part, size, block = _columns(kept, ["hub", "low", "high", "sig", "id", "component", "n", "own"])
-        bins = np.concatenate([np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS) for b in kept])
+        bins = np.concatenate([fixed_width(b.column("bins"), BINS) for b in kept])
         ids, one, own = np.unique(id, return_index=True, return_inverse=True)
         part, size, bins = part[one], size[one], bins[one]
         coarse = bins.reshape(len(ids), COARSE, -1).sum(axis=2, dtype=np.uint16)
@@ -210,7 +210,7 @@ def _near(percent: int):
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -233,8 +233,7 @@ def links(pairs: DataFrame, documents: DataFrame, size: int, percent: int) -> Da
     filled = bit_filter(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = _where_bit(batch, filled, True)
+        for batch in (x for b in batches for x in sliced(_where_bit(b, filled, True), 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets_of(batch, 1, size)], pa.binary())], ["id", "elements"])
 
     texts = documents.where("id is not null and text is not null").select("id", "text", place_of("id").alias("place"))
@@ -322,8 +321,8 @@ def _possible(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
     """Drops pairs that sizes and histograms exclude, where each id has one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+        for batch in (b.slice(i, 5000) for b in batches for i in range(0, b.num_rows, 5000)):
+            x, y = (fixed_width(batch.column(c), BINS) for c in ("x", "y"))
             apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
             n = batch.column("n").to_numpy(zero_copy_only=False)
             single = batch.column("single").to_numpy(zero_copy_only=False).astype(bool)

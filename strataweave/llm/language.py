@@ -30,7 +30,7 @@ from strataweave.llm.quality import held_out
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (3, 4)
 FOLDS, FOLD = 3, 1
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 @dataclass
@@ -114,8 +114,10 @@ def predict(documents: DataFrame, model: Model | None, keep: bool = False) -> Da
     """doc_id, held_out, lang_pred, score, accepted for each document."""
 
     def lettered(texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        plain = np.concatenate(([0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122) & (data < 0x80))))
-        has = plain[at[1:]] > plain[at[:-1]]
+        has = np.zeros(len(texts), bool)
+        for i in range(len(texts)):
+            own = data[at[i] : at[i + 1]]
+            has[i] = bool((((own | 32) >= 97) & ((own | 32) <= 122)).any())
         for i in np.flatnonzero(~has & (at[1:] > at[:-1])):
             has[i] = any(map(str.isalpha, texts[i].as_py()))
         return has

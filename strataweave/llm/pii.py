@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import ALNUM, hash_words, utf8_column, written
+from strataweave.llm.common import ALNUM, hash_words, sliced, utf8_column, written
 
 KINDS = ("email", "ip", "card", "phone")
 FILTER_BITS = 1 << 21
@@ -134,7 +134,7 @@ def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
         filled[word] = bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in sliced(b, 0)):
             found, counts = hash_words(*utf8_column(batch.column(0)), ALNUM)
             at = found.view(np.int64) % FILTER_BITS
             ok = (filled[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0
