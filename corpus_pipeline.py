@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,22 @@ SHARDS = 24
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    """The documents whose doc_id is not among ``ids`` (a written table).
+
+    A bit filter of fixed size tells most of them by their id alone; only the rest, a few more than ``ids``, move their
+    texts for the exact join.
+    """
+    filled = jaccard.bit_filter(ids.select(F.col("doc_id").alias("id")))
+
+    @F.pandas_udf("boolean")
+    def maybe(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((filled[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0)
+
+    marked = docs.withColumn("_maybe", maybe(jaccard.place_of("doc_id")))
+    sure = marked.where(~F.col("_maybe") | F.col("doc_id").isNull())
+    doubtful = marked.where(F.col("_maybe") & F.col("doc_id").isNotNull()).join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
+    return sure.select(*docs.columns).union(doubtful.select(*docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +52,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies, and all that have no words."""
     classes = written(jaccard.join(docs), "pipeline-classes")
-    repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = without(docs, classes.where("component_id != doc_id"))
-    return without(kept, repeated).union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*kept.columns)).select(*docs.columns)
+    repeated = written(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*kept.columns)
+    return without(kept, repeated).union(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
