@@ -71,8 +71,13 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, ["case_id", "dst"], "left_semi")
 
 
-def with_target(members: DataFrame, budget: int) -> DataFrame:
-    """Rows (case_id, row_id, epoch_s, is_target) with ``kept``: the target and the earliest budget - 1 others, by time and number."""
+def with_target(members: DataFrame, budget: int | None = None) -> DataFrame:
+    """Rows (case_id, row_id, epoch_s, is_target) with ``kept``: the target and the earliest budget - 1 others, by time and number.
+
+    Without a budget a case keeps its number of rows.
+    """
+    if budget is None:
+        return members.withColumn("kept", F.lit(True))
     others = Window.partitionBy("case_id").orderBy(F.col("is_target").cast("int"), "epoch_s", "row_id")
     return members.withColumn("kept", F.col("is_target") | (F.row_number().over(others) <= budget - 1))
 

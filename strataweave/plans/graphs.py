@@ -123,6 +123,60 @@ def text_recovery(spark, sf):
     return R.multiset_difference(back, m.select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))).agg(F.count("*").alias("unequal_lines"))
 
 
+# The cases above follow their SQL: a cap of 3 in the graph of the test part. Those below walk the graph of all edges with the
+# reference's cap, from the same seeds, and keep the case's own number of edges where no budget is given.
+FULL_CAP = 50
+FULL_KHOP = KHOP.replace("FROM t WHERE src <> dst", "FROM tx WHERE src <> dst").replace(f"<= {CAP})", f"<= {FULL_CAP})")
+FULL_MEMBERS = MEMBERS.replace(KHOP, FULL_KHOP).replace("t.* FROM t JOIN s2 x ON t.src = x.node JOIN s2 y ON t.dst", "tx.* FROM tx JOIN s2 x ON tx.src = x.node JOIN s2 y ON tx.dst")
+
+
+def _full_khop(spark, sf):
+    return G.k_hop(_cases(spark, sf), tx(spark, sf), 2, FULL_CAP)
+
+
+def _full_members(spark, sf):
+    return G.induced(_full_khop(spark, sf), tx(spark, sf))
+
+
+@query(f"WITH {FULL_KHOP} SELECT case_id, node, hop FROM s2")
+def khop2_full(spark, sf):
+    return _full_khop(spark, sf)
+
+
+@query(ORACLES["induced_subgraph"].replace(MEMBERS, FULL_MEMBERS))
+def induced_full(spark, sf):
+    return _full_members(spark, sf).select("case_id", "row_id", "src", "dst")
+
+
+@query(ORACLES["case_stats"].replace(MEMBERS, FULL_MEMBERS))
+def case_stats_full(spark, sf):
+    return rounded(G.case_stats(_full_members(spark, sf)), 4)
+
+
+@query(f"WITH {FULL_MEMBERS} SELECT case_id, row_id, true AS kept FROM m")
+def target_preserve_full(spark, sf):
+    m = _full_members(spark, sf).withColumn("is_target", F.col("row_id") == F.col("case_id"))
+    return G.with_target(m).select("case_id", "row_id", "kept")
+
+
+@query(ORACLES["typed_graph_text"].replace(MEMBERS, FULL_MEMBERS))
+def typed_graph_text_full(spark, sf):
+    return R.rendered(_full_members(spark, sf))
+
+
+@query(ORACLES["typed_graph_text"].replace(MEMBERS, FULL_MEMBERS))
+def targeted_graph_text_full(spark, sf):
+    m = _full_members(spark, sf).withColumn("is_target", F.col("row_id") == F.col("case_id"))
+    return R.rendered(G.with_target(m).where("kept"))
+
+
+@query(ORACLES["text_recovery"])
+def text_recovery_full(spark, sf):
+    m = _full_members(spark, sf)
+    back = R.recovered(R.rendered(m)).select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))
+    return R.multiset_difference(back, m.select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))).agg(F.count("*").alias("unequal_lines"))
+
+
 @query(f"WITH {TX}, l AS (SELECT payment_format, count(*) AS left_n FROM tx WHERE row_id % 3 = 0 GROUP BY ALL), r AS (SELECT payment_format, count(*) AS right_n FROM tx WHERE row_id % 3 = 1 GROUP BY ALL) SELECT payment_format, coalesce(left_n, 0) AS left_n, coalesce(right_n, 0) AS right_n FROM l FULL JOIN r USING (payment_format) WHERE coalesce(left_n, 0) <> coalesce(right_n, 0)")
 def multiset_diff(spark, sf):
     t = tx(spark, sf)
