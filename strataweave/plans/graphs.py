@@ -184,6 +184,13 @@ def multiset_diff(spark, sf):
     return R.multiset_difference(side(0), side(1))
 
 
+@query(f"WITH {TX}, l AS (SELECT src_bank AS bank, count(*) AS left_n FROM tx GROUP BY ALL), r AS (SELECT dst_bank AS bank, count(*) AS right_n FROM tx GROUP BY ALL) SELECT bank, coalesce(left_n, 0) AS left_n, coalesce(right_n, 0) AS right_n FROM l FULL JOIN r USING (bank) WHERE coalesce(left_n, 0) <> coalesce(right_n, 0)")
+def multiset_diff_full(spark, sf):
+    """Banks that send and receive unequally often; each row is on both sides."""
+    t = tx(spark, sf)
+    return R.multiset_difference(t.select(F.col("src_bank").alias("bank")), t.select(F.col("dst_bank").alias("bank")))
+
+
 TRAIL = "count(*) OVER w AS degree, CAST(len(list_distinct(list({other}) OVER w)) AS BIGINT) AS fan, round(sum(amount) OVER w, 4) AS sum_amount, round(avg(amount) OVER w, 4) AS mean_amount, round(var_pop(amount) OVER w, 7) AS var_amount, max(amount) OVER w AS max_amount FROM t WINDOW w AS (PARTITION BY {key} ORDER BY epoch_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)"
 
 
@@ -197,6 +204,22 @@ def fan_degree_1d(spark, sf):
     return G.trailing(test_part(spark, sf), "dst").select("row_id", "account", "degree", "fan")
 
 
+# Means are those of the rounded sums: of 8 or 16 amounts the last digit is often a tie, which the order of addition would decide.
+FULL_TRAIL = TRAIL.replace("FROM t WINDOW", "FROM tx WINDOW").replace("round(avg(amount) OVER w, 4)", "round(sum(amount) OVER w, 4) / count(*) OVER w")
+
+
+@query(f"WITH {TX} SELECT row_id, src AS account, " + FULL_TRAIL.format(key="src", other="dst"))
+def vertex_stats_1d_full(spark, sf):
+    """Over all rows, so that a test row's day holds the rows of the other parts."""
+    rows = G.trailing(tx(spark, sf), "src").withColumns({c: F.round(c, d) for c, d in (("sum_amount", 4), ("var_amount", 7))})
+    return rows.withColumn("mean_amount", F.col("sum_amount") / F.col("degree"))
+
+
+@query(f"WITH {TX}, f AS (SELECT row_id, dst AS account, " + FULL_TRAIL.format(key="dst", other="src") + ") SELECT row_id, account, degree, fan FROM f")
+def fan_degree_1d_full(spark, sf):
+    return G.trailing(tx(spark, sf), "dst").select("row_id", "account", "degree", "fan")
+
+
 @query(f"WITH {TX} SELECT a.src AS source, b.dst AS target, count(DISTINCT a.dst) AS n_mid FROM tx a JOIN tx b ON a.dst = b.src AND b.epoch_s - a.epoch_s BETWEEN 0 AND 21600 WHERE a.src <> b.dst AND a.dst <> a.src AND a.dst <> b.dst GROUP BY ALL HAVING n_mid >= 2")
 def scatter_gather_6h(spark, sf):
     return G.scatter_gather(tx(spark, sf))
@@ -362,6 +385,16 @@ def upsert_summary(spark, sf):
     return upserted(count(2), count(5), ["source", "lang"])
 
 
+@query("WITH d AS (SELECT source, lang, coalesce(length(text), 0) < 500 AS short FROM documents), old AS (SELECT source, lang, count(*) AS n FROM d WHERE short GROUP BY ALL), new AS (SELECT source, lang, count(*) AS n FROM d WHERE NOT short GROUP BY ALL) SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.source = old.source AND new.lang = old.lang) UNION ALL SELECT * FROM new")
+def upsert_summary_full(spark, sf):
+    """The counts of long texts replace those of short ones under the same key; each row is on one side."""
+    from strataweave.sources.writers import upserted
+
+    d = read(spark, sf, "documents").withColumn("short", F.coalesce(F.length("text"), F.lit(0)) < 500)
+    count = lambda rows: rows.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return upserted(count(d.where("short")), count(d.where("not short")), ["source", "lang"])
+
+
 @query("SELECT conv_id, role, count(*) FILTER (length(text) > 10) AS traced, round(count(*) FILTER (length(text) > 10) / count(*), 6) AS share, round(avg(length(text)), 4) AS mean_len, CASE WHEN count(*) FILTER (length(text) > 10) = 0 THEN 'NONE' WHEN count(*) FILTER (length(text) > 10) < 0.9 * count(*) THEN 'LOW' ELSE 'OK' END AS state FROM conversations GROUP BY ALL")
 def trace_coverage(spark, sf):
     long = F.count_if(F.length("text") > 10)

@@ -123,3 +123,8 @@ c4 AS (SELECT a.src AS start, 4 AS hops, count(*) AS n FROM e a JOIN e b ON a.ds
 SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4""")
 def bounded_cycles(spark, sf):
     return L.bounded_cycles(test_part(spark, sf))
+
+
+@query(ORACLES["bounded_cycles"].replace("e AS (SELECT * FROM t WHERE", "e AS (SELECT * FROM tx WHERE"))
+def bounded_cycles_full(spark, sf):
+    return L.bounded_cycles(tx(spark, sf))
