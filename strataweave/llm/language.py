@@ -55,6 +55,14 @@ def grams(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that lie one behind the other, with spaces behind each so that no subword reaches into the next; and where each begins (with the end)."""
+    gap = max(GRAMS) - 1
+    out = np.full(len(data) + gap * (len(at) - 1), 32, np.uint8)
+    out[np.arange(len(data)) + gap * np.repeat(np.arange(len(at) - 1), np.diff(at))] = data
+    return out, at + gap * np.arange(len(at))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -131,14 +139,19 @@ def predict(documents: DataFrame, model: Model | None, keep: bool = False) -> Da
             a = 0
             while model and a < len(texts):  # about STEP bytes at a time, or one text, in pieces if that is longer
                 z = max(a + 1, int(np.searchsorted(at, at[a] + STEP, side="right")) - 1)
-                for lo in range(int(at[a]), int(at[z]), STEP):
-                    hi = min(lo + STEP, int(at[z]))
-                    rows = np.arange(a, z)[at[a + 1 : z + 1] > lo]
-                    rows = rows[at[rows] < hi]
-                    rows = rows[at[rows + 1] > at[rows]]
+                if z == a + 1:  # a piece of a long text sees the first bytes of the next piece
+                    for lo in range(int(at[a]), int(at[z]), STEP):
+                        hi = min(lo + STEP, int(at[z]))
+                        g = grams(data[lo : min(hi + max(GRAMS) - 1, int(at[z]))])[:, : hi - lo]
+                        total[a] += np.add.reduceat(sum(model.logits[x] for x in g), [0], axis=0)[0]
+                else:
+                    wide, start = spaced(data[at[a] : at[z]], at[a : z + 1] - at[a])
+                    size = np.diff(at[a : z + 1])
+                    own = np.arange(int(size.sum())) + (max(GRAMS) - 1) * np.repeat(np.arange(z - a), size)
+                    each = sum(model.logits[x[own]] for x in grams(wide))
+                    rows = np.flatnonzero(size)
                     if len(rows):
-                        each = sum(model.logits[g] for g in grams(data[lo:hi]))
-                        total[rows] += np.add.reduceat(each, np.maximum(at[rows], lo) - lo, axis=0)
+                        total[a + rows] += np.add.reduceat(each, at[a + rows] - at[a], axis=0)
                 a = z
             p = softmax(total / (len(GRAMS) * np.maximum(at[1:] - at[:-1], 1))[:, None])
             best = p.argmax(axis=1)

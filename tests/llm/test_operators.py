@@ -451,6 +451,15 @@ def test_language_in_pieces(docs, monkeypatch):
     assert [x[:3] for x in whole] == [x[:3] for x in parts]
 
 
+def test_language_scores_do_not_depend_on_neighbours(docs, spark):
+    model = language.train(docs)
+    texts = ["the", "a", "", None, "ß", "hello", "der Hund", "漢字", "le chat", "x" * 50, *[r["text"] for r in docs.limit(5).collect()]]
+    alone = [tuple(language.predict(documents(spark, [(1, t, "s")]), model).select("lang_pred", "score").first()) for t in texts]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        together = language.predict(documents(spark, [(i, texts[i], "s") for i in order]).coalesce(1), model).collect()
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in together} == dict(enumerate(alone))
+
+
 def test_shingles_of_short_texts():
     import pyarrow as pa
 
