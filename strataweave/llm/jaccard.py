@@ -12,7 +12,7 @@ come last.
 How pairs are found without writing down all pairs of a group:
 
 1. Documents with the same set form a class at once, by fingerprint.
-2. Signatures are dealt by hash; in each partition numpy keeps those that more than one document has.
+2. Signatures are counted, and those that more than one document has are joined back to their documents.
 3. In each group of a signature, all members are compared with one of them (a star). The links found give components.
 4. Members of a group that still fall in different components are compared in blocks of at most ``BLOCK`` members,
    by histograms of their elements: the histograms' L1 distance never exceeds the sets' difference, so it excludes
@@ -145,22 +145,16 @@ def _columns(batches, names):
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(names))]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's signatures those of several documents, with the smallest id and the number of members."""
-    sig, own = _columns(batches, ["sig", "id"])
-    order = np.lexsort((own, sig))
-    sig, own = sig[order], own[order]
-    if len(sig):
-        keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
-        sig, own = sig[keep], own[keep]
-        first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        count = np.diff(np.append(first, len(sig)))
-        many = np.repeat(count > 1, count)
-        hub, n = np.repeat(own[first], count)[many], np.repeat(count, count)[many]
-        sig, own = sig[many], own[many]
-        for a in range(0, len(sig), 100_000):
-            z = a + 100_000
-            yield pa.RecordBatch.from_arrays([pa.array(x[a:z].astype(np.int64)) for x in (sig, own, hub, n)], ["sig", "id", "hub", "members"])
+def _groups(signed: DataFrame) -> DataFrame:
+    """(sig, id, hub, members) of the signatures of several documents: the smallest id and the number of rows.
+
+    The counts are combined before they are dealt. Both sides of the join lie in Parquet, so that AQE can split the rows of
+    a hot signature. An id that signs twice alike stays twice, which later steps take as once.
+    """
+    signed = written(signed, "jaccard-signatures")
+    count = signed.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members"))
+    hubs = written(count.where("hub != last").drop("last"), "jaccard-hubs")
+    return written(signed.join(hubs, "sig").select("sig", "id", "hub", "members"), "jaccard-groups")
 
 
 def _near(percent: int):
@@ -294,7 +288,7 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
 
     doubtful = placed.mapInArrow(maybe_copies, "id long, text string").join(skip, "id", "left_anti")
     signed = placed.mapInArrow(_signed(size, percent, filled), "sig long, id long").union(doubtful.mapInArrow(_signed(size, percent, None), "sig long, id long"))
-    groups = written(signed.repartition("sig").mapInArrow(_groups, "sig long, id long, hub long, members long"), "jaccard-groups")
+    groups = _groups(signed)
     star = groups.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near = _possible(star, shape, percent)
     found = written(copies.union(links(near, documents, size, percent)), "jaccard-found")

@@ -187,6 +187,13 @@ def test_jaccard(spark, docs, odd, which, monkeypatch):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_groups_of_a_hot_signature(spark):
+    rows = [(7, i) for i in range(5000)] + [(7, 3), (8, 1), (8, 1), (9, 2), (9, 4)]
+    df = spark.createDataFrame(rows, "sig long, id long").repartition(8)
+    got = jaccard._groups(df)
+    assert set(map(tuple, got.collect())) == {(7, i, 0, 5001) for i in range(5000)} | {(9, 2, 2, 2), (9, 4, 2, 2)}
+
+
 def test_jaccard_empty(none):
     assert jaccard.join(none).count() == 0
 
