@@ -1,22 +1,26 @@
 """A deterministic sharded WARC 1.1 writer and its reader.
 
-Records are range-sorted by page_id into shards. The borders come from exact histograms of page_id, refined where a
-cell holds more than a shard, so they depend on the rows alone and not on how Spark dealt them; so do the names and
-bytes of all files. Within a shard, a file is closed once its compressed members reach ``roll`` bytes. Headers and
-digests are made anew for each record: content length, block and payload digest, record id, and for a payload that
-occurs more than once a revisit that refers to its response.
+Records are range-sorted by page_id into shards of about ``shard_bytes`` bytes of payload. The borders come from exact
+histograms of page_id, refined where a cell holds more than a shard; a page_id that alone fills more than a shard (as
+do rows without one) is cut further by payload digest. So borders depend on the rows alone and not on how Spark dealt
+them, and so do the names and bytes of all files. Within a shard, a file is closed once its compressed members reach
+``roll`` bytes. Headers and digests are made anew for each record: content length, block and payload digest, record
+id, and for a payload that occurs more than once a revisit that refers to its response.
+
+Payloads move once, compressed, to the shard that writes them. Which records are revisits is found on a narrow table of
+ids, digests and sizes: its digests are counted before they are shuffled, those that occur more than once are joined
+back to their ids (where Spark splits a hot one), and the marks that result meet the records in the same sort.
 
 A task writes each file under a name of its own attempt and renames it when it is complete, to a name that any
 attempt would use for the same bytes. The rows that the tasks return form the manifest, which Spark commits as a
 table; files that it does not name are not part of the archive. Reading goes by the manifest, file by file as a stream.
 
-Responses are found by an aggregate of payload digests that is summed before the shuffle; only digests that occur
-more than once are joined back, where Spark splits a hot one.
-
 Defined results: a null html is an empty payload; a null url becomes "about:blank"; rows without page_id are written as
 records of their own without a number, never as the response of others, sorted first; a repeated page_id gives a record
-for each row, and where it is the largest of equal payloads, each of its records is a response. An empty table gives an archive without files.
-Other columns are not written.
+for each row, and where it is the largest of equal payloads, each of its records is a response. Rows equal in page_id,
+url and html give as many equal records. A payload of any length is one record, held whole by one task at a time and
+never cut; a file holds one record at least. An empty table gives an archive without files. Other columns, whatever
+their names, are not written.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import shared_folder
+from strataweave.llm.common import shared_folder, written
 
-#: Rows of a shard, compressed bytes after which a file is closed, least payload that may become a revisit.
-SHARD_ROWS, ROLL, LEAST = 10_000, 8 << 20, 1000
-CELLS = 4096
+#: Payload bytes of a shard, compressed bytes after which a file is closed, least payload that may become a revisit.
+SHARD_BYTES, ROLL, LEAST = 16 << 20, 8 << 20, 1000
+#: Cells of a histogram for each span that it refines; shards at most, so that larger inputs get larger ones.
+CELLS, SHARDS = 4096, 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, file string, records long, bytes long, first_page long, last_page long, sha256 string"
@@ -64,14 +69,13 @@ def base32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One gzip member with the whole record, a response or, if it refers to another page, a revisit."""
-    digest = hashlib.sha1(payload).digest()
+def member(page_id: int | None, url: str | None, digest: bytes, size: int, payload: bytes | None, refers_to: int | None = None) -> bytes:
+    """One gzip member with the whole record: a response with its payload or, without one, a revisit that refers to another page."""
     url = "".join(c for c in (url or "") if c > " ") or "about:blank"
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = head if refers_to is not None else head + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url + digest.hex())}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}"]
-    if refers_to is not None:
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+    block = head if payload is None else head + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if payload is None else 'response'}", f"WARC-Record-ID: {record_id(page_id, url + digest.hex())}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}"]
+    if payload is None:
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines += [f"WARC-Payload-Digest: {base32(digest)}", f"WARC-Block-Digest: {base32(hashlib.sha1(block).digest())}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress(("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n", compresslevel=6, mtime=0)
@@ -100,40 +104,85 @@ def records(stream) -> Iterator[tuple]:
             yield page_of(head[b"warc-record-id"]), size, digest, kind, refers, head[b"warc-target-uri"], payload if kind == "response" else None
 
 
-def borders(ids: DataFrame, column: str, rows: int) -> list[int]:
-    """Ascending first values of the shards behind the first one, each of about ``rows`` rows, from the values alone.
-
-    One aggregate for each level; cells with more than ``rows`` rows are cut into CELLS smaller ones at the next. What
-    comes to the driver is a number for each cell of a level, so in proportion to the shards.
-    """
-    low, high = ids.agg(F.min(column), F.max(column)).first()
-    spans, cells = [(low, high)] if low is not None else [], []
-    while spans:
-        lows, highs = (np.array(x, np.int64) for x in zip(*spans))
-        steps = np.array([(z - a) // CELLS + 1 for a, z in spans], np.uint64)
-
-        @F.pandas_udf("long")
-        def cell(values: pd.Series) -> pd.Series:
-            x = values.to_numpy()
-            i = np.maximum(np.searchsorted(lows, x, side="right") - 1, 0)
-            behind = (x.view(np.uint64) - lows[i].view(np.uint64)) // steps[i] * steps[i]
-            return pd.Series((lows[i].view(np.uint64) + behind).view(np.int64), dtype="Int64").where((x >= lows[i]) & (x <= highs[i]))
-
-        counted = ids.where(F.col(column).isNotNull()).select(cell(column).alias("at")).where("at is not null").groupBy("at").count().collect()
-        last, spans = spans, []
-        for at, n in sorted(counted):
-            i = int(np.searchsorted(lows, at, side="right")) - 1
-            if n > rows and steps[i] > 1:
-                spans.append((at, min(at + int(steps[i]) - 1, last[i][1])))
-            else:
-                cells.append((at, n))
-    out, held = [], 0
-    for at, n in sorted(cells):
-        if held and held + n > rows:
-            out.append(at)
-            held = 0
-        held += n
-    return out
+class Shards:
+    """Where each record goes: ascending first page_ids of spans, for each span its first shard and into how many it is cut by digest."""
+
+    def __init__(self, rows: DataFrame, limit: int):
+        """From (page_id, bytes), by one aggregate for each level; cells over ``limit`` bytes are cut into CELLS smaller ones at the next.
+
+        What comes to the driver is a number for each cell of a level, so in proportion to the shards, SHARDS at most.
+        """
+        low, high, unnumbered, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))), F.sum("bytes")).first()
+        limit = max(limit, -(-(total or 0) // SHARDS))
+        spans, cells = [(low, high)] if low is not None else [], []
+        while spans:
+            lows, highs = (np.array(x, np.int64) for x in zip(*spans))
+            steps = np.array([(z - a) // CELLS + 1 for a, z in spans], np.uint64)
+
+            @F.pandas_udf("long")
+            def cell(values: pd.Series) -> pd.Series:
+                x = values.to_numpy()
+                i = np.maximum(np.searchsorted(lows, x, side="right") - 1, 0)
+                behind = (x.view(np.uint64) - lows[i].view(np.uint64)) // steps[i] * steps[i]
+                return pd.Series((lows[i].view(np.uint64) + behind).view(np.int64), dtype="Int64").where((x >= lows[i]) & (x <= highs[i]))
+
+            counted = rows.where(F.col("page_id").isNotNull()).select(cell("page_id").alias("at"), "bytes").where("at is not null").groupBy("at").agg(F.sum("bytes")).collect()
+            last, spans = spans, []
+            for at, n in sorted(counted):
+                i = int(np.searchsorted(lows, at, side="right")) - 1
+                if n > limit and steps[i] > 1:
+                    spans.append((at, min(at + int(steps[i]) - 1, last[i][1])))
+                else:
+                    cells.append((at, n))
+        self.unnumbered = max(1, -(-(unnumbered or 0) // limit))
+        first, parts, held = [], [], limit + 1
+        for at, n in sorted(cells):
+            if held + n > limit:
+                first.append(at)
+                parts.append(max(1, -(-n // limit)))
+                held = 0 if n <= limit else limit  # a page_id that fills more than a shard has its shards for itself
+            held += n
+        self.first, self.parts = np.array(first, np.int64), np.array([self.unnumbered, *parts], np.int64)
+        self.base = np.cumsum(self.parts) - self.parts
+        self.count = int(self.parts.sum())
+
+    def of(self, page_id: int | None, digest: bytes) -> int:
+        i = 0 if page_id is None else int(np.searchsorted(self.first, page_id, side="right"))
+        return int(self.base[i]) + (int.from_bytes(digest[:4], "big") * int(self.parts[i]) >> 32)
+
+
+PACKED = "shard int, page_id long, digest binary, refers_to long, url string, size long, copies long, record binary"
+PACKED_KINDS = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _packed(shards: Shards):
+    """Each row's record as a response, compressed where the page was read; equal rows that lie in one batch go once with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+            rows: dict[tuple, list] = {}
+            for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
+                page, url, payload = page.as_py(), url.as_py(), html.as_py() or b""
+                digest = hashlib.sha1(payload).digest()
+                if known := rows.get((page, url, digest)):
+                    known[6] += 1
+                else:
+                    rows[page, url, digest] = [shards.of(page, digest), page, digest, None, url, len(payload), 1, member(page, url, digest, len(payload), payload)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows.values()), PACKED_KINDS)] if rows else [pa.array([], kind) for kind in PACKED_KINDS], [x.split()[0] for x in PACKED.split(", ")])
+
+    return run
+
+
+def _marks(shards: Shards):
+    """A row without record for each page that is a revisit, which the sort puts before the records that it marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, digests, n = batch.column("page_id").to_pylist(), batch.column("digest").to_pylist(), batch.num_rows
+            columns = [[shards.of(p, d) for p, d in zip(pages, digests)], pages, digests, batch.column("refers_to").to_pylist(), [None] * n, [None] * n, [None] * n, [None] * n]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, PACKED_KINDS)], [x.split()[0] for x in PACKED.split(", ")])
+
+    return run
 
 
 def _writer(folder: str, roll: int):
@@ -143,7 +192,7 @@ def _writer(folder: str, roll: int):
 
         attempt = f"{TaskContext.get().stageId()}-{TaskContext.get().taskAttemptId()}"
         files, path = pyarrow.fs.FileSystem.from_uri(folder)
-        done, out, shard, part = [], None, None, 0
+        done, out, shard, part, mark = [], None, None, 0, (None, None, None)
 
         def close():
             nonlocal out
@@ -155,19 +204,25 @@ def _writer(folder: str, roll: int):
                 out = None
 
         for batch in batches:
-            for s, page, record in zip(*(batch.column(c) for c in ("shard", "page_id", "record"))):
-                s, page, record = s.as_py(), page.as_py(), record.as_py()
-                if s != shard or (out and out["bytes"] >= roll):
-                    close()
-                    shard, part = s, part + 1 if s == shard else 0
-                if out is None:
-                    temporary = f"{path}/_{attempt}-{s:06d}-{part:05d}"
-                    out = {"path": temporary, "stream": files.open_output_stream(temporary), "records": 0, "bytes": 0, "first": page, "sha": hashlib.sha256()}
-                out["stream"].write(record)
-                out["sha"].update(record)
-                out["records"] += 1
-                out["bytes"] += len(record)
-                out["last"] = page
+            for row in zip(*batch.columns):
+                s, page, digest, refers_to, url, size, copies, record = (x.as_py() for x in row)
+                if record is None:
+                    mark = page, digest, refers_to
+                    continue
+                if mark[:2] == (page, digest):
+                    record = member(page, url, digest, size, None, mark[2])
+                for _ in range(copies):
+                    if s != shard or (out and out["bytes"] >= roll):
+                        close()
+                        shard, part = s, part + 1 if s == shard else 0
+                    if out is None:
+                        temporary = f"{path}/_{attempt}-{s:06d}-{part:05d}"
+                        out = {"path": temporary, "stream": files.open_output_stream(temporary), "records": 0, "bytes": 0, "first": page, "sha": hashlib.sha256()}
+                    out["stream"].write(record)
+                    out["sha"].update(record)
+                    out["records"] += 1
+                    out["bytes"] += len(record)
+                    out["last"] = page
         close()
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         names = [x.split()[0] for x in MANIFEST.split(", ")]
@@ -176,37 +231,16 @@ def _writer(folder: str, roll: int):
     return run
 
 
-PACKED = "shard int, page_id long, url string, digest string, record binary"
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's record, compressed where the page was read, so that the sort moves compressed bytes."""
-    for batch in batches:
-        rows = zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")))
-        data = [member(page.as_py(), url.as_py(), html.as_py() or b"", refers.as_py()) for page, url, html, refers in rows]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "page_id", "url", "digest")), pa.array(data, pa.binary())], ["shard", "page_id", "url", "digest", "record"])
-
-
-def write(pages: DataFrame, folder: str, shard_rows: int = SHARD_ROWS, roll: int = ROLL, least: int = LEAST) -> DataFrame:
+def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, roll: int = ROLL, least: int = LEAST) -> DataFrame:
     """Writes the archive into ``folder`` (a URI that all executors reach) and returns its manifest, read back from there."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
-    first = borders(pages.select("page_id"), "page_id", shard_rows)
-    edges = np.array(first, np.int64)
-
-    @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
-
-    shard = F.when(F.col("page_id").isNull(), F.lit(0)).otherwise(shard_of(F.coalesce("page_id", F.lit(0))))
-    digest, large = F.sha1("html"), F.octet_length("html") >= least
-    seen = pages.where(large & F.col("page_id").isNotNull()).select(digest.alias("digest"), "page_id")
+    narrow = written(pages.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").cast("long").alias("bytes")), "warc-digests")
+    shards = Shards(narrow, shard_bytes)
+    seen = narrow.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
     many = seen.groupBy("digest").agg(F.max("page_id").alias("response"), F.min("page_id").alias("least")).where("response != least").drop("least")
-    # Rows that cannot be revisits get keys that no digest equals, spread over all partitions.
-    alone = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), "url", F.lit("")))
-    marked = pages.withColumn("digest", F.when(large & F.col("page_id").isNotNull(), digest).otherwise(alone)).join(many, "digest", "left")
-    refers = F.when(F.col("response") != F.col("page_id"), F.col("response"))
-    ready = marked.select(shard.alias("shard"), "page_id", "url", F.sha1("html").alias("digest"), "html", refers.alias("refers_to")).mapInArrow(_packed, PACKED)
-    placed = ready.repartition(max(1, min(len(first) + 1, 100_000)), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    revisits = seen.join(written(many, "warc-repeated"), "digest").where("page_id != response").select("page_id", "digest", F.col("response").alias("refers_to"))
+    ready = pages.mapInArrow(_packed(shards), PACKED).union(revisits.mapInArrow(_marks(shards), PACKED))
+    placed = ready.repartitionById(shards.count, "shard").sortWithinPartitions("shard", "page_id", "digest", F.col("record").isNotNull(), "url")
     placed.mapInArrow(_writer(folder, roll), MANIFEST).write.parquet(f"{folder}/manifest")
     return pages.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

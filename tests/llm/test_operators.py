@@ -301,27 +301,34 @@ def test_other_tokenizers(odd, name):
 
 
 def test_warc(spark, tmp_path):
-    big = "x" * 1500
+    big, long = "x" * 1500, "é<p>" * 20_000
     rows = [(i, f"http://a/{i}", big if i % 3 else "small") for i in range(-5, 60)] + [(None, None, None), (7, "u", big), (2**62, "z y", big + "é"), (2**62 + 1, "z", big + "é"), (100, "e", "")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(None, f"n{i}", f"{i} {big}") for i in range(30)] + [(55, f"r{i}", f"{i % 7} {big}") for i in range(40)] + [(8, "twin", big)] * 3 + [(70, "l", long), (71, "l", long), (None, "l", long)]
+    rows = [(*r, "payload", 5) for r in rows]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, record string, shard int")
     made = []
     for name, part in (("a", 1), ("b", 6)):
         (tmp_path / name).mkdir()
-        made.append(warc.write(df.repartition(part), f"file://{tmp_path}/{name}", shard_rows=10, roll=2000).orderBy("file").collect())
-    assert made[0] == made[1]
+        made.append(warc.write(df.repartition(part), f"file://{tmp_path}/{name}", shard_bytes=9000, roll=2000).orderBy("file").collect())
+    assert made[0] == made[1] and len({r["shard"] for r in made[0]}) > 10
     for r in made[0]:
         data = (tmp_path / "a" / r["file"]).read_bytes()
         assert hashlib.sha256(data).hexdigest() == r["sha256"] and len(data) == r["bytes"]
         assert len(list(warc.records(io.BytesIO(data)))) == r["records"] and gzip.decompress(data).startswith(b"WARC/1.1\r\n")
     assert sorted(p.name for p in (tmp_path / "a").glob("pages-*")) == [r["file"] for r in made[0]] and not list((tmp_path / "a").glob("_[0-9]*"))
+    # Hot keys: rows without page_id and those of one page_id lie in several shards; otherwise shards ascend by page_id.
+    assert len({r["shard"] for r in made[0] if r["first_page"] is None}) > 3 and len({r["shard"] for r in made[0] if r["first_page"] == 55 == r["last_page"]}) > 3
+    numbered = sorted((r["shard"], r["first_page"], r["last_page"]) for r in made[0] if r["first_page"] is not None)
+    assert all(x[2] <= y[1] for x, y in zip(numbered, numbered[1:]) if x[0] != y[0])
     got = warc.read(spark, f"file://{tmp_path}/a", payloads=True).collect()
     largest = {}
-    for i, _, html in rows:
+    for i, _, html, *_ in rows:
         if i is not None and len((html or "").encode()) >= 1000:
             largest[html] = max(i, largest.get(html, i))
-    want = sorted((str(i), len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), None if largest.get(h, i) == i else largest[h]) for i, _, h in rows)
-    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in got) == sorted(want, key=str)
+    want = sorted((str(i), len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), str(None if i is None or largest.get(h, i) == i else largest[h])) for i, _, h, *_ in rows)
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], str(r["refers_to"])) for r in got) == want
     assert all((r["record_type"] == "revisit") == (r["refers_to"] is not None) for r in got)
+    assert Counter(bytes(r["payload"]) for r in got if r["payload"] is not None) == Counter((h or "").encode() for i, _, h, *_ in rows if i is None or largest.get(h, i) == i)
     assert warc.archived(df.limit(0)).count() == 0
 
 
