@@ -1,18 +1,23 @@
 """Personal data: patterns for direct identifiers, and terms of the corpus that disclose them.
 
 The base patterns find e-mail addresses, IP addresses, card and telephone numbers. Each value found is a protected
-entity. A term that stands near an entity, within ``reach`` characters, may disclose it: with the probabilities of
-documents p(t), p(e) and of a meeting p(t, e) estimated over the whole corpus, the point-wise mutual information
+entity. The unit of co-occurrence is the passage, ``PASSAGE`` words of a text: over all passages of the corpus, p(t),
+p(e) and p(t, e) are the shares that hold a term, an entity and both. The point-wise mutual information
 log p(t, e) / (p(t) p(e)) says how much of the entity's information -log p(e) the term gives away. Terms that give
-away at least ``disclosure`` of it, and met the entity in at least ``support`` documents, become spans of their own
-near that entity; ``redact`` generalises entities to their kind and removes disclosing terms.
+away at least ``disclosure`` of it become spans of their own in the passages that they share with the entity, if so
+many meetings are no chance: by Chernoff's bound for a Poisson number of meetings, at level ``alpha`` divided by the
+number of pairs looked at, so that the bar rises with the corpus. ``redact`` generalises entities to their kind and
+removes disclosing terms.
 
-The corpus is read twice: for the entities with their surroundings, and for the document counts of terms that passed
-the support, picked by a bit filter of fixed size before any row moves. Counts are summed before they are shuffled,
-so a very common entity or term is no hot key.
+The corpus is read twice: for the entities (texts that hold any are kept in a table), and for the passage counts of
+terms that met an entity ``support`` times. Bit filters of fixed size pick entities, terms and pairs before any row
+moves; they let some through too much, which exact joins remove. Counts are summed before they are shuffled, so a very
+common entity or term is no hot key, and pairs are bounded by the words of a passage, whatever the length of a text.
 
 Defined results: null counts as empty text; every row is judged by itself, so repeated rows repeat results (and count
-as documents); an empty table gives an empty result. A term span never overlaps a base span.
+in the shares); a very long text is whole, as its passages; matches that begin at the same place (ties) are spans of
+each kind; a term span never overlaps a base span; an empty table gives an empty result. Columns other than doc_id and
+text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import ALNUM, hash_words, sliced, utf8_column, written
+from strataweave.llm.common import ALNUM, hash_words, mix, sliced, utf8_column, written
 
 KINDS = ("email", "ip", "card", "phone")
-FILTER_BITS = 1 << 21
+#: Words of a passage, bits of a filter.
+PASSAGE, FILTER_BITS = 64, 1 << 22
 # Fixed patterns of the four kinds. The e-mail's local part is looked up backwards from its @, as in any run of its
 # characters the leftmost match begins at the run's first one; likewise an IP address begins at the start of its digits.
 LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -78,21 +84,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def terms_near(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
-    """(number of the span, start, end) of the whole terms within reach of each span that overlap no span."""
-    taken = sorted((a, z) for _, a, z in spans)
-    out = []
-    for i, (_, a, z) in enumerate(spans):
-        for lo, hi in ((max(0, a - reach), a), (z, min(len(text), z + reach))):
-            for m in TERM.finditer(text, lo, hi):
-                s, e = m.span()
-                if (s == lo and s > 0 and TERM.match(text[s - 1])) or (e == hi and e < len(text) and TERM.match(text[e])):
-                    continue
-                if not any(s < y and e > x for x, y in taken):
-                    out.append((i, s, e))
-    return out
-
-
 def hashes(values: list[str]) -> np.ndarray:
     """The same hashes of terms as ``hash_words`` gives for whole texts."""
     words, counts = hash_words(*utf8_column(pa.array(values, pa.large_string())), ALNUM)
@@ -100,71 +91,158 @@ def hashes(values: list[str]) -> np.ndarray:
     return words.view(np.int64)
 
 
-FOUND = "email int, ip int, card int, phone int, base string, entities array<long>, near array<struct<entity:long,term:long,start:int,end:int>>"
+class Passages:
+    """A text's terms in order, their places in characters, and which passage each span begins in."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int, int]]):
+        places = np.array([m.span() for m in TERM.finditer(text)], np.int64).reshape(-1, 2)
+        self.start, self.end = places[:, 0], places[:, 1]
+        self.of_span = np.searchsorted(self.end, [a for _, a, _ in spans], side="right") // PASSAGE
+        covered = np.array(sorted((a, z) for _, a, z in spans), np.int64).reshape(-1, 2)
+        last = np.maximum.accumulate(covered[:, 1]) if len(covered) else covered[:, 1]
+        before = np.searchsorted(covered[:, 0], self.end) - 1  # the last span that begins before a term's end
+        self.free = (before < 0) | (last[np.maximum(before, 0)] <= self.start) if len(covered) else np.ones(len(places), bool)
 
+    def terms(self, passage: int) -> np.ndarray:
+        """The places, in the order of the text, of the passage's terms that overlap no span."""
+        lo = passage * PASSAGE
+        return lo + np.flatnonzero(self.free[lo : lo + PASSAGE])
 
-def _found(reach: int):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = []
-            for text in texts:
-                spans = base_spans(text) if text else []
-                counts = [sum(k == i for k, _, _ in spans) for i in range(4)]
-                entities, near = [], []
-                if spans:
-                    # The characters of an entity that no term holds are spelt out, so that one term stands for it.
-                    entities = hashes([KINDS[k] + "".join(c if c.isalnum() else f"0x{ord(c):x}" for c in text[a:z].lower()) for k, a, z in spans]).tolist()
-                    around = terms_near(text, spans, reach)
-                    if around:
-                        near = [{"entity": entities[i], "term": t, "start": s, "end": e} for (i, s, e), t in zip(around, hashes([text[s:e] for _, s, e in around]).tolist())]
-                rows.append((*counts, ",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z in spans), sorted(set(entities)), near))
-            yield pd.DataFrame(rows, columns=["email", "ip", "card", "phone", "base", "entities", "near"])
 
-    return run
+FOUND = "email int, ip int, card int, phone int, base string, spans array<int>, entities array<long>, passages array<int>, kept string"
 
 
-def document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many documents each of ``terms`` stands, over whole texts."""
-    # FILTER_BITS at most come to the driver, however many terms there are; the filter lets too much pass, never too little.
-    words = terms.select("term").select(F.pmod(F.col("term"), F.lit(FILTER_BITS)).alias("place"))
+def _found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The base spans, for each its entity and passage, and the text itself where it has any."""
+    for texts in batches:
+        rows = []
+        for text in texts:
+            spans = base_spans(text) if text else []
+            counts, entities, at = [sum(k == i for k, _, _ in spans) for i in range(4)], [], []
+            if spans:
+                # The characters of an entity that no term holds are spelt out, so that one term stands for it.
+                entities = hashes([KINDS[k] + "".join(c if c.isalnum() else f"0x{ord(c):x}" for c in text[a:z].lower()) for k, a, z in spans]).tolist()
+                at = Passages(text, spans).of_span.tolist()
+            rows.append((*counts, ",".join(f"{KINDS[k]}:{a}:{z}" for k, a, z in spans), [x for s in spans for x in s], entities, at, text if spans else None))
+        yield pd.DataFrame(rows, columns=["email", "ip", "card", "phone", "base", "spans", "entities", "passages", "kept"])
+
+
+def bit_filter(places: DataFrame) -> np.ndarray:
+    """A filter of fixed size with the bit at each ``place`` set; FILTER_BITS at most come to the driver, whatever the input."""
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 32).cast("int"))
-    words = words.select(F.floor(F.col("place") / 32).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = places.select(F.floor(F.col("place") / 32).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     filled = np.zeros(FILTER_BITS // 32, np.uint32)
-    for word, bits in words.collect():
-        filled[word] = bits
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return filled
+
+
+def passes(filled: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (filled[place // 32] >> (place % 32).astype(np.uint32)) & np.uint32(1) != 0
+
+
+def pair_place(entity: np.ndarray, term: np.ndarray) -> np.ndarray:
+    return (mix(mix(entity.view(np.uint64)) ^ term.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def meetings_of(batch: pa.RecordBatch, repeated: np.ndarray) -> Iterator[tuple[int, Passages, np.ndarray, np.ndarray]]:
+    """(row of the batch, its passages, entity and place of the term, for each distinct pair of entity and passage) of a batch (spans, entities, passages, kept)."""
+    for i, (flat, entities, at, text) in enumerate(zip(*(batch.column(c) for c in ("spans", "entities", "passages", "kept")))):
+        entity, at = np.array(entities.as_py(), np.int64), np.array(at.as_py(), np.int64)
+        known = passes(repeated, entity % FILTER_BITS)
+        if known.any():
+            flat = flat.as_py()
+            laid = Passages(text.as_py(), list(zip(flat[0::3], flat[1::3], flat[2::3])))
+            met = [(e, laid.terms(p)) for e, p in sorted(set(zip(entity[known].tolist(), at[known].tolist())))]
+            yield i, laid, np.repeat([e for e, _ in met], [len(t) for _, t in met]).astype(np.int64), np.concatenate([t for _, t in met])
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from sliced(batch, batch.schema.get_field_index("kept"))
+
+
+def _words(batch: pa.RecordBatch) -> list[np.ndarray]:
+    words, counts = hash_words(*utf8_column(batch.column("kept")), ALNUM)
+    return np.split(words.view(np.int64), np.cumsum(counts)[:-1])
+
+
+def meetings(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(entity, term, n_both): in how many passages both stand, for entities that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            words, found = _words(batch), [np.zeros((0, 2), np.int64)]
+            for i, _, entity, place in meetings_of(batch, repeated):
+                found.append(np.unique(np.stack((entity, words[i][place], place // PASSAGE), axis=1), axis=0)[:, :2])
+            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n.astype(np.int64))], ["entity", "term", "n"])
+
+    held = rows.where("kept is not null").select("spans", "entities", "passages", "kept")
+    return held.mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
+
+
+def passage_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n_term): in how many passages each of ``terms`` stands (and maybe some others), over whole texts; the null term counts all passages."""
+    wanted = bit_filter(terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("place")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in sliced(b, 0)):
             found, counts = hash_words(*utf8_column(batch.column(0)), ALNUM)
-            at = found.view(np.int64) % FILTER_BITS
-            ok = (filled[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0
-            row, term = np.repeat(np.arange(len(counts)), counts)[ok], found[ok]
+            each = -(-counts // PASSAGE)
+            first = np.cumsum(counts) - counts
+            passage = np.repeat(np.cumsum(each) - each, counts) + (np.arange(len(found)) - np.repeat(first, counts)) // PASSAGE
+            ok = passes(wanted, found.view(np.int64) % FILTER_BITS)
+            row, term = passage[ok], found[ok]
             order = np.lexsort((row, term))
             row, term = row[order], term[order]
             new = np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1]))) if len(term) else np.zeros(0, bool)
             values, n = np.unique(term[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), int(each.sum())], pa.int64())], ["term", "n"])
+
+    return documents.where("text is not null").select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+
+
+def term_spans(rows: DataFrame, telling: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """(row, start, end) of the terms that disclose an entity of their passage; ``telling`` (entity, term) is a written table."""
+
+    @F.pandas_udf("int")
+    def place(entity: pd.Series, term: pd.Series) -> pd.Series:
+        return pd.Series(pair_place(entity.to_numpy(), term.to_numpy()))
+
+    wanted = bit_filter(telling.select(place("entity", "term").alias("place")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            words, found = _words(batch), [[np.zeros(0, np.int64)] * 5]
+            names = batch.column("row").to_numpy()
+            for i, laid, entity, at in meetings_of(batch, repeated):
+                ok = passes(wanted, pair_place(entity, words[i][at]))
+                entity, at = entity[ok], at[ok]
+                found.append([np.full(len(at), names[i]), entity, words[i][at], laid.start[at], laid.end[at]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["row", "entity", "term", "start", "end"])
 
-    counted = documents.where("text is not null").select("text").mapInArrow(run, "term long, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(terms.select("term"), "term", "left_semi")
+    held = rows.where("kept is not null").select("row", "spans", "entities", "passages", "kept")
+    return held.mapInArrow(run, "row long, entity long, term long, start long, end long").join(telling, ["entity", "term"]).select("row", "start", "end").distinct()
 
 
-def detect(documents: DataFrame, disclosure: float = 0.9, support: int = 3, reach: int = 80) -> DataFrame:
+def detect(documents: DataFrame, disclosure: float = 0.9, support: int = 3, alpha: float = 0.01) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each document; spans of terms follow the base ones."""
-    found = documents.select("doc_id", F.pandas_udf(_found(reach), FOUND)("text").alias("f")).select("doc_id", "f.*")
+    found = documents.select("doc_id", F.pandas_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.*")
     rows = written(found.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
-    near = rows.where("size(near) > 0").select("row", F.explode("near").alias("x")).select("row", "x.*")
-    meetings = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    meetings = written(meetings, "pii-meetings")
-    entities = rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).join(meetings.select("entity").distinct(), "entity", "left_semi")
-    total = rows.count()
-    terms = document_counts(documents, meetings.select("term").distinct())
-    known = meetings.join(entities, "entity").join(terms, "term")
-    gain, whole = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))), F.log(F.lit(float(total)) / F.col("n_entity"))
-    telling = known.where((whole > 0) & (gain >= disclosure * whole)).select("entity", "term")
-    extra = near.join(telling, ["entity", "term"]).select("row", "start", "end").distinct()
+    each = rows.select(F.explode(F.array_distinct(F.arrays_zip("entities", "passages"))).alias("x")).select("x.entities")
+    entities = written(each.groupBy(F.col("entities").alias("entity")).agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "pii-entities")
+    repeated = bit_filter(entities.select(F.pmod("entity", F.lit(FILTER_BITS)).alias("place")))
+    both = written(meetings(rows, repeated).where(F.col("n_both") >= support), "pii-meetings")
+    counted = written(passage_counts(documents, both.select("term").distinct()), "pii-terms")  # written before the join, which else would meet the rows before they are summed
+    total, tested = float(counted.where("term is null").agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0] or 1), float(max(both.count(), 1))
+    known = both.join(entities, "entity").join(counted.where("term is not null"), "term")
+    chance = F.col("n_term") * F.col("n_entity") / F.lit(total)
+    gain, whole = F.log(F.col("n_both") / chance), F.log(F.lit(total) / F.col("n_entity"))
+    sure = F.col("n_both") * (gain - 1) + chance >= float(np.log(tested / alpha))
+    telling = written(known.where((whole > 0) & (gain >= disclosure * whole) & sure).select("entity", "term"), "pii-telling")
+    extra = term_spans(rows, telling, repeated)
     extra = extra.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"])), ",").alias("terms"))
-    out = rows.join(extra, "row", "left")
+    out = rows.select("row", "doc_id", "base", *KINDS).join(extra, "row", "left")
     counts = [F.col(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), "terms").alias("spans"))
 

@@ -1,5 +1,6 @@
 """The text operators against brute force on small tables with nulls, ties, empty and repeated rows."""
 
+import bisect
 import gzip
 import hashlib
 import io
@@ -372,7 +373,40 @@ def test_pii_base(docs):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
 
 
-def test_pii_discloses(spark, none):
+def brute_terms(texts, disclosure=0.9, support=3, alpha=0.01):
+    """Spans of disclosing terms for each text, by plain counting of passages."""
+    laid, n_term, n_entity, n_both = [], Counter(), Counter(), Counter()
+    for t in texts:
+        t = t or ""
+        spans = brute_spans(t)
+        words = [(m.group(), *m.span()) for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", t)]
+        entities = defaultdict(set)
+        for kind, a, z in spans:
+            entities[bisect.bisect_right([e for _, _, e in words], a) // pii.PASSAGE].add(kind + ":" + lower(t[a:z]))
+        parts = []
+        inside = [False] * (len(t) + 1)
+        for _, a, z in spans:
+            inside[a:z] = [True] * (z - a)
+        for p in range(-(-len(words) // pii.PASSAGE)):
+            own = words[p * pii.PASSAGE : (p + 1) * pii.PASSAGE]
+            free = [(lower(w), s, e) for w, s, e in own if not any(inside[s:e])]
+            n_term.update({lower(w) for w, _, _ in own})
+            n_entity.update(entities[p])
+            n_both.update({(e, w) for e in entities[p] for w, _, _ in free})
+            parts.append((entities[p], free))
+        laid.append(parts)
+    total = sum(len(x) for x in laid)
+    pairs = {k: n for k, n in n_both.items() if n >= support and n_entity[k[0]] >= support}
+    telling = set()
+    for (e, w), n in pairs.items():
+        chance = n_term[w] * n_entity[e] / total
+        whole, gain = math.log(total / n_entity[e]), math.log(n / chance)
+        if whole > 0 and gain >= disclosure * whole and n * (gain - 1) + chance >= math.log(max(len(pairs), 1) / alpha):
+            telling.add((e, w))
+    return [sorted({(s, z) for es, free in parts for w, s, z in free for e in es if (e, w) in telling}) for parts in laid]
+
+
+def test_pii_discloses(spark, docs, odd, none):
     rows = [(i, f"Call Rumpelstiltskin today é anna@example.com now {i}", "s") for i in range(6)] + [(10 + i, f"call today or now, number {i}", "s") for i in range(40)] + [(98, None, "s"), (99, "", "s")]
     df = documents(spark, rows)
     got = {r["doc_id"]: r["spans"] for r in pii.detect(df, disclosure=0.9).collect()}
@@ -380,6 +414,16 @@ def test_pii_discloses(spark, none):
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df, pii.detect(df)).collect()}
     assert clean[0] == "Call  today  [EMAIL] now 0" and clean[10] == rows[6][1] and clean[98] is None
     assert pii.detect(none).count() == 0
+    # Against plain counting: the given texts, odd rows, and a very long text with many addresses and clashing columns.
+    rng = random.Random(4)
+    long = " ".join(rng.choice(["alpha", "beta", "anna@example.com", "10.0.0.1", f"secret{i % 9}", f"w{i}"]) for i in range(3_000))
+    planted = [(i, f"{rng.choice(['alpha', 'beta'])} codename kestrel{i % 3} writes to k{i % 3}@spy.org {i}", "s") for i in range(60)]
+    more = documents(spark, [*planted, (71, long, "s"), (72, long, "s"), (None, planted[0][1], "s"), planted[1]])
+    for table in (docs, odd.union(more).withColumn("entity", F.lit("x")).withColumn("row", F.lit(1)).withColumn("term", F.lit(2))):
+        texts = table.select("doc_id", "text").collect()
+        want = Counter((r["doc_id"], ",".join(["%s:%d:%d" % x for x in brute_spans(r["text"] or "")] + ["term:%d:%d" % x for x in t])) for r, t in zip(texts, brute_terms([r["text"] for r in texts])))
+        assert Counter((r["doc_id"], r["spans"]) for r in pii.detect(table).collect()) == want
+    assert any("term:" in k[1] for k in want)
 
 
 # ---------------------------------------------------------------- 8
