@@ -1,22 +1,27 @@
 """Exact n-gram Jaccard join with PartEnum signatures.
 
 Two sets of sizes a and b with a Jaccard similarity of at least t differ in at most (a + b)(1 - t)/(1 + t) elements,
-which is at most k(n) = floor(n (1 - t^2) / (t (1 + t))) = floor(n (1 - t) / t) for a set of n elements and whatever
-partner (n/4 at 0.8). Sets whose sizes fall into one band share a hash partition of the element domain into P parts;
-at most k of the parts differ, so at least P - k agree. In one fixed order of parts with their contents (most
-elements first, then by hash), the first k(n) + 1 of both sides must therefore share one, and only these are
-enumerated as signatures, each made of band, part and content. A set near the upper end of its band also belongs to
-the next one, so that no pair is split by a border. Nothing is lost whatever the contents: empty parts count too and
-come last.
+which is at most k(n) = floor(n (1 - t) / t) for a set of n elements and whatever partner (n/4 at 0.8). Sets whose
+sizes fall into one band share a hash partition of the element domain on two levels: F first-level parts with 2F > k
+for the band's largest set, and SECOND = 3 second-level parts in each. All subsets of two of the three second-level
+parts of each first-level part are enumerated; a signature is such a subset with what the set holds in it, so 3F for a
+set. One differing second-level part leaves one of a first-level part's three subsets alike, two leave none: k
+differences spoil min(2k, F + k) of the 3F signatures at most, and one is always shared. In one fixed order of
+signatures (most elements first, then by hash) the first min(2k, F + k) + 1 of both sets must therefore share one, and
+only these are kept, which drops those of few elements or none. A set near the upper end of its band also belongs to
+the next one, so that no pair is split by a border. Nothing is lost whatever the contents.
 
 How pairs are found without writing down all pairs of a group:
 
-1. Documents with the same set form a class at once, by fingerprint.
-2. Signatures are counted, and those that more than one document has are joined back to their documents.
-3. In each group of a signature, all members are compared with one of them (a star). The links found give components.
-4. Members of a group that still fall in different components are compared in blocks of at most ``BLOCK`` members,
-   by histograms of their elements: the histograms' L1 distance never exceeds the sets' difference, so it excludes
-   pairs safely. What remains is compared exactly.
+1. Documents with the same set form a class at once, by fingerprint; one of them signs.
+2. Rows (signature, id) are dealt by signature, once. Signatures that a sample of documents shows to be hot are dealt
+   by id too, and their parts combined afterwards; this only balances the load.
+3. In each group of a signature, all members are compared with the smallest of them (a star). The links found give
+   components.
+4. Groups whose members still fall into different components are searched further: members outside the component of
+   the group's smallest with each other and with that component, in blocks of at most ``BLOCK`` members, by histograms
+   of their elements: the histograms' L1 distance never exceeds the sets' difference, so it excludes pairs safely. What
+   remains is compared exactly.
 
 The similarity is always that of the whole sets. Fingerprints and elements are hashes of 128 and 64 bits.
 """
@@ -29,13 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataweave.llm.common import SPACED, fixed_width, hash_words, mix, shingle_sets, sliced, utf8_column, written
 
-#: Sizes of a band reach from its lower end to BAND times that; parts hold PART elements on average at its upper end.
-BAND, PART = 1.5625, 3.6
+#: Sizes of a band reach from its lower end to BAND times that; each first-level part has SECOND second-level ones.
+BAND, SECOND, NEXT = 1.953125, 3, [1, 2, 0]
 #: Bins of the histogram (folded to COARSE for a first look), members of a block, parts of a hub's groups, bits of a filter of ids.
 BINS, COARSE, BLOCK, PARTS, FILTER_BITS = 256, 64, 512, 8, 1 << 24
+#: One document in SAMPLE shows which signatures are hot, HOT at most; their rows are dealt into SALTS parts.
+SAMPLE, HOT, SALTS = 64, 50_000, 16
 
 
 def band_starts(n: int) -> np.ndarray:
@@ -54,14 +62,18 @@ def signatures(elements: np.ndarray, percent: int, starts: np.ndarray) -> list[n
     with np.errstate(over="ignore"):
         for b in (band, band + 1) if n * 100 >= last * percent - 100 else (band,):
             top = int(starts[b + 1]) - 1 if b + 1 < len(starts) else int(last * BAND) + 1
-            parts = max(int(top / PART), top * (100 - percent) // percent + 1)
+            first = top * (100 - percent) // percent // 2 + 1
             salt = np.uint64(b * 0x9E3779B9 + 0x51ED27)
-            part = (mix(elements ^ salt) % np.uint64(parts)).astype(np.int64)
-            held = np.bincount(part, minlength=parts)
-            content = np.zeros(parts, np.uint64)
-            np.add.at(content, part, mix(elements + salt))
-            content = mix(content + (np.arange(parts, dtype=np.uint64) << np.uint64(8)) + np.uint64(b))
-            out.append(content[np.lexsort((content, -held))[: k + 1]])
+            mixed = mix(elements ^ salt)
+            part = (mixed % np.uint64(SECOND * first)).astype(np.int64)
+            held = np.bincount(part, minlength=SECOND * first)
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(mixed + salt)[np.argsort(part, kind="stable")])))
+            ends = np.cumsum(held)
+            content = mix(total[ends] - total[ends - held] + (np.arange(len(held), dtype=np.uint64) << np.uint64(8)) + np.uint64(b)).reshape(first, SECOND)
+            pairs = mix(content + mix(content[:, NEXT])).ravel()
+            held = held.reshape(first, SECOND)
+            both = (held + held[:, NEXT]).ravel()
+            out.append(pairs[np.lexsort((pairs, -both))[: min(2 * k, first + k) + 1]])
     return out
 
 
@@ -113,7 +125,9 @@ def _where_bit(batch: pa.RecordBatch, filled: np.ndarray, value: bool) -> pa.Rec
     return batch.filter(pa.array(((filled[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) != 0) == value))
 
 
-def _signed(size: int, percent: int, skip: np.ndarray | None):
+def _signed(size: int, percent: int, skip: np.ndarray | None, hot: np.ndarray | None = None):
+    """(sig, id, part) for each text's signatures; part is -1, or for the ``hot`` signatures (sorted) one of SALTS by id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, seen = band_starts(1 << 16), set()
         for batch in (x for b in batches for x in sliced(b, 1)):
@@ -134,70 +148,99 @@ def _signed(size: int, percent: int, skip: np.ndarray | None):
                     found.append(x)
                     owners.append(np.full(len(x), ids[i].as_py(), np.int64))
             sig, own = (np.concatenate(found), np.concatenate(owners)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            sig, part = sig.view(np.int64), np.full(len(sig), -1, np.int32)
+            if hot is not None and len(hot):
+                known = hot[np.minimum(np.searchsorted(hot, sig), len(hot) - 1)] == sig
+                part[known] = (mix(own[known].view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
             for a in range(0, max(len(sig), 1), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 200_000].view(np.int64)), pa.array(own[a : a + 200_000])], ["sig", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (sig, own, part)], ["sig", "id", "part"])
 
     return run
 
 
-def _columns(batches, names):
-    parts = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches]
-    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(names))]
+SIGNED = "sig long, id long, part int"
+
+
+def _hot(sample: DataFrame) -> np.ndarray:
+    """The signatures that hold more than one in HOT of the sample's rows, and eight rows at least: HOT of them at most."""
+    counts = written(sample.groupBy("sig").count(), "jaccard-sample")
+    rows = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    return np.sort(counts.where(F.col("count") >= max(8, -(-rows // HOT))).select("sig").toArrow().column("sig").to_numpy().astype(np.int64))
 
 
 def _groups(signed: DataFrame) -> DataFrame:
-    """(sig, id, hub, members) of the signatures of several documents: the smallest id and the number of rows.
+    """(sig, id, hub) of the signatures that several documents have; the hub is the smallest id.
 
-    The counts are combined before they are dealt. Both sides of the join lie in Parquet, so that AQE can split the rows of
-    a hot signature. An id that signs twice alike stays twice, which later steps take as once.
+    One exchange by signature and part. The parts of hot signatures, each with its smallest and largest id, then meet
+    in an aggregate of HOT * SALTS rows at most. An id that signs twice alike stays twice, which later steps take as once.
     """
-    signed = written(signed, "jaccard-signatures")
-    count = signed.groupBy("sig").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members"))
-    hubs = written(count.where("hub != last").drop("last"), "jaccard-hubs")
-    return written(signed.join(hubs, "sig").select("sig", "id", "hub", "members"), "jaccard-groups")
+    w = Window.partitionBy("sig", "part")
+    dealt = signed.select("sig", "id", "part", F.min("id").over(w).alias("hub"), F.max("id").over(w).alias("last"))
+    dealt = written(dealt.where("hub != last or part >= 0"), "jaccard-groups")
+    cold, hot = dealt.where("part < 0").select("sig", "id", "hub"), dealt.where("part >= 0")
+    hubs = written(hot.groupBy("sig").agg(F.min("hub").alias("hub"), F.max("last").alias("last")).where("hub != last").select("sig", "hub"), "jaccard-hubs")
+    return cold.union(hot.select("sig", "id").join(F.broadcast(hubs), "sig").select("sig", "id", "hub"))  # HOT rows at most
+
+
+def _excluded(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) * (100 + percent) > (100 - percent) * sizes
+
+
+def _pairs_of(batch: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of each block from different components that sizes and histograms don't exclude, each once."""
+    hub, low, high, sig, id, part, size, block = (batch.column(c).to_numpy() for c in ("hub", "low", "high", "sig", "id", "component", "n", "own"))
+    bins = fixed_width(batch.column("bins"), BINS)
+    ids, one, own = np.unique(id, return_index=True, return_inverse=True)
+    part, size, bins = part[one], size[one], bins[one]
+    coarse = bins.reshape(len(ids), COARSE, -1).sum(axis=2, dtype=np.uint16)
+    first = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (sig[1:] != sig[:-1]))))
+    later = np.repeat(np.append(first[1:], len(sig)), np.diff(np.append(first, len(sig)))) - np.arange(len(sig)) - 1  # each row meets the later ones of its block
+    done, found, a = np.concatenate(([0], np.cumsum(later))), [np.zeros(0, np.int64)], 0
+    while a < len(sig):
+        z = max(a + 1, int(np.searchsorted(done, done[a] + 1_000_000, side="right")) - 1)
+        left = np.repeat(np.arange(a, z), later[a:z])
+        right = left + 1 + np.arange(len(left)) - (done[left] - done[a])
+        cross = (low[left] == high[left]) | (block[left] != block[right])
+        left, right = own[left[cross]], own[right[cross]]
+        ok = (part[left] != part[right]) & (100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right]))
+        code = np.unique(np.minimum(left[ok], right[ok]) * len(ids) + np.maximum(left[ok], right[ok]))
+        for i in range(0, len(code), 50_000):
+            c = code[i : i + 50_000]
+            for table in (coarse, bins):
+                x, y = c // len(ids), c % len(ids)
+                c = c[~_excluded(table[x], table[y], size[x] + size[y], percent)]
+            found.append(c)
+        if len(found) > 50:
+            found = [np.unique(np.concatenate(found))]
+        a = z
+    code = np.unique(np.concatenate(found))
+    for i in range(0, len(code), 100_000):
+        c = code[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[c // len(ids)]), pa.array(ids[c % len(ids)])], ["a", "b"])
 
 
 def _near(percent: int):
-    """Pairs of a block from different components that sizes and histograms don't exclude, each once for a task."""
-
-    def excluded(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) * (100 + percent) > (100 - percent) * sizes
+    """The pairs of rows sorted by hub, low, high and sig, a run of whole blocks of about 20,000 rows at a time."""
+    keys = ("hub", "low", "high", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        hub, low, high, sig, id, part, size, block = _columns(kept, ["hub", "low", "high", "sig", "id", "component", "n", "own"])
-        bins = np.concatenate([fixed_width(b.column("bins"), BINS) for b in kept])
-        ids, one, own = np.unique(id, return_index=True, return_inverse=True)
-        part, size, bins = part[one], size[one], bins[one]
-        coarse = bins.reshape(len(ids), COARSE, -1).sum(axis=2, dtype=np.uint16)
-        order = np.lexsort((sig, high, low, hub))
-        hub, low, high, sig, own, block = (x[order] for x in (hub, low, high, sig, own, block))
-        first = np.flatnonzero(np.concatenate(([True], (hub[1:] != hub[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (sig[1:] != sig[:-1]))))
-        later = np.repeat(np.append(first[1:], len(sig)), np.diff(np.append(first, len(sig)))) - np.arange(len(sig)) - 1  # each row meets the later ones of its block
-        done, found, a = np.concatenate(([0], np.cumsum(later))), [np.zeros(0, np.int64)], 0
-        while a < len(sig):
-            z = max(a + 1, int(np.searchsorted(done, done[a] + 2_000_000, side="right")) - 1)
-            left = np.repeat(np.arange(a, z), later[a:z])
-            right = left + 1 + np.arange(len(left)) - (done[left] - done[a])
-            cross = (low[left] == high[left]) | (block[left] != block[right])
-            left, right = own[left[cross]], own[right[cross]]
-            ok = (part[left] != part[right]) & (100 * np.minimum(size[left], size[right]) >= percent * np.maximum(size[left], size[right]))
-            code = np.unique(np.minimum(left[ok], right[ok]) * len(ids) + np.maximum(left[ok], right[ok]))
-            for i in range(0, len(code), 50_000):
-                c = code[i : i + 50_000]
-                for table in (coarse, bins):
-                    x, y = c // len(ids), c % len(ids)
-                    c = c[~excluded(table[x], table[y], size[x] + size[y])]
-                found.append(c)
-            if len(found) > 50:
-                found = [np.unique(np.concatenate(found))]
-            a = z
-        code = np.unique(np.concatenate(found))
-        for i in range(0, len(code), 100_000):
-            c = code[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[c // len(ids)]), pa.array(ids[c % len(ids)])], ["a", "b"])
+        held, rows = [], 0
+        for batch in (b.slice(i, 10_000) for b in batches for i in range(0, b.num_rows, 10_000)):
+            if rows >= 20_000:  # up to the last row of the block that the held rows end in
+                ends, same = [held[-1].column(k)[-1].as_py() for k in keys], np.ones(batch.num_rows, bool)
+                for k, v in zip(keys, ends):
+                    same &= batch.column(k).to_numpy() == v
+                cut = batch.num_rows if same.all() else int(np.argmin(same))
+                held.append(batch.slice(0, cut))
+                if cut < batch.num_rows:
+                    yield from _pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], percent)
+                    held, rows = [], 0
+                batch = batch.slice(cut)
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+        if held:
+            yield from _pairs_of(pa.Table.from_batches(held).combine_chunks().to_batches()[0], percent)
 
     return run
 
@@ -267,7 +310,9 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
 
     Defined results: rows without words link with nothing and are their own component. Rows that share an id are one
     node of the graph: a link of any of their texts holds for it. A row without id links with nothing and has
-    component null. Other columns are not looked at. An empty table gives an empty result.
+    component null. Rows equal in id and text give equal rows. A very long text is whole: it is one set, however large.
+    Ties cannot matter, as components are named by their smallest id. Other columns, whatever their names, are not
+    looked at. An empty table gives an empty result.
     """
     documents = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     described = written(documents.mapInArrow(_described(size), "id long, n long, print binary, bins binary"), "jaccard-rows")
@@ -287,21 +332,29 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
             yield _where_bit(batch, filled, True).select(["id", "text"])
 
     doubtful = placed.mapInArrow(maybe_copies, "id long, text string").join(skip, "id", "left_anti")
-    signed = placed.mapInArrow(_signed(size, percent, filled), "sig long, id long").union(doubtful.mapInArrow(_signed(size, percent, None), "sig long, id long"))
+    shown = placed.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(SAMPLE)) == 0)
+    hot = _hot(shown.mapInArrow(_signed(size, percent, filled), SIGNED))
+    signed = placed.mapInArrow(_signed(size, percent, filled, hot), SIGNED).union(doubtful.mapInArrow(_signed(size, percent, None, hot), SIGNED))
     groups = _groups(signed)
     star = groups.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near = _possible(star, shape, percent)
     found = written(copies.union(links(near, documents, size, percent)), "jaccard-found")
     first = components(found)
 
+    # The groups that the star left torn: their members with their components, and how many lie outside the hub's one.
     placed = groups.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    torn = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("sig")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rest = placed.join(torn, "sig", "left_semi").withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    whole = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "id").alias("main"))
+    whole = written(whole.where("low != high").select("sig", "main"), "jaccard-torn")
+    torn = written(placed.join(whole, "sig"), "jaccard-members")
+    outside = F.col("component") != F.col("main")
+    blocks = written(torn.groupBy("sig").agg(F.ceil(F.count_if(outside) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(~outside) / BLOCK).cast("int").alias("main_blocks")), "jaccard-blocks")
+    # Blocks of members outside come first, then those of the main component, which meet only the former.
+    laid = torn.join(blocks, "sig").withColumn("own", F.when(outside, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("main_blocks"))).cast("int"))
+    rest = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("blocks") + F.col("main_blocks")).otherwise(F.col("blocks")) - 1)))
     rest = rest.join(shape.where("single"), "id").select("hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "id", "component", "n", "bins")
     # The groups of near copies mostly share their smallest member: dealt by it, in a few parts, a pair meets in few tasks and is kept once in each.
-    pairs = rest.repartition("hub", F.pmod(F.xxhash64("sig"), F.lit(PARTS)), "low", "high").mapInArrow(_near(percent), "a long, b long").distinct()
+    dealt = rest.repartition("hub", F.pmod(F.xxhash64("sig"), F.lit(PARTS)), "low", "high").sortWithinPartitions("hub", "low", "high", "sig")
+    pairs = dealt.mapInArrow(_near(percent), "a long, b long").distinct()
     if not mixed.isEmpty():  # rows that share an id but not their texts have no single histogram: they meet all others of their groups
         odd = groups.join(mixed, "id", "left_semi").select("sig", F.col("id").alias("a")).join(groups.select("sig", F.col("id").alias("b")), "sig").where("a != b")
         pairs = pairs.union(odd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()

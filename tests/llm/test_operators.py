@@ -184,15 +184,17 @@ def near_copies(spark):
 def test_jaccard(spark, docs, odd, which, monkeypatch):
     df = {"docs": docs, "odd": odd}.get(which) if which != "near" else near_copies(spark)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)  # so that small tables have hot signatures
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()), key=str)
     assert got == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
 def test_groups_of_a_hot_signature(spark):
-    rows = [(7, i) for i in range(5000)] + [(7, 3), (8, 1), (8, 1), (9, 2), (9, 4)]
-    df = spark.createDataFrame(rows, "sig long, id long").repartition(8)
+    rows = [(7, i, i % 5) for i in range(5000)] + [(7, 3, 1), (8, 1, -1), (8, 1, -1), (9, 2, -1), (9, 4, -1), (10, 5, 0), (11, 6, 0), (11, 7, 3)]
+    df = spark.createDataFrame(rows, "sig long, id long, part int").repartition(8)
     got = jaccard._groups(df)
-    assert set(map(tuple, got.collect())) == {(7, i, 0, 5001) for i in range(5000)} | {(9, 2, 2, 2), (9, 4, 2, 2)}
+    assert set(map(tuple, got.collect())) == {(7, i, 0) for i in range(5000)} | {(9, 2, 2), (9, 4, 2), (11, 6, 6), (11, 7, 6)}
+    assert jaccard._hot(df).tolist() == [7]
 
 
 def test_jaccard_empty(none):
