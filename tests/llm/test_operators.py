@@ -449,6 +449,8 @@ def brute_search(rows, queries, k):
 @pytest.mark.parametrize("at_once", [search.TERMS, 50])
 def test_search(spark, docs, odd, at_once, monkeypatch):
     monkeypatch.setattr(search, "SEGMENT", 20_000)
+    monkeypatch.setattr(search, "SEED", 3)
+    monkeypatch.setattr(search, "BLOCK", 4)
     for df in (docs.where("doc_id < 120"), odd):
         rows = [(r["doc_id"], r["text"]) for r in df.collect()]
         queries = df.where("doc_id % 20 = 0 or doc_id in (4, 9)").dropDuplicates(["doc_id"])
@@ -461,6 +463,15 @@ def test_search(spark, docs, odd, at_once, monkeypatch):
             assert all(abs(a[0] - b[0]) < 3e-6 for a, b in zip(got[q], want[q])) and len(got[q]) == len(want[q])
 
 
+def test_search_counts_beyond_16_bits(spark):
+    """Term counts are exact, however often a term stands in a document; columns with clashing names don't matter."""
+    rows = [(1, "alpha " * 70_000, "s"), (2, "alpha " * 65_535 + "beta " * 4_465, "s"), (3, "alpha gamma", "s"), (4, "delta", "s")]
+    df = documents(spark, rows).withColumn("query", F.lit("x")).withColumn("segment", F.lit(1)).withColumn("score", F.lit(2.0))
+    got = search.search(search.build_index(df), df.where("doc_id = 3"), 3).orderBy("rank").collect()
+    want = brute_search([r[:2] for r in rows], [(3, "alpha gamma")], 3)[3]
+    assert [(r["doc_id"], round(r["score"], 6)) for r in got] == [(i, -s) for s, i in want] and got[1]["doc_id"] == 1 and got[1]["score"] > got[2]["score"]
+
+
 def test_search_empty(none):
     assert search.search(search.build_index(none), none).count() == 0
 
