@@ -10,9 +10,9 @@ number of pairs looked at, so that the bar rises with the corpus. ``redact`` gen
 removes disclosing terms.
 
 The corpus is read twice: for the entities (texts that hold any are kept in a table), and for the passage counts of
-terms that met an entity ``support`` times. Bit filters of fixed size pick entities, terms and pairs before any row
-moves; they let some through too much, which exact joins remove. Counts are summed before they are shuffled, so a very
-common entity or term is no hot key, and pairs are bounded by the words of a passage, whatever the length of a text.
+all terms. Bit filters of fixed size pick entities and pairs before any row moves; they let some through too much,
+which exact joins remove. Counts are summed before they are shuffled, so a very common entity or term is no hot key,
+and pairs are bounded by the words of a passage, whatever the length of a text.
 
 Defined results: null counts as empty text; every row is judged by itself, so repeated rows repeat results (and count
 in the shares); a very long text is whole, as its passages; matches that begin at the same place (ties) are spans of
@@ -181,23 +181,20 @@ def meetings(rows: DataFrame, repeated: np.ndarray) -> DataFrame:
     return held.mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n_both"))
 
 
-def passage_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n_term): in how many passages each of ``terms`` stands (and maybe some others), over whole texts; the null term counts all passages."""
-    wanted = bit_filter(terms.select(F.pmod("term", F.lit(FILTER_BITS)).alias("place")))
+def passage_counts(documents: DataFrame) -> DataFrame:
+    """(term, n_term): in how many passages each term stands, over whole texts; the null term counts all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in sliced(b, 0)):
-            found, counts = hash_words(*utf8_column(batch.column(0)), ALNUM)
+            term, counts = hash_words(*utf8_column(batch.column(0)), ALNUM)
             each = -(-counts // PASSAGE)
-            first = np.cumsum(counts) - counts
-            passage = np.repeat(np.cumsum(each) - each, counts) + (np.arange(len(found)) - np.repeat(first, counts)) // PASSAGE
-            ok = passes(wanted, found.view(np.int64) % FILTER_BITS)
-            row, term = passage[ok], found[ok]
-            order = np.lexsort((row, term))
-            row, term = row[order], term[order]
-            new = np.concatenate(([True], (term[1:] != term[:-1]) | (row[1:] != row[:-1]))) if len(term) else np.zeros(0, bool)
+            passage = np.repeat(np.cumsum(each) - each, counts) + (np.arange(len(term)) - np.repeat(np.cumsum(counts) - counts, counts)) // PASSAGE
+            order = np.argsort(term, kind="stable")  # passages ascend within each term
+            passage, term = passage[order], term[order]
+            new = np.concatenate(([True], (term[1:] != term[:-1]) | (passage[1:] != passage[:-1]))) if len(term) else np.zeros(0, bool)
             values, n = np.unique(term[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array([*n.tolist(), int(each.sum())], pa.int64())], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(each.sum())], pa.int64())], ["term", "n"])
 
     return documents.where("text is not null").select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
 
@@ -233,7 +230,7 @@ def detect(documents: DataFrame, disclosure: float = 0.9, support: int = 3, alph
     entities = written(each.groupBy(F.col("entities").alias("entity")).agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support), "pii-entities")
     repeated = bit_filter(entities.select(F.pmod("entity", F.lit(FILTER_BITS)).alias("place")))
     both = written(meetings(rows, repeated).where(F.col("n_both") >= support), "pii-meetings")
-    counted = written(passage_counts(documents, both.select("term").distinct()), "pii-terms")  # written before the join, which else would meet the rows before they are summed
+    counted = written(passage_counts(documents), "pii-terms")  # written before the join, which else would meet the rows before they are summed
     total, tested = float(counted.where("term is null").agg(F.coalesce(F.sum("n_term"), F.lit(0))).first()[0] or 1), float(max(both.count(), 1))
     known = both.join(entities, "entity").join(counted.where("term is not null"), "term")
     chance = F.col("n_term") * F.col("n_entity") / F.lit(total)
