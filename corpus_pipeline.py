@@ -6,7 +6,9 @@ of documents.
 
 Defined results: columns beyond those of documents pass through the stages that don't make a column of that name;
 rows without doc_id are judged by their own text and never count as copies; rows that repeat a doc_id count as copies
-of each other; empty tables give an empty result.
+of each other; null and empty texts pass the filters if the classifier keeps them and are never taken by the mix, as
+they have no words; very long texts are judged whole; ties between copies go to the smallest doc_id; empty tables give
+an empty result.
 """
 
 from __future__ import annotations
@@ -71,11 +73,23 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, in whole copies: the last one of a source if at least half of it is taken."""
+    """Each document as often as the mix takes it, in whole copies: the last one of a source if at least half of it is taken.
+
+    The mix is made of ids and sizes; texts move once, to meet their number of copies.
+    """
+    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
+    rest = docs.where("doc_id is null")
+    rest = rest if repeated.isEmpty() else rest.union(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    single = docs.where("doc_id is not null") if repeated.isEmpty() else without(docs.where("doc_id is not null"), repeated)
+    # Rows that their doc_id doesn't tell apart get a number of their own meanwhile.
+    own = written(rest.withColumns({"_doc_id": F.col("doc_id"), "doc_id": F.monotonically_increasing_id()}), "pipeline-unnumbered")
+    parts = [p.withColumn("_own", F.lit(i)).select("doc_id", "source", "text", "_own") for i, p in enumerate((single, own))]
     size, taken = F.col("size"), F.col("taken")
-    mixed = mixing.mix(docs).where("taken > 0")
     copies = F.floor(taken / size) + F.when(2 * (taken % size) >= size, 1).otherwise(0)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    mixed = mixing.mix(parts[0].union(parts[1]), keep=("_own",)).where("taken > 0").select("doc_id", "_own", F.array_repeat(F.lit(1), copies.cast("int")).alias("_copies"))
+    mixed = written(mixed.where("size(_copies) > 0"), "pipeline-taken")
+    used = [p.join(mixed.where(F.col("_own") == i).drop("_own"), "doc_id").withColumn("_copy", F.explode("_copies")) for i, p in enumerate((single, own))]
+    return used[0].select(*docs.columns).union(used[1].withColumn("doc_id", F.col("_doc_id")).select(*docs.columns))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,14 @@ inverse of the cumulative demand turns a document's offset in that stream into i
 documents are range-sorted by moment.
 
 Only sizes and hashes move: one shuffle by (source, bucket) for the running sums, which no hot source can overload,
-and one for the order. The table of sources is aggregated first and has a row for each source.
+and one for the order. The table of sources is aggregated first and has a row for each source; sources are taken to
+be few (some ten thousand at most), as their weights are ranked in one task.
 
 Defined results: a null text has size 0; the null source is a source, last in order; documents without words are
-never taken; a repeated row is a document of its own; equal rows may swap places, which changes no result. An empty
-table gives an empty result. The one document at the end of a source's target is taken in part. Columns that come
-with the input stay, apart from those of the result's names, which are replaced.
+never taken; a repeated row is a document of its own; equal rows may swap places, which changes no result; ties of the
+pseudo-random order go by key and size. A very long text counts whole; the one document at the end of a source's
+target is taken in part, however long. An empty table gives an empty result. Columns that come with the input stay,
+apart from those of the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -82,16 +84,19 @@ def targets(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return capped.withColumn("target", target).drop("_cap", "_level", "_share", "_open")
 
 
-def mix(documents: DataFrame, schedule=cycling_weights, max_epochs: float = 3.0, key: str = "doc_id", seed: str = "mix", keep: bool = True) -> DataFrame:
+def mix(documents: DataFrame, schedule=cycling_weights, max_epochs: float = 3.0, key: str = "doc_id", seed: str = "mix", keep: bool | tuple[str, ...] = True) -> DataFrame:
     """One row for each document, sorted by the moment of its first use: size, source_size, target, taken, moment (null if unused).
 
     ``schedule``: a DataFrame (source, moment, weight), or a function that makes it from the sources' table.
-    ``keep``: carry the other columns, which then move with the rows.
+    ``keep``: carry the other columns, all or those named, which then move with the rows.
     """
-    rest = [F.col(c) for c in documents.columns if c not in MADE and (keep or c in (key, "source"))]
-    sized = documents.select(*rest, words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("_order"))
+    kept = documents.columns if keep is True else (key, "source", *(keep or ()))
+    rest = [F.col(c) for c in documents.columns if c not in MADE and c in kept]
+    # The text is part of the draw, so that rows that share a key, or have none, spread over the buckets too.
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
+    sized = documents.select(*rest, words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"), draw.alias("_order"))
     sized = sized.withColumn("_bucket", F.substring("_order", 1, 3))
-    if not keep:
+    if keep is not True:
         sized = written(sized, "mixing")
     sources = sized.groupBy("source", "_source").agg(F.sum("size").alias("source_size"))
     plan = integrated(schedule(sources) if callable(schedule) else schedule)

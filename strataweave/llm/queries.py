@@ -63,7 +63,7 @@ TOKENS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: SQL where it can express a query; the others are tested against brute force.
 ORACLES: dict[str, str] = {
-    "op2_mixing": rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+    "op2_mixing": rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, (i % 3 + 1)::DOUBLE AS weight, CASE WHEN i % 2 = 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS lean, 3::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, cap / weight AS level, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY {ORDER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),

@@ -38,6 +38,11 @@ def test_stages(spark, rows):
     assert mixed.columns == rows.columns and 0 < mixed.count()
     most = mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert most <= 3
+    # On rows that share a doc_id or have none, each row still counts as one.
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    again = stage["mixing"](spark, rows, SF)
+    words = [df.agg(F.sum(size)).first()[0] for df in (rows, again)]
+    assert again.columns == rows.columns and abs(words[1] - words[0]) < 0.1 * words[0] and again.groupBy("doc_id").count().where("count > 3").count() <= 1
     placed = stage["sharding"](spark, mixed, SF)
     assert placed.count() == mixed.count() and dict(placed.dtypes)["shard"] == "int" and placed.select("shard").distinct().count() <= 24
 
