@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The class names, and the words that stand for them in free text, looked up in this order.
+# The class names of the graph; the class names that free text may hold, in the order in which they are looked
+# for; surface forms of a pattern with their class, first hit first; dashes that count as a hyphen.
 CLASSES = ["fan-out", "fan-in", "cycle", "scatter-gather", "gather-scatter", "stack", "bipartite", "random"]
-PATTERN_WORDS = [("scatter-gather", "scatter-gather"), ("scatter gather", "scatter-gather"), ("gather-scatter", "gather-scatter"), ("gather scatter", "gather-scatter"), ("fan-out", "fan-out"), ("fan out", "fan-out"), ("fan-in", "fan-in"), ("fan in", "fan-in"), ("cycle", "cycle"), ("circular", "cycle"), ("bipartite", "bipartite"), ("stack", "stack"), ("layering", "stack"), ("random", "random")]
-DASHES = "‐‑‒–—―−﹘﹣"
-MARKERS = [r"\bmatch(es|ed)?\b", r"\bconsistent with\b", r"\bresembl", r"\bindicat", r"\bcharacteristic", r"\bpattern of\b"]
-SURFACE = [r"fan[- ]?out", r"fan[- ]?in", r"cycle|circular", r"scatter[- ]?gather", r"gather[- ]?scatter", r"stack|layer", r"bipartite", r"random"]
-PARSE = [r"\baccounts?\b", r"\btransfers?\b|\btransactions?\b", r"\bamounts?\b|\$\s?\d", r"\btimestamps?\b|\d{4}/\d{2}/\d{2}", r"\bbanks?\b"]
-LABEL_WORDS = r"(?i)\b(is_?laundering|label|illicit|typology|ground[_ ]?truth)\s*[:=]"
+CANONICAL = ["scatter-gather", "gather-scatter", "fan-out", "fan-in", "bipartite", "cycle", "random", "stack", "legitimate"]
+PATTERN_WORDS = [
+    ("scatter-gather", "scatter-gather"), ("scattergather", "scatter-gather"), ("gather-scatter", "gather-scatter"), ("gatherscatter", "gather-scatter"),
+    ("fan-out", "fan-out"), ("fanout", "fan-out"), ("fan out", "fan-out"), ("fan-in", "fan-in"), ("fanin", "fan-in"), ("fan in", "fan-in"),
+    ("bipartite", "bipartite"), ("mule", "bipartite"), ("cycle", "cycle"), ("circular", "cycle"), ("round-trip", "cycle"),
+    ("structuring", "random"), ("smurfing", "random"), ("random", "random"), ("layering", "stack"), ("stack", "stack"),
+]
+DASHES = "‐‑‒–—―−⁃­"
+#: What ends a label, and keys of a line that names a typology.
+LABEL_ENDS = ["(", "[", "{", " and ", " or ", "/"]
+TYPOLOGY_KEYS = [r"observed\s+pattern", r"final\s+pattern", "typology"]
+#: Structural features of a trace, typology names (a space counts as a hyphen), and markers by kind.
+PARSE = [r"acct[_\-]\w+", r"\bhub\b|\bcentral\b", r"\b(out[_\- ]?degree|in[_\- ]?degree|degree)\b", r"\b\d+\s+(transactions|edges|accounts|nodes)\b", r"\b(volume|total|sum)\b.*\d"]
+NAMES = ["fan-out", "fan in", "fan-in", "fanout", "fanin", "scatter-gather", "scattergather", "gather-scatter", "gatherscatter", "cycle", "cyclic", "stack", "stacking", "layering", "bipartite", "random", "structuring", "smurfing"]
+MARKERS = [
+    r"\b(temporal|timestamp|time[ \-]?bucket|monthly|biweekly|weekly|daily|recurring|periodic|interval)\b",
+    r"\b(identical amount|same amount|repeated.*amount|threshold|reporting threshold|just below)\b",
+    r"\b(cycle|return.*origin|loop[s]?|back[ \-]?and[ \-]?forth)\b",
+    r"\blayer(ing)?\b|\bmulti[\- ]?(hop|tier|step)\b",
+    r"\b(rapid|quick|fast|burst)\b.*\b(transfer|movement)\b",
+    r"\b(multiple|many|several).*counterpart",
+]
+#: Label fields at the start of a line, and identifiers that were never filled in.
+LABEL_FIELD = r"""(?im)^\s*(?:[-*]\s*)?["']?(?:label|labels|illicit|is_illicit|is[_ ]?laundering|typology|typology_id|ground[_ ]?truth)["']?\s*[:=]"""
+PLACEHOLDER = r"(?i)<\s*ID\s*>|\{\{[^{}]*\}\}"
 
 
 def any_of(text: Column, words: list[tuple[str, str]]) -> Column:
@@ -24,28 +44,56 @@ def any_of(text: Column, words: list[tuple[str, str]]) -> Column:
     return out
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def hyphened(text: Column) -> Column:
+    return F.translate(text, DASHES, "-" * len(DASHES))
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _class_of(s: Column) -> Column:
+    has = s.contains
+    crossed = F.when(F.instr(s, "scatter") < F.instr(s, "gather"), "scatter-gather").otherwise("gather-scatter")
+    parts = F.when(has("scatter") & has("gather"), crossed).when(has("fan") & has("out"), "fan-out").when(has("fan") & has("in"), "fan-in")
+    for part, name in (("cycl", "cycle"), ("random", "random"), ("bipart", "bipartite"), ("stack", "stack"), ("legit", "legitimate"), ("normal", "legitimate")):
+        parts = parts.when(has(part), name)
+    return F.when(s.isin(CANONICAL), s).otherwise(F.coalesce(parts, F.lit("")))
+
+
 def normalised_typology(text: Column) -> Column:
-    """Dashes folded, trimmed, lower-cased, closing punctuation and what follows a bracket, a slash or and/or cut; then by keyword."""
-    folded = F.lower(F.trim(F.translate(text, DASHES, "-" * len(DASHES))))
-    cut = F.regexp_replace(folded, r"\s*([(\[{/]|\band\b|\bor\b).*$", "")
-    return F.coalesce(any_of(F.regexp_replace(cut, r"[.,;:*\s]+$", ""), PATTERN_WORDS), F.lit("unknown"))
+    """The class that a label stands for, "" if none: dashes folded, trimmed, lower-cased, closing punctuation and what follows a bracket, a slash, "and" or "or" cut; then by its parts."""
+    s = F.regexp_replace(F.lower(stripped(hyphened(text))), r"[.,;:*]+$", "")
+    for end in LABEL_ENDS:
+        s = stripped(F.substring_index(s, end, 1))
+    return let(s, _class_of)
 
 
 def typology_in(text: Column) -> Column:
-    """What a line names as typology or pattern; else the first class name anywhere."""
-    named = [F.nullif(F.regexp_extract(text, rf"(?i){key}\s*[:=]\s*\**([A-Za-z -]+)", 1), F.lit("")) for key in ("typology", "pattern", "laundering type")]
-    direct = any_of(F.lower(F.coalesce(*named)), PATTERN_WORDS)
-    return F.coalesce(direct, any_of(F.lower(text), [(c, c) for c in CLASSES]))
+    """What a line names as observed pattern, final pattern or typology; else the first class name anywhere, "" without any."""
+    named = lambda t, key: F.nullif(normalised_typology(F.regexp_extract(t, rf"(?i){key}\s*:?\s*\**\s*([a-z][a-z\- ]{{2,30}})", 1)), F.lit(""))
+    return let(hyphened(text), lambda t: F.coalesce(*[named(t, key) for key in TYPOLOGY_KEYS], let(F.lower(t), lambda low: any_of(low, [(c, c) for c in CANONICAL])), F.lit("")))
+
+
+def patched_typology(patched: Column, illicit: Column, raw: Column, typology: Column) -> Column:
+    """A prediction's typology: the patched field, else what the raw answer of an illicit verdict says, else the structured field; "" where none gives a class."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    return F.coalesce(filled(normalised_typology(patched)), F.when(illicit, filled(typology_in(raw))), filled(normalised_typology(typology)), F.lit(""))
 
 
 def verdict(text: Column) -> dict[str, Column]:
-    """illicit, explanation, typology and confidence from a "Conclusion:" line."""
-    line = F.lower(F.regexp_extract(text, r"(?im)^\W*conclusion\W*\s*:\s*(.*)$", 1))
+    """illicit, explanation, typology and confidence from an answer's conclusion, explanation and observed pattern; without a conclusion it is benign."""
+    text = hyphened(F.coalesce(text, F.lit("")))
+    line = F.lower(F.regexp_extract(text, r"(?i)conclusion[:\s]*([^\n]+)", 1))
     illicit = line.contains("suspicious") & ~line.contains("not suspicious")
-    explanation = F.nullif(F.trim(F.regexp_extract(text, r"(?is)explanation\W*:\s*(.*?)(?=\n\W*(?:pattern|conclusion)\W*:|$)", 1)), F.lit(""))
-    pattern = F.lower(F.regexp_extract(text, r"(?im)^\W*pattern\W*\s*:\s*(.*)$", 1))
-    typology = F.when(illicit, F.coalesce(any_of(pattern, PATTERN_WORDS), F.lit("unknown")))
-    confidence = F.when(line == "", 0.6).when(illicit, 0.8).otherwise(0.7)
+    explanation = stripped(F.regexp_extract(text, r"(?i)explanation[:\s]*([^\n]+(?:\n(?!observed)[^\n]+)*)", 1))
+    typology = any_of(F.lower(F.regexp_extract(text, r"(?i)observed\s*pattern[:\s]*([^\n]+)", 1)), PATTERN_WORDS)
+    confidence = F.when(illicit & typology.isNotNull(), 0.8).when(illicit, 0.6).otherwise(0.7)
     return {"illicit": illicit, "explanation": explanation, "pred_typology": typology, "confidence": confidence}
 
 
@@ -54,12 +102,12 @@ def ranking_score(illicit: Column, confidence: Column) -> Column:
 
 
 def own_line_verdict(text: Column) -> Column:
-    """1 or 0 from "VERDICT: ...", else from a line of its own, else from the text; null without any."""
-    named = F.lower(F.regexp_extract(text, r"(?i)verdict\s*:\s*\W*(illicit|licit)", 1))
-    line = F.lower(F.regexp_extract(text, r"(?im)^\W*(illicit|licit)\W*$", 1))
-    low = F.lower(text)
-    code = lambda c: F.when(c == "illicit", 1).when(c == "licit", 0)
-    return F.coalesce(code(named), code(line), F.when(low.contains("illicit"), 1).when(low.contains("licit"), 0))
+    """1 for suspicious, 0 for not: from "VERDICT: ...", else from the first line that says only that, else from the text; 0 without any."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    named = F.regexp_extract(low, r"verdict\s*:\s*(suspicious|not\s+suspicious)", 1)
+    line = F.regexp_extract(low, r"(?m)^[^\S\n]*(suspicious|not suspicious|not_suspicious)[^\S\n]*$", 1)
+    code = lambda c: F.when(c == "", None).when(c.startswith("not"), 0).otherwise(1)
+    return F.coalesce(code(named), code(line), (low.contains("suspicious") & ~low.contains("not suspicious")).cast("int"))
 
 
 def judge_scores(text: Column) -> Column:
@@ -69,19 +117,36 @@ def judge_scores(text: Column) -> Column:
     return F.coalesce(*[F.when(F.from_json(x, schema)["parse"].isNotNull(), F.from_json(x, schema)) for x in (text, inner)])
 
 
-def flags(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur."""
-    low = F.lower(text)
-    return sum((F.when(low.rlike(p), 1).otherwise(0) for p in patterns[1:]), F.when(low.rlike(patterns[0]), 1).otherwise(0))
+def counted(hits: list[Column]) -> Column:
+    return sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
+
+
+def features_in(low: Column) -> Column:
+    """How many kinds of structural features a lower-cased trace names."""
+    return counted([low.rlike(f"(?Ud){p}") for p in PARSE])
+
+
+def names_in(low: Column) -> Column:
+    """How many different typology names a lower-cased trace holds."""
+    same: dict[str, list[str]] = {}
+    for name in NAMES:
+        same.setdefault(name.replace(" ", "-"), []).append(name)
+    either = lambda names: low.contains(names[0]) if len(names) == 1 else low.contains(names[0]) | either(names[1:])
+    return counted([either(names) for names in same.values()])
+
 
+def markers_in(low: Column) -> Column:
+    """How many kinds of structural markers a lower-cased trace holds."""
+    return counted([low.rlike(f"(?Ud){p}") for p in MARKERS])
 
-def trace_scores(text: Column, outcome: Column) -> dict[str, Column]:
-    """parse, recall, match and conclude of a reasoning trace; a trace that concludes benign needs no marker of a match."""
-    text = F.coalesce(text, F.lit(""))
-    parse = ((flags(text, PARSE) >= 2) & (F.length(text) >= 50)).cast("int")
-    recall = (flags(text, SURFACE) >= 2).cast("int")
-    match = ((flags(text, MARKERS) >= 2) | (outcome == "correct_benign")).cast("int")
-    return {"parse": parse, "recall": recall, "match": match, "conclude": outcome.startswith("correct").cast("int")}
+
+def trace_scores(low: Column, illicit: Column, typology: Column, label: Column, truth: Column) -> dict[str, Column]:
+    """parse, recall, match and conclude of a lower-cased trace and its verdict; a benign verdict needs no marker, as it claims no pattern."""
+    low = F.coalesce(low, F.lit(""))
+    parse = ((F.length(low) >= 50) & (features_in(low) >= 2)).cast("int")
+    match = ((low != "") & (~illicit | (markers_in(low) >= 2))).cast("int")
+    named = F.coalesce(F.lower(typology) == F.lower(truth), F.lit(False))
+    return {"parse": parse, "recall": (names_in(low) >= 2).cast("int"), "match": match, "conclude": F.when(label == 0, ~illicit).otherwise(illicit & named).cast("int")}
 
 
 def first_fail(steps: list[str]) -> Column:
@@ -96,12 +161,48 @@ def outcome(label: Column, pred: Column, truth: Column, named: Column) -> Column
     return F.when((label == 0) & (pred == 0), "correct_benign").when(label == 0, "false_positive").when(pred == 0, "false_negative").when(truth.isNotNull() & (truth == named), "correct").otherwise("typology_error")
 
 
+#: Fixed value: the former name of an outcome, taken on input.
+FORMER_OUTCOMES = {"correct_benign": "correct_legit"}
+
+
+def present_outcome(name: Column) -> Column:
+    out = name
+    for old, new in FORMER_OUTCOMES.items():
+        out = F.when(name == old, new).otherwise(out)
+    return out
+
+
+def reference_group(label: Column, truth: Column) -> Column:
+    """benign, illicit_typed, or illicit_reference_absent where an illicit row has no typology."""
+    return F.when(label != 1, "benign").when(F.coalesce(truth, F.lit("")) != "", "illicit_typed").otherwise("illicit_reference_absent")
+
+
+def eligibility_flags(label: Column, truth: Column, illicit: Column, named: Column) -> dict[str, Column]:
+    """Which rows can be judged: binary_correct, reference_evaluable, typed_eligible, typed_correct and evaluable_correct."""
+    group = reference_group(label, truth)
+    typed = group == "illicit_typed"
+    right = typed & illicit & F.coalesce(named == truth, F.lit(False))
+    return {"binary_correct": illicit == (label == 1), "reference_evaluable": group != "illicit_reference_absent", "typed_eligible": typed, "typed_correct": right, "evaluable_correct": ((label != 1) & ~illicit) | right}
+
+
+def failure(label: Column, pred: Column, named: Column, truth: Column) -> Column:
+    """correct, over, under, format where a flagged illicit row names no typology, typology where it names another one."""
+    missing = F.trim(F.coalesce(named, F.lit(""))).isin("", "unknown")
+    return F.when((label == 1) & (pred == 0), "under").when((label == 0) & (pred == 1), "over").when(label == 0, "correct").when(missing, "format").when(F.coalesce(named == truth, F.lit(False)), "correct").otherwise("typology")
+
+
+def probe_class(pattern: Column, unparsed: str = "benign") -> Column:
+    """An observed pattern within the nine classes: legitimate is benign, and so is nothing unless told otherwise."""
+    return F.when(F.coalesce(pattern, F.lit("")) == "", unparsed).when(pattern == "legitimate", "benign").otherwise(pattern)
+
+
 def approx_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("bigint")
 
 
 def leaks_label(text: Column) -> Column:
-    return text.rlike(LABEL_WORDS)
+    """Whether a text for evaluation holds a label field at the start of a line, or an identifier that was never filled in."""
+    return text.rlike(LABEL_FIELD) | text.rlike(PLACEHOLDER)
 
 
 def is_account(c: Column) -> Column:

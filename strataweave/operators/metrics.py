@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataweave.functions.ratios import f1, ratio0, ratio_null
+from strataweave.operators.ordered import running
 
 #: The two threshold grids, kept apart on purpose.
 CONSTRUCTION_GRID = np.arange(0.05, 0.95, 0.01)
@@ -108,6 +109,16 @@ def macro_f1(per_class: DataFrame, by: Sequence[str] = (), present_only: bool =
     return per_class.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("macro_f1"), F.count(value).alias("classes"))
 
 
+def weighted_typology(df: DataFrame, truth: str, predicted: str, classes: DataFrame, weight: str, by: Sequence[str] = (), least: int = 3) -> DataFrame:
+    """(by, typ_macro_f1, typ_accuracy) over the rows that name a class, weighted; both 0 where fewer than ``least`` do. Groups that name none have no row."""
+    named = df.where(F.col(predicted).isNotNull())
+    right = F.sum(F.when(F.col(truth) == F.col(predicted), F.col(weight)).otherwise(0.0))
+    share = named.groupBy(*by).agg(F.count("*").alias("_named"), ratio0(right, F.sum(weight)).alias("_accuracy"))
+    macro = macro_f1(class_f1(named, truth, predicted, classes, by, weight), by)
+    both = share.join(macro, list(by)) if by else share.crossJoin(F.broadcast(macro))  # one row
+    return both.select(*by, *[F.when(F.col("_named") >= least, F.col(c)).otherwise(0.0).alias(n) for c, n in (("macro_f1", "typ_macro_f1"), ("_accuracy", "typ_accuracy"))])
+
+
 def transitions(df: DataFrame, by: Sequence[str], label: str, first: str, second: str, weight: str) -> DataFrame:
     """How often two scorers are both right, both wrong, or one of them is."""
     a, b = F.col(first) == F.col(label), F.col(second) == F.col(label)
@@ -115,28 +126,30 @@ def transitions(df: DataFrame, by: Sequence[str], label: str, first: str, second
     return df.withColumn("category", kind).groupBy(*by, "category").agg(F.count("*").alias("n"), F.sum(weight).alias("weighted_n"))
 
 
-def rates_over(df: DataFrame, sets: str, measures: dict[str, tuple[str, str]]) -> DataFrame:
+def rates_over(df: DataFrame, sets: Sequence[Sequence[str]], measures: dict[str, tuple[str, str]]) -> DataFrame:
     """(k, n, rate) of each measure over grouping sets; ``measures`` maps a name to the conditions of k and n."""
-    df.createOrReplaceTempView("_rates_over")
-    parts = [f"count_if(({k}) AND ({n})) AS {m}_k, count_if({n}) AS {m}_n, try_divide(count_if(({k}) AND ({n})), count_if({n})) AS {m}_rate" for m, (k, n) in measures.items()]
-    columns = sorted({c.strip() for s in sets.replace("(", " ").replace(")", " ").split(",") for c in [s] if c.strip()})
-    return df.sparkSession.sql(f"SELECT {', '.join([*columns, *parts])} FROM _rates_over GROUP BY GROUPING SETS ({sets})")
+    columns = sorted({c for s in sets for c in s})
+    cells = []
+    for m, (k, n) in measures.items():
+        hit, all_ = F.count_if(F.expr(f"({k}) AND ({n})")), F.count_if(F.expr(n))
+        cells += [hit.alias(f"{m}_k"), all_.alias(f"{m}_n"), F.try_divide(hit, all_).alias(f"{m}_rate")]
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(*cells)
 
 
 def pr_curve(df: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "p") -> DataFrame:
-    """(score, tp, fp, precision, recall) at each distinct score, downwards. Equal scores are summed before any window."""
-    at = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(label).alias("_pos"), F.count("*").alias("_all"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    curve = at.select(*by, "score", F.sum("_pos").over(down).alias("tp"), (F.sum("_all").over(down) - F.sum("_pos").over(down)).alias("fp"), F.sum("_pos").over(whole).alias("positives"))
+    """(score, pos, neg, tp, fp, positives, precision, recall) at each distinct score, downwards. Equal scores are summed before any window."""
+    at = df.groupBy(*by, F.col(score).alias("score")).agg(F.sum(label).alias("pos"), (F.count("*") - F.sum(label)).alias("neg"))
+    curve = running(at, "score", {"tp": F.col("pos"), "fp": F.col("neg")}, by, descending=True)
+    whole = at.groupBy(*by).agg(F.sum("pos").alias("positives"))
+    curve = curve.join(whole, list(by)) if by else curve.crossJoin(F.broadcast(whole))  # one row
     return curve.withColumns({"precision": ratio0(F.col("tp"), F.col("tp") + F.col("fp")), "recall": ratio0(F.col("tp"), F.col("positives"))})
 
 
 def average_precision(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Sum of recall steps times precision, and the trapezoid area that starts at precision 1."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
-    before = F.coalesce(F.lag("precision").over(w), F.lit(1.0))
+    """Sum of recall steps times precision, and the trapezoid area that starts at precision 1. The point before comes from the counts at the point itself."""
+    tp, flagged = F.col("tp") - F.col("pos"), F.col("tp") + F.col("fp") - F.col("pos") - F.col("neg")
+    step = F.col("recall") - ratio0(tp, F.col("positives"))
+    before = F.when(flagged == 0, 1.0).otherwise(ratio0(tp, flagged))
     return curve.withColumn("_ap", step * F.col("precision")).withColumn("_area", step * (F.col("precision") + before) / 2).groupBy(*by).agg(F.sum("_ap").alias("average_precision"), F.sum("_area").alias("pr_auc"))
 
 

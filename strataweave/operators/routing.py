@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.ratios import f1
+from strataweave.operators import metrics as M
 
 RECALL_GATES, PRECISION_GATES = np.arange(0.001, 0.5, 0.005), np.arange(0.5, 0.99, 0.005)
 BAND = 0.10
@@ -32,6 +33,23 @@ def routed(asked: Column, ml: Column, other: Column) -> tuple[Column, Column]:
     return pred, route
 
 
+def evaluate(df: DataFrame, rule: str, tau: float, classes: DataFrame, by: Sequence[str] = (), weight: str = "w") -> DataFrame:
+    """(by, n_consult, consult_ratio, precision, recall, f1, typ_macro_f1, typ_accuracy), weighted, of a rule over rows (label, typology, p, ml, ml_typology, pred, pred_typology, weight).
+
+    A true positive takes its typology from the scorer that flagged it: the external model where it was asked, else the
+    head of the first one. Negative numbers and null name no class.
+    """
+    asked = consults(rule, F.col(weight), F.col("ml"), F.col("p"), tau, F.col("pred"))
+    x = df.withColumns({"_asked": asked, "_final": routed(asked, F.col("ml"), F.col("pred"))[0]})
+    named = F.when(F.col("_asked"), F.col("pred_typology")).when(F.col("ml") == 1, F.col("ml_typology"))
+    hits = x.where("_final = 1 and label = 1").select(*by, F.col(weight), F.when(F.col("typology") >= 0, F.col("typology")).alias("_truth"), F.when(named >= 0, named).alias("_named"))
+    asks = x.groupBy(*by).agg(F.count_if("_asked").alias("n_consult"), (F.count_if("_asked") / F.count("*")).alias("consult_ratio"))
+    rates = M.prf(x, by, predicted="_final", weight=weight).select(*by, "precision", "recall", "f1")
+    typ = M.weighted_typology(hits, "_truth", "_named", classes, weight, by)
+    met = asks.join(rates, list(by)).join(typ, list(by), "left") if by else asks.crossJoin(F.broadcast(rates)).join(F.broadcast(typ), F.lit(True), "left")  # one row each
+    return met.na.fill(0.0, ["typ_macro_f1", "typ_accuracy"])
+
+
 def gate_sweep(df: DataFrame, kind: str, taus: Sequence[float], threshold: float, by: Sequence[str] = (), label: str = "label", p: str = "p", other: str = "pred", weight: Column | None = None) -> DataFrame:
     """(by, tau, consulted, tp, fp, fn, f1) for each gate; recall gates flip rows of tau <= p < threshold to illicit, precision gates those of threshold <= p < tau to benign.
 

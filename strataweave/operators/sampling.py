@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataweave.functions.identifiers import draw
+from strataweave.operators.ordered import quantiles
 
 
 def difficulty(p: Column) -> Column:
@@ -26,8 +27,8 @@ def is_hard(label: Column, p: Column, tau: float | Column) -> Column:
 
 
 def quantile_cuts(df: DataFrame, value: str, shares: Sequence[float] = (0.33, 0.67), by: Sequence[str] = ()) -> DataFrame:
-    """Exact, linearly interpolated quantiles of the whole pool as cuts; values are summed by distinct value first."""
-    return df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(s)) for s in shares])).alias("cuts"))
+    """Exact, linearly interpolated quantiles of the whole pool as cuts."""
+    return quantiles(df, value, shares, by)
 
 
 def tercile(value: Column, cuts: Column) -> Column:

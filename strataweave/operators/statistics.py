@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataweave.functions.ratios import ratio0
+from strataweave.operators.ordered import quantiles, running
 
 
 def cohen_kappa(ratings: DataFrame, item: str, rater: str, score: str) -> DataFrame:
@@ -78,7 +79,7 @@ def item_response(responses: DataFrame, item: str, rater: str, correct: str) ->
 
 def eligibility(items: DataFrame, raters: int, value: str = "accuracy") -> DataFrame:
     """GOOD, WEAK or NO with the number of broken conditions: size, raters, spread, and three equally filled ranges of at least five."""
-    stats = items.agg(F.count("*").alias("n"), F.stddev_pop(value).alias("sd"), F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("c"))
+    stats = items.agg(F.count("*").alias("n"), F.stddev_pop(value).alias("sd")).crossJoin(F.broadcast(quantiles(items, value, (1 / 3, 2 / 3)).withColumnRenamed("cuts", "c")))  # one row each
     v = F.col(value)
     bins = items.crossJoin(F.broadcast(stats)).agg(F.max("n").alias("n"), F.max("sd").alias("sd"), F.count_if(v <= F.col("c")[0]).alias("low"), F.count_if((v >= F.col("c")[0]) & (v <= F.col("c")[1])).alias("mid"), F.count_if(v >= F.col("c")[1]).alias("high"))  # one row
     bad = sum((c.cast("int") for c in (F.lit(raters < 5), F.col("sd") < 0.1, F.least("low", "mid", "high") < 5)), (F.col("n") < 50).cast("int"))
@@ -88,8 +89,7 @@ def eligibility(items: DataFrame, raters: int, value: str = "accuracy") -> DataF
 def cliffs_delta(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     """P(a > b) - P(a < b) over all pairs, from counts by distinct value and their running sums, never from the pairs."""
     both = a.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("na")).join(b.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("nb")), "v", "full_outer").na.fill(0, ["na", "nb"])
-    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    run = both.withColumn("less", F.coalesce(F.sum("nb").over(below), F.lit(0)))
+    run = running(both, "v", {"less": F.col("nb")}, inclusive=False)
     total = run.agg(F.sum("na").alias("n"), F.sum("nb").alias("m"), F.sum(F.col("na") * F.col("less")).alias("gt"), F.sum(F.col("na") * (F.col("less") + F.col("nb"))).alias("ge"))
     return total.select((F.col("gt") + F.col("ge") - F.col("n") * F.col("m")).cast("double").alias("x"), F.col("n"), F.col("m")).select(F.try_divide(F.col("x"), (F.col("n") * F.col("m")).cast("double")).alias("delta"))
 
@@ -157,12 +157,12 @@ def friedman(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame
 
 def wilcoxon(df: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
     """Signed-rank sums and the normal two-sided p of paired differences, zeros split between the signs, with tie correction."""
-    d = df.withColumn("_a", F.abs(F.round(difference, 12)))
-    ranks = average_ranks(d, by, "_a")
-    ties = d.groupBy(*by, "_a").agg(F.count("*").alias("t")).groupBy(*by).agg(F.sum(F.when(F.col("_a") != 0, F.col("t") * F.col("t") * F.col("t") - F.col("t")).otherwise(0)).alias("ties"), F.sum(F.when(F.col("_a") == 0, F.col("t")).otherwise(0)).alias("zeros"))
-    half = F.when(F.col("_a") == 0, F.col("rank") / 2).otherwise(F.lit(0.0))
-    sums = ranks.groupBy(*by).agg(F.count("*").alias("n"), (F.sum(F.when(F.col(difference) > 1e-12, F.col("rank")).otherwise(0.0)) + F.sum(half)).alias("w_plus"), (F.sum(F.when(F.col(difference) < -1e-12, F.col("rank")).otherwise(0.0)) + F.sum(half)).alias("w_minus"))
-    s = sums.join(ties, list(by)) if by else sums.crossJoin(F.broadcast(ties))  # one row each
+    d = df.withColumn("_a", F.abs(F.round(difference, 12))).where("_a is not null")
+    signs = d.groupBy(*by, "_a").agg(F.count("*").alias("t"), F.count_if(F.col(difference) > 1e-12).alias("up"), F.count_if(F.col(difference) < -1e-12).alias("down"))
+    at = running(signs, "_a", {"less": F.col("t")}, by, inclusive=False).withColumn("rank", F.col("less") + (F.col("t") + 1) / 2)
+    zero, t = F.col("_a") == 0, F.col("t")
+    half = F.when(zero, F.col("rank") * t / 2).otherwise(0.0)
+    s = at.groupBy(*by).agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up") + half).alias("w_plus"), F.sum(F.col("rank") * F.col("down") + half).alias("w_minus"), F.sum(F.when(~zero, t * t * t - t).otherwise(0)).alias("ties"), F.sum(F.when(zero, t).otherwise(0)).alias("zeros"))
     n, z = F.col("n").cast("double"), F.col("zeros").cast("double")
     variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - F.col("ties") / 2) / 24
     score = F.try_divide(F.least("w_plus", "w_minus") - n * (n + 1) / 4, F.sqrt(variance))

@@ -1,9 +1,9 @@
 """All registered queries."""
 
-from strataweave.plans import graphs, models, sampling, scoring, streams, uncertainty
+from strataweave.plans import graphs, models, sampling, scoring, streams, text, triage, uncertainty
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for part in (scoring, sampling, graphs, uncertainty, streams, models):
+for part in (scoring, sampling, graphs, text, triage, uncertainty, streams, models):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.functions import parsing as P
-from strataweave.functions.identifiers import canonical_case, retag, retag_count
 from strataweave.operators import graph as G
 from strataweave.operators import metrics as M
 from strataweave.operators import render as R
 from strataweave.operators import routing as U
 from strataweave.plans.scoring import confusion_sql, grid_sql
-from strataweave.plans.tx import TX, VERDICTS, nibble, read, rounded, sql_nibble, test_part, tx, verdicts
+from strataweave.plans.tx import TX, VERDICTS, read, rounded, test_part, tx, verdicts
 
 QUERIES, ORACLES = {}, {}
 
@@ -115,12 +114,16 @@ def targeted_graph_text(spark, sf):
     return R.rendered(G.with_target(m, 5).where("kept"))
 
 
-@query("SELECT 0::BIGINT AS unequal_lines")
+def _recovered(members):
+    """The transfers read back from rendered texts, with how often each stands there."""
+    back = R.recovered(R.rendered(members)).select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))
+    return back.groupBy("case_id", "src", "dst", "amount").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MEMBERS} SELECT case_id, src, dst, printf('%.2f', amount)::DOUBLE AS amount, count(*) AS n FROM m GROUP BY ALL")
 def text_recovery(spark, sf):
     """Rendered lines read back are the transactions that were rendered."""
-    m = _members(spark, sf)
-    back = R.recovered(R.rendered(m)).select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))
-    return R.multiset_difference(back, m.select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))).agg(F.count("*").alias("unequal_lines"))
+    return _recovered(_members(spark, sf))
 
 
 # The cases above follow their SQL: a cap of 3 in the graph of the test part. Those below walk the graph of all edges with the
@@ -170,11 +173,9 @@ def targeted_graph_text_full(spark, sf):
     return R.rendered(G.with_target(m).where("kept"))
 
 
-@query(ORACLES["text_recovery"])
+@query(ORACLES["text_recovery"].replace(MEMBERS, FULL_MEMBERS))
 def text_recovery_full(spark, sf):
-    m = _full_members(spark, sf)
-    back = R.recovered(R.rendered(m)).select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))
-    return R.multiset_difference(back, m.select("case_id", "src", "dst", F.round("amount", 2).alias("amount"))).agg(F.count("*").alias("unequal_lines"))
+    return _recovered(_full_members(spark, sf))
 
 
 @query(f"WITH {TX}, l AS (SELECT payment_format, count(*) AS left_n FROM tx WHERE row_id % 3 = 0 GROUP BY ALL), r AS (SELECT payment_format, count(*) AS right_n FROM tx WHERE row_id % 3 = 1 GROUP BY ALL) SELECT payment_format, coalesce(left_n, 0) AS left_n, coalesce(right_n, 0) AS right_n FROM l FULL JOIN r USING (payment_format) WHERE coalesce(left_n, 0) <> coalesce(right_n, 0)")
@@ -291,74 +292,7 @@ def fusion_or_and_band(spark, sf):
     return x.select("model", "row_id", *[c.alias(n) for n, c in U.fused(F.col("p"), TAU, F.col("pred")).items()])
 
 
-# ---------------------------------------------------------------- text
-
-TRACE = "d AS (SELECT doc_id, text, lower(text) AS low, doc_id % 2 AS label FROM documents)"
-
-
-def hits(patterns) -> str:
-    return " + ".join("CASE WHEN regexp_matches(low, '" + p.replace("'", "''") + "') THEN 1 ELSE 0 END" for p in patterns)
-
-
-def _traces(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", "text", (F.col("doc_id") % 2).alias("label"))
-    return d.withColumn("outcome", F.when(F.col("label") == 0, "correct_benign").otherwise("typology_error"))
-
-
-@query(f"WITH {TRACE}, s AS (SELECT doc_id, CAST(({hits(P.PARSE)}) >= 2 AND length(text) >= 50 AS INT) AS parse, CAST(({hits(P.SURFACE)}) >= 2 AS INT) AS recall, CAST(({hits(P.MARKERS)}) >= 2 OR label = 0 AS INT) AS match, CASE WHEN label = 0 THEN 1 ELSE 0 END AS conclude FROM d) SELECT *, CASE WHEN parse = 0 THEN 'parse' WHEN recall = 0 THEN 'recall' WHEN match = 0 THEN 'match' WHEN conclude = 0 THEN 'conclude' ELSE 'all_pass' END AS first_fail FROM s")
-def lexical_scores(spark, sf):
-    """The four lexical steps of a trace and the first that fails."""
-    d = _traces(spark, sf)
-    s = d.select("doc_id", *[c.alias(n) for n, c in P.trace_scores(F.col("text"), F.col("outcome")).items()])
-    return s.withColumn("first_fail", P.first_fail(["parse", "recall", "match", "conclude"]))
-
-
-@query(f"WITH {TRACE}, w AS (SELECT d.doc_id, size, lower(left(text, size)) AS low FROM d CROSS JOIN (VALUES (500), (1000), (8000)) z(size)) SELECT size, count(*) FILTER (({hits(P.SURFACE)}) >= 1) AS recalled, count(*) AS n FROM w GROUP BY size")
-def prefix_truncation(spark, sf):
-    """How a score changes with the window of the trace that it sees: the sensitivity analysis, by design over several windows."""
-    d = _traces(spark, sf).withColumn("size", F.explode(F.array(F.lit(500), F.lit(1000), F.lit(8000))))
-    return d.groupBy("size").agg(F.count_if(P.flags(F.substring("text", F.lit(1), F.col("size")), P.SURFACE) >= 1).alias("recalled"), F.count("*").alias("n"))
-
-
-@query(f"WITH {TRACE}, f AS (SELECT doc_id, ({hits(P.PARSE)}) >= 1 AS a, ({hits(P.SURFACE)}) >= 1 AS b FROM d) SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS first_only, count(*) FILTER (b AND NOT a) AS second_only, count(*) FILTER (NOT a AND NOT b) AS neither FROM f")
-def rule_conjunctions(spark, sf):
-    d = _traces(spark, sf).select((P.flags(F.col("text"), P.PARSE) >= 1).alias("a"), (P.flags(F.col("text"), P.SURFACE) >= 1).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return d.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("first_only"), F.count_if(b & ~a).alias("second_only"), F.count_if(~a & ~b).alias("neither"))
-
-
-KINDS = [("Fan–Out (many).", "fan-out"), ("cycle, or stack", "cycle"), ("Scatter gather", "scatter-gather"), ("  BIPARTITE;", "bipartite"), ("none", "unknown")]
-
-
-def _spelled(spark, sf):
-    spelled = F.array(*[F.lit(a) for a, _ in KINDS])
-    return read(spark, sf, "documents").select("doc_id", F.element_at(spelled, (F.col("doc_id") % len(KINDS) + 1).cast("int")).alias("said"))
-
-
-@query("SELECT doc_id, [" + ", ".join(f"'{b}'" for _, b in KINDS) + f"][doc_id % {len(KINDS)} + 1] AS typology FROM documents")
-def typology_normalise(spark, sf):
-    return _spelled(spark, sf).select("doc_id", P.normalised_typology(F.col("said")).alias("typology"))
-
-
-@query(f"SELECT doc_id, doc_id % {len(KINDS)} < 4 AS illicit, 'doc ' || doc_id AS explanation, CASE WHEN doc_id % {len(KINDS)} < 4 THEN ['unknown', 'cycle', 'scatter-gather', 'bipartite'][doc_id % {len(KINDS)} + 1] END AS pred_typology, CASE WHEN doc_id % {len(KINDS)} < 4 THEN 0.8 ELSE 0.7 END::DOUBLE AS confidence, CASE WHEN doc_id % {len(KINDS)} < 4 THEN 0.8 ELSE 0.3 END::DOUBLE AS score FROM documents")
-def verdict_parse(spark, sf):
-    s = _spelled(spark, sf)
-    text = F.concat(F.lit("Explanation: doc "), F.col("doc_id").cast("string"), F.lit("\nPattern: "), F.col("said"), F.lit("\nConclusion: "), F.when(F.col("doc_id") % len(KINDS) < 4, "Suspicious").otherwise("Not suspicious"))
-    v = s.withColumn("text", text)
-    out = v.select("doc_id", *[c.alias(n) for n, c in P.verdict(F.col("text")).items()])
-    return rounded(out.withColumn("score", P.ranking_score(F.col("illicit"), F.col("confidence"))))
-
-
-@query("SELECT doc_id, 'case amlc_' || lpad((doc_id % 99999)::VARCHAR, 5, '0') || ' near acct_v2_9999 and v2_1' AS text, 1::BIGINT AS n, 'amlc_' || lpad((doc_id % 99999)::VARCHAR, 5, '0') AS canonical FROM documents")
-def retag_tokens(spark, sf):
-    number = F.lpad((F.col("doc_id") % 99999).cast("string"), 5, "0")
-    text = F.concat(F.lit("case v2_"), number, F.lit(" near acct_v2_9999 and v2_1"))
-    return read(spark, sf, "documents").select("doc_id", retag(text).alias("text"), retag_count(text).cast("bigint").alias("n"), canonical_case(F.concat(F.lit("v2_"), number)).alias("canonical"))
-
-
-@query("SELECT count(*) FILTER (regexp_matches(text, '(?i)\\b(is_?laundering|label|illicit|typology|ground[_ ]?truth)\\s*[:=]')) AS leaking, count(*) AS n FROM documents")
-def label_leak_guard(spark, sf):
-    return read(spark, sf, "documents").agg(F.count_if(P.leaks_label(F.col("text"))).alias("leaking"), F.count("*").alias("n"))
+# ---------------------------------------------------------------- tables
 
 
 @query("SELECT source, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, min(greatest(1, length(text) // 4)) AS least, max(greatest(1, length(text) // 4)) AS most FROM documents GROUP BY source")
@@ -367,12 +301,22 @@ def token_estimate(spark, sf):
     return read(spark, sf, "documents").groupBy("source").agg(F.sum(t).alias("tokens"), F.min(t).alias("least"), F.max(t).alias("most"))
 
 
-@query("SELECT lang, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY lang")
+LEVELS = (10, 20, 30, 40)
+_DIGESTS = "SELECT lang, doc_id >> 10 AS cell, sha256(string_agg(sha256(text), '' ORDER BY doc_id, sha256(text))) AS h, count(*) AS n FROM documents GROUP BY ALL"
+for _ in LEVELS[1:]:
+    _DIGESTS = f"SELECT lang, cell >> 10 AS cell, sha256(string_agg(h, '' ORDER BY cell)) AS h, sum(n)::BIGINT AS n FROM ({_DIGESTS}) GROUP BY ALL"
+
+
+@query(f"SELECT lang, sha256(string_agg(h, '' ORDER BY cell)) AS digest, sum(n)::BIGINT AS n FROM ({_DIGESTS}) GROUP BY lang")
 def sha256_manifest(spark, sf):
-    """Digests of texts, and one for each language over them in order of doc_id."""
-    d = read(spark, sf, "documents").select("lang", "doc_id", F.sha2("text", 256).alias("h"))
-    g = d.groupBy("lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"]), "").alias("all"), F.count("*").alias("n"))
-    return g.select("lang", F.sha2(F.col("all").cast("binary"), 256).alias("digest"), "n")
+    """Digests of texts, and one for each language over them: of 1,024 numbers of doc_id at a time, then of those digests, and so on."""
+    h = read(spark, sf, "documents").select("lang", F.shiftright("doc_id", 10).alias("cell"), F.struct(F.col("doc_id").alias("at"), F.sha2("text", 256).alias("h")).alias("x"), F.lit(1).cast("long").alias("n"))
+    for level in (*LEVELS[1:], None):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "")
+        h = h.groupBy("lang", "cell").agg(F.sha2(joined.cast("binary"), 256).alias("h"), F.sum("n").alias("n"))
+        h = h.select("lang", F.shiftright("cell", 10).alias("cell"), F.struct(F.col("cell").alias("at"), "h").alias("x"), "n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["h"]), "")
+    return h.groupBy("lang").agg(F.sha2(joined.cast("binary"), 256).alias("digest"), F.sum("n").alias("n"))
 
 
 @query("WITH old AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), new AS (SELECT source, lang, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY ALL) SELECT * FROM old WHERE (source, lang) NOT IN (SELECT (source, lang) FROM new) UNION ALL SELECT * FROM new")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from strataweave.functions.identifiers import case_id, case_number, match_key, node_id, numbered
 from strataweave.functions.ratios import ratio0, ratio_null
 from strataweave.operators import metrics as M
+from strataweave.operators.ordered import quantiles
 from strataweave.plans.tx import HEADS, MODELS, SCORED, TX, TYPOLOGIES, VERDICTS, heads, read, rounded, scorers, sql_nibble, test_part, tx, verdicts
 
 QUERIES, ORACLES = {}, {}
@@ -259,7 +260,10 @@ def transition_deep(spark, sf):
     a, b = F.col("ml") == F.col("label"), F.col("pred") == F.col("label")
     kind = F.when(a & b, "both_right").when(a, "first_only").when(b, "second_only").otherwise("both_wrong")
     each = [F.count_if(F.col("typology") == i).alias(f"class_{i}") for i in range(8)]
-    return rounded(e.withColumn("category", kind).groupBy("model", "category").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.percentile("p", F.lit(0.5)).alias("median_p"), F.stddev_samp("p").alias("sd_p"), *each))
+    e = e.withColumn("category", kind)
+    median = quantiles(e, "p", (0.5,), ["model", "category"]).select("model", "category", F.col("cuts")[0].alias("median_p"))
+    got = e.groupBy("model", "category").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.stddev_samp("p").alias("sd_p"), *each)
+    return rounded(got.join(median, ["model", "category"], "left"))
 
 
 @query(f"WITH {TX}, {VERDICTS} SELECT typology, " + ", ".join(f"round(avg(pred) FILTER (model = '{m}'), 6) AS {m}" for m in MODELS) + " FROM v WHERE label = 1 AND typology >= 0 GROUP BY typology")
@@ -292,7 +296,7 @@ SELECT model, payment_format, label, count(*) FILTER (pred = label) AS right_k,
 count(*) FILTER (pred = 1 AND typed) AS typed_k, count(*) FILTER (typed) AS typed_n, round(count(*) FILTER (pred = 1 AND typed) / nullif(count(*) FILTER (typed), 0), 6) AS typed_rate FROM g GROUP BY GROUPING SETS ((), (model), (payment_format), (label), (model, payment_format), (model, label))""")
 def group_rollups(spark, sf):
     """Overlapping groups in one pass, with null rates where nothing is eligible."""
-    return rounded(M.rates_over(verdicts(test_part(spark, sf)), "(), (model), (payment_format), (label), (model, payment_format), (model, label)", {"right": ("pred = label", "true"), "typed": ("pred = 1", "label = 1 AND typology >= 0")}))
+    return rounded(M.rates_over(verdicts(test_part(spark, sf)), [(), ("model",), ("payment_format",), ("label",), ("model", "payment_format"), ("model", "label")], {"right": ("pred = label", "true"), "typed": ("pred = 1", "label = 1 AND typology >= 0")}))
 
 
 @query(f"WITH {TX}, c AS (SELECT *, row_id % 2 = 0 AS present FROM t), {VERDICTS} SELECT present, model, round(count(*) FILTER (label = 0 AND pred = 1) / nullif(count(*) FILTER (label = 0), 0), 6) AS benign_flag_rate, round(count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (label = 1), 0), 6) AS illicit_recall FROM (SELECT *, row_id % 2 = 0 AS present FROM v) GROUP BY ALL")
@@ -313,7 +317,7 @@ def average_precision(spark, sf):
 
 @query(f"WITH {CURVE} SELECT round(score, 6) AS score, CAST(tp AS BIGINT) AS tp, CAST(flagged - tp AS BIGINT) AS fp, round(tp / flagged, 6) AS precision, round(tp / positives, 6) AS recall FROM k")
 def pr_curve(spark, sf):
-    return rounded(M.pr_curve(test_part(spark, sf)).drop("positives"))
+    return rounded(M.pr_curve(test_part(spark, sf)).drop("positives", "pos", "neg"))
 
 
 @query(f"WITH {TX} SELECT row_id, 'amlc_' || lpad(row_id::VARCHAR, greatest(5, length(row_id::VARCHAR))::INTEGER, '0') AS case_id, row_id AS number, CASE typology " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPOLOGIES)) + " END AS name FROM t")
