@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataweave.functions.identifiers import draw
+from strataweave.session import written
 
 
 def both_ends(edges: DataFrame) -> DataFrame:
@@ -54,12 +55,13 @@ def k_hop(cases: DataFrame, edges: DataFrame, hops: int = 2, cap: int = 50, seed
     random draw. Each hop is one join on the frontier, which the cap bounds.
     """
     near = neighbours(edges)
-    seen = cases.select("case_id", "node").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    seen = frontier = written(cases.select("case_id", "node").distinct().withColumn("hop", F.lit(0)), "hop")
     for h in range(1, hops + 1):
         step = frontier.select("case_id", "node").join(near, "node").join(seen.select("case_id", F.col("node").alias("other")), ["case_id", "other"], "left_anti")
         new = capped(step, ["case_id", "node"], draw(seed, F.col("case_id"), F.col("node"), F.col("other")), cap)
         frontier = new.select("case_id", F.col("other").alias("node")).distinct().withColumn("hop", F.lit(h))
+        if h < hops:  # the next hop reads it three times
+            frontier = written(frontier, "hop")
         seen = seen.unionByName(frontier)
     return seen
 
@@ -83,16 +85,17 @@ def with_target(members: DataFrame, budget: int | None = None) -> DataFrame:
 
 
 def case_stats(members: DataFrame) -> DataFrame:
-    """Transactions, accounts, volume, mean, least and largest amount, elapsed seconds, largest in and out degree of each case."""
-    base = members.groupBy("case_id").agg(F.count("*").alias("n"), F.sum("amount").alias("volume"), F.avg("amount").alias("mean_amount"), F.min("amount").alias("min_amount"), F.max("amount").alias("max_amount"), (F.max("epoch_s") - F.min("epoch_s")).alias("elapsed_s"))
-    accounts = members.select("case_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("case_id").agg(F.countDistinct("node").alias("accounts"))
+    """Transactions, accounts, volume, mean, least and largest amount, elapsed seconds, largest in and out degree of each case.
 
-    def degree(end: str, name: str) -> DataFrame:
-        d = members.groupBy("case_id", F.col(end).alias("node")).count()
-        best = F.min_by(F.struct(F.col("node"), F.col("count")), F.struct(-F.col("count"), F.col("node")))
-        return d.groupBy("case_id").agg(best.alias("x")).select("case_id", F.col("x.count").alias(f"max_{name}"), F.col("x.node").alias(f"max_{name}_node"))
-
-    return base.join(accounts, "case_id").join(degree("dst", "in"), "case_id").join(degree("src", "out"), "case_id")
+    One pass: both ends of each edge, summed by account and then by case; amounts and times go with the sender's end.
+    """
+    own = F.struct(F.col("src").alias("node"), F.lit(0).alias("ins"), F.lit(1).alias("outs"), "amount", "epoch_s")
+    other = F.struct(F.col("dst").alias("node"), F.lit(1).alias("ins"), F.lit(0).alias("outs"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("bigint").alias("epoch_s"))
+    ends = members.select("case_id", F.explode(F.array(own, other)).alias("e")).select("case_id", "e.*")
+    at = ends.groupBy("case_id", "node").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), F.sum("amount").alias("amount"), F.min("amount").alias("least"), F.max("amount").alias("most"), F.min("epoch_s").alias("first"), F.max("epoch_s").alias("last"))
+    best = lambda c: F.min_by(F.struct("node", c), F.struct(-F.col(c), F.col("node")))
+    sums = at.groupBy("case_id").agg(F.sum("outs").alias("n"), F.sum("amount").alias("volume"), F.min("least").alias("min_amount"), F.max("most").alias("max_amount"), (F.max("last") - F.min("first")).alias("elapsed_s"), F.count("*").alias("accounts"), best("ins").alias("_in"), best("outs").alias("_out"))
+    return sums.select("case_id", "n", "volume", (F.col("volume") / F.col("n")).alias("mean_amount"), "min_amount", "max_amount", "elapsed_s", "accounts", F.col("_in.ins").alias("max_in"), F.col("_in.node").alias("max_in_node"), F.col("_out.outs").alias("max_out"), F.col("_out.node").alias("max_out_node"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -106,6 +109,17 @@ def trailing(edges: DataFrame, key: str, seconds: int = 86_400) -> DataFrame:
     return edges.select("row_id", F.col(key).alias("account"), F.count("*").over(w).alias("degree"), F.size(F.collect_set("dst" if key == "src" else "src").over(w)).cast("bigint").alias("fan"), F.sum(a).over(w).alias("sum_amount"), F.avg(a).over(w).alias("mean_amount"), F.var_pop(a).over(w).alias("var_amount"), F.max(a).over(w).alias("max_amount"))
 
 
+#: Parts into which the pairs of edges at one account and time cell are dealt, by both edges' numbers.
+PARTS = 4
+
+
+def _two_hop(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """``first`` (with _a) joined with ``second`` (with _b) on the keys, in PARTS * PARTS parts, so that a hub's in and out edges don't all meet in one task."""
+    a = first.withColumn("_a", F.pmod(F.xxhash64("_a"), F.lit(PARTS))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    b = second.withColumn("_b", F.pmod(F.xxhash64("_b"), F.lit(PARTS))).withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    return a.join(b, [*keys, "_a", "_b"]).drop("_a", "_b")
+
+
 def scatter_gather(edges: DataFrame, seconds: int = 21_600) -> DataFrame:
     """(source, target, n_mid): distinct intermediaries of two-hop paths source, mid, target within the window, two at least.
 
@@ -113,9 +127,9 @@ def scatter_gather(edges: DataFrame, seconds: int = 21_600) -> DataFrame:
     join is on (mid, cell), and no account's whole history meets itself.
     """
     cell = F.floor(F.col("epoch_s") / seconds)
-    a = edges.select(F.col("src").alias("source"), F.col("dst").alias("mid"), F.col("epoch_s").alias("t1"), F.explode(F.array(cell, cell + 1)).alias("cell"))
-    b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("target"), F.col("epoch_s").alias("t2"), cell.alias("cell"))
-    paths = a.join(b, ["mid", "cell"]).where(f"t2 >= t1 and t2 - t1 <= {seconds} and source != target and mid != source and mid != target")
+    a = edges.select(F.col("src").alias("source"), F.col("dst").alias("mid"), F.col("epoch_s").alias("t1"), F.col("row_id").alias("_a"), F.explode(F.array(cell, cell + 1)).alias("cell"))
+    b = edges.select(F.col("src").alias("mid"), F.col("dst").alias("target"), F.col("epoch_s").alias("t2"), F.col("row_id").alias("_b"), cell.alias("cell"))
+    paths = _two_hop(a, b, ["mid", "cell"]).where(f"t2 >= t1 and t2 - t1 <= {seconds} and source != target and mid != source and mid != target")
     return paths.groupBy("source", "target").agg(F.countDistinct("mid").alias("n_mid")).where("n_mid >= 2")
 
 
@@ -123,8 +137,8 @@ def temporal_cycles(edges: DataFrame, seconds: int = 86_400) -> DataFrame:
     """(e1, e2, e3): cycles of three edges in ascending time within the window, of three different accounts."""
     cell = F.floor(F.col("epoch_s") / seconds)
     side = lambda i, x, y, late: edges.select(F.col("src").alias(x), F.col("dst").alias(y), F.col("row_id").alias(f"e{i}"), F.col("epoch_s").alias(f"t{i}"), (F.explode(F.array(cell, cell + 1)) if late else cell).alias("cell"))
-    first = side(1, "a", "b", True)
-    two = first.join(side(2, "b", "c", False), ["b", "cell"]).where(f"t2 > t1 and t2 - t1 <= {seconds} and a != c and a != b and b != c").drop("cell")
+    first = side(1, "a", "b", True).withColumn("_a", F.col("e1"))
+    two = _two_hop(first, side(2, "b", "c", False).withColumn("_b", F.col("e2")), ["b", "cell"]).where(f"t2 > t1 and t2 - t1 <= {seconds} and a != c and a != b and b != c").drop("cell")
     two = two.withColumn("cell", F.explode(F.array(F.floor(F.col("t1") / seconds), F.floor(F.col("t1") / seconds) + 1)))
     return two.join(side(3, "c", "a", False), ["a", "c", "cell"]).where(f"t3 > t2 and t3 - t1 <= {seconds}").select("e1", "e2", "e3")
 

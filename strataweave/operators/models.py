@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataweave.functions.identifiers import draw
 from strataweave.operators import metrics as M
 from strataweave.operators import sampling as S
 from strataweave.operators.graph import capped, neighbours
+from strataweave.session import written
 
 
 def normalised(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None, clip: float = 10.0) -> DataFrame:
@@ -75,18 +78,22 @@ def wrapped(df: DataFrame, tau: float, head: str) -> DataFrame:
 def random_walk(edges: DataFrame, starts: DataFrame, steps: int, teleport: float = 0.15, seed: int = 42) -> DataFrame:
     """(walker, step, node): walkers move to a neighbour by hash, or back to their start with the probability of teleport.
 
-    All walkers move at once: a step is one join on the nodes they stand on, and the choice of a neighbour one aggregate.
+    All walkers move at once. Neighbours are numbered once, by hash; a walker draws a number and takes that neighbour in
+    one join on (node, number), so a hub's neighbours never meet a walker. Each step is written before the next one.
     """
-    near = neighbours(edges)
-    here = starts.select("walker", "node", F.col("node").alias("start")).withColumn("step", F.lit(0))
-    out = here
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "walker"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    near = neighbours(edges).withColumn("_draw", draw(seed, F.col("node"), F.col("other")))
+    near = written(near.withColumn("_i", F.row_number().over(Window.partitionBy("node").orderBy("_draw", "other")) - 1).select("node", "other", "_i"), "neighbours")
+    degree = written(near.groupBy("node").agg(F.count("*").alias("_n")), "degrees")
+    here = written(starts.select("walker", "node", F.col("node").alias("start")).withColumn("step", F.lit(0)), "walk")
+    out = [here]
+    u = lambda s, what: F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{what}|{s}"), F.col("walker").cast("string"))), 1, 12), 16, 10).cast("bigint"), F.lit(1 << 30))
     for s in range(1, steps + 1):
-        moved = here.join(near, "node", "left").groupBy("walker", "node", "start").agg(F.min_by("other", draw(f"{seed}|{s}", F.col("walker"), F.col("other"))).alias("next"))
-        there = F.when(u(s) < teleport, F.col("start")).otherwise(F.coalesce("next", "start"))
-        here = moved.select("walker", there.alias("node"), "start").withColumn("step", F.lit(s))
-        out = out.unionByName(here)
-    return out.select("walker", "step", "node")
+        drawn = here.join(degree, "node", "left").withColumn("_i", u(s, "move") % F.col("_n"))
+        moved = drawn.join(near, ["node", "_i"], "left")
+        there = F.when(u(s, "home") < int(teleport * (1 << 30)), F.col("start")).otherwise(F.coalesce("other", "start"))
+        here = written(moved.select("walker", there.alias("node"), "start").withColumn("step", F.lit(s)), "walk")
+        out.append(here)
+    return reduce(DataFrame.unionByName, out).select("walker", "step", "node")
 
 
 def bounded_cycles(edges: DataFrame, length: int = 4, seconds: int = 86_400) -> DataFrame:
@@ -116,8 +123,6 @@ def smallest_design(df: DataFrame, sizes: Sequence[int], seeds: Sequence[int], t
     each = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_d", draw(F.col("seed"), F.col("row_id")))
     most = each.select("seed", "label").distinct().withColumn("take", F.lit(max(sizes)).cast("bigint"))
     near = S.first_ranked(each, ["seed", "label"], "_d", most)
-    from pyspark.sql.window import Window
-
     near = near.withColumn("_r", F.row_number().over(Window.partitionBy("seed", "label").orderBy("_d"))).withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where("_r <= size")
     got = M.prf(near.withColumn("pred", (F.col("p") >= tau).cast("int")), ["size", "seed"])
     return got.crossJoin(F.broadcast(truth)).select("size", "seed", F.abs(F.col("f1") - F.col("truth")).alias("d_f1"), (F.abs(F.col("f1") - F.col("truth")) <= tolerance).alias("feasible"))  # one row

@@ -83,24 +83,29 @@ def alignment_check(spark, sf):
     return rounded(v.groupBy("model").agg(F.count("*").alias("n"), F.count_if(F.col("typology") == F.col("pred_typology")).alias("agree"), (other / F.count("*")).alias("mismatch")))
 
 
-@query(f"WITH {TX}, {VERDICTS}, c AS ({confusion_sql('v', 'model, run')}), p AS (SELECT model, run, round(f1, 3) AS published FROM c) SELECT model, run, round(abs(f1 - published), 6) AS off, abs(f1 - published) <= 0.06 AS ok FROM c JOIN p USING (model, run)")
+@query(f"WITH {TX}, {VERDICTS}, c AS ({confusion_sql('v', 'model, run')}), p AS (SELECT model, f1 AS published FROM c WHERE run = 0) SELECT model, round(abs(f1 - published), 6) AS off, abs(f1 - published) <= 0.06 AS ok FROM c JOIN p USING (model) WHERE run = 1")
 def published_numbers(spark, sf):
-    """Recomputed numbers against published ones, within a tolerance."""
+    """Numbers recomputed from the second run against those of the first, within a tolerance."""
     from strataweave.operators import metrics as M
 
     c = M.prf(verdicts(test_part(spark, sf)), ["model", "run"]).select("model", "run", "f1")
-    p = c.select("model", "run", F.round("f1", 3).alias("published"))
+    p = c.where("run = 0").select("model", F.col("f1").alias("published"))
     off = F.abs(F.col("f1") - F.col("published"))
-    return rounded(c.join(p, ["model", "run"]).select("model", "run", off.alias("off"), (off <= 0.06).alias("ok")))
+    return rounded(c.where("run = 1").join(p, "model").select("model", off.alias("off"), (off <= 0.06).alias("ok")))
 
 
-@query("SELECT doc_id, CAST(doc_id % 2 AS INTEGER) AS parse, CAST(doc_id % 3 AS INTEGER) AS recall FROM documents")
+JUDGED = "j AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN b WHEN 1 THEN 'Scores:' || chr(10) || '```json' || chr(10) || b || chr(10) || '```' WHEN 2 THEN left(coalesce(text, ''), 20) || ' ' || b || ' so much' WHEN 3 THEN 'none given' ELSE left(b, 12) END AS said FROM (SELECT doc_id, text, '{\"parse\": ' || doc_id % 2 || ', \"recall\": ' || doc_id % 3 || '}' AS b FROM documents))"
+
+
+@query(f"""WITH {JUDGED}, x AS (SELECT doc_id, regexp_extract(said, '\\{{[^{{}}]*"parse"[^{{}}]*\\}}') AS o FROM j) SELECT doc_id, TRY_CAST(regexp_extract(o, '"parse": (\\d)', 1) AS INT) AS parse, TRY_CAST(regexp_extract(o, '"recall": (\\d)', 1) AS INT) AS recall FROM x""")
 def judge_json(spark, sf):
-    """Scores from answers that are JSON, or JSON behind a fence with text around."""
+    """Scores from answers that are JSON, JSON behind a fence, JSON amid text, cut off, or absent."""
     d = read(spark, sf, "documents")
+    kind = F.col("doc_id") % 5
     body = F.concat(F.lit('{"parse": '), (F.col("doc_id") % 2).cast("string"), F.lit(', "recall": '), (F.col("doc_id") % 3).cast("string"), F.lit("}"))
-    said = F.when(F.col("doc_id") % 2 == 0, body).otherwise(F.concat(F.lit("Scores:\n```json\n"), body, F.lit("\n```")))
-    s = P.judge_scores(said)
+    fenced = F.concat(F.lit("Scores:\n```json\n"), body, F.lit("\n```"))
+    amid = F.concat(F.substring(F.coalesce("text", F.lit("")), 1, 20), F.lit(" "), body, F.lit(" so much"))
+    s = P.judge_scores(F.when(kind == 0, body).when(kind == 1, fenced).when(kind == 2, amid).when(kind == 3, "none given").otherwise(F.substring(body, 1, 12)))
     return d.select("doc_id", s["parse"].alias("parse"), s["recall"].alias("recall"))
 
 
@@ -109,7 +114,14 @@ def exhaustive_design_search(spark, sf):
     return rounded(L.smallest_design(test_part(spark, sf), [20, 50, 100], [1, 2, 3], TAU))
 
 
-@query()
+_DRAW = "CAST(('0x' || substr(md5('42|{what}|' || (s.step + 1) || '|' || s.walker), 1, 12)) AS BIGINT) % 1073741824"
+
+
+@query(f"""WITH RECURSIVE {TX}, nb AS (SELECT DISTINCT src AS node, dst AS other FROM t WHERE src <> dst UNION SELECT dst, src FROM t WHERE src <> dst),
+nr AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5('42|' || node || '|' || other), other) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM nb),
+s(walker, node, start, step) AS (SELECT row_id, src, src, 0 FROM t WHERE label = 1
+UNION ALL SELECT s.walker, CASE WHEN {_DRAW.format(what='home')} < {int(0.15 * (1 << 30))} THEN s.start ELSE coalesce(nr.other, s.start) END, s.start, s.step + 1 FROM s LEFT JOIN nr ON nr.node = s.node AND nr.i = {_DRAW.format(what='move')} % nr.n WHERE s.step < 8)
+SELECT node, count(*) AS visits FROM s GROUP BY node""")
 def random_walk_nodes(spark, sf):
     """Nodes that walkers from the illicit rows reach in eight steps, with their visits."""
     t = test_part(spark, sf)

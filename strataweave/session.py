@@ -1,6 +1,8 @@
 """A session with the settings that this library counts on."""
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Set by the cluster's owner or left to Spark: masters, memory, shuffle partitions. AQE sizes the partitions.
 SETTINGS = {
@@ -22,3 +24,10 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse if that is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: they are computed once, and the loss of an executor loses none."""
+    path = f"{shared_folder(df.sparkSession)}/strataweave/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
