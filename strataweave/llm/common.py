@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of its own if that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, one of its own in local mode, else an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataweave-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -36,6 +38,17 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fitting(sizes: np.ndarray, budget: int) -> np.ndarray:
+    """Which rows of a sample to keep, in order: those that still fit into the budget, none of them over a sixteenth of it unless it is the only one."""
+    keep, used = np.zeros(len(sizes), bool), 0
+    for i, size in enumerate(sizes.tolist()):
+        if size <= budget // 16 and used + size <= budget:
+            keep[i], used = True, used + size
+    if len(sizes) and not keep.any():
+        keep[int(np.argmin(sizes))] = True
+    return keep
+
+
 def bucket_of(*columns: Column) -> Column:
     """A bucket that spreads the rows of any group, from a stable hash of the columns."""
     return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])), 1, BUCKET_DIGITS)

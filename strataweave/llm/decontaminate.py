@@ -10,11 +10,14 @@ from the positions of their rarest term and intersect, in order of rarity, the o
 offsets; for all queries at once, in numpy. With ``slop`` 0 a match is an exact phrase. Otherwise it is a proximity
 match: each term stands within ``slop`` words of its place relative to the rarest term.
 
-Test items are read in blocks of bounded size, one pass over the index for each, so the benchmark may be large too.
+Test items are read in blocks of bounded size, one pass over the index for each, so the benchmark may be large too. A
+block goes to the tasks as sorted arrays of term hashes.
 
 Defined results: null texts have no words; items without words are never found; a row with a null item_id marks words
 but is not counted or named; an item that occurs twice counts once; each document row is judged by itself. Without
-items nothing is hit; an empty table gives an empty result. Other columns are not looked at.
+items nothing is hit; an empty table gives an empty result. A very long text is one document of its segment, whole.
+Ties cannot occur, as marks are sets of words and items are named in order. Other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -78,16 +81,19 @@ class Queries:
                 self.names.append(name)
             for j in range(max(1, n - window + 1) if n else 0):
                 runs.setdefault(own[j : j + window].tobytes(), (own[j : j + window], set()))[1].add(i)
-        self.runs = [r for r, _ in runs.values()]
-        self.items = [sorted(s) for _, s in runs.values()]
-        self.length = np.array([len(r) for r in self.runs], np.int64)
-        self.vocabulary, self.of = np.unique(np.concatenate([*self.runs, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.length = np.array([len(r) for r, _ in runs.values()], np.int64)
+        self.vocabulary, self.of = np.unique(np.concatenate([*(r for r, _ in runs.values()), np.zeros(0, np.uint64)]), return_inverse=True)
         self.first = np.cumsum(self.length) - self.length
+        self.held_by = np.array([i for _, s in runs.values() for i in sorted(s)], np.int64)  # the items of each run, end to end
+        self.borders = np.cumsum([0, *(len(s) for _, s in runs.values())])
+
+    def items_of(self, run: int) -> list[int]:
+        return self.held_by[self.borders[run] : self.borders[run + 1]].tolist()
 
     def search(self, terms: np.ndarray, sizes: np.ndarray, places: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """(run, position) of each match in a segment; positions sorted within each term's list."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(self.runs) or not len(terms):
+        if not len(self.length) or not len(terms):
             return none
         slot = np.minimum(np.searchsorted(terms, self.vocabulary), len(terms) - 1)
         have = terms[slot] == self.vocabulary
@@ -137,7 +143,7 @@ def _matches(queries: Queries, slop: int):
                 for f, r, p in zip(found.tolist(), row.tolist(), (at - starts[row]).tolist() if len(at) else []):
                     marks, items = by.setdefault(r, ([], set()))
                     marks.append((max(p - slop, 0), min(p + int(queries.length[f]) + slop, int(counts[r]))))
-                    items.update(queries.items[f])
+                    items.update(queries.items_of(f))
                 for r, n in enumerate(counts.tolist()):
                     marks, items = by.get(r, ([], set()))
                     out["segment"].append(take("segment").as_py())
@@ -179,6 +185,8 @@ def find(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, bl
         part = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(passes)) == i) if passes > 1 else items
         queries = Queries(part.toPandas().sort_values(["item_id", "text"], na_position="last", ignore_index=True), window)  # ``block`` bytes or so
         one = index.mapInArrow(_matches(queries, slop), "segment long, row int, doc_id long, n_words long, marks array<long>, items array<string>")
+        if passes > 1:  # so that the driver holds the items of one pass at a time
+            one = written(one, "decontaminate-found")
         found = one if found is None else found.union(one)
     if passes > 1:
         found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("marks").alias("marks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -6,12 +6,15 @@ a linear layer with a softmax. Both are linear, so for prediction they fold into
 and scoring is a lookup for each byte.
 
 Training takes a bounded sample: about ``rows`` texts and at most ``max_bytes`` bytes for each of at most
-``languages`` languages (the most frequent; counted over all rows), chosen by a hash of doc_id. A fifth of it calibrates
+``languages`` languages (the most frequent; counted over all rows), chosen by a hash of doc_id, whole texts of up to a
+sixteenth of the bytes (the shortest one if all are longer). A fifth of it calibrates
 the temperature of the softmax and the least score whose predictions reach ``precision``; below it a prediction is
 marked as not accepted.
 
 Defined results: null texts and texts without a letter get ``und`` with score 0, as does everything if no row has a
-language; a null doc_id is never held out. An empty table gives an empty result. Other columns are not looked at.
+language; a null doc_id is never held out. A very long text is scored whole; repeated rows get equal results, as a
+score comes from the text alone, whatever rows stand beside it; ties go to the first language by name. An empty table
+gives an empty result. Other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import utf8_column, written
+from strataweave.llm.common import fitting, utf8_column, written
 from strataweave.llm.quality import held_out
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (3, 4)
@@ -112,8 +115,7 @@ def train(documents: DataFrame, rows: int = 1500, max_bytes: int = 4 << 20, lang
     drawn = known.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)).alias("draw"))
     sample = written(drawn.join(F.broadcast(most), "lang").where("draw < most"), "language-sample")  # ``languages`` rows at most
     sizes = sample.select("doc_id", "lang", "draw", F.octet_length("text").alias("bytes")).toPandas().sort_values(["lang", "draw", "doc_id"])
-    first = ~sizes["lang"].duplicated()
-    sizes = sizes[(sizes.groupby("lang")["bytes"].cumsum() <= max_bytes) | first]
+    sizes = sizes[sizes.groupby("lang")["bytes"].transform(lambda x: fitting(x.to_numpy(), max_bytes)).astype(bool)]
     texts = sample.join(F.broadcast(documents.sparkSession.createDataFrame(sizes[["doc_id"]], "doc_id long").distinct()), "doc_id", "left_semi").toPandas().sort_values(["lang", "draw", "doc_id", "text"])
     return fit(texts["text"].tolist(), texts["lang"].tolist())
 

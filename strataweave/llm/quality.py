@@ -6,11 +6,14 @@ dictionary. The feature is (bad - good) / (bad + good) of the summed sizes; a lo
 texts that no dictionary saw and weighted to the shares of the two labels, turns it into a probability.
 
 The model learns from a bounded sample: about ``rows`` texts and at most ``max_bytes`` bytes for each label, taken by
-a hash of doc_id; the shares of the labels are counted over all of them. Scoring is one pass without a shuffle.
+a hash of doc_id, whole texts of up to a sixteenth of the bytes; the shares of the labels are counted over all of them.
+Scoring is one pass without a shuffle.
 
 Defined results: null and empty texts score as texts of size 0; a null doc_id is never held out; without labels of
 both kinds, the score is the share of good among the labels, 0.5 without any; a doc_id labelled twice counts twice
-if the labels differ. An empty table gives an empty result. Other columns are not looked at.
+if the labels differ. A very long text is scored whole, piece by piece; repeated rows get equal scores, as a score comes
+from the text alone; a score of exactly the threshold is predicted 1. An empty table gives an empty result. Other
+columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import written
+from strataweave.llm.common import fitting, written
 
 PIECE, DICTIONARY, LEVEL = 256, 112_640, 3
 FOLDS = 5
@@ -94,7 +97,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = 4000, max_bytes:
     chosen = labels.withColumn("draw", draw).where(F.col("draw") < most)  # about ``rows`` of each label, so a few hundred kB at most
     sample = written(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("length(text) > 0"), "quality-sample")
     sizes = sample.select("doc_id", "quality", "draw", F.octet_length("text").alias("bytes")).toPandas().sort_values(["quality", "draw", "doc_id"])
-    sizes = sizes[sizes.groupby("quality")["bytes"].cumsum() <= max_bytes]
+    sizes = sizes[sizes.groupby("quality")["bytes"].transform(lambda x: fitting(x.to_numpy(), max_bytes)).astype(bool)]
     kept = sample.join(F.broadcast(documents.sparkSession.createDataFrame(sizes[["doc_id", "quality", "bytes"]], "doc_id long, quality int, bytes int")), ["doc_id", "quality"], "left_semi") if len(sizes) else sample.limit(0)
     texts = kept.toPandas().sort_values(["quality", "draw", "doc_id", "text"])
     if texts["quality"].nunique() < 2:

@@ -6,7 +6,8 @@ and no record looks at another, so placement is one projection. Only the slots (
 shuffle; they are counted by buckets, as one shard holds too many rows for one task.
 
 Defined results: a null key counts as the key "" and a null text as empty; rows that repeat a key share its shard
-and get slots of their own; equal rows may swap slots; an empty table gives an empty result. Columns that come with
+and get slots of their own; equal rows may swap slots; equal draws (ties) go to the lowest shard; a very long text moves
+as any other row and is never cut; an empty table gives an empty result. Columns that come with
 the input stay, apart from those of the result's names, which are replaced.
 """
 

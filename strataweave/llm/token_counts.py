@@ -17,7 +17,8 @@ byte-level BPE, short texts are counted by tiktoken's faster merge loop over the
 gives the same tokens (tests compare the two). Tokenizers without such a pre-tokenizer encode each text at once.
 
 Defined results: null counts as the empty text, with 0 bytes and 0 tokens; rows are independent of each other, so
-repeated rows repeat results. An empty table gives an empty result. Other columns stay where ``keep`` is set.
+repeated rows repeat results, and ties cannot occur; a very long text is counted whole, in overlapping chunks. An empty
+table gives an empty result. Other columns stay where ``keep`` is set, apart from those of the result's names.
 """
 
 from __future__ import annotations

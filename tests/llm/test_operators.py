@@ -91,6 +91,38 @@ def test_quality(spark, docs, odd, none):
     assert (same.good, same.bad, same.slope, same.offset) == (model.good, model.bad, model.slope, model.offset)
 
 
+def test_quality_scores_by_hand(spark, docs, odd):
+    """Scores are those of plain compression of pieces, for odd rows too and under clashing names; labels are learnt, on held-out rows as well."""
+    import zstandard
+
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+
+    def brute(text):
+        data = (text or "").encode()
+        cut = [data[i : i + 256] for i in range(0, max(len(data), 1), 256)]
+        good, bad = (sum(len(p.compress(c)) for c in cut) for p in packers)
+        return 1 / (1 + math.exp(-(model.slope * (bad - good) / (bad + good) + model.offset)))
+
+    for df in (docs, odd.withColumn("score", F.lit("x")).withColumn("quality", F.lit(9))):
+        want = Counter((r["doc_id"], round(brute(r["text"]), 9)) for r in df.collect())
+        assert Counter((r["doc_id"], round(r["score"], 9)) for r in quality.score(df, model).collect()) == want
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    held = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) >= 10 and sum(a == b for a, b in held) / len(held) > 0.8
+
+
+def test_one_huge_text_leaves_the_sample_whole():
+    import numpy as np
+
+    from strataweave.llm.common import fitting
+
+    assert fitting(np.array([1000, 5, 5, 5]), 100).tolist() == [False, True, True, True]
+    assert fitting(np.array([6] * 20), 100).sum() == 16
+    assert fitting(np.array([900, 700]), 100).tolist() == [False, True] and fitting(np.array([], dtype=int), 5).tolist() == []
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -514,12 +546,36 @@ def test_language(spark, docs, odd, none):
     assert {r["lang_pred"] for r in language.predict(odd, language.train(none)).collect()} == {"und"}
 
 
-def test_language_in_pieces(docs, monkeypatch):
+def brute_language(model, text):
+    """The best language of one text and its score, gram by gram."""
+    data = (text or "").encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    plain = [b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in data] + [32] * 3
+    total = [0.0] * len(model.names)
+    for n in (3, 4):
+        for i in range(len(data)):
+            x = 0
+            for b in plain[i : i + n]:
+                x = (x * 0x01000193 + b) % 2**32
+            x = ((x ^ (x >> 15)) * 0x85EBCA6B) % 2**32
+            for j, v in enumerate(model.logits[x >> 17].tolist()):
+                total[j] += v
+    mean = [t / (2 * len(data)) for t in total]
+    weights = [math.exp(m - max(mean)) for m in mean]
+    best = max(range(len(mean)), key=lambda j: (mean[j], -j))
+    return model.names[best], weights[best] / sum(weights)
+
+
+@pytest.mark.parametrize("step", [language.STEP, 1 << 10])
+def test_language_scores_by_hand(spark, docs, odd, step, monkeypatch):
+    """Predictions and scores are those of a plain sum over each text, in any order of rows and size of pieces, under clashing names."""
+    monkeypatch.setattr(language, "STEP", step)
     model = language.train(docs)
-    whole = sorted(map(tuple, language.predict(docs.limit(40), model).collect()))
-    monkeypatch.setattr(language, "STEP", 1 << 10)
-    parts = sorted(map(tuple, language.predict(docs.limit(40), model).collect()))
-    assert [x[:3] for x in whole] == [x[:3] for x in parts]
+    for df in (docs.limit(60), odd.where("doc_id != 7").withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit(1))):
+        want = Counter((r["doc_id"], brute[0], round(brute[1], 5)) for r in df.collect() for brute in [brute_language(model, r["text"])])
+        for rows in (df, df.orderBy(F.desc("doc_id")).coalesce(1)):
+            assert Counter((r["doc_id"], r["lang_pred"], round(r["score"], 5)) for r in language.predict(rows, model).collect()) == want
 
 
 def test_language_scores_do_not_depend_on_neighbours(docs, spark):
