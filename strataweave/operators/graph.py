@@ -103,10 +103,38 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def trailing(edges: DataFrame, key: str, seconds: int = 86_400) -> DataFrame:
-    """Counts and moments of the amount over the trailing window of each account, the row itself included."""
-    w = Window.partitionBy(key).orderBy("epoch_s").rangeBetween(-seconds, 0)
+    """Counts and moments of the amount over the trailing window of each account, the row itself included.
+
+    Partners are counted without sets: one joins the count when it appears and leaves it when it appears again or its
+    time is over, so their number is a running sum, and a row costs the same however busy its account is.
+    """
+    other = "dst" if key == "src" else "src"
+    met = edges.where(F.col(other).isNotNull()).select(key, other, "epoch_s").distinct()
+    again = F.lead("epoch_s").over(Window.partitionBy(key, other).orderBy("epoch_s"))
+    met = met.withColumn("_over", F.least(again, F.col("epoch_s") + seconds + 1))
+    steps = met.select(key, F.explode(F.array(F.struct("epoch_s", F.lit(1).alias("step")), F.struct(F.col("_over").alias("epoch_s"), F.lit(-1).alias("step")))).alias("x")).groupBy(key, F.col("x.epoch_s").alias("epoch_s")).agg(F.sum("x.step").alias("_step"))
+    rows = edges.select("row_id", key, "epoch_s", F.col("amount").cast("double").alias("amount")).unionByName(steps, allowMissingColumns=True)
+    by = Window.partitionBy(key).orderBy("epoch_s")
+    w, until = by.rangeBetween(-seconds, 0), by.rangeBetween(Window.unboundedPreceding, 0)
     a = F.col("amount")
-    return edges.select("row_id", F.col(key).alias("account"), F.count("*").over(w).alias("degree"), F.size(F.collect_set("dst" if key == "src" else "src").over(w)).cast("bigint").alias("fan"), F.sum(a).over(w).alias("sum_amount"), F.avg(a).over(w).alias("mean_amount"), F.var_pop(a).over(w).alias("var_amount"), F.max(a).over(w).alias("max_amount"))
+    out = rows.select("row_id", F.col(key).alias("account"), F.count("row_id").over(w).alias("degree"), F.sum("_step").over(until).alias("fan"), F.sum(a).over(w).alias("sum_amount"), F.avg(a).over(w).alias("mean_amount"), F.var_pop(a).over(w).alias("var_amount"), F.max(a).over(w).alias("max_amount"))
+    return out.where("row_id is not null")
+
+
+def vertex_moments(edges: DataFrame, key: str, seconds: int = 86_400) -> DataFrame:
+    """Skewness and kurtosis of the amounts, mean and deviation of the times before the row, and the ratio of the amount to the mean, over the trailing window."""
+    w = Window.partitionBy(key).orderBy("epoch_s").rangeBetween(-seconds, 0)
+    a, t = F.col("amount").cast("double"), F.col("epoch_s").cast("double")
+    zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+    return edges.select("row_id", F.col(key).alias("account"), zero(F.skewness(a).over(w)).alias("skewness"), zero(F.kurtosis(a).over(w)).alias("kurtosis"), (t - F.avg(t).over(w)).alias("mean_age_s"), F.stddev_pop(t).over(w).alias("sd_time_s"), F.coalesce(F.try_divide(a, F.avg(a).over(w)), F.lit(0.0)).alias("ratio"))
+
+
+def binned(values: Column, edges: Sequence[float]) -> Column:
+    """The bin of a count, 0 below the first edge; an edge belongs to the bin that it opens."""
+    out = F.lit(0)
+    for e in edges:
+        out = out + (values >= e).cast("int")
+    return out
 
 
 #: Parts into which the pairs of edges at one account and time cell are dealt, by both edges' numbers.

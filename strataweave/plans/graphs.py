@@ -221,6 +221,38 @@ def fan_degree_1d_full(spark, sf):
     return G.trailing(tx(spark, sf), "dst").select("row_id", "account", "degree", "fan")
 
 
+BINS = (2, 4, 8, 16, 32)
+
+
+@query(f"WITH {TX}, f AS (SELECT row_id, dst AS account, " + FULL_TRAIL.format(key="dst", other="src") + f"), b AS (SELECT {' + '.join(f'(degree >= {e})::INT' for e in BINS)} AS degree_bin, {' + '.join(f'(fan >= {e})::INT' for e in BINS)} AS fan_bin FROM f) SELECT degree_bin, fan_bin, count(*) AS n FROM b GROUP BY ALL")
+def fan_degree_bins(spark, sf):
+    """How many rows have a receiver of each bin of degree and fan."""
+    f = G.trailing(tx(spark, sf), "dst")
+    return f.groupBy(G.binned(F.col("degree"), BINS).alias("degree_bin"), G.binned(F.col("fan"), BINS).alias("fan_bin")).agg(F.count("*").alias("n"))
+
+
+def _moments_sql(key: str) -> str:
+    w = f"OVER (PARTITION BY {key} ORDER BY epoch_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)"
+    return f"""WITH {TX}, m AS (SELECT row_id, {key} AS account, amount, epoch_s, list(amount) {w} AS l, avg(epoch_s) {w} AS mt, stddev_pop(epoch_s) {w} AS st FROM tx),
+c AS (SELECT *, list_avg(l) AS mean, list_avg(list_transform(l, lambda x: (x - list_avg(l)) ** 2)) AS m2, list_avg(list_transform(l, lambda x: (x - list_avg(l)) ** 3)) AS m3, list_avg(list_transform(l, lambda x: (x - list_avg(l)) ** 4)) AS m4 FROM m)
+SELECT row_id, account, round(CASE WHEN m2 > 1e-18 THEN m3 / m2 ** 1.5 ELSE 0 END, 3) AS skewness, round(CASE WHEN m2 > 1e-18 THEN m4 / m2 ** 2 - 3 ELSE 0 END, 3) AS kurtosis, round(epoch_s - mt, 3) AS mean_age_s, round(st, 2) AS sd_time_s, round(coalesce(amount / nullif(mean, 0), 0), 5) AS ratio FROM c"""
+
+
+def _moments(key: str):
+    @query(_moments_sql(key))
+    def run(spark, sf):
+        m = G.vertex_moments(tx(spark, sf), key)
+        return m.withColumns({c: F.round(c, d) for c, d in (("skewness", 3), ("kurtosis", 3), ("mean_age_s", 3), ("sd_time_s", 2), ("ratio", 5))})
+
+    name = f"vertex_moments_{'sender' if key == 'src' else 'receiver'}"
+    QUERIES[name], ORACLES[name] = QUERIES.pop("run"), ORACLES.pop("run")
+    QUERIES[name].__doc__ = "Higher moments of amounts and times over each account's day, all rows."
+
+
+for _key in ("src", "dst"):
+    _moments(_key)
+
+
 @query(f"WITH {TX} SELECT a.src AS source, b.dst AS target, count(DISTINCT a.dst) AS n_mid FROM tx a JOIN tx b ON a.dst = b.src AND b.epoch_s - a.epoch_s BETWEEN 0 AND 21600 WHERE a.src <> b.dst AND a.dst <> a.src AND a.dst <> b.dst GROUP BY ALL HAVING n_mid >= 2")
 def scatter_gather_6h(spark, sf):
     return G.scatter_gather(tx(spark, sf))

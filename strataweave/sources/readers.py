@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from strataweave.functions.identifiers import node_id
+from strataweave.functions.identifiers import canonical_case, node_id, retag
+from strataweave.functions.parsing import probe_class
+from strataweave.operators.checks import binary_violations
+from strataweave.operators.ordered import running
 
 TRANSACTION_COLUMNS = ["timestamp", "from_bank", "from_account", "to_bank", "to_account", "amount_received", "receiving_currency", "amount_paid", "payment_currency", "payment_format", "is_laundering"]
 TRANSACTIONS = T.StructType([T.StructField(c, T.DoubleType() if c.startswith("amount") else T.IntegerType() if c == "is_laundering" else T.StringType()) for c in TRANSACTION_COLUMNS])
@@ -27,23 +30,32 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Numbers rows 0, 1, 2 ... in file order: partitions are counted first, so nothing is gathered. Store the result before use."""
-    spark, schema = df.sparkSession, T.StructType([T.StructField(name, T.LongType(), False), *df.schema.fields])
-    return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    """Numbers rows 0, 1, 2 ... in file order: the rows of each partition are counted first, a number for each, so nothing is gathered. Store the result before use."""
+    placed = df.withColumn("_at", F.monotonically_increasing_id())  # the partition above bit 33, the row in it below
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_part", before.alias("_before"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(counts), "_part")  # a row for each partition
+    return joined.select((F.col("_before") + inside).alias(name), *df.columns)
 
 
 def pattern_labels(lines: DataFrame) -> DataFrame:
-    """(key, typology) from lines (file, line_no, line) of pattern files: records take the type of the block that they stand in; the last one of a key wins."""
+    """(key, typology) from lines (file, line_no, line) of pattern files: records take the type of the block that they stand in; the last one of a key wins.
+
+    Blocks are numbered by a running count of the lines that begin or end one, and a line meets the head of its block by
+    that number, so a file may hold any number of lines.
+    """
     head = F.when(F.col("line").startswith("BEGIN"), F.coalesce(F.nullif(F.lower(F.trim(F.regexp_extract("line", BEGIN, 1))), F.lit("")), F.lit("unknown"))).when(F.col("line").startswith("END"), F.lit(""))
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = lines.withColumn("_head", head).withColumn("typology", F.last("_head", ignorenulls=True).over(w))
-    records = inside.where(F.col("_head").isNull() & (F.col("typology") != "") & (F.size(F.split("line", ",")) >= 5))
+    placed = running(lines.withColumn("_head", head), "line_no", {"_block": F.when(F.col("_head").isNotNull(), 1).otherwise(0)}, ["file"])
+    heads = placed.where("_head is not null and _head != ''").select("file", "_block", F.col("_head").alias("typology"))
+    records = placed.where(F.col("_head").isNull() & (F.size(F.split("line", ",")) >= 5)).join(heads, ["file", "_block"])
     return records.groupBy(F.concat_ws(",", F.slice(F.split("line", ","), 1, 5)).alias("key")).agg(F.max_by("typology", F.struct("file", "line_no")).alias("typology"))
 
 
 def pattern_file(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of pattern files with their numbers; a file is read by one task, as its blocks go by order."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """The labels of pattern files; their lines are numbered across files, so they ascend within each."""
+    lines = with_row_ids(spark.read.text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", r"\r$", "").alias("line")), "line_no")
     return pattern_labels(lines.where("line != ''"))
 
 
@@ -52,7 +64,6 @@ PREDICTION = "case_id string, illicit boolean, typology string, confidence doubl
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
     """One row for each prediction of each result file."""
-    schema = f"method string, model string, dataset string, seed int, n_predictions bigint, predictions array<struct<{PREDICTION.replace(' ', ':', 1).replace(', ', ',')}>>"
     schema = "method string, model string, dataset string, seed int, n_predictions bigint, predictions array<struct<" + ",".join(x.strip().replace(" ", ":") for x in PREDICTION.split(",")) + ">>"
     files = spark.read.schema(schema).json(path, multiLine=True)
     return files.withColumn("p", F.explode("predictions")).select("method", "model", "dataset", "seed", "n_predictions", "p.*")
@@ -109,3 +120,37 @@ def node_tables(spark: SparkSession, features: str, classes: str, edges: str, n_
     e = spark.read.csv(edges, header=True, schema="src bigint, dst bigint")
     ids = nodes.select("txId")
     return nodes, e.join(ids, e["src"] == ids["txId"], "left_semi").join(ids, e["dst"] == ids["txId"], "left_semi")
+
+
+CASE_FIELDS = "case_id string, center_edge_id string, label int, typology string, prompt string"
+
+
+def cases(spark: SparkSession, path: str) -> DataFrame:
+    """Cases from lines of JSON, their names and texts under the present prefix; lines that are no JSON carry violation."""
+    raw = spark.read.schema(f"{CASE_FIELDS}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    named = raw.withColumns({"case_id": canonical_case(F.col("case_id")), "prompt": retag(F.col("prompt"))})
+    return named.withColumn("violation", F.when(F.col("_corrupt").isNotNull(), "no JSON").when(F.col("case_id").isNull(), "no case")).drop("_corrupt")
+
+
+def traces(spark: SparkSession, path: str) -> DataFrame:
+    """Reasoning traces (model, case_id, trace, illicit, typology) of prediction files; a missing trace is empty."""
+    schema = "model string, predictions array<struct<case_id:string,illicit:boolean,typology:string,reasoning_content:string>>"
+    p = spark.read.schema(schema).json(path, multiLine=True).select("model", F.explode("predictions").alias("p"))
+    return p.select("model", canonical_case(F.col("p.case_id")).alias("case_id"), F.coalesce("p.reasoning_content", F.lit("")).alias("trace"), "p.illicit", F.coalesce("p.typology", F.lit("")).alias("typology"))
+
+
+def judges(spark: SparkSession, path: str, flags: tuple[str, ...] = ("parse", "recall", "match", "conclude"), key: tuple[str, ...] = ("model", "case_id")) -> DataFrame:
+    """Sheets of judges or raters with 0/1 flags; rows that break a rule carry it in ``violation``."""
+    return binary_violations(spark.read.csv(path, header=True, nullValue="\u0000", emptyValue=""), flags, key)
+
+
+def probes(spark: SparkSession, path: str) -> DataFrame:
+    """(model, run, case_id, cls): probe answers within the nine classes."""
+    raw = spark.read.csv(path, header=True, schema="model string, run int, case_id string, observed_pattern string", enforceSchema=False)
+    return raw.select("model", "run", "case_id", probe_class(F.col("observed_pattern")).alias("cls"))
+
+
+def tuned(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, value) of the best parameters in files of a tuning."""
+    raw = spark.read.schema("best_params map<string,string>, best_score double").json(path, multiLine=True)
+    return raw.select(F.input_file_name().alias("file"), F.explode("best_params").alias("name", "value"))

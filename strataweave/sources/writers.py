@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -36,13 +37,31 @@ def row_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*[F.to_json(F.struct(c)) for c in df.columns]).cast("decimal(38,0)")).alias("digest"))
 
 
-def write_verified(df: DataFrame, path: str, **options) -> None:
-    """Writes, reads again and compares; raises if a row differs."""
+def write_verified(df: DataFrame, path: str, force: bool = False, **options) -> None:
+    """Writes aside, reads again and compares; only a table without a difference is renamed to ``path``."""
+    spark, aside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs
+    target = files.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target) and not force:
+        raise ValueError(f"{path} exists")
     expected = row_digest(df).first()
-    write_parquet(df, path, **options)
-    found = row_digest(df.sparkSession.read.schema(df.schema).parquet(path)).first()
+    write_parquet(df, aside, **options)
+    found = row_digest(spark.read.schema(df.schema).parquet(aside)).first()
     if found != expected:
-        raise ValueError(f"{path}: wrote {expected}, read back {found}")
+        raise ValueError(f"{aside}: wrote {expected}, read back {found}")
+    if system.exists(target):
+        system.delete(target, True)
+    if not system.rename(files.Path(aside), target):
+        raise ValueError(f"{aside} could not be renamed to {path}")
+
+
+def write_cases(cases: DataFrame, path: str, force: bool = False) -> None:
+    """Cases as lines of JSON, the table that joins them to their rows, and a record of what was written: folders cases, rows and metadata."""
+    write_jsonl(cases, f"{path}/cases", force=force)
+    write_csv(cases, f"{path}/rows", ["case_id", "row_id"], force)
+    about = cases.agg(F.count("*").alias("cases"), F.countDistinct("case_id").alias("names"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    write_jsonl(about, f"{path}/metadata", force=force)
 
 
 def upserted(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:

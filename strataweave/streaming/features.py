@@ -7,8 +7,10 @@ Batch and stream give equal rows where an account's transactions arrive in order
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -17,20 +19,37 @@ OUTPUT = "row_id long, account long, degree long, fan long"
 STATE = "times array<long>, others array<long>"
 
 
+def answers(times: np.ndarray, others: np.ndarray, asked: np.ndarray, seconds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(degree, fan) of the window that ends at each time of ``asked``, which ascend, over rows sorted by time: one pass with two pointers."""
+    lo, hi = np.searchsorted(times, asked - seconds), np.searchsorted(times, asked, side="right")
+    held, fan, a, z = Counter(), np.zeros(len(asked), np.int64), 0, 0
+    for i in range(len(asked)):
+        while z < hi[i]:
+            held[others[z]] += 1
+            z += 1
+        while a < lo[i]:
+            held[others[a]] -= 1
+            if not held[others[a]]:
+                del held[others[a]]
+            a += 1
+        fan[i] = len(held)
+    return hi - lo, fan
+
+
 def _updater(seconds: int):
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        times, others = (list(x) for x in state.get) if state.exists else ([], [])
-        rows = pd.concat(list(batches)).sort_values(["epoch_s", "row_id"])
-        out = []
-        for epoch, same in rows.groupby("epoch_s", sort=True):  # rows of one moment see each other, as in a range frame
-            times += [int(epoch)] * len(same)
-            others += [int(x) for x in same["other"]]
-            inside = [o for t, o in zip(times, others) if epoch - seconds <= t <= epoch]
-            out += [(int(r), key[0], len(inside), len(set(inside))) for r in same["row_id"]]
-        latest = max(times)
-        kept = [(t, o) for t, o in zip(times, others) if t >= latest - seconds]
-        state.update(([t for t, _ in kept], [o for _, o in kept]))
-        yield pd.DataFrame(out, columns=["row_id", "account", "degree", "fan"])
+        times, others = (np.array(x, np.int64) for x in (state.get if state.exists else ([], [])))
+        rows = [b[["row_id", "epoch_s", "other"]].to_numpy(np.int64) for b in batches]
+        rows = np.concatenate(rows)
+        rows = rows[np.lexsort((rows[:, 0], rows[:, 1]))]
+        times, others = np.concatenate((times, rows[:, 1])), np.concatenate((others, rows[:, 2]))
+        order = np.argsort(times, kind="stable")
+        times, others = times[order], others[order]
+        moments, of = np.unique(rows[:, 1], return_inverse=True)  # rows of one moment see each other, as in a range frame
+        degree, fan = answers(times, others, moments, seconds)
+        kept = times >= times[-1] - seconds
+        state.update((times[kept].tolist(), others[kept].tolist()))
+        yield pd.DataFrame({"row_id": rows[:, 0], "account": key[0], "degree": degree[of], "fan": fan[of]})
 
     return update
 

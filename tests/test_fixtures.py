@@ -133,12 +133,109 @@ def test_patterns_and_ids(spark):
     assert split_bounds(10) == (6, 8)
 
 
+def mapped(spark, f, texts):
+    """``f`` of each text, in order."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r[0] for r in df.select(f(F.col("t")).alias("v"), "i").orderBy("i").collect()]
+
+
 def test_parsers(spark):
-    t = "<think>a</think>Explanation: moves\nPattern: Fan–out\nConclusion: **Not suspicious**"
+    t = "<think>a</think>Explanation: moves\nConclusion: **Not suspicious**"
     before, after = P.split_reasoning(F.lit(t))
-    v = P.verdict(F.lit(t))
-    r = spark.range(1).select(before.alias("b"), v["illicit"].alias("i"), v["confidence"].alias("c"), P.judge_scores(F.lit('x ```{"parse": 1, "recall": 0}```'))["parse"].alias("p"), P.own_line_verdict(F.lit("so\nVERDICT: Illicit")).alias("o"), P.leaks_label(F.lit("a label: 1")).alias("l"), P.typology_in(F.lit("Typology: fan in")).alias("t")).first()
-    assert tuple(r) == ("a", False, 0.7, 1, 1, True, "fan-in")
+    r = spark.range(1).select(before.alias("b"), after.alias("a"), P.judge_scores(F.lit('x ```{"parse": 1, "recall": 0}```'))["parse"].alias("p")).first()
+    assert tuple(r) == ("a", "Explanation: moves\nConclusion: **Not suspicious**", 1)
+
+
+def test_typologies_in_text(spark):
+    labels = {"Fan–Out (many).": "fan-out", "Fanout": "fan-out", "FAN IN": "fan-in", "smurfing": "", "cycle, or stack": "cycle", "Scatter gather": "scatter-gather", "gather of scatter": "gather-scatter", "Gather‑Scatter and cycle": "gather-scatter", "normal activity": "legitimate", "none": "", " bipartite;": "bipartite", "": ""}
+    assert mapped(spark, P.normalised_typology, labels) == list(labels.values())
+    raw = {"Observed Pattern: **Fan‑In** (hub)": "fan-in", "Final pattern cycle": "cycle", "Observed pattern: none here\nTypology: stack": "stack", "it may be a BIPARTITE graph": "bipartite", "nothing": "", "Pattern: layering": ""}
+    assert mapped(spark, P.typology_in, raw) == list(raw.values())
+
+
+def test_verdicts_in_text(spark):
+    said = {
+        "Explanation: moves\nthen on\nObserved Pattern: Cycle\nConclusion: Suspicious": (True, "moves\nthen on", "cycle", 0.8),
+        "Conclusion:\n  suspicious, surely": (True, "", None, 0.6),
+        "Conclusion: Not Suspicious\nObserved pattern: money mule": (False, "", "bipartite", 0.7),
+        "Explanation: Fan‑out\n\nmore": (False, "Fan-out", None, 0.7),
+        "": (False, "", None, 0.7),
+    }
+    v = lambda t: F.struct(*[c.alias(n) for n, c in P.verdict(t).items()])
+    assert [tuple(r) for r in mapped(spark, v, said)] == list(said.values())
+    short = {"VERDICT: Suspicious": 1, "verdict : not\nsuspicious": 0, "so\n Suspicious \nend": 1, "NOT_SUSPICIOUS": 0, "quite suspicious": 1, "it is not suspicious": 0, "": 0, None: 0}
+    assert mapped(spark, P.own_line_verdict, short) == list(short.values())
+
+
+def test_label_fields_leak(spark):
+    texts = {"a label: 1": False, "x\n - Label = 1": True, '"is_laundering": 0': True, "'typology_id' : 3": True, "ground truth: x": True, "account <ID>": True, "a {{node}} b": True, "a labelled edge": False}
+    assert mapped(spark, P.leaks_label, texts) == list(texts.values())
+
+
+def test_lexical_steps(spark):
+    low = "acct_12 is the hub with degree 5 and 12 transactions. it may be fan in, or a cycle; monthly, and the same amount each time"
+    rows = [(low, True, "Cycle", 1, "cycle"), (low, False, None, 0, ""), ("short hub", True, None, 1, "cycle"), ("", False, None, 1, "cycle"), ("fan in and fan-in, over and over again, as it was said before", True, "stack", 1, "cycle")]
+    df = spark.createDataFrame(rows, "t string, i boolean, typ string, y int, g string").coalesce(1)
+    s = P.trace_scores(F.col("t"), F.col("i"), F.col("typ"), F.col("y"), F.col("g"))
+    assert [tuple(r) for r in df.select(*[s[n] for n in ("parse", "recall", "match", "conclude")]).collect()] == [(1, 1, 1, 1), (1, 1, 1, 1), (0, 0, 0, 0), (0, 0, 0, 0), (0, 0, 0, 0)]
+
+
+def test_ordered_sums(spark):
+    import numpy as np
+
+    from strataweave.operators import ordered
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 3000), rng.choice([*rng.normal(size=700), 0.0, 5.0], 3000))]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = {(r["g"], r["v"]): (r["n"], r["less"]) for r in ordered.counted(df, "v", ["g"]).collect()}
+    for g in range(3):
+        own = np.array([v for h, v in rows if h == g])
+        assert all(got[g, float(x)] == ((own == x).sum(), (own < x).sum()) for x in own)
+        cuts = df.where(f"g = {g}")
+        assert np.allclose(ordered.quantiles(cuts, "v", (0.0, 0.33, 0.5, 1.0)).first()["cuts"], np.quantile(own, [0, 0.33, 0.5, 1]))
+    assert ordered.quantiles(df.limit(0), "v", (0.5,)).count() in (0, 1)
+
+
+def test_one_difference_rejects(spark):
+    from strataweave.operators import checks
+
+    t = spark.createDataFrame([(1, "a"), (2, None)], "id int, x string")
+    assert tuple(checks.lockstep(t, t, ["id"]).first()) == (0, 0)
+    assert tuple(checks.lockstep(t, t.where("id = 1").withColumn("x", F.lit("b")), ["id"]).first()) == (1, 1)
+    assert tuple(checks.set_relation(t, t, ["x"]).first()) == (2, 0, 0, True)
+    assert checks.accepted(checks.one_to_one(t, t, ["id"]), ["left_only", "right_only"]).first()["matched"] == 2
+    with pytest.raises(ValueError, match="rejected"):
+        checks.accepted(checks.one_to_one(t, t.union(t), ["id"]), ["right_repeated"])
+    judged = spark.createDataFrame([("m", "1", "1"), ("m", "2", "x"), ("m", "3", "0"), ("m", "3", "0"), (None, "4", "1")], "model string, case_id string, parse string")
+    got = {(r["model"], r["case_id"]): r["violation"] for r in checks.binary_violations(judged, ["parse"], ["model", "case_id"]).collect()}
+    assert got == {("m", "1"): None, ("m", "2"): "parse is not 0 or 1", ("m", "3"): "repeated key", (None, "4"): "missing key"}
+
+
+def test_verified_writes_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    df = spark.range(10)
+    writers.write_verified(df, f"{tmp_path}/t")
+    with pytest.raises(ValueError, match="exists"):
+        writers.write_verified(df, f"{tmp_path}/t")
+    seen = iter([df.selectExpr("1 as a").first(), df.selectExpr("2 as a").first()])
+    monkeypatch.setattr(writers, "row_digest", lambda _: type("Once", (), {"first": lambda self: next(seen)})())
+    with pytest.raises(ValueError, match="read back"):
+        writers.write_verified(df, f"{tmp_path}/u")
+    assert not (tmp_path / "u").exists() and spark.read.parquet(f"{tmp_path}/t").count() == 10
+
+
+def test_cases_and_sheets_are_read(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"case_id": "v2_00012", "label": 1, "prompt": "case v2_00012"}\nno json\n')
+    got = [tuple(r) for r in readers.cases(spark, str(tmp_path / "c.jsonl")).select("case_id", "prompt", "violation").orderBy("violation").collect()]
+    assert got == [("amlc_00012", "case amlc_00012", None), (None, None, "no JSON")]
+    (tmp_path / "p.json").write_text('{"model": "m", "predictions": [{"case_id": "amlc_00001", "illicit": true, "typology": null, "reasoning_content": null}]}')
+    assert [tuple(r) for r in readers.traces(spark, str(tmp_path / "p.json")).collect()] == [("m", "amlc_00001", "", True, "")]
+    (tmp_path / "q.csv").write_text("model,run,case_id,observed_pattern\nm,0,amlc_00001,legitimate\nm,0,amlc_00002,\n")
+    assert [r["cls"] for r in readers.probes(spark, str(tmp_path / "q.csv")).orderBy("case_id").collect()] == ["benign", "benign"]
+    (tmp_path / "t.json").write_text('{"best_params": {"depth": "4"}, "best_score": 0.5}')
+    assert [tuple(r)[1:] for r in readers.tuned(spark, str(tmp_path / "t.json")).collect()] == [("depth", "4")]
+    (tmp_path / "pat.txt").write_text("BEGIN LAUNDERING ATTEMPT - CYCLE: x\r\nt,1,a,2,b,5\r\nEND\nt,1,a,3,b,5\nBEGIN LAUNDERING ATTEMPT\nt,9,a,2,b,5\n")
+    assert {r["key"]: r["typology"] for r in readers.pattern_file(spark, str(tmp_path / "pat.txt")).collect()} == {"t,1,a,2,b": "cycle", "t,9,a,2,b": "unknown"}
 
 
 def test_sinks(spark, tmp_path):
