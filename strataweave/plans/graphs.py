@@ -235,14 +235,14 @@ def _moments_sql(key: str) -> str:
     w = f"OVER (PARTITION BY {key} ORDER BY epoch_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)"
     return f"""WITH {TX}, m AS (SELECT row_id, {key} AS account, amount, epoch_s, list(amount) {w} AS l, avg(epoch_s) {w} AS mt, stddev_pop(epoch_s) {w} AS st FROM tx),
 c AS (SELECT *, list_avg(l) AS mean, list_avg(list_transform(l, lambda x: (x - list_avg(l)) ** 2)) AS m2, list_avg(list_transform(l, lambda x: (x - list_avg(l)) ** 3)) AS m3, list_avg(list_transform(l, lambda x: (x - list_avg(l)) ** 4)) AS m4 FROM m)
-SELECT row_id, account, round(CASE WHEN m2 > 1e-18 THEN m3 / m2 ** 1.5 ELSE 0 END, 3) AS skewness, round(CASE WHEN m2 > 1e-18 THEN m4 / m2 ** 2 - 3 ELSE 0 END, 3) AS kurtosis, round(epoch_s - mt, 3) AS mean_age_s, round(st, 2) AS sd_time_s, round(coalesce(amount / nullif(mean, 0), 0), 5) AS ratio FROM c"""
+SELECT row_id, account, round(CASE WHEN m2 > 1e-18 THEN m3 / m2 ** 1.5 ELSE 0 END, 3) + 0::DOUBLE AS skewness, round(CASE WHEN m2 > 1e-18 THEN m4 / m2 ** 2 - 3 ELSE 0 END, 3) + 0::DOUBLE AS kurtosis, round(epoch_s - mt, 3) + 0::DOUBLE AS mean_age_s, round(st, 2) + 0::DOUBLE AS sd_time_s, round(coalesce(amount / nullif(mean, 0), 0), 5) + 0::DOUBLE AS ratio FROM c"""
 
 
 def _moments(key: str):
     @query(_moments_sql(key))
     def run(spark, sf):
         m = G.vertex_moments(tx(spark, sf), key)
-        return m.withColumns({c: F.round(c, d) for c, d in (("skewness", 3), ("kurtosis", 3), ("mean_age_s", 3), ("sd_time_s", 2), ("ratio", 5))})
+        return m.withColumns({c: F.round(c, d) + 0.0 for c, d in (("skewness", 3), ("kurtosis", 3), ("mean_age_s", 3), ("sd_time_s", 2), ("ratio", 5))})
 
     name = f"vertex_moments_{'sender' if key == 'src' else 'receiver'}"
     QUERIES[name], ORACLES[name] = QUERIES.pop("run"), ORACLES.pop("run")
