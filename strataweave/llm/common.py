@@ -38,6 +38,19 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes, so that a Python worker holds little text at a time; lower ones stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int((spark.conf.get(key, None) or "0").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def fitting(sizes: np.ndarray, budget: int) -> np.ndarray:
     """Which rows of a sample to keep, in order: those that still fit into the budget, none of them over a sixteenth of it unless it is the only one."""
     keep, used = np.zeros(len(sizes), bool), 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import ALNUM, hash_words, utf8_column, written
+from strataweave.llm.common import ALNUM, hash_words, small_batches, utf8_column, written
 
 SEGMENT, GAP = 1 << 20, 64
 #: Bytes of test items that one pass over the index takes.
@@ -62,6 +62,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(documents: DataFrame) -> DataFrame:
     """The index of whole texts, written to the shared folder."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return written(rows.mapInArrow(_segments, INDEX).withColumn("segment", F.monotonically_increasing_id()), "decontaminate-index")
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataweave.llm.common import SPACED, fixed_width, hash_words, mix, shingle_sets, sliced, utf8_column, written
+from strataweave.llm.common import SPACED, fixed_width, hash_words, mix, shingle_sets, sliced, small_batches, utf8_column, written
 
 #: Sizes of a band reach from its lower end to BAND times that; each first-level part has SECOND second-level ones.
 BAND, SECOND, NEXT = 1.953125, 3, [1, 2, 0]
@@ -140,7 +140,7 @@ def _signed(size: int, percent: int, skip: np.ndarray | None, hot: np.ndarray |
                 mark = fingerprint(s)
                 if mark in seen:  # a copy within the task: the class has it already
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 50_000:
                     seen.add(mark)
                 if len(s) * 2 >= starts[-2]:
                     starts = band_starts(len(s) * 4)
@@ -314,6 +314,7 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
     Ties cannot matter, as components are named by their smallest id. Other columns, whatever their names, are not
     looked at. An empty table gives an empty result.
     """
+    small_batches(documents.sparkSession)
     documents = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     described = written(documents.mapInArrow(_described(size), "id long, n long, print binary, bins binary"), "jaccard-rows")
     members = described.where("print is not null and id is not null")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import fitting, utf8_column, written
+from strataweave.llm.common import fitting, small_batches, utf8_column, written
 from strataweave.llm.quality import held_out
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (3, 4)
@@ -160,6 +160,7 @@ def predict(documents: DataFrame, model: Model | None, keep: bool = False) -> Da
             score = np.where(has, p[np.arange(len(p)), best], 0.0)
             yield pd.DataFrame({"lang_pred": [model.names[b] if h else "und" for b, h in zip(best, has)], "score": score, "accepted": has & (score >= (model.least if model else 1.0))})
 
+    small_batches(documents.sparkSession)
     rest = [c for c in documents.columns if c not in ("held_out", "lang_pred", "score", "accepted", "_found")] if keep else ["doc_id"]
     found = F.pandas_udf(run, "lang_pred string, score double, accepted boolean")("text")
     return documents.select(*rest, held_out(F.col("doc_id"), FOLDS, FOLD).alias("held_out"), found.alias("_found")).select(*rest, "held_out", "_found.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import ALNUM, hash_words, mix, sliced, utf8_column, written
+from strataweave.llm.common import ALNUM, hash_words, mix, sliced, small_batches, utf8_column, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words of a passage, bits of a filter.
@@ -224,6 +224,7 @@ def term_spans(rows: DataFrame, telling: DataFrame, repeated: np.ndarray) -> Dat
 
 def detect(documents: DataFrame, disclosure: float = 0.9, support: int = 3, alpha: float = 0.01) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each document; spans of terms follow the base ones."""
+    small_batches(documents.sparkSession)
     found = documents.select("doc_id", F.pandas_udf(_found, FOUND)("text").alias("f")).select("doc_id", "f.*")
     rows = written(found.withColumn("row", F.monotonically_increasing_id()), "pii-rows")
     each = rows.select(F.explode(F.array_distinct(F.arrays_zip("entities", "passages"))).alias("x")).select("x.entities")

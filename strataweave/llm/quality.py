@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import fitting, written
+from strataweave.llm.common import fitting, small_batches, written
 
 PIECE, DICTIONARY, LEVEL = 256, 112_640, 3
 FOLDS = 5
@@ -127,6 +127,7 @@ def score(documents: DataFrame, model: Model | float, threshold: float = 0.3, ke
                 x = np.array([feature(t, *tools) for t in texts], dtype=float)
                 yield pd.Series(1 / (1 + np.exp(-np.clip(model.slope * x + model.offset, -30, 30))))
 
+    small_batches(documents.sparkSession)
     rest = [c for c in documents.columns if c not in ("held_out", "score", "predicted")] if keep else ["doc_id"]
     scored = documents.select(*rest, held_out(F.col("doc_id")).alias("held_out"), F.pandas_udf(run, "double")("text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
