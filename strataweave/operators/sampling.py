@@ -74,9 +74,9 @@ def with_census(illicit: DataFrame, sampled: DataFrame) -> DataFrame:
 
 
 def benign_sizes(strata: DataFrame, budget: int, hard_share: float = 0.3) -> DataFrame:
-    """Rows to take from each benign stratum for a budget: hard ones up to their share, the easy terciles a third each, what is missing in order of stratum.
+    """Adds take and gap to (stratum, pool): hard rows up to their share of a budget, the easy terciles a third of the rest each; gap is what the takes leave of the budget, to be filled from all rows that remain.
 
-    ``strata``: (stratum, pool). The table has at most four rows.
+    The table has at most four rows.
     """
     at = Window.partitionBy()
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("pool"))).over(at), F.lit(0))
@@ -86,20 +86,26 @@ def benign_sizes(strata: DataFrame, budget: int, hard_share: float = 0.3) -> Dat
     ne = F.least(F.lit(budget) - nh0, e)
     nh = F.when((ne < budget - nh0) & (h > nh0), F.least(F.lit(budget) - ne, h)).otherwise(nh0)
     base = F.when(hard, nh).otherwise(F.least(F.greatest(F.lit(1), F.floor(ne / 3)), F.col("pool")))
-    sized = strata.withColumn("_base", F.when(F.lit(budget) >= h + e, F.col("pool")).otherwise(base))
-    spare = F.col("pool") - F.col("_base")
-    gap = F.greatest(F.lit(budget) - F.sum("_base").over(at), F.lit(0))
-    before = F.coalesce(F.sum(spare).over(Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fill = F.greatest(F.least(gap - before, spare), F.lit(0))
-    return sized.withColumn("take", (F.col("_base") + fill).cast("bigint")).drop("_base")
+    sized = strata.withColumn("take", F.when(F.lit(budget) >= h + e, F.col("pool")).otherwise(base).cast("bigint"))
+    spare = F.sum(F.col("pool") - F.col("take")).over(at)
+    return sized.withColumn("gap", F.greatest(F.least(F.lit(budget) - F.sum("take").over(at), spare), F.lit(0)).cast("bigint"))
 
 
 def benign_sample(df: DataFrame, budget: int, seed: int | str, hard_share: float = 0.3, key: str = "row_id") -> DataFrame:
-    """The benign part of the weighted sample from stratified rows; weights are pool / n of what was really taken."""
+    """The benign part of the weighted sample from stratified rows, with pool, n and weight.
+
+    What the strata leave of the budget is drawn from all rows that remain, each as likely as any other, and counts in
+    its own stratum; weights are pool / n of what was really taken.
+    """
     benign = df.where("stratum != 'illicit'")
     sizes = benign_sizes(benign.groupBy("stratum").agg(F.count("*").alias("pool")), budget, hard_share)
-    taken = first_ranked(benign.withColumn("_draw", draw(seed, F.col(key))), ["stratum"], "_draw", sizes).drop("_draw")
-    return taken.join(F.broadcast(sizes), "stratum").withColumn("weight", F.col("pool") / F.col("take")).withColumnRenamed("take", "n")  # four rows at most
+    first = first_ranked(benign.withColumn("_draw", draw(seed, F.col(key))), ["stratum"], "_draw", sizes)
+    rest = benign.join(first.select(key), key, "left_anti").withColumn("_draw", draw(f"{seed}|fill", F.col(key)))
+    fill = first_ranked(rest.select(*first.columns), [], "_draw", sizes.agg(F.coalesce(F.max("gap"), F.lit(0)).alias("take")))
+    taken = first.unionByName(fill).drop("_draw")
+    real = taken.groupBy("stratum").agg(F.count("*").alias("n"))
+    known = sizes.select("stratum", "pool").join(real, "stratum")
+    return taken.join(F.broadcast(known), "stratum").withColumn("weight", F.col("pool") / F.col("n"))  # four rows at most
 
 
 def largest_remainder(groups: DataFrame, by: Sequence[str], capacity: str, order: str, budget: Column | int) -> DataFrame:

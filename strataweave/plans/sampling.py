@@ -163,11 +163,15 @@ def draw_summary(spark, sf):
     return rounded(d.groupBy("size").agg(F.avg("e").alias("bias"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.stddev_samp("f1").alias("sd"), (F.stddev_samp("f1") / F.sqrt(F.count("*"))).alias("mcse")))
 
 
-@query()
+@query(f"""WITH {STRATA}, be AS (SELECT *, md5('{SEED}|' || row_id) AS d, md5('{SEED}|fill|' || row_id) AS f, count(*) OVER (PARTITION BY stratum) AS pool FROM st WHERE label = 0),
+h AS (SELECT count(*) FILTER (stratum = 'hard_neg') AS h, count(*) FILTER (stratum <> 'hard_neg') AS e FROM be), k AS (SELECT *, least(60, h) AS nh0, least(200 - least(60, h), e) AS ne FROM h), z AS (SELECT *, CASE WHEN ne < 200 - nh0 AND h > nh0 THEN least(200 - ne, h) ELSE nh0 END AS nh FROM k),
+b AS (SELECT be.*, row_number() OVER (PARTITION BY stratum ORDER BY d) <= CASE WHEN 200 >= h + e THEN pool WHEN stratum = 'hard_neg' THEN nh ELSE least(greatest(1, ne // 3), pool) END AS base FROM be CROSS JOIN z),
+fl AS (SELECT *, NOT base AND row_number() OVER (PARTITION BY base ORDER BY f) <= 200 - (SELECT count(*) FROM b WHERE base) AS fill FROM b)
+SELECT stratum, count(*) AS taken, max(pool) AS pool, count(*) AS n, max(pool)::DOUBLE AS sum_w FROM fl WHERE base OR fill GROUP BY stratum UNION ALL SELECT 'illicit', count(*), NULL, NULL, count(*)::DOUBLE FROM st WHERE label = 1 HAVING count(*) > 0""")
 def benign_budget_sample(spark, sf):
-    """The full benign rule: hard share, terciles, spill-over, fill, and weights from realised membership."""
+    """The full benign rule: hard share, terciles, spill-over, random fill, and weights from realised membership."""
     s = S.with_census(strata(spark, sf).where("label = 1"), S.benign_sample(strata(spark, sf), 200, SEED))
-    return s.groupBy("stratum").agg(F.count("*").alias("taken"), F.max("pool").alias("pool"), F.max("n").alias("n"), F.sum("weight").alias("sum_w"))
+    return rounded(s.groupBy("stratum").agg(F.count("*").alias("taken"), F.max("pool").alias("pool"), F.max("n").alias("n"), F.sum("weight").alias("sum_w")))
 
 
 @query(f"WITH {TX}, b AS (SELECT *, label * 100 + CASE WHEN label = 1 THEN typology + 1 ELSE CAST(floor(p * 3) AS INTEGER) END AS key FROM t) SELECT row_id, key FROM {ranked('b', 'key')} WHERE rk <= 12")
@@ -183,7 +187,7 @@ def largest_remainder_allocation(spark, sf):
     return S.largest_remainder(c, [], "pool", "stratum", 97)
 
 
-@query()
+@query(f"WITH {TX}, g AS (SELECT typology, count(*) AS pool FROM t WHERE label = 1 AND typology >= 0 GROUP BY typology), lv AS (SELECT max(l) AS l FROM (SELECT l, (SELECT sum(least(pool, l)) FROM g) AS s FROM range(0, 26) r(l)) WHERE s <= 25) SELECT typology, pool, least(pool, l) + CASE WHEN pool > l AND row_number() OVER (PARTITION BY pool > l ORDER BY typology) <= 25 - (SELECT sum(least(pool, l)) FROM g) THEN 1 ELSE 0 END AS take FROM g CROSS JOIN lv")
 def balanced_round_robin(spark, sf):
     """Equal quotas by typology; what small ones lack goes round to the others."""
     g = test_part(spark, sf).where("label = 1 AND typology >= 0").groupBy("typology").agg(F.count("*").alias("pool"))

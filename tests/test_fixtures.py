@@ -106,11 +106,23 @@ def test_largest_remainder(spark, sizes, budget):
 def test_benign_budget(spark):
     strata = [("hard_neg", 5), ("easy_t1", 10), ("easy_t2", 10), ("easy_t3", 3)]
     for budget in (4, 12, 20, 28, 40):
-        got = {r["stratum"]: r["take"] for r in S.benign_sizes(spark.createDataFrame(strata, "stratum string, pool long"), budget).collect()}
-        assert sum(got.values()) == max(min(budget, 28), 4 if budget >= 4 else 0)
+        rows = S.benign_sizes(spark.createDataFrame(strata, "stratum string, pool long"), budget).collect()
+        got = {r["stratum"]: r["take"] for r in rows}
+        assert sum(got.values()) + rows[0]["gap"] == max(min(budget, 28), 4 if budget >= 4 else 0)
         assert all(got[s] <= n for s, n in strata)
 
 
+def test_fill_is_drawn_from_all_that_remain(spark):
+    """What the strata leave of the budget comes from every stratum with rows to spare, and the weights fit what was taken."""
+    rows = [(i, s) for i, s in enumerate(["hard_neg"] * 40 + ["easy_t1"] * 2 + ["easy_t2"] * 60 + ["easy_t3"] * 60)]
+    df = spark.createDataFrame(rows, "row_id long, stratum string")
+    for seed in range(3):
+        got = S.benign_sample(df, 60, seed).collect()
+        n = {s: sum(r["stratum"] == s for r in got) for s in ("hard_neg", "easy_t1", "easy_t2", "easy_t3")}
+        assert len(got) == 60 == len({r["row_id"] for r in got}) and n["hard_neg"] > 18 and n["easy_t2"] > 14 and n["easy_t3"] > 14
+        assert all(r["n"] == n[r["stratum"]] and abs(r["weight"] * r["n"] - r["pool"]) < 1e-9 for r in got)
+
+
 def test_cliffs_delta(spark):
     a, b = [1, 2, 2, 5], [2, 3, 0]
     want = sum((x > y) - (x < y) for x, y in itertools.product(a, b)) / 12
