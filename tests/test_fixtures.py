@@ -278,3 +278,29 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("model,case_id,parse\nm,1,True\nm,1,0\nm,2,maybe\n")
     bad = {r["violation"] for r in readers.annotations(spark, str(tmp_path / "a.csv"), ["model", "case_id"], ["parse"]).collect()}
     assert bad == {"duplicate key", "parse is not boolean"}
+
+
+def test_wilcoxon_by_hand(spark):
+    import random
+
+    rng = random.Random(6)
+    for _ in range(3):
+        d = [rng.choice([-2, -1, -1, 0, 0, 1, 1, 2, 3]) * rng.choice([0.5, 1.0]) for _ in range(40)]
+        size = sorted(map(abs, d))
+        rank = {a: sum(i + 1 for i, x in enumerate(size) if x == a) / size.count(a) for a in set(size)}
+        zero = sum(rank[0] / 2 for x in d if x == 0)
+        plus, minus = (sum(rank[abs(x)] for x in d if x * sign > 0) + zero for sign in (1, -1))
+        n, z = len(d), d.count(0)
+        ties = sum(size.count(a) ** 3 - size.count(a) for a in set(size) if a)
+        score = (min(plus, minus) - n * (n + 1) / 4) / math.sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - ties / 2) / 24)
+        got = A.wilcoxon(spark.createDataFrame([(x,) for x in d], "d double"), [], "d").first()
+        assert (got["n"], got["w_plus"], got["w_minus"]) == (n, plus, minus)
+        assert abs(got["z"] - score) < 1e-9 and abs(got["p_value"] - min(1.0, math.erfc(abs(score) / math.sqrt(2)))) < 1e-9
+
+
+def test_bootstrap_interval(spark):
+    df = spark.createDataFrame([(i, float(i % 10)) for i in range(400)], "k long, v double")
+    a, b = (A.bootstrap_mean(df.repartition(n), "v", "k").first() for n in (1, 5))
+    assert all(abs(a[c] - b[c]) < 1e-9 for c in ("mean", "low", "high"))
+    error = 2.8722813 / 20
+    assert abs(a["mean"] - 4.5) < error and abs(a["low"] - (4.5 - 1.96 * error)) < 0.1 and abs(a["high"] - (4.5 + 1.96 * error)) < 0.1
