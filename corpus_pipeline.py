@@ -75,21 +75,18 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in whole copies: the last one of a source if at least half of it is taken.
 
-    The mix is made of ids and sizes; texts move once, to meet their number of copies.
+    A source's documents come in the order of their draws, so the copies of each follow from its source's whole epochs and
+    the last draw that the epoch begun takes in: a row for each source, and no text moves.
     """
-    repeated = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-repeated")
-    rest = docs.where("doc_id is null")
-    rest = rest if repeated.isEmpty() else rest.union(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
-    single = docs.where("doc_id is not null") if repeated.isEmpty() else without(docs.where("doc_id is not null"), repeated)
-    # Rows that their doc_id doesn't tell apart get a number of their own meanwhile.
-    own = written(rest.withColumns({"_doc_id": F.col("doc_id"), "doc_id": F.monotonically_increasing_id()}), "pipeline-unnumbered")
-    parts = [p.withColumn("_own", F.lit(i)).select("doc_id", "source", "text", "_own") for i, p in enumerate((single, own))]
-    size, taken = F.col("size"), F.col("taken")
-    copies = F.floor(taken / size) + F.when(2 * (taken % size) >= size, 1).otherwise(0)
-    mixed = mixing.mix(parts[0].union(parts[1]), keep=("_own",)).where("taken > 0").select("doc_id", "_own", F.array_repeat(F.lit(1), copies.cast("int")).alias("_copies"))
-    mixed = written(mixed.where("size(_copies) > 0"), "pipeline-taken")
-    used = [p.join(mixed.where(F.col("_own") == i).drop("_own"), "doc_id").withColumn("_copy", F.explode("_copies")) for i, p in enumerate((single, own))]
-    return used[0].select(*docs.columns).union(used[1].withColumn("doc_id", F.col("_doc_id")).select(*docs.columns))
+    rows = docs.select("doc_id", "source", "text").withColumns({"_draw": mixing.draw("mix", F.col("doc_id"), F.col("text")), "_key": mixing.source_key()})
+    mixed = mixing.mix(rows, keep=("_draw", "_key"))
+    whole = F.floor(F.col("quota") / F.greatest("source_size", F.lit(1)))
+    part = F.col("taken") - F.col("size") * whole
+    begun = F.when((F.col("size") > 0) & (2 * part >= F.col("size")), F.col("_draw"))
+    sources = written(mixed.groupBy("_key").agg(F.max(whole).cast("int").alias("_whole"), F.max(begun).alias("_last")), "pipeline-sources")
+    drawn = docs.withColumns({"_draw": mixing.draw("mix", F.col("doc_id"), F.col("text")), "_key": mixing.source_key(), "_size": mixing.words(F.col("text"))}).join(sources, "_key")
+    copies = F.when(F.col("_size") > 0, F.col("_whole") + F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False)).cast("int")).otherwise(0)
+    return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,16 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def draw(seed: str, key: Column, text: Column) -> Column:
+    """The place of a document in its source's order. The text is part of it, so that rows that share a key, or have none, spread over the buckets too."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def source_key(source: str = "source") -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("null"))
+
+
 def cycling_weights(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), tilt: float = 0.5) -> DataFrame:
     """Schedules for the sources in code-point order, null last: the weights in turn, every other source rising over time and the rest falling."""
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
@@ -92,9 +102,7 @@ def mix(documents: DataFrame, schedule=cycling_weights, max_epochs: float = 3.0,
     """
     kept = documents.columns if keep is True else (key, "source", *(keep or ()))
     rest = [F.col(c) for c in documents.columns if c not in MADE and c in kept]
-    # The text is part of the draw, so that rows that share a key, or have none, spread over the buckets too.
-    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")))))
-    sized = documents.select(*rest, words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")).alias("_source"), draw.alias("_order"))
+    sized = documents.select(*rest, words(F.col("text")).alias("size"), source_key().alias("_source"), draw(seed, F.col(key), F.col("text")).alias("_order"))
     sized = sized.withColumn("_bucket", F.substring("_order", 1, 3))
     if keep is not True:
         sized = written(sized, "mixing")
