@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import decontaminate, jaccard, language, mixing, pii, quality, search, sharding, token_counts, warc
+from strataweave.llm import decontaminate, jaccard, language, mixing, pii, quality, resampling, search, sharding, token_counts, warc
 from strataweave.llm.common import table
 
 
@@ -56,7 +56,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.train(documents))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language)}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language, op12_resampling)}
 ORDER = "cap / weight, source IS NULL, source"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TOKENS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -81,4 +85,15 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
     "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN strlen(html) >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(html) >= 1000 AND last <> page_id THEN last END AS refers_to FROM p""",
+    "op12_resampling": f"""WITH k AS (SELECT list(c ORDER BY i) AS k FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256))::BIGINT AS i))),
+w AS (SELECT 0 AS part, row_number() OVER () AS r, doc_id, {TOKENS} AS w FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, {TOKENS} FROM benchmark),
+g AS (SELECT part, r, array_to_string(list_slice(w, i, i + n - 1), ' ') AS f, count(*) AS c FROM (SELECT part, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM w CROSS JOIN (SELECT unnest([1, 2, 3]) AS n)) GROUP BY ALL),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(f) + 1), lambda j: ('0x' || substr(hex(f), 2 * j - 1, 2))::BIGINT)), lambda a, x: xor(a >> 8, k[xor(a & 255, x) + 1])), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM g) CROSS JOIN k),
+s AS (SELECT b, coalesce(sum(c) FILTER (part = 0), 0) AS s, coalesce(sum(c) FILTER (part = 1), 0) AS t FROM g JOIN b USING (f) GROUP BY b),
+z AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (S0 + 10000)::DOUBLE / ((s + 1)::DOUBLE * (T0 + 10000)::DOUBLE)))::BIGINT AS gain FROM s CROSS JOIN (SELECT sum(s) AS S0, sum(t) AS T0 FROM s)),
+d AS (SELECT r, sum(c)::BIGINT AS n, sum(c * gain)::BIGINT AS weight FROM g JOIN b USING (f) JOIN z USING (b) WHERE part = 0 GROUP BY r),
+o AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (r) WHERE part = 0),
+p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
+q AS (SELECT doc_id, n_features, weight, score, n_words::BIGINT AS n_words, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS due FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= due THEN place END AS rank, n_words FROM q""",
 }
