@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import decontaminate, jaccard, language, mixing, pii, quality, resampling, search, sharding, token_counts, warc
+from strataweave.llm import collocations, decontaminate, jaccard, language, mixing, pii, quality, resampling, search, sharding, token_counts, warc
 from strataweave.llm.common import table
 
 
@@ -60,7 +60,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language, op12_resampling)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language, op12_resampling, op13_collocations)}
 ORDER = "cap / weight, source IS NULL, source"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TOKENS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -96,4 +100,13 @@ o AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, co
 p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
 q AS (SELECT doc_id, n_features, weight, score, n_words::BIGINT AS n_words, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place, 5 * count(*) FILTER (n_words >= 20) OVER () // 100 AS due FROM p)
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= due THEN place END AS rank, n_words FROM q""",
+    "op13_collocations": r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+f AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, list_slice(w, i, i + k - 1) AS ws, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+u AS (SELECT c.lang, c.k, c.phrase, c.f AS a, h, l.f AS l, r.f AS r, (1000000 * c.f::HUGEINT * c.f::HUGEINT // (l.f::HUGEINT * r.f::HUGEINT))::BIGINT AS score FROM (SELECT *, unnest(range(1, k)) AS h FROM c) c JOIN f l ON l.lang = c.lang AND l.ws = list_slice(c.ws, 1, h) JOIN f r ON r.lang = c.lang AND r.ws = list_slice(c.ws, h + 1, c.k)),
+m AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, array_to_string(list_slice(ws, i, i + 1), ' ') AS phrase FROM c CROSS JOIN (SELECT unnest([1, 2]) AS i) WHERE k = 3) GROUP BY ALL),
+s AS (SELECT u.lang, u.phrase, a, l, r, score FROM u LEFT JOIN m ON m.lang = u.lang AND m.phrase = u.phrase AND u.k = 2 WHERE coalesce(100 * longer < 50 * a, true) QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, h) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
