@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataweave.llm import collocations, decontaminate, jaccard, language, mixing, pii, quality, resampling, search, sharding, token_counts, warc
+from strataweave.llm import collocations, decontaminate, extraction, jaccard, language, mixing, pii, quality, resampling, search, sharding, token_counts, warc
 from strataweave.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(documents, language.train(documents))
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
 
@@ -64,7 +68,7 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language, op12_resampling, op13_collocations)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_mixing, op3_jaccard_join, op4_decontaminate, op5_token_counts, op6_warc, op7_pii, op8_search, op9_sharding, op10_language, op11_extraction, op12_resampling, op13_collocations)}
 ORDER = "cap / weight, source IS NULL, source"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TOKENS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
