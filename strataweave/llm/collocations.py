@@ -34,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataweave.llm.common import byte_class, mix, sliced, utf8_column, written
+from strataweave.llm.common import bounded_batches, byte_class, mix, sliced, utf8_column, written
 
 #: Suffixes in a group at least aimed at, the most groups, suffixes held by a task before they are added up, bits of the filter.
-BUDGET, GROUPS, HELD, FILTER_BITS = 1 << 17, 1 << 20, 1 << 20, 1 << 26
+BUDGET, GROUPS, HELD, FILTER_BITS = 1 << 17, 1 << 20, 1 << 19, 1 << 26
 PIECE = 1 << 19
 BREAK = byte_class(lambda b: b in b".,;:!?" or 10 <= b <= 13)
 WORD = byte_class(lambda b: b not in b" \t" and not BREAK[b])
@@ -100,7 +100,7 @@ class Words:
 def _texts(batches: Iterator[pa.RecordBatch], words: Words):
     """The words of batches of (language hash, text), a few MiB at a time."""
     for batch in batches:
-        for part in sliced(batch, 1):
+        for part in sliced(batch, 1, 1 << 20):
             data, at = utf8_column(part.column(1))
             yield data, words(data, at, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), part
 
@@ -109,6 +109,11 @@ def _as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def _in_pieces(columns: list[np.ndarray], names: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]), rows):
+        yield pa.RecordBatch.from_arrays([_as_long(c[a : a + rows]) for c in columns], names=names)
+
+
 class Sums:
     """Adds up the counts of equal rows of hashes in a task, and lets them go when HELD rows are there."""
 
@@ -151,12 +156,14 @@ def changes(keys: list[np.ndarray]) -> np.ndarray:
 
 def _counted_words(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, out = Sums(3), lambda x: pa.RecordBatch.from_arrays([_as_long(c) for c in x], names=["h", "g", "c", "f"])
+        sums = Sums(3)
         for _, (_, _, owner, h, c, _), part in _texts(batches, Words(seed, checked=True)):
             lang = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sums.add([h, lang[owner].view(np.uint64), c])
-            yield from map(out, sums.taken(HELD))
-        yield from map(out, sums.taken(0))
+            for x in sums.taken(HELD):
+                yield from _in_pieces(x, ["h", "g", "c", "f"])
+        for x in sums.taken(0):
+            yield from _in_pieces(x, ["h", "g", "c", "f"])
 
     return run
 
@@ -197,14 +204,16 @@ def _pairs_of_large(seed: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, large = shared.value
-        sums, out = Sums(2), lambda x: pa.RecordBatch.from_arrays([_as_long(c) for c in x], names=["h1", "h2", "f"])
+        sums = Sums(2)
         for _, (_, _, _, h, follows), _ in _texts(batches, Words(seed)):
             at = np.flatnonzero(follows)
             at = at[within(h[at], large)]
             at = at[frequent(h[at + 1])]
             sums.add([h[at], h[at + 1]])
-            yield from map(out, sums.taken(HELD))
-        yield from map(out, sums.taken(0))
+            for x in sums.taken(HELD):
+                yield from _in_pieces(x, ["h1", "h2", "f"])
+        for x in sums.taken(0):
+            yield from _in_pieces(x, ["h1", "h2", "f"])
 
     return run
 
@@ -248,7 +257,7 @@ def _dealt(seed: int, shared):
         frequent, large, larger, firsts, shift, _ = shared.value
         sums = Sums(3)
 
-        def packed(rows: list[np.ndarray]) -> pa.RecordBatch:
+        def packed(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             place = rows[0].copy()
             for deeper, known in ((1, large), (2, larger)):
                 split = within(place if deeper == 2 else rows[0], known)
@@ -259,8 +268,9 @@ def _dealt(seed: int, shared):
             first = np.flatnonzero(changes([group]))
             ends = np.append(first[1:], len(group))
             columns = [c[order] for c in rows]
-            blocks = [pa.array([c[a:z].tobytes() for a, z in zip(first, ends)], pa.binary()) for c in columns]
-            return pa.RecordBatch.from_arrays([pa.array(group[first].astype(np.int64)), *blocks], names=["group", "h1", "h2", "h3", "n"])
+            for i in range(0, len(first), 128):
+                blocks = [pa.array([c[a:z].tobytes() for a, z in zip(first[i : i + 128], ends[i : i + 128])], pa.binary()) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(group[first[i : i + 128]].astype(np.int64)), *blocks], names=["group", "h1", "h2", "h3", "n"])
 
         for _, (_, _, _, h, follows), _ in _texts(batches, Words(seed)):
             fit = frequent(h)
@@ -270,8 +280,10 @@ def _dealt(seed: int, shared):
             three = pair[at + 1]
             third = np.where(three, h[np.minimum(at + 2, len(h) - 1)] if len(h) else h, np.uint64(0))
             sums.add([h[at], h[at + 1], third])
-            yield from map(packed, sums.taken(HELD))
-        yield from map(packed, sums.taken(0))
+            for x in sums.taken(HELD):
+                yield from packed(x)
+        for x in sums.taken(0):
+            yield from packed(x)
 
     return run
 
@@ -324,6 +336,11 @@ def _spelled(seed: int, shared):
 
 def mine(documents: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, covered_percent: int = 50, top: int = 2000) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two and three words."""
+    with bounded_batches(documents.sparkSession):  # every pass ends in a written table
+        return _mined_exactly(documents, text, lang, least, covered_percent, top)
+
+
+def _mined_exactly(documents: DataFrame, text: str, lang: str, least: int, covered_percent: int, top: int) -> DataFrame:
     for seed in range(1, 9):
         g = F.xxhash64(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.lit(seed)).alias("g")
         texts = documents.select(g, F.col(text).alias("text"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,19 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """``small_batches`` for the actions inside; afterwards the session's settings are as before."""
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k, None) for k in keys]
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def fitting(sizes: np.ndarray, budget: int) -> np.ndarray:
     """Which rows of a sample to keep, in order: those that still fit into the budget, none of them over a sixteenth of it unless it is the only one."""
     keep, used = np.zeros(len(sizes), bool), 0
