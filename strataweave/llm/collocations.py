@@ -5,7 +5,7 @@ prefixes are grouped so that each group's suffixes fit a memory budget, and each
 task, by sorting: equal suffixes are one leaf, and a node's count is the total of the leaves below it.
 
 1. Words are counted. Words are known by two 64-bit hashes, seeded by their language, so everything below is per language.
-2. A word that begins more suffixes than the budget is too large a prefix: its suffixes are divided by their second word,
+2. A word that begins more suffixes than a quarter of the budget is too large a prefix: its suffixes are divided by their second word,
    and those pairs are counted. A pair that is still too large is divided by its third word, which is a leaf.
 3. Prefixes in the order of their hashes are cut into groups of at most the budget, by the counts of cells of hashes.
 4. Each task of a second pass over the texts cuts suffixes behind the first word that is too rare to be part of a candidate
@@ -21,7 +21,7 @@ language are not looked at.
 
 Exactness: two words of one language with an equal first hash differ in the second one, which is compared for every word; the
 hashes are then seeded anew. Bounds: the budget is ``BUDGET`` suffixes, or a millionth of all words if that is more, so at most about
-2 million borders of groups and a million large prefixes (8 bytes each) go to the tasks; the filter has ``FILTER_BITS`` bits.
+2 million borders of groups and 4 million large prefixes (8 or 16 bytes each) go to the tasks; the filter has ``FILTER_BITS`` bits.
 """
 
 from __future__ import annotations
@@ -359,20 +359,21 @@ def _mined(texts: DataFrame, words: DataFrame, langs: DataFrame, seed: int, leas
     often = words.where(F.col("f") >= least).select("h", "f")
     n = words.agg(F.sum("f")).first()[0] or 0
     budget = max(BUDGET, n // GROUPS)
+    most = budget // 4  # suffixes of one prefix, so that groups come near their budget
     frequent = Frequent(often)
-    large = held(often.where(F.col("f") > budget), "h")  # n / budget of them at most
+    large = held(often.where(F.col("f") > most), "h")  # n / most of them at most
     if len(large):
         pairs = texts.mapInArrow(_pairs_of_large(seed, share((frequent, large))), "h1 long, h2 long, f long").groupBy("h1", "h2").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         pairs = written(_with_place(pairs), "collocations-pairs")
     else:
         pairs = spark.createDataFrame([], "h1 long, h2 long, f long, place long")
-    divided = pairs.where(F.col("f") > budget)
-    top_pairs = divided.select("place", "f").toArrow()  # n / budget of them at most
+    divided = pairs.where(F.col("f") > most)
+    top_pairs = divided.select("place", "f").toArrow()  # n / most of them at most
     larger, known = top_pairs.column(0).to_numpy().view(np.uint64), top_pairs.column(1).to_numpy()
     order = np.argsort(larger)
     larger, known = larger[order], known[order]
     bits = min(21, max(4, (16 * n // budget).bit_length()))
-    load = _cells(often.where(F.col("f") <= budget), F.col("h"), bits) + _cells(pairs.where(F.col("f") <= budget), F.col("place"), bits) + int(known.sum()) // (1 << bits)
+    load = _cells(often.where(F.col("f") <= most), F.col("h"), bits) + _cells(pairs.where(F.col("f") <= most), F.col("place"), bits) + int(known.sum()) // (1 << bits)
     shared = share((frequent, large, larger, borders(load, budget), np.uint64(64 - bits), known))
     dealt = texts.mapInArrow(_dealt(seed, shared), "group long, h1 binary, h2 binary, h3 binary, n binary")
     nodes = dealt.groupBy("group").applyInArrow(_subtree(least, shared), "h1 long, h2 long, h3 long, a long, parent long")
