@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataweave.session import written
+
 FINE = 16
 
 
@@ -48,7 +50,8 @@ def counted(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by, cuts): exact quantiles, interpolated between the two rows next to the place ``share * (n - 1)``; nulls are left out."""
-    at = counted(df.where(F.col(value).isNotNull()), value, by)
+    values = written(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "values")
+    at = written(running(values, value, {"less": F.col("n")}, by, inclusive=False), "ranks")
     whole = at.groupBy(*by).agg(F.sum("n").alias("_all"))
     at = at.join(whole, list(by)) if by else at.crossJoin(F.broadcast(whole))  # one row
     place = [F.lit(float(s)) * (F.col("_all") - 1) for s in shares]
@@ -56,4 +59,4 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[s
     near = [F.max(F.when(holds(f(p)), F.col(value))).alias(f"_{i}_{side}") for i, p in enumerate(place) for side, f in (("low", F.floor), ("high", F.ceil))]
     got = at.groupBy(*by).agg(F.max("_all").alias("_all"), *near)
     cuts = [F.col(f"_{i}_low") + (p - F.floor(p)) * (F.col(f"_{i}_high") - F.col(f"_{i}_low")) for i, p in enumerate(place)]
-    return got.select(*by, F.array(*[c.cast("double") for c in cuts]).alias("cuts"))
+    return written(got.select(*by, F.array(*[c.cast("double") for c in cuts]).alias("cuts")), "cuts")

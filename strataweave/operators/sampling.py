@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from strataweave.functions.identifiers import draw
 from strataweave.operators.ordered import quantiles
+from strataweave.session import written
 
 
 def difficulty(p: Column) -> Column:
@@ -36,12 +37,15 @@ def tercile(value: Column, cuts: Column) -> Column:
 
 
 def stratify(df: DataFrame, tau: float, value: str = "difficulty") -> DataFrame:
-    """Adds stratum: illicit, hard_neg, or easy_t1 to easy_t3 by exact terciles of the easy rows' difficulty."""
-    df = df.withColumn("difficulty", difficulty(F.col("p")))
+    """Adds stratum: illicit, hard_neg, or easy_t1 to easy_t3 by exact terciles of the easy rows' difficulty.
+
+    The rows are written before the cuts are taken, and again with their strata, as samples read them several times.
+    """
+    df = written(df.withColumn("difficulty", difficulty(F.col("p"))), "difficulty")
     hard = is_hard(F.col("label"), F.col("p"), tau)
     cuts = quantile_cuts(df.where((F.col("label") == 0) & ~hard), value)  # one row
     name = F.when(F.col("label") == 1, "illicit").when(hard, "hard_neg").otherwise(F.concat(F.lit("easy_t"), tercile(F.col(value), F.col("cuts")).cast("string")))
-    return df.crossJoin(F.broadcast(cuts)).withColumn("stratum", name).drop("cuts")
+    return written(df.crossJoin(F.broadcast(cuts)).withColumn("stratum", name).drop("cuts"), "strata")
 
 
 def first_ranked(df: DataFrame, by: Sequence[str], order: str, sizes: DataFrame, size: str = "take", digits: int = 3) -> DataFrame:
@@ -63,6 +67,7 @@ def sample(df: DataFrame, by: Sequence[str], size: Column | int, seed: int | str
     """
     pools = df.groupBy(*by).agg(F.count("*").alias("pool"))
     sizes = pools.withColumn("n", F.least(F.col("pool"), (size if isinstance(size, Column) else F.lit(size)).cast("bigint")))
+    sizes = written(sizes, "sizes")
     taken = first_ranked(df.withColumn("_draw", draw(seed, F.col(key))), by, "_draw", sizes, "n").drop("_draw")
     joined = taken.join(sizes, list(by)) if by else taken.crossJoin(F.broadcast(sizes))
     return joined.withColumn("weight", F.col("pool") / F.col("n"))
@@ -98,11 +103,11 @@ def benign_sample(df: DataFrame, budget: int, seed: int | str, hard_share: float
     its own stratum; weights are pool / n of what was really taken.
     """
     benign = df.where("stratum != 'illicit'")
-    sizes = benign_sizes(benign.groupBy("stratum").agg(F.count("*").alias("pool")), budget, hard_share)
-    first = first_ranked(benign.withColumn("_draw", draw(seed, F.col(key))), ["stratum"], "_draw", sizes)
+    sizes = written(benign_sizes(benign.groupBy("stratum").agg(F.count("*").alias("pool")), budget, hard_share), "sizes")
+    first = written(first_ranked(benign.withColumn("_draw", draw(seed, F.col(key))), ["stratum"], "_draw", sizes), "taken")
     rest = benign.join(first.select(key), key, "left_anti").withColumn("_draw", draw(f"{seed}|fill", F.col(key)))
     fill = first_ranked(rest.select(*first.columns), [], "_draw", sizes.agg(F.coalesce(F.max("gap"), F.lit(0)).alias("take")))
-    taken = first.unionByName(fill).drop("_draw")
+    taken = written(first.unionByName(fill).drop("_draw"), "taken")
     real = taken.groupBy("stratum").agg(F.count("*").alias("n"))
     known = sizes.select("stratum", "pool").join(real, "stratum")
     return taken.join(F.broadcast(known), "stratum").withColumn("weight", F.col("pool") / F.col("n"))  # four rows at most

@@ -11,6 +11,7 @@ from strataweave.operators import metrics as M
 from strataweave.operators import sampling as S
 from strataweave.plans.scoring import RATES
 from strataweave.plans.tx import TX, read, rounded, test_part
+from strataweave.session import written
 
 QUERIES, ORACLES = {}, {}
 TAU, SEED, PER = 0.8, 42, 30
@@ -125,7 +126,7 @@ def draws(spark, sf):
     pools = st.where("draw = 0").groupBy("stratum").agg(F.count("*").alias("pool"))
     st = st.withColumn("_d", draw(42 + 7919 * F.col("draw"), F.col("row_id")))
     sizes = pools.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("most", F.when(F.col("stratum") == "illicit", F.col("pool")).otherwise(F.least("pool", F.lit(80))))
-    near = S.first_ranked(st, ["draw", "stratum"], "_d", sizes, "most").join(F.broadcast(pools), "stratum")  # five rows
+    near = written(S.first_ranked(st, ["draw", "stratum"], "_d", written(sizes, "sizes"), "most"), "draws").join(F.broadcast(pools), "stratum")  # five rows
     rank = F.row_number().over(Window.partitionBy("draw", "stratum").orderBy("_d"))  # at most 80 rows, or the census
     near = near.withColumn("rk", rank).withColumn("size", F.explode(F.array(*[F.lit(x) for x in (10, 20, 40, 80)]))).where("label = 1 OR rk <= size")
     near = near.withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(F.col("pool") / F.least("pool", "size"))).withColumn("pred", (F.col("p") >= TAU).cast("int"))
@@ -170,7 +171,8 @@ fl AS (SELECT *, NOT base AND row_number() OVER (PARTITION BY base ORDER BY f) <
 SELECT stratum, count(*) AS taken, max(pool) AS pool, count(*) AS n, max(pool)::DOUBLE AS sum_w FROM fl WHERE base OR fill GROUP BY stratum UNION ALL SELECT 'illicit', count(*), NULL, NULL, count(*)::DOUBLE FROM st WHERE label = 1 HAVING count(*) > 0""")
 def benign_budget_sample(spark, sf):
     """The full benign rule: hard share, terciles, spill-over, random fill, and weights from realised membership."""
-    s = S.with_census(strata(spark, sf).where("label = 1"), S.benign_sample(strata(spark, sf), 200, SEED))
+    st = strata(spark, sf)
+    s = S.with_census(st.where("label = 1"), S.benign_sample(st, 200, SEED))
     return rounded(s.groupBy("stratum").agg(F.count("*").alias("taken"), F.max("pool").alias("pool"), F.max("n").alias("n"), F.sum("weight").alias("sum_w")))
 
 

@@ -11,6 +11,8 @@ from strataweave.operators import statistics as A
 from strataweave.plans.sampling import PER, SEED, STRATA, TAU, ranked, strata
 from strataweave.plans.tx import SCORED, TX, nibble, read, rounded, scorers, sql_nibble, test_part, verdicts, VERDICTS
 
+from strataweave.session import written
+
 QUERIES, ORACLES = {}, {}
 
 
@@ -125,7 +127,7 @@ SAMPLE = f"{STRATA}, sm AS (SELECT *, CASE WHEN p >= {TAU} THEN 1.0 ELSE 0.0 END
 
 
 def _sampled(spark, sf):
-    return S.sample(strata(spark, sf), ["stratum"], PER, SEED).withColumns({"x": (F.col("p") >= TAU).cast("double"), "y": (F.col("p") >= 0.7).cast("double")})
+    return written(S.sample(strata(spark, sf), ["stratum"], PER, SEED), "sampled").withColumns({"x": (F.col("p") >= TAU).cast("double"), "y": (F.col("p") >= 0.7).cast("double")})
 
 
 @query(f"WITH {SAMPLE}, g AS (SELECT stratum, max(pool) AS pool, count(*) AS n, covar_samp(x, y) AS s FROM sm GROUP BY stratum) SELECT round(sum(pool * pool * (1 - n / pool) * s / n), 6) AS covariance FROM g")

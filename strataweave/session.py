@@ -21,8 +21,11 @@ def session(name: str = "strataweave", **more: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse if that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, the warehouse in local mode, else an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or spark.conf.get("spark.sql.warehouse.dir")
     return folder.rstrip("/")
 
 
