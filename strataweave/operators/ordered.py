@@ -20,15 +20,16 @@ FINE = 16
 
 def with_cell(df: DataFrame, value: str, name: str = "_cell") -> DataFrame:
     """Adds the number of the cell of ``value``: equal values share one, and cells ascend with values. Null has cell -1."""
-    shares = [i / FINE**2 for i in range(1, FINE**2)]
-    cuts = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 5000).alias("_cuts"))
-    coarse = F.slice("_cuts", 1, FINE**2 - 1)
-    below = lambda part: F.size(F.filter(part, lambda c: c <= F.col(value).cast("double")))
-    first = F.transform(F.sequence(F.lit(FINE), F.lit(FINE * (FINE - 1)), F.lit(FINE)), lambda i: F.element_at(coarse, i))
-    placed = df.crossJoin(F.broadcast(cuts)).withColumn("_coarse", F.when(F.col("_cuts").isNull(), 0).otherwise(below(first)))  # one row
-    fine = F.slice("_cuts", F.col("_coarse") * FINE + 1, F.lit(FINE - 1))
-    cell = F.when(F.col(value).isNull(), -1).when(F.col("_cuts").isNull(), 0).otherwise(F.col("_coarse") * FINE + below(fine))
-    return placed.withColumn(name, cell.cast("int")).drop("_cuts", "_coarse")
+    shares, v = [i / FINE**2 for i in range(1, FINE**2)], F.col(value).cast("double")
+    all_cuts = df.agg(F.percentile_approx(v, shares, 5000).alias("_c"))
+    first = F.transform(F.sequence(F.lit(1), F.lit(FINE - 1)), lambda i: F.element_at("_c", i * FINE))
+    fine = F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), lambda i: F.slice("_c", i * FINE + 1, F.lit(FINE - 1)))
+    cuts = all_cuts.select(F.when(F.col("_c").isNotNull(), F.struct(first.alias("first"), fine.alias("fine"))).alias("_cuts"))
+    below = lambda part: F.size(F.filter(part, lambda c: c <= v))
+    # one element, so that the coarse place is found once and not wherever it is used
+    found = F.transform(F.array(below(F.col("_cuts.first"))), lambda i: i * FINE + below(F.element_at(F.col("_cuts.fine"), i + 1)))[0]
+    cell = F.when(F.col(value).isNull(), -1).when(F.col("_cuts").isNull(), 0).otherwise(found)
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, cell.cast("int")).drop("_cuts")  # one row
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, inclusive: bool = True) -> DataFrame:
