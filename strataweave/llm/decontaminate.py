@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataweave.llm.common import ALNUM, hash_words, small_batches, utf8_column, written
+from strataweave.llm.common import ALNUM, hash_words, mix, small_batches, utf8_column, written
 
 SEGMENT, GAP = 1 << 20, 64
 #: Bytes of test items that one pass over the index takes.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 INDEX = "ids array<long>, known array<boolean>, counts array<int>, terms binary, sizes binary, places binary"
 
 
@@ -68,25 +68,36 @@ def build_index(documents: DataFrame) -> DataFrame:
 
 
 class Queries:
-    """Runs of terms, all of a block of items: ``terms`` end to end, ``item`` and ``length`` of each run."""
+    """Runs of terms, all of a block of items: ``first`` and ``length`` of each run in the words of the items, ``of`` each word's place in the vocabulary.
+
+    Runs that overlap share their words, and equal runs are one (by two hashes of 64 bits), so that a block takes some twenty times its bytes at most.
+    """
 
     def __init__(self, items: pd.DataFrame, window: int):
         words, counts = hash_words(*utf8_column(pa.array(items["text"], pa.large_string(), from_pandas=True)), ALNUM)
-        known, end, runs = {}, 0, {}
-        self.names: list[str | None] = []
-        for name, n in zip(items["item_id"], counts.tolist()):
-            own, end = words[end : end + n], end + n
-            name = None if name is None or pd.isna(name) else name
-            i = known.setdefault(name, len(known))
-            if i == len(self.names):
-                self.names.append(name)
-            for j in range(max(1, n - window + 1) if n else 0):
-                runs.setdefault(own[j : j + window].tobytes(), (own[j : j + window], set()))[1].add(i)
-        self.length = np.array([len(r) for r, _ in runs.values()], np.int64)
-        self.vocabulary, self.of = np.unique(np.concatenate([*(r for r, _ in runs.values()), np.zeros(0, np.uint64)]), return_inverse=True)
-        self.first = np.cumsum(self.length) - self.length
-        self.held_by = np.array([i for _, s in runs.values() for i in sorted(s)], np.int64)  # the items of each run, end to end
-        self.borders = np.cumsum([0, *(len(s) for _, s in runs.values())])
+        known: dict = {}
+        number = np.array([known.setdefault(None if name is None or pd.isna(name) else name, len(known)) for name in items["item_id"]], np.int32)
+        self.names: list[str | None] = list(known)
+        runs = np.where(counts > 0, np.maximum(1, counts - window + 1), 0)
+        first = np.repeat(np.cumsum(counts) - counts, runs) + np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        length, item = np.repeat(np.minimum(counts, window), runs), np.repeat(number, runs)
+        keys = []
+        with np.errstate(over="ignore"):
+            for factor in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+                key = length.astype(np.uint64)
+                for k in range(int(length.max(initial=0))):
+                    key = np.where(k < length, key * factor + words[np.minimum(first + k, max(len(words) - 1, 0))], key)
+                keys.append(mix(key))
+        order = np.lexsort((item, keys[1], keys[0]))
+        item, run = item[order], np.ones(len(order), bool)
+        run[1:] = (keys[0][order][1:] != keys[0][order][:-1]) | (keys[1][order][1:] != keys[1][order][:-1])
+        holder = run.copy()
+        holder[1:] |= item[1:] != item[:-1]
+        self.first, self.length = first[order][run], length[order][run].astype(np.int64)
+        self.vocabulary, of = np.unique(words, return_inverse=True)
+        self.of = of.astype(np.int32)
+        self.held_by = item[holder]  # the items of each run, end to end
+        self.borders = np.append(np.flatnonzero(run[holder]), len(self.held_by))
 
     def items_of(self, run: int) -> list[int]:
         return self.held_by[self.borders[run] : self.borders[run + 1]].tolist()
@@ -99,7 +110,10 @@ class Queries:
         slot = np.minimum(np.searchsorted(terms, self.vocabulary), len(terms) - 1)
         have = terms[slot] == self.vocabulary
         held = np.where(have, sizes[slot], 0)[self.of]
-        alive = np.flatnonzero(np.minimum.reduceat(held, self.first) > 0)
+        least = held[self.first]
+        for k in range(1, int(self.length.max())):
+            least = np.minimum(least, held[np.minimum(self.first + k, len(held) - 1)], out=least, where=k < self.length)
+        alive = np.flatnonzero(least > 0)
         if not len(alive):
             return none
         start, key = np.cumsum(sizes) - sizes, (np.repeat(np.arange(len(terms)), sizes) << 32) + places
@@ -124,8 +138,9 @@ class Queries:
         return alive[run], at
 
 
-def _matches(queries: Queries, slop: int):
+def _matches(shared, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
         for batch in batches:
             out = {"segment": [], "row": [], "doc_id": [], "n_words": [], "marks": [], "items": []}
             for s in range(batch.num_rows):
@@ -185,7 +200,7 @@ def find(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, bl
     for i in range(passes):
         part = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(passes)) == i) if passes > 1 else items
         queries = Queries(part.toPandas().sort_values(["item_id", "text"], na_position="last", ignore_index=True), window)  # ``block`` bytes or so
-        one = index.mapInArrow(_matches(queries, slop), "segment long, row int, doc_id long, n_words long, marks array<long>, items array<string>")
+        one = index.mapInArrow(_matches(items.sparkSession.sparkContext.broadcast(queries), slop), "segment long, row int, doc_id long, n_words long, marks array<long>, items array<string>")
         if passes > 1:  # so that the driver holds the items of one pass at a time
             one = written(one, "decontaminate-found")
         found = one if found is None else found.union(one)

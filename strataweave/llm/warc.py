@@ -43,6 +43,8 @@ from strataweave.llm.common import shared_folder, written
 SHARD_BYTES, ROLL, LEAST = 16 << 20, 8 << 20, 1000
 #: Cells of a histogram for each span that it refines; shards at most, so that larger inputs get larger ones.
 CELLS, SHARDS = 4096, 100_000
+#: Into how many cells a cell over the limit is cut at least.
+FINER = 8
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "shard int, file string, records long, bytes long, first_page long, last_page long, sha256 string"
@@ -108,16 +110,16 @@ class Shards:
     """Where each record goes: ascending first page_ids of spans, for each span its first shard and into how many it is cut by digest."""
 
     def __init__(self, rows: DataFrame, limit: int):
-        """From (page_id, bytes), by one aggregate for each level; cells over ``limit`` bytes are cut into CELLS smaller ones at the next.
+        """From (page_id, bytes), by one aggregate for each level; cells over ``limit`` bytes are cut into smaller ones at the next, four for each shard that they fill, FINER at least.
 
-        What comes to the driver is a number for each cell of a level, so in proportion to the shards, SHARDS at most.
+        What comes to the driver is a number for each cell of a level: CELLS at the first one, and FINER for each shard at most after it.
         """
         low, high, unnumbered, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.when(F.col("page_id").isNull(), F.col("bytes"))), F.sum("bytes")).first()
         limit = max(limit, -(-(total or 0) // SHARDS))
-        spans, cells = [(low, high)] if low is not None else [], []
+        spans, cells = [(low, high, CELLS)] if low is not None else [], []
         while spans:
-            lows, highs = (np.array(x, np.int64) for x in zip(*spans))
-            steps = np.array([(z - a) // CELLS + 1 for a, z in spans], np.uint64)
+            lows, highs, _ = (np.array(x, np.int64) for x in zip(*spans))
+            steps = np.array([(z - a) // k + 1 for a, z, k in spans], np.uint64)
 
             @F.pandas_udf("long")
             def cell(values: pd.Series) -> pd.Series:
@@ -131,7 +133,7 @@ class Shards:
             for at, n in sorted(counted):
                 i = int(np.searchsorted(lows, at, side="right")) - 1
                 if n > limit and steps[i] > 1:
-                    spans.append((at, min(at + int(steps[i]) - 1, last[i][1])))
+                    spans.append((at, min(at + int(steps[i]) - 1, last[i][1]), min(CELLS, max(FINER, -(-4 * n // limit)))))
                 else:
                     cells.append((at, n))
         self.unnumbered = max(1, -(-(unnumbered or 0) // limit))
