@@ -78,13 +78,16 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A source's documents come in the order of their draws, so the copies of each follow from its source's whole epochs and
     the last draw that the epoch begun takes in: a row for each source, and no text moves.
     """
-    rows = docs.select("doc_id", "source", "text").withColumns({"_draw": mixing.draw("mix", F.col("doc_id"), F.col("text")), "_key": mixing.source_key()})
-    mixed = mixing.mix(rows, keep=("_draw", "_key"))
+    # Equal rows share a draw; their places in the table, which its files fix, tell them apart.
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    ordered = {"_draw": F.concat(mixing.draw("mix", F.col("doc_id"), F.col("text")), F.lpad(F.hex("_place"), 16, "0")), "_key": mixing.source_key()}
+    rows = placed.select("doc_id", "source", "text", "_place").withColumns(ordered).drop("_place")
+    mixed = mixing.mix(rows, keep=("_draw", "_key"), order=F.col("_draw"))
     whole = F.floor(F.col("quota") / F.greatest("source_size", F.lit(1)))
     part = F.col("taken") - F.col("size") * whole
     begun = F.when((F.col("size") > 0) & (2 * part >= F.col("size")), F.col("_draw"))
     sources = written(mixed.groupBy("_key").agg(F.max(whole).cast("int").alias("_whole"), F.max(begun).alias("_last")), "pipeline-sources")
-    drawn = docs.withColumns({"_draw": mixing.draw("mix", F.col("doc_id"), F.col("text")), "_key": mixing.source_key(), "_size": mixing.words(F.col("text"))}).join(sources, "_key")
+    drawn = placed.withColumns({**ordered, "_size": mixing.words(F.col("text"))}).join(sources, "_key")
     copies = F.when(F.col("_size") > 0, F.col("_whole") + F.coalesce(F.col("_draw") <= F.col("_last"), F.lit(False)).cast("int")).otherwise(0)
     return drawn.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
