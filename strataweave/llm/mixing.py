@@ -94,15 +94,16 @@ def targets(sources: DataFrame, max_epochs: float = 3.0) -> DataFrame:
     return capped.withColumn("target", target).drop("_cap", "_level", "_share", "_open")
 
 
-def mix(documents: DataFrame, schedule=cycling_weights, max_epochs: float = 3.0, key: str = "doc_id", seed: str = "mix", keep: bool | tuple[str, ...] = True) -> DataFrame:
+def mix(documents: DataFrame, schedule=cycling_weights, max_epochs: float = 3.0, key: str = "doc_id", seed: str = "mix", keep: bool | tuple[str, ...] = True, order: Column | None = None) -> DataFrame:
     """One row for each document, sorted by the moment of its first use: size, source_size, target, taken, moment (null if unused).
 
     ``schedule``: a DataFrame (source, moment, weight), or a function that makes it from the sources' table.
     ``keep``: carry the other columns, all or those named, which then move with the rows.
+    ``order``: hex digits that give each source's documents their order; a draw by key and text if left out.
     """
     kept = documents.columns if keep is True else (key, "source", *(keep or ()))
     rest = [F.col(c) for c in documents.columns if c not in MADE and c in kept]
-    sized = documents.select(*rest, words(F.col("text")).alias("size"), source_key().alias("_source"), draw(seed, F.col(key), F.col("text")).alias("_order"))
+    sized = documents.select(*rest, words(F.col("text")).alias("size"), source_key().alias("_source"), (draw(seed, F.col(key), F.col("text")) if order is None else order).alias("_order"))
     sized = sized.withColumn("_bucket", F.substring("_order", 1, 3))
     if keep is not True:
         sized = written(sized, "mixing")

@@ -49,3 +49,19 @@ def test_stages(spark, rows):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).where("slot is not null and shard between 0 and 23").count() > 0
+
+
+def test_equal_rows_are_mixed_each_by_itself(spark):
+    """Each source's words come within one document of its target, though its rows are equal and have no number."""
+    from strataweave.llm import mixing
+
+    text = " ".join("abcdefghij")
+    some = [(None, text, "en", "a", 19, "x")] * 50 + [(7, text + " k", "en", "b", 21, "x")] * 40 + [(i, "w " * (i % 9), "en", "c", 1, "x") for i in range(30)]
+    docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long, shard string").repartition(4)
+    from strataweave.llm.common import written
+
+    docs = written(docs, "equal-rows")
+    size = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
+    got = {r[0]: r[1] for r in corpus_pipeline.mixing_stage(spark, docs, SF).groupBy("source").agg(F.sum(size)).collect()}
+    want = {r[0]: r[1] for r in mixing.mix(docs).groupBy("source").agg(F.max("target")).collect()}
+    assert want.keys() == got.keys() and all(abs(got[s] - want[s]) <= 11 for s in want), (got, want)
