@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataweave.functions.ratios import ratio0
 from strataweave.operators.ordered import quantiles, running
+from strataweave.session import written
 
 
 def cohen_kappa(ratings: DataFrame, item: str, rater: str, score: str) -> DataFrame:
@@ -105,11 +108,15 @@ def log_choose(n: int, k: int) -> float:
 
 
 def tail(pool: int, marked: int, n: int, x: int, upper: bool) -> float:
-    """P(X >= x) or P(X <= x) of marked units in n draws without replacement."""
+    """P(X >= x) or P(X <= x) of marked units in n draws without replacement: from the logarithm of one term, the others follow by their ratios."""
     lo, hi = max(0, n + marked - pool), min(n, marked)
-    span = range(max(x, lo), hi + 1) if upper else range(lo, min(x, hi) + 1)
-    whole = log_choose(pool, n)
-    return math.fsum(math.exp(log_choose(marked, i) + log_choose(pool - marked, n - i) - whole) for i in span)
+    first, last = (max(x, lo), hi) if upper else (lo, min(x, hi))
+    if first > last:
+        return 0.0
+    i = np.arange(first, last, dtype=np.float64)
+    ratios = np.log((marked - i) * (n - i)) - np.log((i + 1) * (pool - marked - n + i + 1))
+    start = log_choose(marked, first) + log_choose(pool - marked, n - first) - log_choose(pool, n)
+    return math.fsum(np.exp(start + np.concatenate(([0.0], np.cumsum(ratios)))).tolist())
 
 
 def count_interval(pool: int, n: int, x: int, alpha: float) -> tuple[int, int]:
@@ -142,6 +149,21 @@ def with_intervals(df: DataFrame, alpha: Column) -> DataFrame:
     return keyed.join(once, ["pool", "n", "x", "_alpha"]).drop("_alpha")
 
 
+def metric_envelope(df: DataFrame, by: Sequence[str], low: str = "low", high: str = "high") -> DataFrame:
+    """Bounds of precision, F1 and lift from bounds of the false positives of each stratum, and the known tp, pos and total.
+
+    All three fall as the false positives grow, so their extremes over the box of all strata are at its two corners, the
+    sums of the lower and of the upper bounds.
+    """
+    sums = df.groupBy(*by).agg(F.sum(low).alias("fp_low"), F.sum(high).alias("fp_high"), F.max("tp").alias("tp"), F.max("pos").alias("pos"), F.max("total").alias("total"))
+    tp, out = F.col("tp").cast("double"), {}
+    for side, fp in (("low", F.col("fp_high")), ("high", F.col("fp_low"))):
+        out[f"precision_{side}"] = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
+        out[f"f1_{side}"] = F.coalesce(F.try_divide(2 * tp, tp + F.col("pos") + fp), F.lit(0.0))
+        out[f"lift_{side}"] = F.try_divide(out[f"precision_{side}"] * F.col("total"), F.col("pos").cast("double"))
+    return sums.withColumns(out)
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value)
     return df.withColumn("_r", F.rank().over(w)).withColumn("rank", F.col("_r") + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2).drop("_r")
@@ -174,6 +196,90 @@ def wilcoxon(df: DataFrame, by: Sequence[str], difference: str) -> DataFrame:
     return s.withColumn("z", score).withColumn("p_value", two_sided("z")).drop("ties", "zeros")
 
 
+def exact_signs(ranks: Sequence[int], times: Sequence[int], w: int, zeros: int) -> tuple[float, float]:
+    """P(W >= w) and P(W <= w) of the sum of the ranks with a positive sign, all signs as likely, by dynamic programming over the sums.
+
+    Ranks, w and zeros (what the zeros give to either side) are doubled, so that ties have whole numbers.
+    """
+    ways = [1]
+    for rank, n in zip(ranks, times):
+        for _ in range(n):
+            more = ways + [0] * rank
+            for i, c in enumerate(ways):
+                more[i + rank] += c
+            ways = more
+    at, whole = w - zeros, sum(ways)
+    return sum(ways[max(at, 0) :]) / whole, sum(ways[: max(at + 1, 0)]) / whole
+
+
+def wilcoxon_exact(df: DataFrame, by: Sequence[str], difference: str, most: int = 50) -> DataFrame:
+    """``wilcoxon`` with p_greater (positive differences prevail) and p_two_sided: exact in groups of at most ``most`` pairs, else normal; null where all pairs tie."""
+    d = df.withColumn("_a", F.abs(F.round(difference, 12))).where("_a is not null")
+    signs = d.groupBy(*by, "_a").agg(F.count("*").alias("t"))
+    at = running(signs, "_a", {"less": F.col("t")}, by, inclusive=False).withColumn("_rank", (2 * F.col("less") + F.col("t") + 1).cast("bigint"))
+    test = written(wilcoxon(df, by, difference), "signed-ranks")
+    sizes = [F.max(F.when(F.col("_a") == 0, F.col("_rank") * F.col("t")).otherwise(0)).alias("_zeros"), F.max("_a").alias("_most"), F.collect_list(F.when((F.col("n") <= most) & (F.col("_a") > 0), F.struct("_rank", "t"))).alias("_ranks")]  # ``most`` ranks at most
+    ranks = (at.join(test.select(*by, "n"), list(by)) if by else at.crossJoin(F.broadcast(test.select("n")))).groupBy(*by).agg(*sizes)  # one row
+
+    @F.pandas_udf("greater double, less double")
+    def exact(ranks: pd.Series, w: pd.Series, zeros: pd.Series) -> pd.DataFrame:
+        # the zeros' ranks count half on either side: their doubled rank times t, halved
+        got = [exact_signs([int(r["_rank"]) for r in each], [int(r["t"]) for r in each], round(2 * x), int(z) // 2) for each, x, z in zip(ranks, w, zeros)]
+        return pd.DataFrame(got, columns=["greater", "less"])
+
+    @F.pandas_udf("double")
+    def beyond(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: None if v is None or math.isnan(v) else 0.5 * math.erfc(v / math.sqrt(2)))
+
+    both = (test.join(ranks, list(by)) if by else test.crossJoin(F.broadcast(ranks))).withColumn("_e", exact("_ranks", "w_plus", "_zeros"))  # one row
+    up = F.when(F.col("w_plus") >= F.col("w_minus"), -F.col("z")).otherwise(F.col("z"))
+    small, tied = F.col("n") <= most, F.col("_most") == 0
+    p = {"exact": small, "p_greater": F.when(~tied, F.when(small, F.col("_e.greater")).otherwise(beyond(up))), "p_two_sided": F.when(~tied, F.when(small, F.least(F.lit(1.0), 2 * F.least("_e.greater", "_e.less"))).otherwise(F.col("p_value")))}
+    return both.withColumns(p).select(*by, "n", "w_plus", "w_minus", "exact", "p_greater", "p_two_sided")
+
+
+#: A bijection of 64-bit numbers spreads (row, resample) over the numbers that weights are read from.
+_ROW, _RESAMPLE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)])
+
+
+def resample_weights(rows: np.ndarray, resamples: int) -> np.ndarray:
+    """The weight of each row (a hash) in each resample: Poisson with mean 1, a matrix of small numbers."""
+    with np.errstate(over="ignore"):
+        x = rows[:, None] * np.uint64(_ROW) + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(_RESAMPLE)
+        for factor in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted((POISSON * 2.0**32).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32), side="right").astype(np.float64)
+
+
+def paired_bootstrap(df: DataFrame, difference: str, key: str, resamples: int = 10_000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(n, mean, low, high): the percentile interval of the mean difference of pairs.
+
+    Each pair's weight in a resample is drawn in its task from a hash of seed, key and resample, so a task hands on one vector of
+    sums, whatever its rows, and results don't depend on how rows are dealt. Weights are Poisson, and a resample's mean is over
+    its own weight. Where all differences are equal, the interval is that point; nulls are left out.
+    """
+    rows = df.where(F.col(difference).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), F.col(difference).cast("double").alias("d"))
+
+    def run(batches):
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        step = max(1, (1 << 20) // resamples)
+        for batch in batches:
+            h, d = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for a in range(0, len(h), step):
+                w = resample_weights(h[a : a + step], resamples)
+                weight += w.sum(axis=0)
+                total += d[a : a + step] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weight), pa.array(total)], names=["b", "weight", "total"])
+
+    means = rows.mapInArrow(run, "b bigint, weight double, total double").groupBy("b").agg((F.sum("total") / F.nullif(F.sum("weight"), F.lit(0.0))).alias("m"))
+    cuts = means.agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
+    point = rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.min("d").alias("_min"), F.max("d").alias("_max"))
+    same = F.col("_min") == F.col("_max")
+    return point.crossJoin(F.broadcast(cuts)).select("n", "mean", F.when(same, F.col("_min")).otherwise(F.col("low")).alias("low"), F.when(same, F.col("_min")).otherwise(F.col("high")).alias("high"))  # one row each
+
+
 def bootstrap_mean(df: DataFrame, value: str, key: str, resamples: int = 200, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling: each row's weight in a resample comes from a hash of seed, resample and key, so each task sums its own rows for all resamples."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("b"), F.col(key)), F.lit(1 << 30)) + 0.5) / float(1 << 30)

@@ -149,13 +149,34 @@ def linearised_se(spark, sf):
     return one.select(F.round(x, 6).alias("fp"), F.round(se, 6).alias("se_fp"), F.round(se * tp / F.pow(tp + x, F.lit(2)), 8).alias("se_precision"), F.round(se * 2 * tp / F.pow(tp + x + F.col("pos"), F.lit(2)), 8).alias("se_f1"))
 
 
-@query()
-def hypergeom_envelope(spark, sf):
-    """Exact intervals of the flagged rows of each stratum, and their sum over strata."""
+_CHOOSE = lambda n, k: f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - ({k}) + 1))"
+#: Each number of marked units that a stratum may have, with its two tails, summed term by term.
+ENVELOPE = f"""{SAMPLE}, ct AS (SELECT stratum, max(pool)::BIGINT AS pool, count(*)::BIGINT AS n, sum(y)::BIGINT AS x FROM sm WHERE label = 0 GROUP BY stratum),
+mk AS (SELECT *, unnest(range(x, pool - n + x + 1)) AS m FROM ct),
+tl AS (SELECT stratum, pool, n, x, m, sum(pr) FILTER (i >= x) AS upper, sum(pr) FILTER (i <= x) AS lower FROM (SELECT *, exp({_CHOOSE('m', 'i')} + {_CHOOSE('(pool - m)', '(n - i)')} - {_CHOOSE('pool', 'n')}) AS pr FROM (SELECT *, unnest(range(greatest(0, n + m - pool), least(n, m) + 1)) AS i FROM mk)) GROUP BY ALL),
+iv AS (SELECT stratum, pool, n, x, CASE WHEN n = pool THEN x ELSE min(m) FILTER (upper >= 0.05 / 4 / 2 - 1e-12) END AS low, CASE WHEN n = pool THEN x ELSE max(m) FILTER (lower >= 0.05 / 4 / 2 - 1e-12) END AS high FROM tl GROUP BY stratum, pool, n, x)"""
+
+
+def _intervals(spark, sf):
     s = _sampled(spark, sf).where("label = 0")
     counts = s.groupBy("stratum").agg(F.max("pool").alias("pool"), F.max("n").alias("n"), F.sum("y").cast("bigint").alias("x"))
-    each = A.with_intervals(counts, F.lit(0.05) / 4)
-    return each.select("stratum", "pool", "n", "x", "low", "high")
+    return A.with_intervals(counts, F.lit(0.05) / 4).select("stratum", "pool", "n", "x", "low", "high")
+
+
+@query(f"WITH {ENVELOPE} SELECT * FROM iv")
+def hypergeom_envelope(spark, sf):
+    """Exact intervals of the flagged rows of each stratum."""
+    return _intervals(spark, sf)
+
+
+_RATE = lambda fp, side: f"round(coalesce(tp / nullif(tp + {fp}, 0), 0), 6) AS precision_{side}, round(coalesce(2 * tp / nullif(tp + pos + {fp}, 0), 0), 6) AS f1_{side}, round(coalesce(tp / nullif(tp + {fp}, 0), 0) * total / nullif(pos, 0), 6) AS lift_{side}"
+
+
+@query(f"WITH {ENVELOPE}, e AS (SELECT sum(low)::BIGINT AS fp_low, sum(high)::BIGINT AS fp_high FROM iv), w AS (SELECT count(*) FILTER (label = 1 AND p >= 0.7) AS tp, count(*) FILTER (label = 1) AS pos, count(*) AS total FROM t) SELECT *, {_RATE('fp_high', 'low')}, {_RATE('fp_low', 'high')} FROM e CROSS JOIN w")
+def metric_envelope(spark, sf):
+    """Bounds of precision, F1 and lift from the exact intervals of all strata."""
+    known = test_part(spark, sf).agg(F.count_if((F.col("label") == 1) & (F.col("p") >= 0.7)).alias("tp"), F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("total"))
+    return rounded(A.metric_envelope(_intervals(spark, sf).crossJoin(F.broadcast(known)), []))  # one row
 
 
 @query(f"WITH {TX}, {VERDICTS}, b AS (SELECT run || payment_format AS block, model, avg(CAST(pred = label AS INT)) AS acc FROM v GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY block ORDER BY acc) + (count(*) OVER (PARTITION BY block, acc) - 1) / 2 AS r FROM b), s AS (SELECT model, sum(r) AS r, count(*) AS n FROM k GROUP BY model) SELECT round(12.0 / (max(n) * count(*) * (count(*) + 1)) * sum(r * r) - 3.0 * max(n) * (count(*) + 1), 6) AS chi2, round(max(r / n) - min(r / n), 6) AS spread, count(*) AS treatments, max(n) AS blocks FROM s")
@@ -183,3 +204,28 @@ def paired_hypotheses(spark, sf):
     f = verdicts(test_part(spark, sf)).groupBy("run", "payment_format").pivot("model", ["m1", "m2"]).agg(F.avg((F.col("pred") == F.col("label")).cast("int")))
     m = F.avg(F.col("m2") - F.col("m1")) * 100
     return rounded(f.groupBy("payment_format").agg(m.alias("mean_delta_pp"), (m >= 5).alias("improves"), (m <= -10).alias("breaks")))
+
+
+_PAIRS = f"{TX}, {VERDICTS}, ac AS (SELECT payment_format, src_bank, model, avg(CAST(pred = label AS INT)) AS acc FROM v WHERE model IN ('m1', 'm2') GROUP BY ALL), df AS (SELECT a.payment_format, a.src_bank, a.acc - b.acc AS d FROM ac a JOIN ac b USING (payment_format, src_bank) WHERE a.model = 'm1' AND b.model = 'm2')"
+
+
+def _pairs(spark, sf):
+    v = verdicts(test_part(spark, sf)).groupBy("payment_format", "src_bank").pivot("model", ["m1", "m2"]).agg(F.avg((F.col("pred") == F.col("label")).cast("int")))
+    return v.select("payment_format", "src_bank", (F.col("m1") - F.col("m2")).alias("d")).where("d is not null")
+
+
+@query(f"""WITH {_PAIRS}, a AS (SELECT *, round(abs(d), 12) AS a FROM df), r AS (SELECT *, rank() OVER (PARTITION BY payment_format ORDER BY a) + (count(*) OVER (PARTITION BY payment_format, a) - 1) / 2 AS r, row_number() OVER (PARTITION BY payment_format ORDER BY a, src_bank) AS i, count(*) OVER (PARTITION BY payment_format) AS n FROM a),
+w AS (SELECT payment_format, n, sum(CASE WHEN a = 0 THEN r / 2 WHEN d > 0 THEN r ELSE 0 END) AS w_plus, sum(CASE WHEN a = 0 THEN r / 2 WHEN d < 0 THEN r ELSE 0 END) AS w_minus, max(a) AS most FROM r GROUP BY ALL),
+s AS (SELECT payment_format, k, sum(CASE WHEN a = 0 THEN r / 2 WHEN (k >> (i - 1)) & 1 = 1 THEN r ELSE 0 END) AS x FROM r CROSS JOIN (SELECT unnest(range(128)) AS k) GROUP BY ALL),
+p AS (SELECT payment_format, avg((x >= w_plus)::INT) AS up, avg((x <= w_plus)::INT) AS down FROM s JOIN w USING (payment_format) GROUP BY ALL)
+SELECT payment_format, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, true AS exact, CASE WHEN most > 0 THEN round(up, 6) END AS p_greater, CASE WHEN most > 0 THEN round(least(1, 2 * least(up, down)), 6) END AS p_two_sided FROM w JOIN p USING (payment_format)""")
+def wilcoxon_exact(spark, sf):
+    """Exact signed ranks of the difference between two models over seven banks, for each payment format; the SQL goes through all signs."""
+    return rounded(A.wilcoxon_exact(_pairs(spark, sf), ["payment_format"], "d"))
+
+
+@query()
+def paired_bootstrap_ci(spark, sf):
+    """10,000 resamples of the difference between two models' accuracies by account."""
+    v = verdicts(test_part(spark, sf)).groupBy("src").pivot("model", ["m1", "m2"]).agg(F.avg((F.col("pred") == F.col("label")).cast("int")))
+    return rounded(A.paired_bootstrap(v.select("src", (F.col("m2") - F.col("m1")).alias("d")), "d", "src"))
