@@ -230,6 +230,7 @@ def truncated(text: Column, overflow: Column) -> Column:
 
 
 def split_reasoning(text: Column) -> tuple[Column, Column]:
-    """What stands before and behind the last </think>, without the opening tag."""
-    parts = F.split(F.regexp_replace(text, r"^\s*<think>", ""), "</think>", -1)
-    return F.when(F.size(parts) > 1, F.trim(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "</think>"))), F.trim(F.element_at(parts, -1))
+    """What stands before and behind the first </think>, without opening tags and outer white space; no reasoning where there is none."""
+    at, bare = F.instr(text, "</think>"), lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    before = F.replace(F.substring(text, F.lit(1), at - 1), F.lit("<think>"), F.lit(""))
+    return F.when(at > 0, bare(before)), F.when(at > 0, bare(F.substring(text, at + len("</think>"), F.length(text)))).otherwise(text)

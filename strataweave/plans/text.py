@@ -187,3 +187,14 @@ def label_leak_guard(spark, sf):
     i, text = F.col("doc_id") % 9, F.col("text")
     said = F.when(i == 0, F.concat(text, F.lit("\n - Label: 1"))).when(i == 1, F.concat(F.lit("no label: "), text)).when(i == 2, F.concat(text, F.lit(" < id >"))).otherwise(text)
     return read(spark, sf, "documents").agg(F.count_if(P.leaks_label(said)).alias("leaking"), F.count("*").alias("n"))
+
+
+@query("WITH s AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '<think>' || role || ': ' || text || '</think> ' || text || '</think> c' WHEN 1 THEN ' <think>' || text || '</think>' ELSE text END AS said FROM conversations), p AS (SELECT *, strpos(said, '</think>') AS k FROM s) SELECT conv_id, turn, CASE WHEN k > 0 THEN md5(regexp_replace(replace(left(said, k - 1), '<think>', ''), '^\\s+|\\s+$', '', 'g')) END AS reasoning, md5(CASE WHEN k > 0 THEN regexp_replace(substr(said, k + 8), '^\\s+|\\s+$', '', 'g') ELSE said END) AS answer FROM p")
+def reasoning_split(spark, sf):
+    """Reasoning and answer of each turn, parted at the first closing tag."""
+    c = read(spark, sf, "conversations")
+    think = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    text = F.col("text")
+    said = F.when(F.col("turn") % 3 == 0, think("<think>", F.col("role"), ": ", text, "</think> ", text, "</think> c")).when(F.col("turn") % 3 == 1, think(" <think>", text, "</think>")).otherwise(text)
+    reasoning, answer = P.split_reasoning(said)
+    return c.select("conv_id", "turn", F.md5(reasoning).alias("reasoning"), F.md5(answer).alias("answer"))

@@ -38,7 +38,7 @@ def row_digest(df: DataFrame) -> DataFrame:
 
 
 def write_verified(df: DataFrame, path: str, force: bool = False, **options) -> None:
-    """Writes aside, reads again and compares; only a table without a difference is renamed to ``path``."""
+    """Writes aside, reads again and compares; only a table without a difference is renamed to ``path``, and the former one, renamed itself, goes after that."""
     spark, aside = df.sparkSession, f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     files = spark._jvm.org.apache.hadoop.fs
     target = files.Path(path)
@@ -50,10 +50,13 @@ def write_verified(df: DataFrame, path: str, force: bool = False, **options) ->
     found = row_digest(spark.read.schema(df.schema).parquet(aside)).first()
     if found != expected:
         raise ValueError(f"{aside}: wrote {expected}, read back {found}")
-    if system.exists(target):
-        system.delete(target, True)
+    former = files.Path(f"{aside}-former")
+    if system.exists(target) and not system.rename(target, former):
+        raise ValueError(f"{path} could not be renamed")
     if not system.rename(files.Path(aside), target):
+        system.rename(former, target)
         raise ValueError(f"{aside} could not be renamed to {path}")
+    system.delete(former, True)
 
 
 def write_cases(cases: DataFrame, path: str, force: bool = False) -> None:

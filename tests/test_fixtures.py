@@ -158,6 +158,21 @@ def test_parsers(spark):
     assert tuple(r) == ("a", "Explanation: moves\nConclusion: **Not suspicious**", 1)
 
 
+def test_reasoning_ends_at_the_first_closing_tag(spark):
+    said = ["<think>a</think>b</think>c", " <think> x <think>y \n</think>\n z ", "no tags ", "</think>"]
+    assert mapped(spark, lambda t: P.split_reasoning(t)[0], said) == ["a", "x y", None, ""]
+    assert mapped(spark, lambda t: P.split_reasoning(t)[1], said) == ["b</think>c", "z", "no tags ", ""]
+
+
+def test_verified_write_replaces_and_keeps_nothing_aside(spark, tmp_path):
+    from strataweave.sources.writers import write_verified
+
+    path = f"file://{tmp_path}/t"
+    write_verified(spark.range(5), path)
+    write_verified(spark.range(7), path, force=True)
+    assert spark.read.parquet(path).count() == 7 and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_typologies_in_text(spark):
     labels = {"Fan–Out (many).": "fan-out", "Fanout": "fan-out", "FAN IN": "fan-in", "smurfing": "", "cycle, or stack": "cycle", "Scatter gather": "scatter-gather", "gather of scatter": "gather-scatter", "Gather‑Scatter and cycle": "gather-scatter", "normal activity": "legitimate", "none": "", " bipartite;": "bipartite", "": ""}
     assert mapped(spark, P.normalised_typology, labels) == list(labels.values())
