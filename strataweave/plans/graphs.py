@@ -9,6 +9,7 @@ from strataweave.operators import graph as G
 from strataweave.operators import metrics as M
 from strataweave.operators import render as R
 from strataweave.operators import routing as U
+from strataweave.operators.knn import knn_graph
 from strataweave.plans.scoring import confusion_sql, grid_sql
 from strataweave.plans.tx import TX, VERDICTS, read, rounded, test_part, tx, verdicts
 
@@ -269,6 +270,12 @@ def knn_cosine_topk(spark, sf):
     return rounded(G.cosine_top_k(v, v.where("vec_id % 100 = 0")), 5)
 
 
+@query("WITH p AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) <= 5), e AS (SELECT src, dst, similarity FROM k UNION ALL SELECT dst, src, similarity FROM k) SELECT src, dst, round(max(similarity), 5) AS similarity, count(*) AS times FROM e GROUP BY src, dst")
+def knn_graph_symmetric(spark, sf):
+    """The five nearest of every row, in both directions."""
+    return rounded(knn_graph(read(spark, sf, "embeddings")), 5)
+
+
 # ---------------------------------------------------------------- routing
 
 TAU = 0.6
