@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataweave.functions import parsing as P
+from strataweave.operators import cycles as C
 from strataweave.operators import graph as G
 from strataweave.operators import models as L
 from strataweave.plans.sampling import TAU
@@ -140,3 +141,11 @@ def bounded_cycles(spark, sf):
 @query(ORACLES["bounded_cycles"].replace("e AS (SELECT * FROM t WHERE", "e AS (SELECT * FROM tx WHERE"))
 def bounded_cycles_full(spark, sf):
     return L.bounded_cycles(tx(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {TX}, e AS MATERIALIZED (SELECT src, dst, epoch_s FROM tx WHERE src <> dst), s(start, pos, t0, t1, seen, hops) AS (SELECT src, dst, epoch_s, epoch_s, [src, dst], 1 FROM e
+UNION ALL SELECT s.start, e.dst, s.t0, e.epoch_s, list_append(s.seen, e.dst), s.hops + 1 FROM s JOIN e ON e.src = s.pos AND e.epoch_s > s.t1 AND e.epoch_s - s.t0 <= 86400 WHERE s.hops < 10 AND s.pos <> s.start AND (e.dst = s.start OR NOT list_contains(s.seen, e.dst)))
+SELECT start, hops, count(*) AS n FROM s WHERE pos = start AND hops > 1 GROUP BY start, hops""")
+def long_cycles(spark, sf):
+    """Cycles of up to ten edges within a day, over all rows."""
+    return C.long_cycles(tx(spark, sf))
