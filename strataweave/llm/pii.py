@@ -245,20 +245,41 @@ def detect(documents: DataFrame, disclosure: float = 0.9, support: int = 3, alph
     return out.select("doc_id", *counts, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), "terms").alias("spans"))
 
 
+def _cleaned(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    out = []
+    for text, mark in zip(texts, marks):
+        last, parts = 0, []
+        for a, z, kind in sorted((int(a), int(z), k) for k, a, z in (m.split(":") for m in (mark or "").split(",") if m)):
+            if text is not None and z > last:
+                parts += [text[last : max(a, last)], "" if kind == "term" else f"[{kind.upper()}]"]
+                last = z
+        out.append(text if text is None else "".join(parts) + text[last:])
+    return pd.Series(out, dtype=object)
+
+
 def redact(documents: DataFrame, spans: DataFrame) -> DataFrame:
-    """The documents with their entities generalised to [KIND] and disclosing terms removed; ``spans`` from ``detect``, one row for a doc_id."""
-
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series, marks: pd.Series) -> pd.Series:
-        out = []
-        for text, mark in zip(texts, marks):
-            last, parts = 0, []
-            for a, z, kind in sorted((int(a), int(z), k) for k, a, z in (m.split(":") for m in (mark or "").split(",") if m)):
-                if text is not None and z > last:
-                    parts += [text[last : max(a, last)], "" if kind == "term" else f"[{kind.upper()}]"]
-                    last = z
-            out.append(text if text is None else "".join(parts) + text[last:])
-        return pd.Series(out, dtype=object)
-
-    marks = spans.where("doc_id is not null").select("doc_id", "spans").dropDuplicates(["doc_id"])
-    return documents.join(marks, "doc_id", "left").withColumn("text", cleaned("text", "spans")).select(*documents.columns)
+    """The documents with their entities generalised to [KIND] and disclosing terms removed; ``spans`` from ``detect``.
+
+    Spans are found by doc_id, so each must stand in one row and none may be null, else this raises; ``sanitised`` takes any rows.
+    """
+    doubtful = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count()
+    if doubtful:
+        raise ValueError("a doc_id is null or repeated: its spans are not known from it; use sanitised()")
+    rows = documents.select("doc_id", F.struct("*").alias("row")).join(spans.select("doc_id", "spans"), "doc_id", "left")
+    return _with_clean(rows, documents.columns)
+
+
+def _with_clean(rows: DataFrame, columns: list[str]) -> DataFrame:
+    both = rows.select("row", F.pandas_udf(_cleaned, "string")("row.text", "spans").alias("clean"))
+    return both.select(*[F.col("clean").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns])
+
+
+def sanitised(documents: DataFrame, disclosure: float = 0.9, support: int = 3, alpha: float = 0.01) -> DataFrame:
+    """``detect`` and ``redact`` in one: every row comes back once, each text cleaned by its own spans, whatever its doc_id.
+
+    Rows are numbered and written first, and spans go by that number, so null and repeated ids and equal rows are safe. Null and empty
+    texts stay; other columns stay whatever their names.
+    """
+    rows = written(documents.select(F.monotonically_increasing_id().alias("doc_id"), F.struct("*").alias("row")), "pii-documents")
+    spans = written(detect(rows.select("doc_id", F.col("row.text").alias("text")), disclosure, support, alpha).select("doc_id", "spans"), "pii-spans")
+    return _with_clean(rows.join(spans, "doc_id"), documents.columns)
