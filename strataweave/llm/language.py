@@ -6,7 +6,7 @@ a linear layer with a softmax. Both are linear, so for prediction they fold into
 and scoring is a lookup for each byte.
 
 Training takes a bounded sample: about ``rows`` texts and at most ``max_bytes`` bytes for each of at most
-``languages`` languages (the most frequent; counted over all rows), chosen by a hash of doc_id, whole texts of up to a
+``languages`` languages (the most frequent; counted over all rows), and ``all_rows`` and ``all_bytes`` for all of them, chosen by a hash of doc_id, whole texts of up to a
 sixteenth of the bytes (the shortest one if all are longer). A fifth of it calibrates
 the temperature of the softmax and the least score whose predictions reach ``precision``; below it a prediction is
 marked as not accepted.
@@ -34,6 +34,8 @@ from strataweave.llm.quality import held_out
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (3, 4)
 FOLDS, FOLD = 3, 1
 STEP = 1 << 18
+#: An update of a text's subwords is scaled by their number, up to this one, as larger steps of very long texts would diverge.
+STEEP = 400
 
 
 @dataclass
@@ -71,7 +73,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0.5, precision: float = 0.99) -> Model:
+def fit(texts: list[str], languages: list[str], epochs: int = 12, rate: float = 0.5, precision: float = 0.99) -> Model:
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
     bags = []
@@ -84,7 +86,6 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0
     share = np.bincount(y[seen], minlength=len(names)) / len(seen)
     embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer = rng.normal(0, 1 / WIDTH, (WIDTH, len(names))).astype(np.float32)
-    epochs = max(epochs, min(40, 6000 // len(seen)))  # a small sample is read more often
     for epoch in range(epochs):
         for i in rng.permutation(seen):
             place, w = bags[i]
@@ -94,7 +95,7 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0
             off *= rate * (1 - epoch / epochs) / (len(names) * max(share[y[i]], 1e-3))
             back = layer @ off
             layer -= np.outer(mean, off)
-            embed[place] -= np.outer(w * min(len(place), 400), back)
+            embed[place] -= np.outer(w * min(len(place), STEEP), back)
     folded = (embed @ layer).astype(np.float32)
     raw = np.array([w @ folded[place] for place, w in bags])[held]
     heat = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(np.maximum(softmax(raw / t)[np.arange(len(held)), y[held]], 1e-12)).mean())
@@ -105,11 +106,17 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0
     return Model(names, folded / np.float32(heat), float(best[down[fine[-1]]]) if len(fine) else 1.0)
 
 
-def train(documents: DataFrame, rows: int = 1500, max_bytes: int = 4 << 20, languages: int = 500) -> Model | None:
+def train(documents: DataFrame, rows: int = 1500, max_bytes: int = 4 << 20, languages: int = 500, all_rows: int = 12_000, all_bytes: int = 32 << 20) -> Model | None:
+    """A model of a sample by hash: at most about ``rows`` texts and ``max_bytes`` for each language, and at most about ``all_rows`` and ``all_bytes`` for all.
+
+    With many languages, each gets its equal part of the last two. The sample is what the driver holds; its bags of
+    subwords take about six times its bytes.
+    """
     known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"), FOLDS, FOLD))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).toPandas()
     if counts.empty:
         return None
+    rows, max_bytes = max(1, min(rows, all_rows // len(counts))), min(max_bytes, all_bytes // len(counts))
     counts["most"] = ((1 << 30) * np.minimum(1.0, rows / counts["count"])).astype("int64")
     most = documents.sparkSession.createDataFrame(counts[["lang", "most"]], "lang string, most long")
     drawn = known.select("doc_id", "lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)).alias("draw"))
