@@ -334,10 +334,11 @@ def fusion_or_and_band(spark, sf):
 # ---------------------------------------------------------------- tables
 
 
-@query("SELECT source, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, min(greatest(1, length(text) // 4)) AS least, max(greatest(1, length(text) // 4)) AS most FROM documents GROUP BY source")
+@query("SELECT source, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) AS tokens, min(greatest(1, length(text) // 4)) AS least, max(greatest(1, length(text) // 4)) AS most, round(avg(greatest(1, length(text) // 4)), 6) AS mean, median(greatest(1, length(text) // 4)) AS middle FROM documents GROUP BY source")
 def token_estimate(spark, sf):
     t = P.approx_tokens(F.col("text"))
-    return read(spark, sf, "documents").groupBy("source").agg(F.sum(t).alias("tokens"), F.min(t).alias("least"), F.max(t).alias("most"))
+    # the buffer of a median counts distinct numbers, not rows
+    return rounded(read(spark, sf, "documents").groupBy("source").agg(F.sum(t).alias("tokens"), F.min(t).alias("least"), F.max(t).alias("most"), F.avg(t).alias("mean"), F.median(t).alias("middle")))
 
 
 LEVELS = (10, 20, 30, 40)

@@ -113,10 +113,10 @@ def probe_classes(spark, sf):
 # ---------------------------------------------------------------- checks that reject
 
 
-@query(f"WITH {TX}, a AS (SELECT dst AS node, label FROM t), b AS (SELECT src AS node, amount FROM tx) SELECT (SELECT count(*) FROM (SELECT node FROM a INTERSECT SELECT node FROM b)) AS both_sides, (SELECT count(*) FROM (SELECT node FROM a EXCEPT SELECT node FROM b)) AS left_only, (SELECT count(*) FROM (SELECT node FROM b EXCEPT SELECT node FROM a)) AS right_only")
+@query(f"WITH {TX}, a AS (SELECT dst AS node, label FROM t), b AS (SELECT src AS node, amount FROM tx) SELECT (SELECT count(*) FROM (SELECT node FROM a INTERSECT SELECT node FROM b)) AS both_sides, (SELECT count(*) FROM (SELECT node FROM a EXCEPT SELECT node FROM b)) AS left_only, (SELECT count(*) FROM (SELECT node FROM b EXCEPT SELECT node FROM a)) AS right_only, NOT EXISTS (SELECT node FROM a EXCEPT SELECT node FROM b) AND NOT EXISTS (SELECT node FROM b EXCEPT SELECT node FROM a) AS equal")
 def set_relations(spark, sf):
-    """Intersection, and both parts of the symmetric difference, of the receivers of a part and the senders of all."""
-    return C.set_relation(test_part(spark, sf).select(F.col("dst").alias("node")), tx(spark, sf).select(F.col("src").alias("node")), ["node"]).drop("equal")
+    """Intersection, both parts of the symmetric difference, and equality, of the receivers of a part and the senders of all."""
+    return C.set_relation(test_part(spark, sf).select(F.col("dst").alias("node")), tx(spark, sf).select(F.col("src").alias("node")), ["node"])
 
 
 @query(f"WITH {TX}, l AS (SELECT row_id AS id, row_id % 5 AS g FROM t), r AS (SELECT CASE WHEN row_id % 97 = 0 THEN row_id + 1 ELSE row_id END AS id FROM t), lc AS (SELECT id, count(*) AS n FROM l GROUP BY id), rc AS (SELECT id, count(*) AS n FROM r GROUP BY id) SELECT count(*) FILTER (rc.n IS NULL) AS left_only, count(*) FILTER (lc.n IS NULL) AS right_only, count(*) FILTER (lc.n > 1) AS left_repeated, count(*) FILTER (rc.n > 1) AS right_repeated, count(*) FILTER (lc.n = 1 AND rc.n = 1) AS matched FROM lc FULL JOIN rc USING (id)")
