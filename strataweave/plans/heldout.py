@@ -1,4 +1,4 @@
-"""Queries: thresholds by seed, held-out designs with their draws, uncertainty of cells and of paired contrasts."""
+"""Queries: thresholds by seed, repaired weights, held-out designs with their draws, uncertainty of cells and of paired contrasts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strataweave.operators import heldout as H
 from strataweave.operators import metrics as M
 from strataweave.operators import sampling as S
+from strataweave.operators import weights as W
 from strataweave.plans.sampling import PER, SEED, STRATA, ranked, strata
 from strataweave.plans.scoring import RATES, confusion_sql, grid_sql
 from strataweave.plans.tx import SCORED, SCORERS, TX, VERDICTS, rounded, scorers, test_part, tx, verdicts
@@ -140,3 +141,33 @@ se AS (UNPIVOT ({_SE('zz', '')}) ON precision, recall, f1, lift INTO NAME metric
 def paired_contrast(spark, sf):
     """The first model less the second on the same rows, with the covariance between their runs."""
     return rounded(H.paired_contrast(_cells(spark, sf), "model", "run", "m1", "m2"))
+
+
+#: An archive as its generator left it: the hard rows whole, FEW rows of each easy stratum at pool / FEW, and up to two more that bear what the stratum had left.
+FEW = 8
+ARCHIVE = f"""{STRATA}, ar AS (SELECT *, CASE WHEN label = 1 OR stratum = 'hard_neg' THEN 1.0::DOUBLE WHEN rk <= {FEW} THEN pool / least(pool, {FEW}) ELSE pool::DOUBLE - {FEW} END AS archived FROM {ranked('st', 'stratum')} WHERE label = 1 OR stratum = 'hard_neg' OR rk <= {FEW} + 2),
+rp AS (SELECT *, CASE WHEN label = 1 THEN 1.0 ELSE pool / count(*) OVER (PARTITION BY stratum) END AS fixed FROM ar)"""
+
+
+def _repaired(spark, sf):
+    st = strata(spark, sf)
+    easy = st.where("stratum LIKE 'easy%'")
+    some = S.sample(easy, ["stratum"], FEW, SEED)
+    more = S.sample(easy, ["stratum"], FEW + 2, SEED).join(some.select("row_id"), "row_id", "left_anti").withColumn("weight", F.col("pool").cast("double") - FEW)
+    whole = st.where("stratum IN ('illicit', 'hard_neg')").select("row_id", F.lit(1.0).alias("weight"))
+    archive = whole.union(some.select("row_id", "weight")).union(more.select("row_id", "weight"))
+    return W.recompute(test_part(spark, sf).select("row_id", "label", "p"), archive)
+
+
+@query(f"WITH {ARCHIVE} SELECT row_id, stratum, round(archived, 6) AS archived, round(fixed, 6) AS fixed FROM rp")
+def repaired_weights(spark, sf):
+    """Each archived row with its weight as saved and as its realised stratum gives it; the cut of the hard rows comes from the saved weights alone."""
+    return rounded(_repaired(spark, sf).select("row_id", "stratum", "archived", "fixed"))
+
+
+@query(f"""WITH {ARCHIVE}, md AS (SELECT stratum, archived AS modal FROM rp WHERE label = 0 GROUP BY stratum, archived QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY count(*) DESC, archived) = 1),
+g AS (SELECT stratum, count(*) AS members, max(pool) AS pool, count(DISTINCT archived) AS weights, max(modal) AS modal, max(pool) / count(*) FILTER (archived = modal) AS implied, count(*) FILTER (archived > modal) AS fill, count(*) FILTER (archived < modal) AS misassigned, count(*) FILTER ((archived = 1) <> (stratum = 'hard_neg')) AS census_off, count(*) FILTER (abs(archived - fixed) > 1e-9 + 1e-9 * abs(fixed)) AS changed, max(abs(archived - fixed)) AS largest_change FROM rp JOIN md USING (stratum) WHERE label = 0 GROUP BY stratum)
+SELECT stratum, members, pool, weights, round(modal, 6) AS modal, round(implied, 6) AS implied, fill, misassigned, census_off, changed, round(largest_change, 6) AS largest_change, abs(modal - implied) <= 1e-9 * implied AND misassigned = 0 AND census_off = 0 AND fill <= {W.MOST_FILL} AS consistent FROM g""")
+def weight_repair_report(spark, sf):
+    """Whether each stratum of the archive fits its saved weights, and what the repair changes."""
+    return rounded(W.report(_repaired(spark, sf)))
