@@ -81,9 +81,14 @@ def spread(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd_pop"), F.stddev_samp(v).alias("sd_samp"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
-def cell_mean_range(df: DataFrame, by: Sequence[str], cell: Sequence[str], value: str) -> DataFrame:
-    """The range over cells of the mean of each cell."""
-    return df.groupBy(*by, *cell).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.min("_m").alias("lowest"), F.max("_m").alias("highest"), F.count("*").alias("cells"))
+def cell_mean_range(df: DataFrame, by: Sequence[str], cell: Sequence[str], values: Sequence[str], floor: DataFrame | None = None) -> DataFrame:
+    """The range over cells of the mean of each cell, for each value; with f1 and precision of a floor for each group of ``by``."""
+    means = df.groupBy(*by, *cell).agg(*[F.avg(v).alias(v) for v in values])
+    got = means.groupBy(*by).agg(F.count("*").alias("cells"), *[c for v in values for c in (F.min(v).alias(f"{v}_lowest"), F.max(v).alias(f"{v}_highest"))])
+    if floor is None:
+        return got
+    low = floor.select(*by, F.col("f1").alias("floor_f1"), F.col("precision").alias("floor_precision"))
+    return got.join(low, list(by), "left") if by else got.crossJoin(F.broadcast(low))  # one row
 
 
 def class_f1(df: DataFrame, truth: str, predicted: str, classes: DataFrame | None = None, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:

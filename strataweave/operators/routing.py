@@ -84,9 +84,16 @@ def gate_sweep(df: DataFrame, kind: str, taus: Sequence[float], threshold: float
     return out.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
-def best_gate(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The gate of the largest F1, the lowest tau of equals."""
-    return sweep.groupBy(*by).agg(F.max_by("tau", F.struct(F.col("f1"), -F.col("tau"))).alias("tau"), F.max("f1").alias("f1"))
+def gate_summary(sweeps: dict[str, DataFrame], df: DataFrame, by: Sequence[str], weight: str, label: str = "label", ml: str = "ml", other: str = "pred") -> DataFrame:
+    """(by, gate, tau, f1, consulted, ml_f1, other_f1, delta): the best tau of each kind of gate and what it gains over the first scorer alone; consulted is the share of rows asked."""
+    alone = lambda c, name: M.prf(df, by, label, c, weight).select(*by, F.col("f1").alias(name))
+    base = alone(ml, "ml_f1").join(alone(other, "other_f1"), list(by)).join(df.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
+    best = None
+    for gate, sweep in sweeps.items():
+        at = F.struct(F.col("f1"), -F.col("tau"))
+        one = sweep.groupBy(*by).agg(F.max_by("tau", at).alias("tau"), F.max("f1").alias("f1"), F.max_by("consulted", at).alias("_asked")).withColumn("gate", F.lit(gate))
+        best = one if best is None else best.unionByName(one)
+    return best.join(base, list(by)).select(*by, "gate", "tau", "f1", (F.col("_asked") / F.col("_n")).alias("consulted"), "ml_f1", "other_f1", (F.col("f1") - F.col("ml_f1")).alias("delta"))
 
 
 def fused(p: Column, tau: float, other: Column) -> dict[str, Column]:

@@ -164,6 +164,25 @@ def metric_envelope(df: DataFrame, by: Sequence[str], low: str = "low", high: st
     return sums.withColumns(out)
 
 
+#: The limits of the hypotheses, in points: least gain of F1, most change of over- and of under-prediction.
+HYPOTHESES = {"f1": 5, "over": -10, "under": 5}
+
+
+def paired_hypotheses(df: DataFrame, by: Sequence[str], cell: Sequence[str], arm: str, control: str, treated: str, label: str = "label", pred: str = "pred") -> DataFrame:
+    """(by, cells, delta_f1_pp, h1, delta_over_pp, h2, delta_under_pp, h3): means over cells of treated less control, against the limits.
+
+    Over- and under-prediction are shares of all rows of a cell. Cells that lack either arm are left out.
+    """
+    y, p, mine = F.col(label), F.col(pred), F.col(arm)
+    side = lambda which: {f"{k}_{which}": F.count_if((mine == {"a": control, "b": treated}[which]) & c) for k, c in (("n", F.lit(True)), ("tp", (y == 1) & (p == 1)), ("fp", (y == 0) & (p == 1)), ("fn", (y == 1) & (p == 0)))}
+    cells = df.groupBy(*by, *cell).agg(*[c.alias(k) for which in "ab" for k, c in side(which).items()]).where("n_a > 0 AND n_b > 0")
+    c = F.col
+    score = lambda w: {"f1": 100 * ratio0(2 * c(f"tp_{w}"), 2 * c(f"tp_{w}") + c(f"fp_{w}") + c(f"fn_{w}")), "over": 100 * c(f"fp_{w}") / c(f"n_{w}"), "under": 100 * c(f"fn_{w}") / c(f"n_{w}")}
+    before, after = score("a"), score("b")
+    means = cells.groupBy(*by).agg(F.count("*").alias("cells"), *[F.avg(after[m] - before[m]).alias(m) for m in HYPOTHESES])
+    return means.select(*by, "cells", c("f1").alias("delta_f1_pp"), (c("f1") >= HYPOTHESES["f1"]).alias("h1"), c("over").alias("delta_over_pp"), (c("over") <= HYPOTHESES["over"]).alias("h2"), c("under").alias("delta_under_pp"), (c("under") <= HYPOTHESES["under"]).alias("h3"))
+
+
 def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value)
     return df.withColumn("_r", F.rank().over(w)).withColumn("rank", F.col("_r") + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2).drop("_r")

@@ -279,12 +279,12 @@ def knn_graph_symmetric(spark, sf):
 # ---------------------------------------------------------------- routing
 
 TAU = 0.6
-ROUTE = f"{TX}, {VERDICTS}, x AS (SELECT *, CASE WHEN p >= {TAU} THEN 1 ELSE 0 END AS ml, CASE WHEN row_id % 3 = 0 THEN 3.0 ELSE 1.0 END AS w FROM v WHERE run = 0)"
+ROUTE = f"{TX}, {VERDICTS}, x AS (SELECT *, CASE WHEN p >= {TAU} THEN 1 ELSE 0 END AS ml, CASE WHEN row_id % 3 = 0 THEN 3.0 ELSE 1.0 END AS w FROM v)"
 RULES = {"dt": "w <= 1.01 AND ml = 0", "confidence": f"w <= 1.01 AND abs(p - {TAU}) < 0.1", "disagree": "w <= 1.01 AND ml <> pred", "union": f"w <= 1.01 AND (ml = 0 OR abs(p - {TAU}) < 0.1)"}
 
 
 def _routing(spark, sf):
-    return verdicts(test_part(spark, sf)).where("run = 0").withColumns({"ml": (F.col("p") >= TAU).cast("int"), "w": F.when(F.col("row_id") % 3 == 0, 3.0).otherwise(1.0)})
+    return verdicts(test_part(spark, sf)).withColumns({"ml": (F.col("p") >= TAU).cast("int"), "w": F.when(F.col("row_id") % 3 == 0, 3.0).otherwise(1.0)})
 
 
 def _rule(rule: str, cond: str):
@@ -293,11 +293,11 @@ def _rule(rule: str, cond: str):
         asked = U.consults(rule, F.col("w"), F.col("ml"), F.col("p"), TAU, F.col("pred"))
         pred, route = U.routed(asked, F.col("ml"), F.col("pred"))
         x = x.withColumn("route", route).withColumn("pred", pred)
-        return M.prf(x, ["model", "route"], weight="w").select("model", "route", "tp", "fp", "fn", "tn")
+        return M.prf(x, ["model", "run", "route"], weight="w").select("model", "run", "route", "tp", "fp", "fn", "tn")
 
     run.__name__, run.__doc__ = f"dt_{'routing' if rule == 'dt' else rule}", f"Routes and weighted confusion of the rule {rule}."
     cells = ", ".join(f"coalesce(sum(w) FILTER (label = {y} AND final = {p}), 0.0) AS {n}" for n, y, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)))
-    query(f"WITH {ROUTE}, r AS (SELECT *, CASE WHEN {cond} THEN pred ELSE ml END AS final, CASE WHEN {cond} THEN CASE WHEN pred = 1 THEN 'llm_flipped' ELSE 'llm_legit' END WHEN ml = 1 THEN 'ml_illicit' ELSE 'ml_legit' END AS route FROM x) SELECT model, route, {cells} FROM r GROUP BY model, route")(run)
+    query(f"WITH {ROUTE}, r AS (SELECT *, CASE WHEN {cond} THEN pred ELSE ml END AS final, CASE WHEN {cond} THEN CASE WHEN pred = 1 THEN 'llm_flipped' ELSE 'llm_legit' END WHEN ml = 1 THEN 'ml_illicit' ELSE 'ml_legit' END AS route FROM x) SELECT model, run, route, {cells} FROM r GROUP BY model, run, route")(run)
 
 
 for _name, _cond in RULES.items():
@@ -307,28 +307,34 @@ for _name, _cond in RULES.items():
 def _gate_sql(kind: str) -> str:
     grid, flip = (U.RECALL_GATES, f"tau <= p AND p < {TAU} AND pred = 1") if kind == "recall" else (U.PRECISION_GATES, f"{TAU} <= p AND p < tau AND pred = 0")
     asked = f"tau <= p AND p < {TAU}" if kind == "recall" else f"{TAU} <= p AND p < tau"
-    return f"WITH {ROUTE}, g AS (SELECT x.*, threshold AS tau, CASE WHEN {asked.replace('tau', 'threshold')} THEN 1 ELSE 0 END AS a, CASE WHEN {flip.replace('tau', 'threshold')} THEN 1 - ml ELSE ml END AS final FROM x CROSS JOIN {grid_sql(grid)}), h AS (SELECT model, tau, CAST(sum(a) AS BIGINT) AS consulted, coalesce(sum(w) FILTER (label = 1 AND final = 1), 0) AS tp, coalesce(sum(w) FILTER (label = 0 AND final = 1), 0) AS fp, coalesce(sum(w) FILTER (label = 1 AND final = 0), 0) AS fn FROM g GROUP BY ALL) SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM h"
+    return f"WITH {ROUTE}, g AS (SELECT x.*, threshold AS tau, CASE WHEN {asked.replace('tau', 'threshold')} THEN 1 ELSE 0 END AS a, CASE WHEN {flip.replace('tau', 'threshold')} THEN 1 - ml ELSE ml END AS final FROM x CROSS JOIN {grid_sql(grid)}), h AS (SELECT model, run, tau, CAST(sum(a) AS BIGINT) AS consulted, coalesce(sum(w) FILTER (label = 1 AND final = 1), 0) AS tp, coalesce(sum(w) FILTER (label = 0 AND final = 1), 0) AS fp, coalesce(sum(w) FILTER (label = 1 AND final = 0), 0) AS fn FROM g GROUP BY ALL) SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM h"
 
 
 @query(_gate_sql("recall"))
 def recall_gate_sweep(spark, sf):
-    return U.gate_sweep(_routing(spark, sf), "recall", U.RECALL_GATES, TAU, ["model"], weight=F.col("w"))
+    return U.gate_sweep(_routing(spark, sf), "recall", U.RECALL_GATES, TAU, ["model", "run"], weight=F.col("w"))
 
 
 @query(_gate_sql("precision"))
 def precision_gate_sweep(spark, sf):
-    return U.gate_sweep(_routing(spark, sf), "precision", U.PRECISION_GATES, TAU, ["model"], weight=F.col("w"))
+    return U.gate_sweep(_routing(spark, sf), "precision", U.PRECISION_GATES, TAU, ["model", "run"], weight=F.col("w"))
 
 
-@query(f"SELECT model, arg_min(tau, (-f1, tau)) AS tau, max(f1) AS f1 FROM ({_gate_sql('precision')}) GROUP BY model")
+_ALONE = lambda c: f"coalesce(2 * sum(w) FILTER (label = 1 AND {c} = 1) / nullif(sum(w * label) + coalesce(sum(w) FILTER ({c} = 1), 0), 0), 0)"
+
+
+@query(f"""WITH sw AS (SELECT 'recall' AS gate, * FROM ({_gate_sql('recall')}) UNION ALL SELECT 'precision' AS gate, * FROM ({_gate_sql('precision')})), be AS (SELECT model, run, gate, arg_min(tau, (-f1, tau)) AS tau, max(f1) AS f1, arg_min(consulted, (-f1, tau)) AS asked FROM sw GROUP BY ALL),
+ba AS (WITH {ROUTE} SELECT model, run, count(*) AS n, {_ALONE('ml')} AS ml_f1, {_ALONE('pred')} AS other_f1 FROM x GROUP BY ALL) SELECT model, run, gate, tau, round(f1, 6) AS f1, round(asked / n, 6) AS consulted, round(ml_f1, 6) AS ml_f1, round(other_f1, 6) AS other_f1, round(f1 - ml_f1, 6) AS delta FROM be JOIN ba USING (model, run)""")
 def best_gate(spark, sf):
-    return U.best_gate(precision_gate_sweep(spark, sf), ["model"])
+    """The best gate of either kind, with its gain over the first scorer alone and the share of rows that it asks about."""
+    sweeps = {"recall": recall_gate_sweep(spark, sf), "precision": precision_gate_sweep(spark, sf)}
+    return rounded(U.gate_summary(sweeps, _routing(spark, sf), ["model", "run"], "w"))
 
 
-@query(f"WITH {ROUTE} SELECT model, row_id, greatest(ml, pred) AS either, least(ml, pred) AS both, CASE WHEN p >= 0.5 AND p < 0.7 THEN pred ELSE ml END AS gate, CASE WHEN p >= 0.7 OR (p >= 0.5 AND pred = 1) THEN 1 ELSE 0 END AS doubt FROM x")
+@query(f"WITH {ROUTE} SELECT model, run, row_id, greatest(ml, pred) AS either, least(ml, pred) AS both, CASE WHEN p >= 0.5 AND p < 0.7 THEN pred ELSE ml END AS gate, CASE WHEN p >= 0.7 OR (p >= 0.5 AND pred = 1) THEN 1 ELSE 0 END AS doubt FROM x")
 def fusion_or_and_band(spark, sf):
     x = _routing(spark, sf)
-    return x.select("model", "row_id", *[c.alias(n) for n, c in U.fused(F.col("p"), TAU, F.col("pred")).items()])
+    return x.select("model", "run", "row_id", *[c.alias(n) for n, c in U.fused(F.col("p"), TAU, F.col("pred")).items()])
 
 
 # ---------------------------------------------------------------- tables

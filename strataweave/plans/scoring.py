@@ -173,9 +173,14 @@ def predict_all_floor(spark, sf):
     return M.predict_all_floor(test_part(spark, sf).withColumn("w", 1.0 + F.col("row_id") % 3), weight="w")
 
 
-@query(f"WITH {TX}, {VERDICTS}, c AS ({confusion_sql('v', 'model, run')}) SELECT round(min(m), 6) AS lowest, round(max(m), 6) AS highest, count(*) AS cells FROM (SELECT model, avg(f1) AS m FROM c GROUP BY model)")
+@query(f"""WITH {TX}, {VERDICTS}, c AS ({confusion_sql('v', 'payment_format, model, run')}), m AS (SELECT payment_format, model, avg(f1) AS f1, avg(precision) AS precision, avg(recall) AS recall FROM c GROUP BY ALL), fl AS ({confusion_sql('(SELECT *, 1 AS pred FROM t)', 'payment_format')})
+SELECT payment_format, count(*) AS cells, {', '.join(f'round(min(m.{c}), 6) AS {c}_lowest, round(max(m.{c}), 6) AS {c}_highest' for c in ('f1', 'precision', 'recall'))}, round(max(fl.f1), 6) AS floor_f1, round(max(fl.precision), 6) AS floor_precision FROM m JOIN fl USING (payment_format) GROUP BY payment_format""")
 def cell_mean_range(spark, sf):
-    return rounded(M.cell_mean_range(M.prf(verdicts(test_part(spark, sf)), ["model", "run"]), [], ["model"], "f1"))
+    """The range over models of their means over runs, for each dataset, beside the floor of a scorer that flags everything."""
+    t = test_part(spark, sf)
+    cells = M.prf(verdicts(t), ["payment_format", "model", "run"])
+    floor = M.predict_all_floor(t, ["payment_format"])
+    return rounded(M.cell_mean_range(cells, ["payment_format"], ["model"], ["f1", "precision", "recall"], floor))
 
 
 @query(f"WITH {TX}, {VERDICTS}, c AS ({confusion_sql('v', 'model, run')}) SELECT model, count(f1) AS n, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS sd_pop, round(stddev_samp(f1), 6) AS sd_samp, round(min(f1), 6) AS min, round(max(f1), 6) AS max FROM c GROUP BY model")
@@ -193,7 +198,7 @@ def class_sql(source: str, by: str, truth: str, pred: str, classes: str = "") ->
 
 
 CLASSES = "(VALUES (0),(1),(2),(3),(4),(5),(6),(7)) c(cls)"
-TPS = f"{TX}, {VERDICTS}, q AS (SELECT model, typology AS y, CASE WHEN pred_typology >= 0 THEN pred_typology END AS z FROM v WHERE label = 1 AND pred = 1 AND typology >= 0 AND run = 0)"
+TPS = f"{TX}, {VERDICTS}, q AS (SELECT model, run, typology AS y, CASE WHEN pred_typology >= 0 THEN pred_typology END AS z FROM v WHERE label = 1 AND pred = 1 AND typology >= 0)"
 F1S = "SELECT *, CASE WHEN support > 0 THEN 2 * tp / (2 * tp + fp + fn) END AS f1 FROM"
 
 
@@ -202,29 +207,29 @@ def _classes(spark):
 
 
 def _tps(spark, sf):
-    v = verdicts(test_part(spark, sf)).where("label = 1 AND pred = 1 AND typology >= 0 AND run = 0")
-    return v.select("model", F.col("typology").alias("y"), F.when(F.col("pred_typology") >= 0, F.col("pred_typology")).alias("z"))
+    v = verdicts(test_part(spark, sf)).where("label = 1 AND pred = 1 AND typology >= 0")
+    return v.select("model", "run", F.col("typology").alias("y"), F.when(F.col("pred_typology") >= 0, F.col("pred_typology")).alias("z"))
 
 
-@query(f"WITH {TPS} SELECT model, round(coalesce(avg(f1), 0), 6) AS macro_f1, count(f1) AS classes FROM ({F1S} ({class_sql('q', 'model', 'y', 'z', CLASSES)})) GROUP BY model")
+@query(f"WITH {TPS} SELECT model, run, round(coalesce(avg(f1), 0), 6) AS macro_f1, count(f1) AS classes FROM ({F1S} ({class_sql('q', 'model, run', 'y', 'z', CLASSES)})) GROUP BY model, run")
 def typology_macro_f1_tp(spark, sf):
-    return rounded(M.macro_f1(M.class_f1(_tps(spark, sf), "y", "z", _classes(spark), ["model"]), ["model"]))
+    return rounded(M.macro_f1(M.class_f1(_tps(spark, sf), "y", "z", _classes(spark), ["model", "run"]), ["model", "run"]))
 
 
-@query(f"WITH {TPS} SELECT model, cls, tp, fp, fn, support, round(f1, 6) AS f1 FROM ({F1S} ({class_sql('q', 'model', 'y', 'z', CLASSES)}))")
+@query(f"WITH {TPS} SELECT model, run, cls, tp, fp, fn, support, round(f1, 6) AS f1 FROM ({F1S} ({class_sql('q', 'model, run', 'y', 'z', CLASSES)}))")
 def per_class_f1(spark, sf):
-    return rounded(M.class_f1(_tps(spark, sf), "y", "z", _classes(spark), ["model"]).drop("f1_or_0"))
+    return rounded(M.class_f1(_tps(spark, sf), "y", "z", _classes(spark), ["model", "run"]).drop("f1_or_0"))
 
 
-NONE = f"{TX}, {VERDICTS}, q AS (SELECT model, CAST(typology AS VARCHAR) AS y, CASE WHEN pred = 1 AND pred_typology >= 0 THEN CAST(pred_typology AS VARCHAR) ELSE 'none' END AS z FROM v WHERE label = 1 AND typology >= 0 AND run = 0)"
+NONE = f"{TX}, {VERDICTS}, q AS (SELECT model, run, CAST(typology AS VARCHAR) AS y, CASE WHEN pred = 1 AND pred_typology >= 0 THEN CAST(pred_typology AS VARCHAR) ELSE 'none' END AS z FROM v WHERE label = 1 AND typology >= 0)"
 
 
-@query(f"WITH {NONE} SELECT model, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS macro_f1, count(*) AS classes FROM ({class_sql('q', 'model', 'y', 'z')}) GROUP BY model")
+@query(f"WITH {NONE} SELECT model, run, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS macro_f1, count(*) AS classes FROM ({class_sql('q', 'model, run', 'y', 'z')}) GROUP BY model, run")
 def typology_macro_f1_none(spark, sf):
     """A benign or untyped verdict counts as the class none; the mean is over all labels of either side."""
-    v = verdicts(test_part(spark, sf)).where("label = 1 AND typology >= 0 AND run = 0")
-    q = v.select("model", F.col("typology").cast("string").alias("y"), F.when((F.col("pred") == 1) & (F.col("pred_typology") >= 0), F.col("pred_typology").cast("string")).otherwise("none").alias("z"))
-    return rounded(M.macro_f1(M.class_f1(q, "y", "z", by=["model"]), ["model"], present_only=False))
+    v = verdicts(test_part(spark, sf)).where("label = 1 AND typology >= 0")
+    q = v.select("model", "run", F.col("typology").cast("string").alias("y"), F.when((F.col("pred") == 1) & (F.col("pred_typology") >= 0), F.col("pred_typology").cast("string")).otherwise("none").alias("z"))
+    return rounded(M.macro_f1(M.class_f1(q, "y", "z", by=["model", "run"]), ["model", "run"], present_only=False))
 
 
 @query(f"WITH {TX}, {VERDICTS}, q AS (SELECT model, typology AS y, pred_typology AS z FROM v WHERE pred = 1 AND typology >= 0) SELECT model, round(avg(2 * tp / nullif(2 * tp + fp + fn, 0)), 6) AS macro_f1, count(*) AS classes FROM ({class_sql('q', 'model', 'y', 'z')}) GROUP BY model")
@@ -233,37 +238,37 @@ def typology_macro_f1_construction(spark, sf):
     return rounded(M.macro_f1(M.class_f1(q, "y", "z", by=["model"]), ["model"], present_only=False))
 
 
-@query(f"WITH {TX}, {VERDICTS}, q AS (SELECT model, CASE WHEN typology >= 0 THEN typology ELSE 8 END AS y, CASE WHEN pred = 1 AND pred_typology >= 0 THEN pred_typology ELSE 8 END AS z FROM v WHERE run = 0) SELECT model, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1, count(*) AS classes FROM ({class_sql('q', 'model', 'y', 'z', '(SELECT unnest(range(9)) AS cls)')}) GROUP BY model")
+@query(f"WITH {TX}, {VERDICTS}, q AS (SELECT model, run, CASE WHEN typology >= 0 THEN typology ELSE 8 END AS y, CASE WHEN pred = 1 AND pred_typology >= 0 THEN pred_typology ELSE 8 END AS z FROM v) SELECT model, run, round(avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)), 6) AS macro_f1, count(*) AS classes FROM ({class_sql('q', 'model, run', 'y', 'z', '(SELECT unnest(range(9)) AS cls)')}) GROUP BY model, run")
 def typology_macro_f1_fixed9(spark, sf):
-    v = verdicts(test_part(spark, sf)).where("run = 0")
-    q = v.select("model", F.when(F.col("typology") >= 0, F.col("typology")).otherwise(8).alias("y"), F.when((F.col("pred") == 1) & (F.col("pred_typology") >= 0), F.col("pred_typology")).otherwise(8).alias("z"))
-    return rounded(M.macro_f1(M.class_f1(q, "y", "z", spark.createDataFrame([(i,) for i in range(9)], "cls int"), ["model"]), ["model"], present_only=False))
+    v = verdicts(test_part(spark, sf))
+    q = v.select("model", "run", F.when(F.col("typology") >= 0, F.col("typology")).otherwise(8).alias("y"), F.when((F.col("pred") == 1) & (F.col("pred_typology") >= 0), F.col("pred_typology")).otherwise(8).alias("z"))
+    return rounded(M.macro_f1(M.class_f1(q, "y", "z", spark.createDataFrame([(i,) for i in range(9)], "cls int"), ["model", "run"]), ["model", "run"], present_only=False))
 
 
 # ---------------------------------------------------------------- error analysis
 
-CROSS = f"{TX}, {VERDICTS}, e AS (SELECT *, CASE WHEN p >= 0.6 THEN 1 ELSE 0 END AS ml, 1.0 + row_id % 3 AS w, CASE WHEN (p >= 0.6) = (label = 1) AND pred = label THEN 'both_right' WHEN (p >= 0.6) = (label = 1) THEN 'first_only' WHEN pred = label THEN 'second_only' ELSE 'both_wrong' END AS category FROM v WHERE run = 0)"
+CROSS = f"{TX}, {VERDICTS}, e AS (SELECT *, CASE WHEN p >= 0.6 THEN 1 ELSE 0 END AS ml, 1.0 + row_id % 3 AS w, CASE WHEN (p >= 0.6) = (label = 1) AND pred = label THEN 'both_right' WHEN (p >= 0.6) = (label = 1) THEN 'first_only' WHEN pred = label THEN 'second_only' ELSE 'both_wrong' END AS category FROM v)"
 
 
 def _cross(spark, sf):
-    return verdicts(test_part(spark, sf)).where("run = 0").withColumns({"ml": (F.col("p") >= 0.6).cast("int"), "w": 1.0 + F.col("row_id") % 3})
+    return verdicts(test_part(spark, sf)).withColumns({"ml": (F.col("p") >= 0.6).cast("int"), "w": 1.0 + F.col("row_id") % 3})
 
 
-@query(f"WITH {CROSS} SELECT model, category, count(*) AS n, sum(w) AS weighted_n FROM e GROUP BY ALL")
+@query(f"WITH {CROSS} SELECT model, run, category, count(*) AS n, sum(w) AS weighted_n FROM e GROUP BY ALL")
 def error_transitions(spark, sf):
-    return M.transitions(_cross(spark, sf), ["model"], "label", "ml", "pred", "w")
+    return M.transitions(_cross(spark, sf), ["model", "run"], "label", "ml", "pred", "w")
 
 
-@query(f"WITH {CROSS} SELECT model, category, count(*) AS n, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p, round(stddev_samp(p), 6) AS sd_p, " + ", ".join(f"count(*) FILTER (typology = {i}) AS class_{i}" for i in range(8)) + " FROM e GROUP BY ALL")
+@query(f"WITH {CROSS} SELECT model, run, category, count(*) AS n, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p, round(stddev_samp(p), 6) AS sd_p, " + ", ".join(f"count(*) FILTER (typology = {i}) AS class_{i}" for i in range(8)) + " FROM e GROUP BY ALL")
 def transition_deep(spark, sf):
     e = _cross(spark, sf)
     a, b = F.col("ml") == F.col("label"), F.col("pred") == F.col("label")
     kind = F.when(a & b, "both_right").when(a, "first_only").when(b, "second_only").otherwise("both_wrong")
     each = [F.count_if(F.col("typology") == i).alias(f"class_{i}") for i in range(8)]
     e = e.withColumn("category", kind)
-    median = quantiles(e, "p", (0.5,), ["model", "category"]).select("model", "category", F.col("cuts")[0].alias("median_p"))
-    got = e.groupBy("model", "category").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.stddev_samp("p").alias("sd_p"), *each)
-    return rounded(got.join(median, ["model", "category"], "left"))
+    median = quantiles(e, "p", (0.5,), ["model", "run", "category"]).select("model", "run", "category", F.col("cuts")[0].alias("median_p"))
+    got = e.groupBy("model", "run", "category").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"), F.stddev_samp("p").alias("sd_p"), *each)
+    return rounded(got.join(median, ["model", "run", "category"], "left"))
 
 
 @query(f"WITH {TX}, {VERDICTS} SELECT typology, " + ", ".join(f"round(avg(pred) FILTER (model = '{m}'), 6) AS {m}" for m in MODELS) + " FROM v WHERE label = 1 AND typology >= 0 GROUP BY typology")
@@ -271,15 +276,15 @@ def typology_recall(spark, sf):
     return rounded(verdicts(test_part(spark, sf)).where("label = 1 AND typology >= 0").groupBy("typology").pivot("model", list(MODELS)).agg(F.avg("pred")))
 
 
-@query(f"WITH {CROSS}, c AS ({confusion_sql('e', 'model', 'w', kind='DOUBLE')}) SELECT model, tp AS w_tp, fp AS w_fp, fn AS w_fn, tn AS w_tn, round(fp / nullif(fp + tn, 0), 6) AS fp_rate FROM c")
+@query(f"WITH {CROSS}, c AS ({confusion_sql('e', 'model, run', 'w', kind='DOUBLE')}) SELECT model, run, tp AS w_tp, fp AS w_fp, fn AS w_fn, tn AS w_tn, round(fp / nullif(fp + tn, 0), 6) AS fp_rate FROM c")
 def fp_fn_summary(spark, sf):
-    c = M.prf(_cross(spark, sf), ["model"], weight="w")
-    return rounded(c.select("model", *[F.col(x).alias(f"w_{x}") for x in ("tp", "fp", "fn", "tn")], ratio_null(F.col("fp"), F.col("fp") + F.col("tn")).alias("fp_rate")))
+    c = M.prf(_cross(spark, sf), ["model", "run"], weight="w")
+    return rounded(c.select("model", "run", *[F.col(x).alias(f"w_{x}") for x in ("tp", "fp", "fn", "tn")], ratio_null(F.col("fp"), F.col("fp") + F.col("tn")).alias("fp_rate")))
 
 
-@query(f"WITH {CROSS} SELECT model, CAST(sum(pred) AS BIGINT) AS predicted, CAST(sum(label) AS BIGINT) AS positives, round(sum(pred) / sum(label), 6) AS over_prediction, CAST(sum(ml) AS BIGINT) AS ml_predicted FROM e GROUP BY model")
+@query(f"WITH {CROSS} SELECT model, run, CAST(sum(pred) AS BIGINT) AS predicted, CAST(sum(label) AS BIGINT) AS positives, round(sum(pred) / sum(label), 6) AS over_prediction, CAST(sum(ml) AS BIGINT) AS ml_predicted FROM e GROUP BY model, run")
 def prediction_counts(spark, sf):
-    return rounded(_cross(spark, sf).groupBy("model").agg(F.sum("pred").alias("predicted"), F.sum("label").alias("positives"), ratio_null(F.sum("pred"), F.sum("label")).alias("over_prediction"), F.sum("ml").alias("ml_predicted")))
+    return rounded(_cross(spark, sf).groupBy("model", "run").agg(F.sum("pred").alias("predicted"), F.sum("label").alias("positives"), ratio_null(F.sum("pred"), F.sum("label")).alias("over_prediction"), F.sum("ml").alias("ml_predicted")))
 
 
 @query(f"WITH {TX}, {VERDICTS} SELECT model, run, CAST(sum(tok) AS BIGINT) AS tokens, round(avg(tok) FILTER (tok > 0), 6) AS mean_tokens, count(*) FILTER (tok > 0) AS n_valid, round(count(*) FILTER (tok > 0) / count(*), 6) AS valid_ratio FROM (SELECT *, {sql_nibble(chr(39) + 'tok' + chr(39), 'model', 'run', 'row_id')} * 10 AS tok FROM v) GROUP BY ALL")
@@ -291,12 +296,20 @@ def token_accounting(spark, sf):
     return rounded(v.groupBy("model", "run").agg(F.sum("tok").alias("tokens"), F.avg(F.when(valid, F.col("tok"))).alias("mean_tokens"), F.count_if(valid).alias("n_valid"), ratio0(F.count_if(valid), F.count("*")).alias("valid_ratio")))
 
 
-@query(f"""WITH {TX}, {VERDICTS}, g AS (SELECT *, label = 1 AND typology >= 0 AS typed, label = 1 AND typology < 0 AS untyped FROM v)
-SELECT model, payment_format, label, count(*) FILTER (pred = label) AS right_k, count(*) AS right_n, round(count(*) FILTER (pred = label) / nullif(count(*), 0), 6) AS right_rate,
-count(*) FILTER (pred = 1 AND typed) AS typed_k, count(*) FILTER (typed) AS typed_n, round(count(*) FILTER (pred = 1 AND typed) / nullif(count(*) FILTER (typed), 0), 6) AS typed_rate FROM g GROUP BY GROUPING SETS ((), (model), (payment_format), (label), (model, payment_format), (model, label))""")
+KINDS = ("payment_format", "reference", "outcome", "correct")
+_SETS = [(), ("model",), *[(k,) for k in KINDS], *[("model", k) for k in KINDS]]
+
+
+@query(f"""WITH {TX}, {VERDICTS}, g AS (SELECT *, CASE WHEN label = 0 THEN 'benign' WHEN typology >= 0 THEN 'illicit_typed' ELSE 'illicit_reference_absent' END AS reference, CASE WHEN label = 1 AND pred = 1 THEN 'tp' WHEN label = 1 THEN 'fn' WHEN pred = 1 THEN 'fp' ELSE 'tn' END AS outcome, CASE WHEN pred = label THEN 'correct' ELSE 'incorrect' END AS correct FROM v)
+SELECT model, {', '.join(KINDS)}, count(*) FILTER (pred = label) AS right_k, count(*) AS right_n, round(count(*) FILTER (pred = label) / nullif(count(*), 0), 6) AS right_rate,
+count(*) FILTER (pred = 1 AND reference = 'illicit_typed') AS typed_k, count(*) FILTER (reference = 'illicit_typed') AS typed_n, round(count(*) FILTER (pred = 1 AND reference = 'illicit_typed') / nullif(count(*) FILTER (reference = 'illicit_typed'), 0), 6) AS typed_rate FROM g GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(x) + ')' for x in _SETS)})""")
 def group_rollups(spark, sf):
-    """Overlapping groups in one pass, with null rates where nothing is eligible."""
-    return rounded(M.rates_over(verdicts(test_part(spark, sf)), [(), ("model",), ("payment_format",), ("label",), ("model", "payment_format"), ("model", "label")], {"right": ("pred = label", "true"), "typed": ("pred = 1", "label = 1 AND typology >= 0")}))
+    """Overall, by model, by each of four kinds of group, and by model and kind: ten overlapping groupings in one pass, with null rates where nothing is eligible."""
+    y, z = F.col("label"), F.col("pred")
+    reference = F.when(y == 0, "benign").when(F.col("typology") >= 0, "illicit_typed").otherwise("illicit_reference_absent")
+    outcome = F.when((y == 1) & (z == 1), "tp").when(y == 1, "fn").when(z == 1, "fp").otherwise("tn")
+    v = verdicts(test_part(spark, sf)).withColumns({"reference": reference, "outcome": outcome, "correct": F.when(y == z, "correct").otherwise("incorrect")})
+    return rounded(M.rates_over(v, _SETS, {"right": ("pred = label", "true"), "typed": ("pred = 1", "reference = 'illicit_typed'")}))
 
 
 @query(f"WITH {TX}, c AS (SELECT *, row_id % 2 = 0 AS present FROM t), {VERDICTS} SELECT present, model, round(count(*) FILTER (label = 0 AND pred = 1) / nullif(count(*) FILTER (label = 0), 0), 6) AS benign_flag_rate, round(count(*) FILTER (label = 1 AND pred = 1) / nullif(count(*) FILTER (label = 1), 0), 6) AS illicit_recall FROM (SELECT *, row_id % 2 = 0 AS present FROM v) GROUP BY ALL")

@@ -30,19 +30,19 @@ EIGHT = "(SELECT unnest(range(8)) AS cls)"
 
 def _evaluated(rule: str) -> str:
     return f"""WITH {ROUTE}, y AS (SELECT *, {RULES[rule]} AS asked, {sql_nibble("'head'", 'row_id')} % 8 AS ml_typology FROM x), z AS (SELECT *, CASE WHEN asked THEN pred ELSE ml END AS final, CASE WHEN asked THEN pred_typology WHEN ml = 1 THEN ml_typology END AS named FROM y),
-h AS (SELECT model, w, CASE WHEN typology >= 0 THEN typology END AS y, CASE WHEN named >= 0 THEN named END AS z FROM z WHERE final = 1 AND label = 1), nz AS (SELECT * FROM h WHERE z IS NOT NULL),
-acc AS (SELECT model, count(*) AS named, coalesce(sum(w) FILTER (y = z), 0) / sum(w) AS accuracy FROM nz GROUP BY model),
-cl AS (SELECT model, cls, coalesce(sum(w) FILTER (y = cls AND z = cls), 0) AS tp, coalesce(sum(w) FILTER (y = cls), 0) AS sup, coalesce(sum(w) FILTER (z = cls), 0) AS prd FROM nz CROSS JOIN {EIGHT} GROUP BY model, cls),
-ma AS (SELECT model, coalesce(avg(CASE WHEN sup > 0 THEN 2 * tp / (sup + prd) END), 0) AS macro FROM cl GROUP BY model),
-ce AS (SELECT model, count(*) FILTER (asked) AS n_consult, count(*) FILTER (asked) / count(*) AS consult_ratio, coalesce(sum(w) FILTER (final = 1 AND label = 1), 0) AS tp, coalesce(sum(w) FILTER (final = 1 AND label = 0), 0) AS fp, coalesce(sum(w) FILTER (final = 0 AND label = 1), 0) AS fn FROM z GROUP BY model)
-SELECT model, n_consult, round(consult_ratio, 6) AS consult_ratio, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(CASE WHEN named >= 3 THEN macro ELSE 0 END, 6) AS typ_macro_f1, round(CASE WHEN named >= 3 THEN accuracy ELSE 0 END, 6) AS typ_accuracy FROM ce LEFT JOIN acc USING (model) LEFT JOIN ma USING (model)"""
+h AS (SELECT model, run, w, CASE WHEN typology >= 0 THEN typology END AS y, CASE WHEN named >= 0 THEN named END AS z FROM z WHERE final = 1 AND label = 1), nz AS (SELECT * FROM h WHERE z IS NOT NULL),
+acc AS (SELECT model, run, count(*) AS named, coalesce(sum(w) FILTER (y = z), 0) / sum(w) AS accuracy FROM nz GROUP BY model, run),
+cl AS (SELECT model, run, cls, coalesce(sum(w) FILTER (y = cls AND z = cls), 0) AS tp, coalesce(sum(w) FILTER (y = cls), 0) AS sup, coalesce(sum(w) FILTER (z = cls), 0) AS prd FROM nz CROSS JOIN {EIGHT} GROUP BY model, run, cls),
+ma AS (SELECT model, run, coalesce(avg(CASE WHEN sup > 0 THEN 2 * tp / (sup + prd) END), 0) AS macro FROM cl GROUP BY model, run),
+ce AS (SELECT model, run, count(*) FILTER (asked) AS n_consult, count(*) FILTER (asked) / count(*) AS consult_ratio, coalesce(sum(w) FILTER (final = 1 AND label = 1), 0) AS tp, coalesce(sum(w) FILTER (final = 1 AND label = 0), 0) AS fp, coalesce(sum(w) FILTER (final = 0 AND label = 1), 0) AS fn FROM z GROUP BY model, run)
+SELECT model, run, n_consult, round(consult_ratio, 6) AS consult_ratio, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round(CASE WHEN named >= 3 THEN macro ELSE 0 END, 6) AS typ_macro_f1, round(CASE WHEN named >= 3 THEN accuracy ELSE 0 END, 6) AS typ_accuracy FROM ce LEFT JOIN acc USING (model, run) LEFT JOIN ma USING (model, run)"""
 
 
 def _evaluate(rule: str):
     @query(_evaluated(rule))
     def run(spark, sf):
         x = _routing(spark, sf).withColumn("ml_typology", nibble("head", F.col("row_id")) % 8)
-        return rounded(U.evaluate(x, rule, TAU, _classes(spark), ["model"]))
+        return rounded(U.evaluate(x, rule, TAU, _classes(spark), ["model", "run"]))
 
     QUERIES[f"triage_{rule}"], ORACLES[f"triage_{rule}"] = QUERIES.pop("run"), ORACLES.pop("run")
     QUERIES[f"triage_{rule}"].__doc__ = f"Weighted metrics of the rule {rule} with the typology of whoever flagged a row."

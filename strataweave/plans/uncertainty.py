@@ -198,12 +198,13 @@ def bootstrap_ci(spark, sf):
     return rounded(A.bootstrap_mean(test_part(spark, sf), "amount", "row_id"))
 
 
-@query(f"WITH {TX}, {VERDICTS}, f AS (SELECT model, run, payment_format, avg(CAST(pred = label AS INT)) AS acc FROM v GROUP BY ALL), d AS (SELECT a.run, a.payment_format, b.acc - a.acc AS d FROM f a JOIN f b USING (run, payment_format) WHERE a.model = 'm1' AND b.model = 'm2') SELECT payment_format, round(avg(d) * 100, 6) AS mean_delta_pp, avg(d) * 100 >= 5 AS improves, avg(d) * 100 <= -10 AS breaks FROM d GROUP BY ALL")
+@query(f"""WITH {TX}, {VERDICTS}, c AS (SELECT payment_format, run, model, count(*) AS n, count(*) FILTER (label = 1 AND pred = 1) AS tp, count(*) FILTER (label = 0 AND pred = 1) AS fp, count(*) FILTER (label = 1 AND pred = 0) AS fn FROM v WHERE model IN ('m1', 'm2') GROUP BY ALL), e AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, 100 * fp / n AS over, 100 * fn / n AS under FROM c),
+d AS (SELECT a.payment_format, count(*) AS cells, avg(b.f1 - a.f1) * 100 AS f, avg(b.over - a.over) AS o, avg(b.under - a.under) AS u FROM e a JOIN e b USING (payment_format, run) WHERE a.model = 'm1' AND b.model = 'm2' GROUP BY ALL)
+SELECT payment_format, cells, round(f, 6) AS delta_f1_pp, f >= 5 AS h1, round(o, 6) AS delta_over_pp, o <= -10 AS h2, round(u, 6) AS delta_under_pp, u <= 5 AS h3 FROM d""")
 def paired_hypotheses(spark, sf):
-    """Mean paired difference in points against the limits of the hypotheses."""
-    f = verdicts(test_part(spark, sf)).groupBy("run", "payment_format").pivot("model", ["m1", "m2"]).agg(F.avg((F.col("pred") == F.col("label")).cast("int")))
-    m = F.avg(F.col("m2") - F.col("m1")) * 100
-    return rounded(f.groupBy("payment_format").agg(m.alias("mean_delta_pp"), (m >= 5).alias("improves"), (m <= -10).alias("breaks")))
+    """Mean paired differences by dataset against the limits of the three hypotheses: F1, over-prediction, under-prediction."""
+    v = verdicts(test_part(spark, sf)).where("model IN ('m1', 'm2')")
+    return rounded(A.paired_hypotheses(v, ["payment_format"], ["run"], "model", "m1", "m2"))
 
 
 _PAIRS = f"{TX}, {VERDICTS}, ac AS (SELECT payment_format, src_bank, model, avg(CAST(pred = label AS INT)) AS acc FROM v WHERE model IN ('m1', 'm2') GROUP BY ALL), df AS (SELECT a.payment_format, a.src_bank, a.acc - b.acc AS d FROM ac a JOIN ac b USING (payment_format, src_bank) WHERE a.model = 'm1' AND b.model = 'm2')"
