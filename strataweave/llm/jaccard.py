@@ -105,6 +105,9 @@ def _described(size: int):
     return run
 
 
+DESCRIBED = "id long, n long, print binary, bins binary"
+
+
 def place_of(id: str) -> Column:
     return F.pmod(F.xxhash64(id), F.lit(FILTER_BITS)).cast("int")
 
@@ -301,6 +304,34 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
+def _apart(documents: DataFrame, described: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(documents, members, named): the rows with one text for each id, what describes those with words, and the pairs (id, number) of the texts that got a number of their own.
+
+    A text gets one, above all ids, if its id has others with other sets. So the search never meets an id with several
+    sets, and the numbers are linked with their ids, which stay the smallest of a component. Only texts of such ids move.
+    """
+    members = described.where("print is not null and id is not null")
+    mixed = written(members.groupBy("id").agg((F.min("print") != F.max("print")).alias("mixed")).where("mixed").select("id"), "jaccard-mixed")
+    if mixed.isEmpty():
+        return documents, members, None
+    filled, placed = bit_filter(mixed), documents.where("id is not null and text is not null").withColumn("place", place_of("id"))
+
+    def where(bit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _where_bit(batch, filled, bit).select(["id", "text"])
+
+        return placed.mapInArrow(run, "id long, text string")
+
+    top = described.agg(F.max("id")).first()[0]
+    own = where(True).join(mixed, "id", "left_semi").distinct()
+    own = written(own.select("id", "text", (F.lit(top).cast("long") + 1 + F.monotonically_increasing_id()).alias("own")), "jaccard-own")
+    alone = own.select(F.col("own").alias("id"), "text")
+    about = written(alone.mapInArrow(_described(size), DESCRIBED).where("print is not null"), "jaccard-rows")
+    rest = where(False).union(where(True).join(mixed, "id", "left_anti"))
+    return rest.union(alone), members.join(mixed, "id", "left_anti").unionByName(about), own.select(F.col("id").alias("a"), F.col("own").alias("b"))
+
+
 def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id_column, n_shingles, component_id) for each row of ``documents``.
 
@@ -309,23 +340,22 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
     ``100 * intersection >= percent * union``; component_id is the smallest id reachable.
 
     Defined results: rows without words link with nothing and are their own component. Rows that share an id are one
-    node of the graph: a link of any of their texts holds for it. A row without id links with nothing and has
+    node of the graph: a link of any of their texts holds for it (such ids must stay some billions below the largest long). A row without id links with nothing and has
     component null. Rows equal in id and text give equal rows. A very long text is whole: it is one set, however large.
     Ties cannot matter, as components are named by their smallest id. Other columns, whatever their names, are not
     looked at. An empty table gives an empty result.
     """
     small_batches(documents.sparkSession)
     documents = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    described = written(documents.mapInArrow(_described(size), "id long, n long, print binary, bins binary"), "jaccard-rows")
-    members = described.where("print is not null and id is not null")
+    described = written(documents.mapInArrow(_described(size), DESCRIBED), "jaccard-rows")
+    documents, members, named = _apart(documents, described, size)
     same = members.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("print", "first")
     copies = members.join(same, "print").select(F.col("first").alias("a"), F.col("id").alias("b")).where("a != b")
 
     # Only one document of each class signs. The others are set apart by a bit filter, which may hold a few too many:
-    # those, and only those, take an exact join. An id with several texts signs for each of them.
-    shape = members.groupBy("id").agg(F.min("n").alias("n"), F.max("n").alias("n_max"), F.min("bins").alias("bins"), (F.min("print") == F.max("print")).alias("single"))
-    mixed = shape.where("not single").select("id")
-    skip = written(copies.select(F.col("b").alias("id")).join(mixed, "id", "left_anti"), "jaccard-skip")
+    # those, and only those, take an exact join.
+    shape = members.groupBy("id").agg(F.min("n").alias("n"), F.min("bins").alias("bins"))
+    skip = written(copies.select(F.col("b").alias("id")), "jaccard-skip")
     filled, placed = bit_filter(skip), documents.where("id is not null and text is not null").withColumn("place", place_of("id"))
 
     def maybe_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +369,8 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
     groups = _groups(signed)
     star = groups.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     near = _possible(star, shape, percent)
-    found = written(copies.union(links(near, documents, size, percent)), "jaccard-found")
+    found = copies.union(links(near, documents, size, percent))
+    found = written(found if named is None else found.union(named), "jaccard-found")
     first = components(found)
 
     # The groups that the star left torn: their members with their components, and how many lie outside the hub's one.
@@ -352,13 +383,10 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
     # Blocks of members outside come first, then those of the main component, which meet only the former.
     laid = torn.join(blocks, "sig").withColumn("own", F.when(outside, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("main_blocks"))).cast("int"))
     rest = laid.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outside, F.col("blocks") + F.col("main_blocks")).otherwise(F.col("blocks")) - 1)))
-    rest = rest.join(shape.where("single"), "id").select("hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "id", "component", "n", "bins")
+    rest = rest.join(shape, "id").select("hub", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sig", "id", "component", "n", "bins")
     # The groups of near copies mostly share their smallest member: dealt by it, in a few parts, a pair meets in few tasks and is kept once in each.
     dealt = rest.repartition("hub", F.pmod(F.xxhash64("sig"), F.lit(PARTS)), "low", "high").sortWithinPartitions("hub", "low", "high", "sig")
     pairs = dealt.mapInArrow(_near(percent), "a long, b long").distinct()
-    if not mixed.isEmpty():  # rows that share an id but not their texts have no single histogram: they meet all others of their groups
-        odd = groups.join(mixed, "id", "left_semi").select("sig", F.col("id").alias("a")).join(groups.select("sig", F.col("id").alias("b")), "sig").where("a != b")
-        pairs = pairs.union(odd.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     pairs = written(pairs, "jaccard-pairs")
     more = links(pairs, documents, size, percent)
     whole = components(found.union(more))
@@ -366,17 +394,16 @@ def join(documents: DataFrame, id_column: str = "doc_id", text: str = "text", si
 
 
 def _possible(pairs: DataFrame, shape: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs that sizes and histograms exclude, where each id has one text."""
+    """Drops pairs that sizes and histograms exclude."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 5000) for b in batches for i in range(0, b.num_rows, 5000)):
             x, y = (fixed_width(batch.column(c), BINS) for c in ("x", "y"))
             apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
             n = batch.column("n").to_numpy(zero_copy_only=False)
-            single = batch.column("single").to_numpy(zero_copy_only=False).astype(bool)
-            yield batch.filter(pa.array(~single | (apart * (100 + percent) <= (100 - percent) * n))).select(["a", "b"])
+            yield batch.filter(pa.array(apart * (100 + percent) <= (100 - percent) * n)).select(["a", "b"])
 
-    side = lambda id, n, bins: shape.select(F.col("id").alias(id), F.col("n").alias(f"n{n}"), F.col("n_max").alias(f"m{n}"), F.col("bins").alias(bins), F.col("single").alias(f"s{n}"))
+    side = lambda id, n, bins: shape.select(F.col("id").alias(id), F.col("n").alias(f"n{n}"), F.col("bins").alias(bins))
     met = pairs.join(side("a", 1, "x"), "a").join(side("b", 2, "y"), "b")
-    met = met.where(f"100 * least(m1, m2) >= {percent} * greatest(n1, n2)")
-    return met.select("a", "b", "x", "y", F.expr("n1 + n2").alias("n"), F.expr("s1 and s2").alias("single")).mapInArrow(run, "a long, b long")
+    met = met.where(f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
+    return met.select("a", "b", "x", "y", F.expr("n1 + n2").alias("n")).mapInArrow(run, "a long, b long")

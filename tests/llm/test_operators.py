@@ -221,6 +221,28 @@ def test_jaccard(spark, docs, odd, which, monkeypatch):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in df.collect()])
 
 
+def test_jaccard_of_ids_with_several_texts(spark, monkeypatch):
+    """Texts that share an id are searched each for itself: as many pairs as for ids of their own, and the links hold for the id."""
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base + [f"x{i}", f"y{k}"]), "a") for i in range(150) for k in range(2)]  # all near, two texts each
+    rows += [(1000 + i, t, "a") for i in range(40) for t in (" ".join(f"{i}p{j}" for j in range(9)), " ".join(f"{i + 1}p{j}" for j in range(9)))]  # a chain through ids
+    rows += [(2000, None, "a"), (2000, "", "a"), (2000, " ".join(base), "a"), (None, " ".join(base), "a"), (-7, "one two", "a"), (-7, "one  two", "a"), (-8, "one two", "a"), (-8, "three", "a")]
+    rng.shuffle(rows)
+    df, sizes, real = documents(spark, rows), {}, jaccard.written
+
+    def written(table, what):
+        out = real(table, what)
+        sizes[what] = max(sizes.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df).collect()), key=str)
+    assert got == brute_components([(i, t) for i, t, _ in rows])
+    assert sizes["jaccard-mixed"] == 191 and sizes["jaccard-pairs"] < 1000 and sizes["jaccard-found"] < 5 * len(rows)
+
+
 def test_groups_of_a_hot_signature(spark):
     rows = [(7, i, i % 5) for i in range(5000)] + [(7, 3, 1), (8, 1, -1), (8, 1, -1), (9, 2, -1), (9, 4, -1), (10, 5, 0), (11, 6, 0), (11, 7, 3)]
     df = spark.createDataFrame(rows, "sig long, id long, part int").repartition(8)
