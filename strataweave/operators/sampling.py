@@ -154,6 +154,40 @@ def round_robin(groups: DataFrame, size: str, order: str, budget: int) -> DataFr
     return sized.withColumn("take", (F.col("_base") + one).cast("bigint")).drop("_done", "_open", "_level", "_at", "_base", "_rest")
 
 
+def filled(df: DataFrame, by: str, sizes: DataFrame, budget: Column, seed: int | str, key: str = "row_id") -> DataFrame:
+    """The ``take`` first rows of each group of ``by`` and, up to the budget, the first of all that remain in an order of their own. ``sizes`` (by, take) is small and written."""
+    first = written(first_ranked(df.withColumn("_draw", draw(seed, F.col(key))), [by], "_draw", sizes), "taken")
+    due = sizes.agg(F.greatest(F.coalesce(F.max(budget), F.lit(0)) - F.coalesce(F.sum("take"), F.lit(0)), F.lit(0)).alias("take"))
+    rest = df.join(first.select(key), key, "left_anti").withColumn("_draw", draw(f"{seed}|fill", F.col(key)))
+    return first.unionByName(first_ranked(rest.select(*first.columns), [], "_draw", due)).drop("_draw")
+
+
+def naive_draw(df: DataFrame, n_illicit: int, seed: int | str, key: str = "row_id") -> DataFrame:
+    """Unweighted rows at the population's ratio: illicit ones in equal parts of each (typology, tercile of their difficulty), benign ones in
+    proportion to the terciles of theirs; what either lacks is drawn from all of its rows that remain. ``stratum`` numbers the parts, benign ones from -3 to -1.
+
+    With more parts than rows, the first parts have one row each. Without illicit rows the result is empty.
+    """
+    rows = written(df.select(key, "label", "typology", difficulty(F.col("p")).alias("difficulty")), "naive")
+    cuts = quantile_cuts(rows, "difficulty", by=["label"])  # two rows
+    third = tercile(F.col("difficulty"), F.col("cuts"))
+    rows = written(rows.join(F.broadcast(cuts), "label").withColumn("stratum", F.when(F.col("label") == 1, F.col("typology") * 3 + third + 2).otherwise(third - 4)).select(key, "label", "stratum"), "naive")
+    pools = rows.groupBy("label", "stratum").agg(F.count("*").alias("pool"))
+    whole, order = Window.partitionBy(), Window.orderBy("stratum")  # a row for each typology and tercile, and three
+    illicit = pools.where("label = 1").withColumn("_all", F.sum("pool").over(whole)).withColumn("_due", F.least("_all", F.lit(n_illicit)).cast("bigint"))
+    base = F.when(F.col("_all") <= n_illicit, F.col("pool")).otherwise(F.least("pool", F.greatest(F.lit(1), F.floor(F.lit(n_illicit) / F.count("*").over(whole)))))
+    illicit = illicit.withColumn("_base", base.cast("bigint"))
+    before = F.coalesce(F.sum("_base").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    illicit = written(illicit.withColumn("take", F.least(F.col("_base"), F.greatest(F.col("_due") - before, F.lit(0)))), "naive-sizes")
+    known = illicit.agg(F.max("_due").alias("_due"), F.max("_all").alias("_all"))  # one row
+    benign = pools.where("label = 0").withColumn("_benign", F.sum("pool").over(whole)).crossJoin(F.broadcast(known))
+    ratio = F.col("_all") / (F.col("_all") + F.col("_benign"))
+    benign = benign.withColumn("_due", F.least(F.floor(F.col("_due") / ratio) - F.col("_due"), F.col("_benign")).cast("bigint")).where("_due is not null")
+    benign = written(benign.withColumn("take", F.floor(F.col("_due") * (F.col("pool") / F.col("_benign"))).cast("bigint")), "naive-sizes")
+    parts = [filled(rows.where(F.col("label") == y), "stratum", sizes, F.col("_due"), seed, key) for y, sizes in ((1, illicit), (0, benign))]
+    return parts[0].unionByName(parts[1])
+
+
 def weight_report(df: DataFrame, by: str = "stratum") -> DataFrame:
     """For each stratum of a sample with pool, n and weight: realised size, modal weight, and whether the weights fit."""
     got = df.groupBy(by).agg(F.count("*").alias("n_real"), F.max("pool").alias("pool"), F.mode("weight", True).alias("modal_weight"), F.min("weight").alias("_min"), F.max("weight").alias("_max"))

@@ -176,11 +176,19 @@ def benign_budget_sample(spark, sf):
     return rounded(s.groupBy("stratum").agg(F.count("*").alias("taken"), F.max("pool").alias("pool"), F.max("n").alias("n"), F.sum("weight").alias("sum_w")))
 
 
-@query(f"WITH {TX}, b AS (SELECT *, label * 100 + CASE WHEN label = 1 THEN typology + 1 ELSE CAST(floor(p * 3) AS INTEGER) END AS key FROM t) SELECT row_id, key FROM {ranked('b', 'key')} WHERE rk <= 12")
+NAIVE = f"""{TX}, d AS (SELECT row_id, label, typology, 1 - 2 * abs(p - 0.5) AS difficulty FROM t), q AS (SELECT label, quantile_cont(difficulty, 0.33) AS q1, quantile_cont(difficulty, 0.67) AS q2 FROM d GROUP BY label),
+k AS (SELECT row_id, label, CASE WHEN label = 1 THEN typology * 3 + 2 ELSE -4 END + CASE WHEN difficulty < q1 THEN 1 WHEN difficulty < q2 THEN 2 ELSE 3 END AS stratum FROM d JOIN q USING (label)), po AS (SELECT label, stratum, count(*) AS pool FROM k GROUP BY ALL),
+ia AS (SELECT *, sum(pool) OVER () AS al, CASE WHEN sum(pool) OVER () <= 30 THEN pool ELSE least(pool, greatest(1, 30 // count(*) OVER ())) END AS base FROM po WHERE label = 1),
+ib AS (SELECT label, stratum, least(al, 30)::BIGINT AS due, greatest(0, least(base, least(al, 30) - coalesce(sum(base) OVER (ORDER BY stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS take FROM ia),
+kn AS (SELECT max(al)::BIGINT AS al, max(least(al, 30))::BIGINT AS di FROM ia), ba AS (SELECT label, stratum, pool, sum(pool) OVER () AS be, al, di FROM po CROSS JOIN kn WHERE label = 0),
+bb AS (SELECT label, stratum, least(floor(di / (al / (al + be))) - di, be)::BIGINT AS due, floor(least(floor(di / (al / (al + be))) - di, be) * (pool / be))::BIGINT AS take FROM ba), sz AS (SELECT * FROM ib UNION ALL SELECT * FROM bb),
+fi AS (SELECT k.*, due, sum(CASE WHEN rk <= take THEN 1 ELSE 0 END) OVER (PARTITION BY k.label) AS got, rk <= take AS first FROM (SELECT *, row_number() OVER (PARTITION BY label, stratum ORDER BY md5('{SEED}|' || row_id)) AS rk FROM k) k JOIN sz USING (label, stratum))"""
+
+
+@query(f"WITH {NAIVE} SELECT row_id, label, stratum FROM fi QUALIFY first OR row_number() OVER (PARTITION BY label, first ORDER BY md5('{SEED}|fill|' || row_id)) <= due - got")
 def naive_stratified(spark, sf):
-    """Equal parts of each (class, typology or tercile) stratum, unweighted."""
-    b = test_part(spark, sf).withColumn("key", F.col("label") * 100 + F.when(F.col("label") == 1, F.col("typology") + 1).otherwise(F.floor(F.col("p") * 3).cast("int")))
-    return S.sample(b, ["key"], 12, SEED).select("row_id", "key")
+    """Thirty illicit rows in equal parts of typology and tercile, filled up, and benign rows at the population's ratio."""
+    return S.naive_draw(test_part(spark, sf), 30, SEED).select("row_id", "label", "stratum")
 
 
 @query(f"WITH {STRATA}, c AS (SELECT stratum, count(*) AS pool FROM st WHERE label = 0 GROUP BY ALL), a AS (SELECT *, 97 * pool // sum(pool) OVER () AS fl, 97 * pool % sum(pool) OVER () AS rest FROM c) SELECT stratum, pool, CAST(fl + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= 97 - sum(fl) OVER () THEN 1 ELSE 0 END AS BIGINT) AS share FROM a")
@@ -226,10 +234,14 @@ def anti_join_topup(spark, sf):
     return S.sample(rest, [], 25, 9, "doc_id").select("doc_id")
 
 
-@query(f"WITH {TX}, {TRUTH.replace('f AS', 'ff AS')}, g AS (SELECT payment_format, CASE WHEN p >= {TAU} THEN 1 ELSE 0 END AS pred, label FROM t) SELECT payment_format, count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 1) = 0 AS degenerate FROM g GROUP BY payment_format")
+@query(f"WITH {TX}, r AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY md5((42 + 7919 * draw) || '|' || row_id)) AS rk FROM t CROSS JOIN (SELECT unnest(range(8))::INT AS draw)) SELECT draw, count(*) AS n, count(*) FILTER (label = 1) AS positives, count(*) FILTER (p >= {TAU}) AS flagged, count(*) FILTER (label = 1) = 0 AS degenerate FROM r WHERE rk <= 40 GROUP BY draw")
 def degenerate_draws(spark, sf):
-    """Groups whose draw has no positive row and so no defined recall."""
-    return test_part(spark, sf).groupBy("payment_format").agg(F.count_if(F.col("label") == 1).alias("positives"), (F.count_if(F.col("label") == 1) == 0).alias("degenerate"))
+    """Uniform draws of 40 rows that hold no positive one and so have no defined recall."""
+    t = test_part(spark, sf).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_d", draw(42 + 7919 * F.col("draw"), F.col("row_id")))
+    sizes = spark.range(8).select(F.col("id").cast("int").alias("draw"), F.lit(40).alias("take"))
+    taken = S.first_ranked(t, ["draw"], "_d", sizes)
+    positive = F.count_if(F.col("label") == 1)
+    return taken.groupBy("draw").agg(F.count("*").alias("n"), positive.alias("positives"), F.count_if(F.col("p") >= TAU).alias("flagged"), (positive == 0).alias("degenerate"))
 
 
 @query(f"WITH {STRATA} SELECT count(*) FILTER (label = 0 AND p >= {TAU} AND stratum = 'hard_neg') AS fp_inside, count(*) FILTER (label = 0 AND p >= {TAU} AND stratum <> 'hard_neg') AS fp_outside, round(count(*) FILTER (label = 0 AND p >= {TAU} AND stratum = 'hard_neg') / nullif(count(*) FILTER (label = 0 AND p >= {TAU}), 0), 6) AS share_inside FROM st")
