@@ -1,6 +1,7 @@
 """Work that must not grow with a hub: what is shuffled, and the same rows as brute force."""
 
 import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,31 @@ def test_induced_tells_blocks_of_cases_apart(spark, unsent):
     want = {c * 7 - 20: (lambda held: (len(held), sum(held)))([i for i, a, b in rows if a <= 39 - c % 5 and b <= 39 - c % 5]) for c in range(n)}
     assert {r["case_id"]: (r["n"], r["s"]) for r in got} == want
     assert took < 600_000
+
+
+def test_windows_of_a_busy_account_are_linear(spark):
+    """One account with 60,000 rows in a day: windows that take in their rows one by one need minutes."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("id AS row_id", "id % 50 AS src", "7L AS dst", "id AS epoch_s", "cast(id % 3 as double) AS amount")
+    began = time.time()
+    f = G.trailing(rows, "dst").agg(F.sum("degree"), F.max("degree"), F.max("fan")).first()
+    m = {r["row_id"]: r for r in G.vertex_moments(rows, "dst").where(f"row_id in (0, 1, {n - 1})").collect()}
+    assert time.time() - began < 40
+    assert tuple(f) == (n * (n + 1) // 2, n, 50)
+    assert (m[0]["skewness"], m[0]["kurtosis"], m[0]["sd_time_s"]) == (0, 0, 0) and abs(m[1]["kurtosis"] + 2) < 1e-9
+    assert abs(m[n - 1]["skewness"]) < 1e-9 and abs(m[n - 1]["kurtosis"] + 1.5) < 1e-9 and abs(m[n - 1]["mean_age_s"] - (n - 1) / 2) < 1e-6
+
+
+def test_parts_of_windows_meet_at_the_edges_of_cells(spark):
+    times = [-86_402, -86_401, -86_400, -1, 0, 0, 1, 86_399, 86_400, 86_401, 172_801, 172_802]
+    rows = [(i, i % 4, 1, t, float((i * 7) % 5 + 1)) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "row_id long, src long, dst long, epoch_s long, amount double")
+    day = lambda t: [r for r in rows if 0 <= t - r[3] <= 86_400]
+    got = {r["row_id"]: (r["degree"], r["fan"]) for r in G.trailing(df, "dst").collect()}
+    assert got == {r[0]: (len(day(r[3])), len({x[1] for x in day(r[3])})) for r in rows}
+    for r in G.vertex_moments(df, "dst").collect():
+        t = rows[r["row_id"]][3]
+        a, n = [x[4] for x in day(t)], len(day(t))
+        m = [sum((x - sum(a) / n) ** k for x in a) / n for k in (2, 3, 4)]
+        assert abs(r["skewness"] - (m[1] / m[0] ** 1.5 if m[0] > 1e-18 else 0)) < 1e-9 and abs(r["kurtosis"] - (m[2] / m[0] ** 2 - 3 if m[0] > 1e-18 else 0)) < 1e-9
+        assert abs(r["ratio"] - rows[r["row_id"]][4] / (sum(a) / n)) < 1e-12
