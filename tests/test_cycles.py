@@ -1,8 +1,11 @@
 """Long cycles against a search of all paths."""
 
+import contextlib
+import io
 import random
 from collections import Counter
 
+from strataweave.operators import cycles
 from strataweave.operators.cycles import long_cycles
 
 
@@ -36,3 +39,22 @@ def test_long_cycles(spark):
 
 def test_no_edges(spark):
     assert long_cycles(spark.createDataFrame([(1, 1, 1)], "src long, dst long, epoch_s long"), 4, 60).count() == 0
+
+
+def test_paths_are_not_sent_whole(spark):
+    """A small table stays out of the driver's memory too; each length is one table before they are united."""
+    edges = [(i % 9, (i + 1) % 9, i) for i in range(40)]
+    out = io.StringIO()
+    def kept(df, what, write=cycles.written):
+        with contextlib.redirect_stdout(out):
+            df.explain()
+        return write(df, what)
+
+    cycles.written, former = kept, cycles.written
+    try:
+        found = cycles.long_cycles(spark.createDataFrame(edges, "src long, dst long, epoch_s long"), 4, 60)
+        with contextlib.redirect_stdout(out):
+            found.explain()
+    finally:
+        cycles.written = former
+    assert "Broadcast" not in out.getvalue() and "Join" not in out.getvalue().split("== Physical Plan ==")[-1]
