@@ -14,6 +14,8 @@ from strataweave.session import written
 
 #: Similarities are compared with this many digits, so that the shape of a product doesn't decide ties.
 DIGITS, SLACK = 12, 1e-6
+#: Blocks whose rows look through others together, and blocks that they look through in one task, about.
+TILE, SLICE = 32, 64
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -37,8 +39,8 @@ def nearest(vectors: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "e
 
     Each unit vector goes to the nearest of ``pivots`` rows, drawn by hash. A cell is cut into blocks of about ``block`` rows,
     however many it has. A row's own block bounds its k-th distance, and a cell whose pivot lies further away than that
-    and the cell's radius holds none of its neighbours. Blocks meet whole as rows, for the pairs of block and cell that
-    are left. The driver holds the pivots and one radius a cell. Vectors that are null, empty or zero have no direction:
+    and the cell's radius holds none of its neighbours. Blocks are dealt into tiles of about ``TILE``, which
+    meet the blocks that any of theirs asks for in slices of about ``SLICE``: a block is sent once for a tile, and a tile once for a slice. The driver holds the pivots and one radius a cell. Vectors that are null, empty or zero have no direction:
     they have no neighbours and are none.
     """
     length = F.aggregate(F.transform(F.col(vector), lambda x: x.cast("double") * x), F.lit(0.0), lambda a, x: a + x)
@@ -90,20 +92,31 @@ def nearest(vectors: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "e
 
     first = written(blocks.mapInPandas(own, "cell int, part int, q array<long>, found array<array<struct<n: long, s: double>>>, wants array<int>, rows array<array<int>>"), "own")
     mine = first.select(F.explode(F.arrays_zip("q", "found")).alias("x")).select(F.col("x.q").alias("q"), F.explode("x.found").alias("f")).select("q", "f.n", "f.s")
-    pairs = first.select(F.col("cell").alias("qc"), F.col("part").alias("qp"), F.explode(F.arrays_zip("wants", "rows")).alias("w")).select("qc", "qp", F.col("w.wants").alias("cell"), F.col("w.rows").alias("rows"))
-    pairs = pairs.join(blocks.select("cell", "part"), "cell").where("not (cell = qc and part = qp)")
-    left = blocks.select(F.col("cell").alias("qc"), F.col("part").alias("qp"), F.col("ids").alias("q"), F.col("flat").alias("qv"))
-    met = pairs.join(left, ["qc", "qp"]).join(blocks, ["cell", "part"]).select("q", "qv", "rows", "ids", "flat")
-
-    def others(parts):
-        for p in parts:
-            for q, qv, rows, ids, flat in zip(p["q"], p["qv"], p["rows"], p["ids"], p["flat"]):
-                (q, a), (ids, b) = unpacked(q, qv), unpacked(ids, flat)
-                rows = np.asarray(rows, dtype=np.int64)
-                row, n, s = _best(q[rows], a[rows], ids, b, k)
-                yield pd.DataFrame({"q": q[rows][row], "n": n, "s": s})
-
-    every = mine.unionByName(met.mapInPandas(others, "q long, n long, s double"))
+    n_blocks = sum(max(1, -(-n // block)) for n, _ in sizes.values())
+    tile = F.pmod(F.xxhash64("cell", "part"), F.lit(-(-n_blocks // max(1, min(TILE, n_blocks // 16))))).cast("int").alias("tile")
+    slices = -(-n_blocks // SLICE)
+    tiles = first.join(blocks.select("cell", "part", "flat"), ["cell", "part"]).select("cell", "part", tile, "q", F.col("flat").alias("qv"), "wants", "rows")
+    left = tiles.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    asked = first.select(tile, F.explode("wants").alias("cell")).distinct()
+    right = blocks.join(asked, "cell").select("tile", F.pmod(F.xxhash64("part", "cell"), F.lit(slices)).cast("int").alias("slice"), *[F.col(c).alias(f"n_{c}") for c in ("cell", "part", "ids", "flat")])
+
+    def others(tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": np.array([], np.int64), "n": np.array([], np.int64), "s": np.array([], np.float64)})]
+        near = [(c, p, *unpacked(ids, flat)) for c, p, ids, flat in zip(*(near[f"n_{c}"] for c in ("cell", "part", "ids", "flat")))]
+        for cell, part, q, flat, wants, rows in zip(*(tile[c] for c in ("cell", "part", "q", "qv", "wants", "rows"))):
+            (q, a), rows, found = unpacked(q, flat), dict(zip(wants, rows)), []
+            for c, p, ids, b in near:
+                if c in rows and (c, p) != (cell, part):
+                    at = np.asarray(rows[c], dtype=np.int64)
+                    row, n, s = _best(q[at], a[at], ids, b, k)
+                    found.append(pd.DataFrame({"q": q[at][row], "n": n, "s": s}))
+            if found:
+                found = pd.concat(found).sort_values(["q", "s", "n"], ascending=[True, False, True], kind="stable")
+                out.append(found[found.groupby("q").cumcount() < k])
+        return pd.concat(out)
+
+    met = left.groupBy("tile", "slice").cogroup(right.groupBy("tile", "slice")).applyInPandas(others, "q long, n long, s double")
+    every = mine.unionByName(met)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "n"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(id), F.col("n").alias("neighbour"), F.col("s").alias("similarity"), "rank")
 

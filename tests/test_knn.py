@@ -45,3 +45,20 @@ def test_ties_and_vectors_without_direction(spark):
     assert got == {0: [1, 2], 1: [0, 2], 2: [0, 1], 3: [0, 1], 4: [0, 1], 5: [0, 1], 9: [0, 1]}
     assert nearest(df.where("vec_id = 7"), 2).count() == 0
     assert nearest(df.where("vec_id = 9"), 2).count() == 0
+
+
+def test_blocks_are_sent_once_for_a_tile(spark):
+    """128 blocks without clusters: pairs of blocks would move about 16,000 blocks of 2 KB twice."""
+    from test_scale import shuffled
+
+    v = np.random.default_rng(5).normal(size=(2048, 16))
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = {(r.vec_id, r.rank): r.neighbour for r in nearest(df, 3, pivots=8, block=16).collect()}
+        assert shuffled(spark) - before < 25_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = all_pairs(list(range(2048)), v, 3)
+    assert got == {(a, i + 1): b for a, best in want.items() for i, (_, b) in enumerate(best)}
