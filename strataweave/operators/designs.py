@@ -60,13 +60,16 @@ def judged(df: DataFrame, seeds: Sequence[int], tau: float, limits: Limits = Lim
     each = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
 
     cut = lambda part: part.crossJoin(F.broadcast(quantile_cuts(part, "difficulty"))).withColumn("third", tercile(F.col("difficulty"), F.col("cuts"))).drop("cuts")  # noqa: E731  one row
+    cell = F.shiftright("_h", 40)  # 256 cells of a hash of 48 bits
     drawn = cut(ill).select("*", each).withColumns({"stratum": F.col("typology") * 3 + F.col("third"), "_h": _number(F.col("seed"), F.col("row_id"))})
-    taken = written(running(drawn, "_h", {"_r": F.lit(1)}, ["seed", "stratum"]), "design-ranks").withColumn("_place", F.col("_r").cast("decimal(20,0)") * F.lit(1 << 48) + F.col("_h"))
+    drawn = written(drawn.select("seed", "stratum", "_h", "hit", "difficulty", "typology"), "design-illicit")
+    taken = written(running(drawn, "_h", {"_r": F.lit(1)}, ["seed", "stratum"], cell=cell), "design-ranks").withColumn("_place", F.col("_r").cast("decimal(20,0)") * F.lit(1 << 48) + F.col("_h"))
     sums = {"n_illicit": F.lit(1), "tp": F.col("hit"), "_d": F.col("difficulty"), "_dd": F.col("difficulty") * F.col("difficulty"), **flags}
     prefixes = written(running(taken, "_place", sums, ["seed"]).select("seed", *sums), "design-prefixes")
-    benign = written(cut(ben).select("*", each).withColumn("_h", _number(F.col("seed"), F.col("row_id"))), "design-benign")
-    pools = {r["third"]: r["count"] for r in benign.where(F.col("seed") == seeds[0]).groupBy("third").count().collect()}  # three rows
-    hits = written(running(benign, "_h", {"_r": F.lit(1), "fp": F.col("hit")}, ["seed", "third"]).select("seed", "third", "_r", "fp"), "design-hits")
+    thirds = cut(ben).select("row_id", "hit", "third")
+    pools = {r["third"]: r["count"] for r in thirds.groupBy("third").count().collect()}  # three rows
+    benign = written(thirds.select("*", each).select("seed", "third", "hit", _number(F.col("seed"), F.col("row_id")).alias("_h")), "design-benign")
+    hits = written(running(benign, "_h", {"_r": F.lit(1), "fp": F.col("hit")}, ["seed", "third"], cell=cell).select("seed", "third", "_r", "fp"), "design-hits")
 
     out = prefixes.withColumn("n_benign", F.least(F.expr(f"n_illicit * {n} div {n_ill}") - F.col("n_illicit"), F.lit(n_ben)))
     before, fp = 0, F.lit(0)

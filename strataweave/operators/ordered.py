@@ -32,9 +32,12 @@ def with_cell(df: DataFrame, value: str, name: str = "_cell") -> DataFrame:
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, cell.cast("int")).drop("_cuts")  # one row
 
 
-def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, inclusive: bool = True) -> DataFrame:
-    """Adds the running sums over rows in the order of ``order``, which must be distinct within each group of ``by``; the row itself included or not."""
-    cells = with_cell(df, order)
+def running(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = False, inclusive: bool = True, cell: Column | None = None) -> DataFrame:
+    """Adds the running sums over rows in the order of ``order``, which must be distinct within each group of ``by``; the row itself included or not.
+
+    Where ``order`` is spread evenly, as a hash is, its cell may be given: a number that ascends with it.
+    """
+    cells = with_cell(df, order) if cell is None else df.withColumn("_cell", cell.cast("int"))
     totals = cells.groupBy(*by, "_cell").agg(*[F.sum(c).alias(f"_of_{n}") for n, c in sums.items()])
     down = lambda c: F.desc(c) if descending else F.asc(c)
     before = Window.partitionBy(*by).orderBy(down("_cell")).rowsBetween(Window.unboundedPreceding, -1)

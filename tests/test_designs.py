@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataweave.operators import designs as D
 from strataweave.session import written
@@ -110,3 +111,12 @@ def test_nothing_feasible_and_no_illicit_row(spark, rows):
     assert not any(r.best for r in D.constrained(none, 2, 5, range(2), 6).collect())
     empty = written(D.judged(df.where("label = 0"), range(2), TAU), "judged-test")
     assert empty.count() == 0 and D.exhaustive(empty, [0], [1], [1], 6).count() == 0 and D.constrained(empty, 2, 5, range(2), 6).count() == 0
+
+
+def test_running_sums_by_given_cells(spark):
+    """Cells of a hash give the same sums as cells by quantiles."""
+    from strataweave.operators.ordered import running
+
+    df = spark.range(3000).selectExpr("id % 3 AS g", "abs(xxhash64(id)) % 281474976710656 AS h", "id % 7 AS x")
+    got = [sorted(map(tuple, running(df, "h", {"s": F.col("x")}, ["g"], cell=cell).collect())) for cell in (None, F.shiftright("h", 40))]
+    assert got[0] == got[1] and len(got[0]) == 3000
