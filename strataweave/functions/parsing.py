@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,27 @@ MARKERS = [
     r"\b(rapid|quick|fast|burst)\b.*\b(transfer|movement)\b",
     r"\b(multiple|many|several).*counterpart",
 ]
+#: How the patterns above are looked for: texts that lack a word of one of the groups are not searched, and of two words of a line with
+#: anything in between the first is taken once a line, so that a line costs its length and not its square.
+WITHIN = {
+    PARSE[0]: [([["acct"]], PARSE[0])],
+    PARSE[1]: [([["hub", "central"]], PARSE[1])],
+    PARSE[2]: [([["degree"]], PARSE[2])],
+    PARSE[3]: [([["transactions", "edges", "accounts", "nodes"]], PARSE[3])],
+    PARSE[4]: [([["volume", "total", "sum"]], r"(?m)^(?>.*?\b(?:volume|total|sum)\b).*\d")],
+    MARKERS[0]: [([["temporal", "timestamp", "bucket", "monthly", "weekly", "daily", "recurring", "periodic", "interval"]], MARKERS[0])],
+    MARKERS[1]: [
+        ([["amount", "threshold", "just below"]], r"\b(identical amount|same amount|threshold|reporting threshold|just below)\b"),
+        ([["repeated"], ["amount"]], r"(?m)^(?>.*?\brepeated).*amount\b"),
+    ],
+    MARKERS[2]: [
+        ([["cycle", "loop", "forth"]], r"\b(cycle|loop[s]?|back[ \-]?and[ \-]?forth)\b"),
+        ([["return"], ["origin"]], r"(?m)^(?>.*?\breturn).*origin\b"),
+    ],
+    MARKERS[3]: [([["layer", "multi"]], MARKERS[3])],
+    MARKERS[4]: [([["transfer", "movement"], ["rapid", "quick", "fast", "burst"]], r"(?m)^(?>.*?\b(?:rapid|quick|fast|burst)\b).*\b(?:transfer|movement)\b")],
+    MARKERS[5]: [([["counterpart"], ["multiple", "many", "several"]], r"(?m)^(?>.*?\b(?:multiple|many|several)).*counterpart")],
+}
 #: Label fields at the start of a line, and identifiers that were never filled in.
 LABEL_FIELD = r"""(?im)^\s*(?:[-*]\s*)?["']?(?:label|labels|illicit|is_illicit|is[_ ]?laundering|typology|typology_id|ground[_ ]?truth)["']?\s*[:=]"""
 PLACEHOLDER = r"(?i)<\s*ID\s*>|\{\{[^{}]*\}\}"
@@ -121,9 +144,16 @@ def counted(hits: list[Column]) -> Column:
     return sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
 
 
+def found(low: Column, pattern: str) -> Column:
+    """Whether a lower-cased text holds a pattern of PARSE or MARKERS."""
+    either = lambda conditions: reduce(lambda a, b: a | b, conditions)
+    each = [reduce(lambda a, b: a & b, [*[either([low.contains(w) for w in words]) for words in groups], low.rlike(f"(?Ud){regex}")]) for groups, regex in WITHIN[pattern]]
+    return either(each)
+
+
 def features_in(low: Column) -> Column:
     """How many kinds of structural features a lower-cased trace names."""
-    return counted([low.rlike(f"(?Ud){p}") for p in PARSE])
+    return counted([found(low, p) for p in PARSE])
 
 
 def names_in(low: Column) -> Column:
@@ -137,7 +167,7 @@ def names_in(low: Column) -> Column:
 
 def markers_in(low: Column) -> Column:
     """How many kinds of structural markers a lower-cased trace holds."""
-    return counted([low.rlike(f"(?Ud){p}") for p in MARKERS])
+    return counted([found(low, p) for p in MARKERS])
 
 
 def trace_scores(low: Column, illicit: Column, typology: Column, label: Column, truth: Column) -> dict[str, Column]:
