@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a part, about, where groups are as many as rows.
+ROWS = 200_000
+
 
 def accepted(report: DataFrame, counts: Sequence[str]) -> DataFrame:
     """The report if all its counts are zero; else an error with the first rows that break a rule."""
@@ -47,9 +50,13 @@ def probability_violations(df: DataFrame, p: str) -> DataFrame:
 
 
 def prediction_report(cases: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, unknown, repeated, no_verdict, accepted, missing) of predictions (by, case_id, verdict) against the cases (case_id)."""
-    known = cases.select("case_id").distinct().withColumn("_known", F.lit(True))
-    each = found.groupBy(*by, "case_id").agg(F.count("*").alias("_n"), F.count("verdict").alias("_v")).join(known, "case_id", "left")
+    """(by, unknown, repeated, no_verdict, accepted, missing) of predictions (by, case_id, verdict) against the cases (case_id).
+
+    Nearly every row is a group of its own, so rows are dealt by case into parts of about ROWS before they are grouped.
+    """
+    many = max(8, min(2048, (found.count() + cases.count()) // ROWS))
+    known = cases.select("case_id").repartition(many, "case_id").distinct().withColumn("_known", F.lit(True))
+    each = found.select(*by, "case_id", "verdict").repartition(many, "case_id").groupBy(*by, "case_id").agg(F.count("*").alias("_n"), F.count("verdict").alias("_v")).join(known, "case_id", "left")
     is_known, once = F.col("_known").isNotNull(), F.col("_n") == 1
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
     got = each.groupBy(*by).agg(total(~is_known).alias("unknown"), total(is_known & ~once).alias("repeated"), total(is_known & once & (F.col("_v") == 0)).alias("no_verdict"), total(is_known & once & (F.col("_v") == 1)).alias("accepted"), F.count_if(is_known).alias("_covered"))

@@ -151,6 +151,7 @@ def probability_rejects(spark, sf):
 def prediction_rejects(spark, sf):
     """Predictions that a strict read rejects: of unknown cases, repeated, without verdict; and cases that none covers."""
     t = test_part(spark, sf)
+    t = t.repartition(max(8, min(200, t.count() // 100_000)), "row_id")  # the rows lie side by side and become six each
     i = F.col("row_id")
     case = F.when(i % 40 == 0, F.concat(F.lit("x"), i.cast("string"))).when(i % 41 == 0, F.concat(F.lit("e_"), (i + 1).cast("string"))).otherwise(F.col("edge_id"))
     found = verdicts(t).where(i % 59 != 0).select("model", "run", case.alias("case_id"), F.when(i % 53 != 0, F.col("pred")).alias("verdict"))

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from strataweave.operators import checks as C
 from strataweave.operators import graph as G
 
 
@@ -87,3 +88,31 @@ def test_parts_of_windows_meet_at_the_edges_of_cells(spark):
         m = [sum((x - sum(a) / n) ** k for x in a) / n for k in (2, 3, 4)]
         assert abs(r["skewness"] - (m[1] / m[0] ** 1.5 if m[0] > 1e-18 else 0)) < 1e-9 and abs(r["kurtosis"] - (m[2] / m[0] ** 2 - 3 if m[0] > 1e-18 else 0)) < 1e-9
         assert abs(r["ratio"] - rows[r["row_id"]][4] / (sum(a) / n)) < 1e-12
+
+
+def peak_since(spark, stages: set) -> int:
+    """The largest memory, in MB, that a task of later stages took for groups and sorts."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    best = 0
+    for stage in range(max(stages) + 1, max(seen_stages(spark)) + 1):
+        tasks = store.taskList(stage, 0, 10_000)
+        for i in range(tasks.size()):
+            m = tasks.apply(i).taskMetrics()
+            best = max(best, m.get().peakExecutionMemory() if m.isDefined() else 0)
+    return best >> 20
+
+
+def seen_stages(spark) -> set:
+    tracker = spark.sparkContext.statusTracker()
+    return {s for j in tracker.getJobIdsForGroup() for s in (tracker.getJobInfo(j).stageIds if tracker.getJobInfo(j) else [])} | {0}
+
+
+def test_predictions_are_grouped_in_parts_of_bounded_size(spark):
+    """Three million predictions of different cases in one partition."""
+    n = 500_000
+    cases = spark.range(0, n, 1, 1).selectExpr("concat('e_', id) AS case_id")
+    found = cases.selectExpr("explode(array('a', 'b', 'c', 'd', 'e', 'f')) AS model", "0 AS run", "case_id", "1 AS verdict")
+    before = seen_stages(spark)
+    got = C.prediction_report(cases, found, ["model", "run"]).collect()
+    assert {tuple(r[c] for c in ("unknown", "repeated", "no_verdict", "accepted", "missing")) for r in got} == {(0, 0, 0, n, 0)} and len(got) == 6
+    assert peak_since(spark, before) < 250
