@@ -104,43 +104,62 @@ def _number(seed: int | str, what: str, step: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 
 
+#: Edges of a node up to which one task numbers them; walkers up to which the rows at their nodes are looked up by name.
+HUB, CROWD = 100_000, 256
+
+
 def incidences(edges: DataFrame, loops: int = 1) -> DataFrame:
     """(node, i, degree, row_id, other): the edges at each node, numbered from 0 in the order of their ids; a loop counts once or twice.
 
-    Numbers come by cells of the order, so that no task needs a whole hub.
+    The edges of a hub are numbered by cells of the order, so that no task needs a whole one. The table is written in the
+    order of the nodes, so that a reader of some nodes finds their rows without the others.
     """
     there = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "row_id", F.lit(0).alias("_side"))
     back = edges if loops == 2 else edges.where("src != dst")
     ends = there.unionByName(back.select(F.col("dst").alias("node"), F.col("src").alias("other"), "row_id", F.lit(1).alias("_side")))
-    ends = written(ends.withColumn("_order", F.col("row_id") * 2 + F.col("_side")), "ends")
-    near = running(ends, "_order", {"i": F.lit(1)}, ["node"], inclusive=False)
-    degree = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    return near.join(degree, "node").select("node", F.col("i").cast("bigint").alias("i"), "degree", "row_id", "other")
+    ends = written(ends.where("node is not null").withColumn("_order", F.col("row_id") * 2 + F.col("_side")), "ends")
+    hubs = written(ends.groupBy("node").agg(F.count("*").alias("degree")).where(F.col("degree") > HUB), "hubs")  # a row for each HUB edge ends at most
+    at = Window.partitionBy("node")
+    few = ends.join(F.broadcast(hubs), "node", "left_anti").repartitionByRange("node")
+    near = few.select("node", (F.row_number().over(at.orderBy("_order")) - 1).cast("bigint").alias("i"), F.count("*").over(at).alias("degree"), "row_id", "other")
+    if hubs.limit(1).count():
+        large = running(ends.join(F.broadcast(hubs.select("node")), "node", "left_semi"), "_order", {"i": F.lit(1)}, ["node"], inclusive=False)
+        large = large.join(F.broadcast(hubs), "node").select("node", F.col("i").cast("bigint").alias("i"), "degree", "row_id", "other")
+        near = near.unionByName(large.repartitionByRange("node", "i").sortWithinPartitions("node", "i"))
+    return written(near, "incidences")
+
+
+def _rows_at(near: DataFrame, nodes: list) -> DataFrame:
+    """The rows of ``near`` at some nodes: single comparisons, as these let a reader of Parquet leave out what cannot hold them."""
+    tests = [F.col("node") == n for n in sorted(nodes)]
+    while len(tests) > 1:
+        tests = [reduce(lambda a, b: a | b, tests[k : k + 2]) for k in range(0, len(tests), 2)]
+    return near.where(tests[0] if tests else F.lit(False))
 
 
 def walk(near: DataFrame, targets: DataFrame, walkers: int, seed: int | str, away: Callable[[int], Column]) -> Iterator[DataFrame]:
-    """Yields, step by step from 1, (walker, node, degree, row_id): where each walker is and by which edge, null after a jump.
+    """Yields, step by step from 1, (walker, node, row_id): where each walker is and by which edge, null after a jump.
 
     ``near`` holds incidences and ``targets`` (idx, node) the nodes to start from and to jump to, where ``away(step)`` is
-    true or a node has no edges. A step is one join on (node, number) and one on the number of a target; both are inner,
-    so that Spark may send the walkers to the edges. Each step is written before the next one.
+    true or a node has no edges. A step sends the walkers to the edges; of these it reads, for up to CROWD walkers, only what
+    may lie at their nodes. Each step is written before the next one.
     """
-    degree = written(near.select("node", "degree").distinct(), "degrees")
-    steps = written(near.select("node", "i", "row_id", "other").join(degree.select(F.col("node").alias("other"), "degree"), "other", "left"), "near")
-    aims = written(targets.join(degree, "node", "left"), "targets")
+    aims = written(targets, "targets")
     count = aims.count()
     if not count:
         return
     aim = lambda s: (_number(seed, "jump", s) % count).alias("idx")
     crowd = near.sparkSession.range(walkers).select(F.col("id").alias("walker"))
-    here = written(crowd.select("walker", aim(0)).join(aims, "idx").select("walker", "node", "degree"), "walk")
+    jump = lambda who, s: aims.join(F.broadcast(who.select("walker", aim(s))), "idx").select("walker", "node", F.lit(None).cast("bigint").alias("row_id"))
+    here = written(jump(crowd, 0), "walk")  # the walkers are a parameter
     step = 0
     while True:
         step += 1
-        jumps = away(step) | (F.coalesce("degree", F.lit(0)) == 0)
-        moved = here.where(~jumps).select("walker", "node", (_number(seed, "move", step) % F.col("degree")).alias("i"))
-        moved = moved.join(steps, ["node", "i"]).select("walker", F.col("other").alias("node"), "degree", "row_id")
-        jumped = here.where(jumps).select("walker", aim(step)).join(aims, "idx").select("walker", "node", "degree", F.lit(None).cast("bigint").alias("row_id"))
+        moving = here.where(~away(step)).select("walker", "node", _number(seed, "move", step).alias("_move"))
+        edges = near if walkers > CROWD else _rows_at(near, [r["node"] for r in here.where("node is not null").select("node").distinct().collect()])
+        moved = edges.join(F.broadcast(moving), "node").where(F.col("i") == F.col("_move") % F.col("degree"))
+        moved = written(moved.select("walker", F.col("other").alias("node"), "row_id"), "moved")
+        jumped = jump(here.select("walker").join(F.broadcast(moved.select("walker")), "walker", "left_anti"), step)
         here = written(moved.unionByName(jumped), "walk")
         yield here
 
@@ -187,7 +206,7 @@ def walk_sample(edges: DataFrame, n: int, seed: int | str, walkers: int | None =
     (a quarter of n by default) go at once and make at most 100 n steps together.
     """
     walkers = walkers or max(1, n // 4)
-    near = written(incidences(edges), "incidences")
+    near = incidences(edges)
     away = lambda s: _number(seed, "home", s) % UNIT < int(teleport * UNIT)
     seen = first_visits(walk(near, dictionary(near, "node"), walkers, seed, away), "row_id", n, math.ceil(100 * n / walkers))
     return _topped_up(edges, "row_id", seen, n, seed)
@@ -229,7 +248,7 @@ def node_walk_sample(nodes: DataFrame, edges: DataFrame, n: int, seed: int | str
     benign = written(nodes.where("label = 0").select("node"), "benign")
     illicit = nodes.where("label = 1").select("node")
     from_ = S.first_ranked(illicit.withColumn("_draw", draw(seed, F.col("node"))), [], "_draw", nodes.sparkSession.range(1).select(F.lit(seeds).cast("bigint").alias("take"))).select("node")
-    near = written(incidences(edges, loops=2), "incidences")
+    near = incidences(edges, loops=2)
     steps = walk(near, dictionary(from_, "node"), walkers, seed, lambda s: F.lit(s % (length + 1) == 0))
     met = (here.where("row_id is not null").join(benign, "node", "left_semi") for here in steps)
     out = written(_topped_up(benign, "node", first_visits(met, "node", n, math.ceil(100 * n / walkers)), n, seed), "sample")

@@ -125,3 +125,37 @@ def test_node_walk_without_illicit_nodes(spark):
     links = spark.createDataFrame([(0, 1, 2)], "row_id long, src long, dst long")
     got = D.node_walk_sample(nodes, links, 4, 1).collect()
     assert len(got) == 4 and {r.weight for r in got} == {9 / 4} and {r.step for r in got} == {None}
+
+
+def test_hubs_are_numbered_by_cells_and_ends_may_be_null(spark, monkeypatch):
+    monkeypatch.setattr(D, "HUB", 5)
+    rng = random.Random(9)
+    edges = [(i, rng.randint(0, 30), 0 if rng.random() < 0.4 else rng.randint(0, 30)) for i in range(120)]
+    got = {r.row_id: (r.step, r.walker) for r in D.walk_sample(spark.createDataFrame(edges, "row_id long, src long, dst long"), 40, 9, 10).collect()}
+    assert got == plain_walk(edges, 40, 10, 400)
+    lame = spark.createDataFrame([(0, 1, None), (1, 1, 2)], "row_id long, src long, dst long")
+    assert {r.row_id for r in D.walk_sample(lame, 2, 9, 4).collect()} == {0, 1}
+
+
+def rows_read(spark, since: int) -> tuple[int, int]:
+    """(rows that the tasks of later stages have read from tables, the last stage)."""
+    store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    last, total = max((s for j in tracker.getJobIdsForGroup() for s in tracker.getJobInfo(j).stageIds), default=0), 0
+    for stage in range(since + 1, last + 1):
+        tasks = store.taskList(stage, 0, 10_000)
+        for m in (tasks.apply(i).taskMetrics() for i in range(tasks.size())):
+            total += m.get().inputMetrics().recordsRead() if m.isDefined() else 0
+    return total, last
+
+
+def test_steps_read_the_rows_near_their_walkers(spark):
+    """Three walkers on a path of 400,000 edges: ten steps together read fewer rows than the table holds."""
+    n = 400_000
+    edges = spark.range(n).selectExpr("id AS row_id", "id AS src", "id + 1 AS dst")
+    near = D.written(D.incidences(edges, loops=2), "near")
+    assert tuple(near.agg(F.count("*"), F.sum("degree"), F.sum("i")).first()) == (2 * n, 4 * n - 2, n - 1)
+    targets = spark.createDataFrame([(0, 5), (1, n // 2)], "idx long, node long")
+    before = rows_read(spark, 0)[1]
+    last = list(itertools.islice(D.walk(near, targets, 3, 9, lambda s: F.lit(False)), 10))[-1].collect()
+    assert len(last) == 3 and all(min(abs(r.node - 5), abs(r.node - n // 2)) <= 10 and (r.node - min((5, n // 2), key=lambda x: abs(x - r.node))) % 2 == 0 for r in last)
+    assert rows_read(spark, before)[0] < 2 * n
