@@ -16,6 +16,8 @@ from strataweave.session import written
 DIGITS, SLACK = 12, 1e-6
 #: Blocks whose rows look through others together, and blocks that they look through in one task, about.
 TILE, SLICE = 32, 64
+#: Pairs that a block's rows hold before all but their k best are dropped.
+MANY = 20_000
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -34,6 +36,24 @@ def _best(q_ids: np.ndarray, q: np.ndarray, n_ids: np.ndarray, n: np.ndarray, k:
     return np.repeat(np.arange(len(q_ids)), top.shape[1])[ok], n_ids[order][top].ravel()[ok], sims[ok]
 
 
+def _above(q: np.ndarray, n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of n, similarity) of the pairs that reach the row's least similarity; the others are not rounded or sorted."""
+    s = q @ n.T
+    at = np.flatnonzero(s >= (least - 10.0**-DIGITS)[:, None])
+    row, sims = at // len(n), np.round(s.ravel()[at], DIGITS)
+    ok = sims >= least[row]
+    return row[ok], at[ok] % len(n), sims[ok]
+
+
+def _first(row: np.ndarray, n: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each row by similarity, ties to the smaller id."""
+    order = np.lexsort((n, -s, row))
+    row, n, s = row[order], n[order], s[order]
+    start = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, dtype=bool)
+    ok = np.arange(len(row)) - np.maximum.accumulate(np.where(start, np.arange(len(row)), 0)) < k
+    return row[ok], n[ok], s[ok]
+
+
 def nearest(vectors: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "embedding", pivots: int = 64, block: int = 512, seed: int | str = 42) -> DataFrame:
     """(id, neighbour, similarity, rank): the k most similar other rows of each row, exactly; ids are distinct integers.
 
@@ -88,14 +108,14 @@ def nearest(vectors: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "e
                 for r, other, sim in zip(row, n, s):
                     found[r].append((int(other), float(sim)))
                 wants = np.flatnonzero(need.any(axis=0))
-                yield pd.DataFrame({"cell": [cell], "part": [part], "q": [ids], "found": [found], "wants": [wants.astype(np.int32)], "rows": [[np.flatnonzero(need[:, c]).astype(np.int32) for c in wants]]})
+                yield pd.DataFrame({"cell": [cell], "part": [part], "q": [ids], "found": [found], "least": [np.where(full, last, -np.inf)], "wants": [wants.astype(np.int32)], "rows": [[np.flatnonzero(need[:, c]).astype(np.int32) for c in wants]]})
 
-    first = written(blocks.mapInPandas(own, "cell int, part int, q array<long>, found array<array<struct<n: long, s: double>>>, wants array<int>, rows array<array<int>>"), "own")
+    first = written(blocks.mapInPandas(own, "cell int, part int, q array<long>, found array<array<struct<n: long, s: double>>>, least array<double>, wants array<int>, rows array<array<int>>"), "own")
     mine = first.select(F.explode(F.arrays_zip("q", "found")).alias("x")).select(F.col("x.q").alias("q"), F.explode("x.found").alias("f")).select("q", "f.n", "f.s")
     n_blocks = sum(max(1, -(-n // block)) for n, _ in sizes.values())
     tile = F.pmod(F.xxhash64("cell", "part"), F.lit(-(-n_blocks // max(1, min(TILE, n_blocks // 16))))).cast("int").alias("tile")
     slices = -(-n_blocks // SLICE)
-    tiles = first.join(blocks.select("cell", "part", "flat"), ["cell", "part"]).select("cell", "part", tile, "q", F.col("flat").alias("qv"), "wants", "rows")
+    tiles = first.join(blocks.select("cell", "part", "flat"), ["cell", "part"]).select("cell", "part", tile, "q", F.col("flat").alias("qv"), "least", "wants", "rows")
     left = tiles.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     asked = first.select(tile, F.explode("wants").alias("cell")).distinct()
     right = blocks.join(asked, "cell").select("tile", F.pmod(F.xxhash64("part", "cell"), F.lit(slices)).cast("int").alias("slice"), *[F.col(c).alias(f"n_{c}") for c in ("cell", "part", "ids", "flat")])
@@ -103,16 +123,21 @@ def nearest(vectors: DataFrame, k: int = 5, id: str = "vec_id", vector: str = "e
     def others(tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"q": np.array([], np.int64), "n": np.array([], np.int64), "s": np.array([], np.float64)})]
         near = [(c, p, *unpacked(ids, flat)) for c, p, ids, flat in zip(*(near[f"n_{c}"] for c in ("cell", "part", "ids", "flat")))]
-        for cell, part, q, flat, wants, rows in zip(*(tile[c] for c in ("cell", "part", "q", "qv", "wants", "rows"))):
-            (q, a), rows, found = unpacked(q, flat), dict(zip(wants, rows)), []
+        for cell, part, q, flat, least, wants, rows in zip(*(tile[c] for c in ("cell", "part", "q", "qv", "least", "wants", "rows"))):
+            (q, a), least, rows = unpacked(q, flat), np.array(least, dtype=np.float64), dict(zip(wants, rows))
+            found, more = (np.array([], np.int64), np.array([], np.int64), np.array([], np.float64)), 0
             for c, p, ids, b in near:
                 if c in rows and (c, p) != (cell, part):
                     at = np.asarray(rows[c], dtype=np.int64)
-                    row, n, s = _best(q[at], a[at], ids, b, k)
-                    found.append(pd.DataFrame({"q": q[at][row], "n": n, "s": s}))
-            if found:
-                found = pd.concat(found).sort_values(["q", "s", "n"], ascending=[True, False, True], kind="stable")
-                out.append(found[found.groupby("q").cumcount() < k])
+                    row, n, s = _above(a[at], b, least[at])
+                    found = tuple(map(np.concatenate, zip(found, (at[row], ids[n], s))))
+                    more += len(row)
+                    if more > MANY:  # what lies below the k-th so far is out
+                        found, more = _first(*found, k), 0
+                        ends = np.flatnonzero(np.bincount(found[0], minlength=len(q)) == k)
+                        np.maximum.at(least, ends, found[2][np.searchsorted(found[0], ends, side="right") - 1])
+            row, n, s = _first(*found, k)
+            out.append(pd.DataFrame({"q": q[row], "n": n, "s": s}))
         return pd.concat(out)
 
     met = left.groupBy("tile", "slice").cogroup(right.groupBy("tile", "slice")).applyInPandas(others, "q long, n long, s double")

@@ -62,3 +62,24 @@ def test_blocks_are_sent_once_for_a_tile(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = all_pairs(list(range(2048)), v, 3)
     assert got == {(a, i + 1): b for a, best in want.items() for i, (_, b) in enumerate(best)}
+
+
+def test_pairs_below_a_bound_are_neither_rounded_nor_sorted():
+    """The same k best as from all pairs, for a small part of their cost."""
+    import time
+
+    from strataweave.operators.knn import _above, _best, _first
+
+    rng = np.random.default_rng(7)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, 1500, 8)))
+    b[:40] = b[40]  # ties
+    ids = rng.permutation(5000)[:1500]
+    began = time.process_time()
+    row, n, s = _best(-1 - np.arange(1500), a, ids, b, 5)
+    long = time.process_time() - began
+    began = time.process_time()
+    x, y, sims = _above(a, b, s.reshape(-1, 5)[:, -1])
+    got = _first(x, ids[y], sims, 5)
+    assert all(np.array_equal(p, q) for p, q in zip(got, (row, n, s)))
+    assert time.process_time() - began < long / 3
+    assert [len(c) for c in _first(*(c[:0] for c in got), 5)] == [0, 0, 0]
